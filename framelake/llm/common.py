@@ -8,13 +8,17 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.session import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Python workers see at most `rows` documents at once, so long texts cannot pile up in one batch."""
+def prepare(spark: SparkSession, rows: int = 256) -> None:
+    """Gives the executors this package. Python workers see at most `rows` rows at once, so that long texts cannot
+    pile up in one batch."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

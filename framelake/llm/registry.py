@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from framelake.llm.bpe import op4_bpe
+from framelake.llm.covertree import op1_near_vectors
 from framelake.llm.fingerprints import op8_fingerprints
+from framelake.llm.packing import op7_packing
+from framelake.llm.token_counts import op5_token_counts
 
 
 def queries() -> dict:
-    return {"op8_fingerprints": op8_fingerprints}
+    return {
+        "op1_near_vectors": op1_near_vectors,
+        "op4_bpe": op4_bpe,
+        "op5_token_counts": op5_token_counts,
+        "op7_packing": op7_packing,
+        "op8_fingerprints": op8_fingerprints,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
