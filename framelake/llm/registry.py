@@ -5,6 +5,8 @@ from __future__ import annotations
 from framelake.llm.bpe import op4_bpe
 from framelake.llm.covertree import op1_near_vectors
 from framelake.llm.fingerprints import op8_fingerprints
+from framelake.llm.jaccard import op6_jaccard
+from framelake.llm.language import op9_language
 from framelake.llm.packing import op7_packing
 from framelake.llm.token_counts import op5_token_counts
 
@@ -14,8 +16,10 @@ def queries() -> dict:
         "op1_near_vectors": op1_near_vectors,
         "op4_bpe": op4_bpe,
         "op5_token_counts": op5_token_counts,
+        "op6_jaccard": op6_jaccard,
         "op7_packing": op7_packing,
         "op8_fingerprints": op8_fingerprints,
+        "op9_language": op9_language,
     }
 
 
