@@ -84,8 +84,8 @@ def pieces(docs: DataFrame, tokenizer: str = bytes_bpe.BYTE_BPE, capacity: int =
         model = bytes_bpe.load(tokenizer)
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), model.ids([t or "" for t in b.column("text").to_pylist()]), strict=True):
-                ids += end
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                ids = model.ids(text or "") + end
                 n = len(ids) // 4
                 whole = n - n % capacity
                 for start, length in [*((s, capacity) for s in range(0, whole, capacity)), *((s, min(piece, n - s)) for s in range(whole, n, piece))]:

@@ -29,7 +29,7 @@ def _counted(df: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         model = bytes_bpe.load(tokenizer)
         for b in batches:
-            n = model.counts(b.column("text").to_pylist())
+            n = [len(model.encoded(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return df.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint")
