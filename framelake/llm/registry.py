@@ -8,6 +8,7 @@ from framelake.llm.fingerprints import op8_fingerprints
 from framelake.llm.jaccard import op6_jaccard
 from framelake.llm.language import op9_language
 from framelake.llm.packing import op7_packing
+from framelake.llm.pii import op2_pii
 from framelake.llm.quality import op10_quality
 from framelake.llm.token_counts import op5_token_counts
 from framelake.llm.toxicity import op3_toxicity
@@ -16,6 +17,7 @@ from framelake.llm.toxicity import op3_toxicity
 def queries() -> dict:
     return {
         "op1_near_vectors": op1_near_vectors,
+        "op2_pii": op2_pii,
         "op3_toxicity": op3_toxicity,
         "op4_bpe": op4_bpe,
         "op5_token_counts": op5_token_counts,
