@@ -94,7 +94,7 @@ def parse_srt(text: Column) -> Column:
     """array<struct<start, end, text>> of a subtitle text."""
     blocks = F.filter(F.split(F.regexp_replace(text, "\r", ""), r"\n\s*\n"), lambda b: b.rlike("-->"))
     part = lambda b, n: F.regexp_extract(b, r"(?s)(\d+:\d+:\d+,\d+)\s*-->\s*(\d+:\d+:\d+,\d+)\n?(.*)", n)
-    return F.transform(blocks, lambda b: F.struct(part(b, 1).alias("start"), part(b, 2).alias("end"), F.trim(part(b, 3)).alias("text")))
+    return F.transform(blocks, lambda b: F.struct(part(b, 1).alias("start"), part(b, 2).alias("end"), F.regexp_replace(part(b, 3), r"^\s+|\s+$", "").alias("text")))
 
 
 def escaped(label: Column) -> Column:
