@@ -116,12 +116,13 @@ class CoverTree:
                 setattr(self, k, parts[k])
         return self
 
-    def below(self, node: int) -> np.ndarray:
-        a, b = self.kids[node]
-        return np.arange(a, b) if b > a else np.array([node])
+    def below(self, nodes: np.ndarray) -> np.ndarray:
+        """The children of the nodes; a leaf stays itself."""
+        lo, hi = self.kids[nodes, 0], self.kids[nodes, 1]
+        return np.concatenate([nodes[lo == hi], _spread(lo, hi)])
 
-    def leaf(self, nodes: np.ndarray) -> np.ndarray:
-        return self.kids[nodes, 0] == self.kids[nodes, 1]
+    def leaf(self, node: int) -> bool:
+        return bool(self.kids[node, 0] == self.kids[node, 1])
 
 
 class _Links:
@@ -129,112 +130,154 @@ class _Links:
 
     def __init__(self, a: CoverTree, b: CoverTree, same: bool):
         self.a, self.b, self.same = a, b, same
-        self.n = (np.zeros(len(a.x) + 1, dtype=np.int64), np.zeros(len(b.x) + 1, dtype=np.int64))
+        self.shift = 0 if same else len(a.x)  # where b's vectors begin among all
+        self.ids = a.ids if same else np.concatenate([a.ids, b.ids])
+        self.n = np.zeros(len(self.ids) + 1, dtype=np.int64)  # differences of links along the vectors
+        self.chain = np.zeros(len(self.ids) + 1, dtype=np.int64)  # differences: vectors linked with the next one
         self.weight = [np.concatenate([[0], np.cumsum(t.copies)]) for t in (a, b)]
-        self.chain = (np.zeros(len(a.x) + 1, dtype=np.int64), np.zeros(len(b.x) + 1, dtype=np.int64))
-        self.edges: list[np.ndarray] = []
-
-    def ranges(self, alo, ahi, blo, bhi) -> None:
-        """Every vector of each range of a is linked with every one of its partner range of b."""
+        self.parent = list(range(len(self.ids)))
+
+    def _root(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def _roots(self, at: np.ndarray) -> np.ndarray:
+        return np.fromiter((self._root(i) for i in at.tolist()), dtype=np.int64, count=len(at))
+
+    def join(self, u: np.ndarray, v: np.ndarray) -> None:
+        for i, j in zip(u.tolist(), v.tolist(), strict=True):
+            i, j = self._root(i), self._root(j)
+            if i != j:
+                self.parent[max(i, j)] = min(i, j)
+
+    def matrix(self, hit: np.ndarray, alo, ahi, blo, bhi) -> None:
+        """Range i of a is linked with range j of b, each vector with each, where hit[i, j]."""
+        rows, cols = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+        if not rows.size:
+            return
+        hit = hit[np.ix_(rows, cols)]
+        alo, ahi, blo, bhi = alo[rows], ahi[rows], blo[cols], bhi[cols]
         wa, wb = self.weight[0][ahi] - self.weight[0][alo], self.weight[1][bhi] - self.weight[1][blo]
-        for n, lo, hi, w in ((self.n[0], alo, ahi, wb), (self.n[1], blo, bhi, wa)):
-            np.add.at(n, lo, w)
-            np.add.at(n, hi, -w)
-        for chain, lo, hi in ((self.chain[0], alo, ahi), (self.chain[1], blo, bhi)):
-            np.add.at(chain, lo, 1)
-            np.add.at(chain, hi - 1, -1)
-        self.edges.append(np.stack([alo, blo], axis=1))
+        for lo, hi, w in ((alo, ahi, hit @ wb), (blo + self.shift, bhi + self.shift, wa @ hit)):
+            np.add.at(self.n, lo, w)
+            np.add.at(self.n, hi, -w)
+            np.add.at(self.chain, lo, 1)
+            np.add.at(self.chain, hi - 1, -1)
+        blo = blo + self.shift
+        while True:  # one edge for each row that is still apart from one of its columns
+            apart = hit & (self._roots(alo)[:, None] != self._roots(blo)[None, :])
+            left = np.flatnonzero(apart.any(axis=1))
+            if not left.size:
+                return
+            self.join(alo[left], blo[apart[left].argmax(axis=1)])
 
     def within(self, lo: int, hi: int) -> None:
-        """All vectors of one range are linked with each other."""
+        """All vectors of one range of a tree against itself are linked with each other."""
         w = self.weight[0][hi] - self.weight[0][lo]
-        self.n[0][lo] += w
-        self.n[0][hi] -= w
-        np.subtract.at(self.n[0], np.arange(lo, hi), self.a.copies[lo:hi])
-        np.add.at(self.n[0], np.arange(lo, hi) + 1, self.a.copies[lo:hi])
-        self.chain[0][lo] += 1
-        self.chain[0][hi - 1] -= 1
+        self.n[lo] += w
+        self.n[hi] -= w
+        own = self.a.copies[lo:hi]
+        self.n[lo:hi] -= own
+        self.n[lo + 1 : hi + 1] += own
+        self.chain[lo] += 1
+        self.chain[hi - 1] -= 1
 
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(u, v, links): rows with v = u hold links, the others edges of a spanning forest."""
-        a, b = self.a, self.b
-        na, nb = np.cumsum(self.n[0])[:-1], np.cumsum(self.n[1])[:-1]
-        if self.same:
-            ids, links, shift = a.ids, na + nb, 0
-            chain = (np.cumsum(self.chain[0]) + np.cumsum(self.chain[1]))[:-1]
-        else:
-            ids, links, shift = np.concatenate([a.ids, b.ids]), np.concatenate([na, nb]), len(a.x)
-            chain = np.concatenate([np.cumsum(self.chain[0])[:-1], np.cumsum(self.chain[1])[:-1]])
-        run = np.flatnonzero(chain > 0)
-        pairs = np.concatenate([np.stack([run, run + 1], axis=1), *[e + [[0, shift]] for e in self.edges]]) if self.edges or run.size else np.empty((0, 2), dtype=np.int64)
-        root = np.arange(len(ids))
-        u, v = pairs[:, 0], pairs[:, 1]
-        while True:  # least neighbour's root, with pointer jumping
-            least = np.minimum(root[u], root[v])
-            new = root.copy()
-            np.minimum.at(new, root[u], least)
-            np.minimum.at(new, root[v], least)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        moved = np.flatnonzero(root != np.arange(len(ids)))
-        linked = np.flatnonzero(links)
+        links = np.cumsum(self.n)[:-1]
+        run = np.flatnonzero(np.cumsum(self.chain)[:-1] > 0)
+        self.join(run, run + 1)
+        root = self._roots(np.arange(len(self.ids)))
+        moved, linked = np.flatnonzero(root != np.arange(len(root))), np.flatnonzero(links)
+        ids = self.ids
         return np.concatenate([ids[linked], ids[moved]]), np.concatenate([ids[linked], ids[root[moved]]]), np.concatenate([links[linked], np.zeros(len(moved), dtype=np.int64)])
 
 
+def _spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    n = hi - lo
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+
 def dual_traversal(a: CoverTree, b: CoverTree, same: bool, threshold: float) -> _Links:
-    """Links between the vectors of a and b; with `same`, b is a, and a vector isn't linked with itself."""
+    """Links between the vectors of a and b; with `same`, b is a, and a vector isn't linked with itself.
+
+    A step holds nodes of a against nodes of b, whose pairs are taken, pruned or opened together: a node of a is
+    opened against all the nodes of b that are still near it."""
     tau = float(_chord(np.array(threshold)))
     links = _Links(a, b, same)
-    stack = [(0, 0)]
+    root = np.zeros(1, dtype=np.int64)
+    stack = [(root, root, same)]
+
+    def singles(rows: np.ndarray, cols: np.ndarray, mirrored: bool) -> None:
+        hit = a.x[a.centre[rows]] @ b.x[b.centre[cols]].T >= threshold
+        if mirrored:
+            hit &= rows[:, None] < cols[None, :]
+        if hit.any():
+            links.matrix(hit, a.lo[rows], a.hi[rows], b.lo[cols], b.hi[cols])
+
+    def leaves(s: int, ts: np.ndarray, own: bool) -> None:
+        right = _spread(b.lo[ts], b.hi[ts])
+        for lo in range(int(a.lo[s]), int(a.hi[s]), 512):
+            some = np.arange(lo, min(lo + 512, int(a.hi[s])))
+            hit = a.x[some] @ b.x[right].T >= threshold
+            if own:
+                hit &= some[:, None] < right[None, :]
+            if hit.any():
+                links.matrix(hit, some, some + 1, right, right + 1)
+
+    def others(rows: np.ndarray, cols: np.ndarray, mirrored: bool, by_column: bool) -> None:
+        reach = a.radius[rows][:, None] + b.radius[cols][None, :]
+        away = _chord(a.x[a.centre[rows]] @ b.x[b.centre[cols]].T)
+        near = away <= reach + (tau + _EPS)
+        if mirrored:
+            near &= rows[:, None] < cols[None, :]
+        hit = near & (away + reach <= tau - _EPS)
+        if hit.any():
+            links.matrix(hit, a.lo[rows], a.hi[rows], b.lo[cols], b.hi[cols])
+        near &= ~hit
+        if by_column:  # the rows are single vectors
+            for q in np.flatnonzero(near.any(axis=0)):
+                t, some = cols[q], rows[near[:, q]]
+                if b.leaf(t):
+                    inside = np.arange(b.lo[t], b.hi[t])
+                    links.matrix(a.x[a.lo[some]] @ b.x[inside].T >= threshold, a.lo[some], a.hi[some], inside, inside + 1)
+                else:
+                    stack.append((some, b.below(np.array([t])), False))
+            return
+        for p in np.flatnonzero(near.any(axis=1)):
+            s, some = int(rows[p]), cols[near[p]]
+            if a.leaf(s):
+                ends = b.kids[some, 0] == b.kids[some, 1]
+                if ends.any():
+                    leaves(s, some[ends], False)
+                some = some[~ends]
+            if some.size:
+                stack.append((a.below(np.array([s])), b.below(some), False))
+
     while stack:
-        i, j = stack.pop()
-        mirrored = same and i == j
-        left, right = a.below(i), b.below(j)
+        left, right, mirrored = stack.pop()
+        one_left, one_right = a.hi[left] - a.lo[left] == 1, b.hi[right] - b.lo[right] == 1
         for lo in range(0, len(left), 512):
-            some = left[lo : lo + 512]
-            dots = a.x[a.centre[some]] @ b.x[b.centre[right]].T
-            reach = a.radius[some][:, None] + b.radius[right][None, :]
-            p, q = np.nonzero(_chord(dots) <= reach + (tau + _EPS))
-            if mirrored:  # each pair of children once
-                keep = some[p] <= right[q]
-                p, q = p[keep], q[keep]
-            dot, s, t = dots[p, q], some[p], right[q]
-            apart = ~((s == t) & same)
-            single = (a.hi[s] - a.lo[s] == 1) & (b.hi[t] - b.lo[t] == 1)
-            whole = np.where(single, dot >= threshold, _chord(dot) + reach[p, q] <= tau - _EPS)
-            take = np.flatnonzero(whole & apart)
-            if take.size:
-                links.ranges(a.lo[s[take]], a.hi[s[take]], b.lo[t[take]], b.hi[t[take]])
-            for m in np.flatnonzero(~apart & ~single):
-                if 2 * a.radius[s[m]] <= tau - _EPS:
-                    links.within(int(a.lo[s[m]]), int(a.hi[s[m]]))
-                elif a.leaf(s[m : m + 1])[0]:
-                    _brute(links, int(s[m]), int(t[m]), True, threshold)
-                else:
-                    stack.append((int(s[m]), int(t[m])))
-            for m in np.flatnonzero(~whole & apart & ~single):
-                if a.leaf(s[m : m + 1])[0] and b.leaf(t[m : m + 1])[0]:
-                    _brute(links, int(s[m]), int(t[m]), False, threshold)
+            some, one = left[lo : lo + 512], one_left[lo : lo + 512]
+            for rows, cols, how in ((some[one], right[one_right], 0), (some[one], right[~one_right], 1), (some[~one], right, 2)):
+                if rows.size and cols.size:
+                    singles(rows, cols, mirrored) if how == 0 else others(rows, cols, mirrored, how == 1)
+        if mirrored:  # each node against itself
+            for s in left[~one_left].tolist():
+                if 2 * a.radius[s] <= tau - _EPS:
+                    links.within(int(a.lo[s]), int(a.hi[s]))
+                elif a.leaf(s):
+                    leaves(s, np.array([s]), True)
                 else:
-                    stack.append((int(s[m]), int(t[m])))
+                    below = a.below(np.array([s]))
+                    stack.append((below, below, True))
     return links
 
 
-def _brute(links: _Links, s: int, t: int, own: bool, threshold: float) -> None:
-    """Two leaves of several vectors: vectors so near each other that no level parts them."""
-    a, b = links.a, links.b
-    for lo in range(int(a.lo[s]), int(a.hi[s]), 512):
-        hi = min(lo + 512, int(a.hi[s]))
-        p, q = np.nonzero(a.x[lo:hi] @ b.x[b.lo[t] : b.hi[t]].T >= threshold)
-        p, q = p + lo, q + int(b.lo[t])
-        if own:
-            p, q = p[p < q], q[p < q]
-        if p.size:
-            links.ranges(p, p + 1, q, q + 1)
-
-
 def _anchors(sample: np.ndarray, n: int) -> np.ndarray:
     """The first n points of a farthest-first traversal: at any radius its prefix is a cover of the sample."""
     best = np.full(len(sample), -2.0)
