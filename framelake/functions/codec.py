@@ -11,8 +11,9 @@ ALIASES = {
     "h264": ("avc", "avc1", "h.264", "h264", "x264"),
     "av1": ("av01", "av1"),
 }
-LOSSY_MUSIC = ("mp3", "aac", "opus", "vorbis", "ac3", "eac3", "wmav2", "wma", "mp2")
-LOSSLESS_MUSIC = ("flac", "alac", "wav", "pcm_s16le", "pcm_s24le", "ape", "wavpack")
+# Lossy music codecs, and the lossless encoder.
+LOSSY_MUSIC = ("mp3", "aac", "ac3", "eac3", "opus", "vorbis", "wma", "wmav2")
+LOSSLESS_MUSIC = ("flac",)
 
 
 def normalize(codec: Column) -> Column:

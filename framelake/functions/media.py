@@ -28,12 +28,12 @@ def exclusion_label(width: Column, height: Column) -> Column:
 def display_resolution(is_4k: Column, width: Column, height: Column) -> Column:
     """What the dashboard shows: 4K first, then by the short edge."""
     edge = F.when((width > 0) & (height > 0), F.least(width, height)).otherwise(F.greatest(width, height))
-    return F.when(is_4k, "4K").when(edge >= 1080, "1080p").when(edge >= 720, "720p").when(edge > 0, "SD").otherwise("unknown")
+    return F.when(is_4k, "4K").when(edge >= 2160, "4K").when(edge >= 1440, "1440p").when(edge >= 1080, "1080p").when(edge >= 720, "720p").when(edge > 0, "SD").otherwise("Unknown")
 
 
 def insight_bucket(width: Column) -> Column:
-    """Library insight buckets by width."""
-    return F.when(width > 1920, "4K").when(width > 1280, "1080p").when(width > 960, "720p").when(width > 0, "SD").otherwise("Unknown")
+    """Library insight buckets by width; null for an unknown one."""
+    return F.when(width > 1920, "4K").when(width > 1280, "1080p").when(width > 960, "720p").when(width > 0, "SD")
 
 
 _PLANAR = r"(?i)p[024]?(9|10|12|14|16)(?:le|be)?$"
@@ -77,10 +77,13 @@ def gop(rate: Column) -> Column:
     return F.when(rate.isNull(), 48).otherwise(F.greatest(F.lit(24), F.bround(rate * 2).cast("int")))
 
 
+# Heights of downscale targets.
+HEIGHTS = {"4K": 2160, "2160p": 2160, "1440p": 1440, "1080p": 1080, "720p": 720, "480p": 480, "240p": 240}
+
+
 def downscale_height(target: Column) -> Column:
     """Height of a downscale target; 1080 if it isn't known."""
-    name = F.lower(F.trim(target))
-    return F.when(name.isin("4k", "2160p"), 2160).when(name == "1440p", 1440).when(name == "720p", 720).when(name == "480p", 480).otherwise(1080)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in HEIGHTS.items() for x in pair]), target), F.lit(1080))
 
 
 def backoff_minutes(failures: Column) -> Column:
@@ -121,6 +124,12 @@ def calibration_step(points: list[tuple[float, float]], goal: float, low: float,
     return min(high, q + 4) if above else max(low, q - 4) if below else q
 
 
+def best_quality(tested: dict[int, int], target: int, tolerance: float) -> int:
+    """The tested quality value to use: the best one (the least value) within the tolerance, else the nearest."""
+    under = [q for q, kbps in tested.items() if kbps <= int(target * (1 + tolerance))]
+    return min(under) if under else min(tested, key=lambda q: (abs(tested[q] - target), q))
+
+
 def display_bytes(size: Column) -> Column:
     """Bytes for people, in powers of 1024."""
     steps = [(1024**4, "TB"), (1024**3, "GB"), (1024**2, "MB"), (1024, "KB")]

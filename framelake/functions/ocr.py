@@ -17,11 +17,10 @@ MOST_VARIANTS = 256
 
 
 def substituted(text: Column) -> Column:
-    """Marks that stand for a capital I at the borders of words, and equals signs that open a line for a dash."""
-    out = F.regexp_replace(text, r"(?<![\w])[|\[\]](?![\w])", "I")
-    out = F.regexp_replace(out, r"(?<![\w])[|\[\]](?=[a-z'])", "I")
-    out = F.regexp_replace(out, r"(?<=[A-Za-z])\|(?=[A-Za-z])", "l")
-    return F.regexp_replace(out, r"(?m)^=\s*", "- ")
+    """Bars and brackets that stand alone between blanks, dashes and marks for a capital I, and equals signs that open
+    a line for a dash."""
+    out = F.regexp_replace(text, r"(?<=^|\s|-)[|\[\]](?=$|\s|[,.?!'])", "I")
+    return F.regexp_replace(out, r"(?<=^|\n|\r)=", "-")
 
 
 def variants(word: str) -> list[str]:

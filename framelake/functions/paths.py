@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Extensions that count as video and music.
-VIDEO = ("mkv", "mp4", "avi", "mov", "wmv", "flv", "webm", "m4v", "mpg", "mpeg", "ts", "m2ts")
-MUSIC = ("mp3", "flac", "aac", "m4a", "ogg", "opus", "wav", "wma", "alac", "aiff")
+VIDEO = ("mkv", "mp4", "ts", "wmv", "avi", "m4v", "mpeg", "mov", "3gp", "webm", "flv")
+MUSIC = ("mp3", "m4a", "flac", "aac", "ogg", "opus", "wav", "wma", "alac", "ape", "aiff", "dsf", "dff", "mka", "mp2")
 
 
 def directory(path: Column) -> Column:

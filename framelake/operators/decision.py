@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import codec as C
@@ -23,7 +23,7 @@ class Options:
     strict_bitrate: bool = False
     mode: str = "Transcode"  # Transcode, Hybrid or MuxOnly
     mux_streams: str = "Both"  # Audio, Subtitles or Both
-    downscale: str | None = None  # IfLarger or Always
+    downscale: str | None = None  # CapAtTarget or Always
     downscale_target: str = "1080p"
     tonemap: bool = False
     crop: bool = False
@@ -46,7 +46,7 @@ class Options:
 
     @property
     def target_height(self) -> int:
-        return {"4k": 2160, "2160p": 2160, "1440p": 1440, "1080p": 1080, "720p": 720, "480p": 480}.get(self.downscale_target.strip().lower(), 1080)
+        return M.HEIGHTS.get(self.downscale_target, 1080)
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ class MusicOptions:
 
 
 def would_downscale(o: Options, height: Column) -> Column:
-    if o.downscale not in ("IfLarger", "Always"):
+    if o.downscale not in ("CapAtTarget", "Always"):
         return F.lit(False)
     return (height > 0) & (F.lit(o.downscale == "Always") | (height > o.target_height))
 
@@ -76,12 +76,13 @@ def needs_container_change(o: Options) -> Column:
 
 
 def has_muxable_work(o: Options) -> Column:
-    """Stream work that a mux pass would do. With audio alone or subtitles alone chosen, a pass always counts as work."""
-    if o.mode == "Transcode":
-        return F.lit(False)
-    if o.mux_streams in ("Audio", "Subtitles"):
-        return F.lit(True)
-    return has_audio_work(audio(F.col("audio_streams")), o.streams) | has_subtitle_work(subtitles(F.col("subtitle_streams")), o.streams)
+    """Stream work that a mux pass would do, among the streams that such passes are for."""
+    work = F.lit(False)
+    if o.mode != "Transcode" and o.mux_streams in ("Audio", "Both"):
+        work = work | has_audio_work(audio(F.col("audio_streams")), o.streams)
+    if o.mode != "Transcode" and o.mux_streams in ("Subtitles", "Both"):
+        work = work | has_subtitle_work(subtitles(F.col("subtitle_streams")), o.streams)
+    return work
 
 
 def is_no_op(o: Options) -> Column:
@@ -127,7 +128,7 @@ def dry_run_video(o: Options, excluded: Column, policy_action: Column | None = N
     mux = has_muxable_work(o) | container
     bypass = F.lit(o.mode != "Transcode") & mux
     below = (bitrate > 0) & (bitrate <= ceiling)
-    budget_4k = hd & F.lit(not (o.downscale in ("IfLarger", "Always") and o.target_height < 2160))
+    budget_4k = hd & F.lit(not (o.downscale in ("CapAtTarget", "Always") and o.target_height < 2160))
     reference = F.when(budget_4k, o.four_k_kbps).otherwise(o.target_kbps)
     vaapi = F.lit(o.vaapi and o.codec != "h264") & (~F.col("is_hevc") if o.codec == "hevc" else (F.lower("codec") != "av1")) & (bitrate > 0) & (bitrate <= o.target_kbps) & ~hd
     shrink = (bitrate > 0) & (bitrate < reference + 700) & ~F.col("is_hevc")
@@ -170,6 +171,41 @@ def dry_run_music(o: MusicOptions) -> Column:
     return F.struct(F.when(skip, "Skip").otherwise("Queue").alias("decision"), F.when(skip, 0).otherwise(o.kbps).cast("long").alias("target"))
 
 
+def intake_music(o: MusicOptions, changed: Column) -> Column:
+    """What a scan does with a music file: codec and bitrate first, then the state of an unchanged file."""
+    run = dry_run_music(o)["decision"]
+    unchanged = ~F.coalesce(changed, F.lit(False))
+    return (
+        F.when(run == "Skip", "Skip")
+        .when(unchanged & F.col("status").isin("Cancelled", "Completed", "Queued"), "Known")
+        .when(unchanged & (F.col("status") == "Failed") & (F.col("failure_count") >= 3), "Failed")
+        .otherwise("Queue")
+    )
+
+
+def worker_problem(plan: Column, o: Options, protocol: int = 1) -> Column:
+    """Why a worker can't take a plan (struct of protocol, blocked, action, profile_id, resolved_id, encoder,
+    profile_encoder), the first reason in this order; null if it can."""
+    exact = F.coalesce(plan["encoder"], F.lit(""))
+    return (
+        F.when(plan["protocol"] != protocol, "protocol not supported")
+        .when(F.coalesce(plan["blocked"], F.lit("")) != "", F.concat(F.lit("blocked: "), plan["blocked"]))
+        .when(plan["action"] == "skip", "skip must not be dispatched")
+        .when((plan["action"] == "mux_only") & F.lit(o.mode != "MuxOnly"), "mux plan needs mux options")
+        .when(plan["action"] != "transcode_with_profile", None)
+        .when(plan["resolved_id"].isNull(), "profile missing")
+        .when(plan["profile_id"].isNotNull() & (plan["profile_id"] != plan["resolved_id"]), "profile mismatch")
+        .when(plan["profile_encoder"].isNotNull() & (F.lower("plan.profile_encoder") != F.lower(exact)), "encoder mismatch")
+        .when(plan["profile_encoder"].isNotNull() & (F.lower(exact) != o.encoder.lower()), "options mismatch")
+    )
+
+
+def filter_analysis(rows: DataFrame, decisions: list[str], needle: str = "") -> DataFrame:
+    """Analysis rows (decision, file_path) of a tab: some decisions, and a part of the path."""
+    found = rows.where(F.col("decision").isin(*decisions)) if decisions else rows
+    return found.where(F.lower("file_path").contains(needle.lower())) if needle else found
+
+
 def intake(o: Options, excluded: Column, same_file: Column, changed: Column) -> Column:
     """What a scan does with a listed file: exactly unchanged files in a final state end early; failed videos stay
     failed, failed music from the third failure on; changed ones are looked at anew."""
@@ -186,5 +222,5 @@ def intake(o: Options, excluded: Column, same_file: Column, changed: Column) ->
 
 
 def decision_label(status: Column) -> Column:
-    """How a state reads as a decision."""
-    return F.when(status.isin("Queued", "Processing"), "Queue").when(status == "Completed", "Transcode success").when(status == "Skipped", "Not required").when(status == "Failed", "Transcode error").when(status == "Cancelled", "Cancelled").when(status == "NoSavings", "No savings").otherwise("Unknown")
+    """How the dashboard names a state."""
+    return F.when(status == "Pending", "Queued").when(status.isin("Processing", "Uploading", "Downloading"), "Processing").when(status == "NoSavings", "No Savings").otherwise(status)

@@ -9,22 +9,27 @@ from framelake.functions.media import insight_bucket
 from framelake.functions.paths import like_escaped
 
 
+def scanned(files: DataFrame) -> DataFrame:
+    """Files that were ever probed: reports on the library are about these."""
+    return files.where("last_scanned_at is not null")
+
+
 def codecs(files: DataFrame) -> DataFrame:
-    return files.where("codec <> ''").groupBy("codec").agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes")).orderBy(F.desc("files"), "codec")
+    return scanned(files).where("codec <> ''").groupBy("codec").agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes")).orderBy(F.desc("files"), "codec")
 
 
 def resolutions(files: DataFrame) -> DataFrame:
-    """Video files by width bucket; empty buckets have no row."""
-    return files.where("kind = 'Video'").groupBy(insight_bucket(F.col("width")).alias("bucket")).agg(F.count("*").alias("files"))
+    """Video files by width bucket; empty buckets and unknown widths have no row."""
+    return scanned(files).where("kind = 'Video' and width > 0").groupBy(insight_bucket(F.col("width")).alias("bucket")).agg(F.count("*").alias("files"))
 
 
 def statuses(files: DataFrame) -> DataFrame:
-    return files.groupBy("status").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "status")
+    return scanned(files).groupBy("status").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "status")
 
 
 def totals(files: DataFrame) -> DataFrame:
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    return files.agg(F.count("*").alias("files"), F.count_if(F.col("kind") == "Video").alias("video"), F.count_if(F.col("kind") == "Music").alias("music"), total("file_size"), total("duration"))
+    return scanned(files).agg(F.count("*").alias("files"), F.count_if("is_hdr").alias("hdr"), F.count_if(F.col("kind") == "Video").alias("video"), F.count_if(F.col("kind") == "Music").alias("music"), total("file_size"), total("duration"))
 
 
 def status_counts(files: DataFrame) -> DataFrame:
@@ -36,8 +41,8 @@ def health() -> dict[str, Column]:
     """Conditions of the health categories. An empty list of audio streams is a finding, an unknown one isn't."""
     found = {
         "no_audio": (F.col("kind") == "Video") & (F.col("audio_streams") == "[]"),
-        "no_video": (F.col("kind") == "Video") & ((F.col("width") <= 0) | (F.col("height") <= 0)),
-        "no_duration": F.col("duration") <= 0,
+        "no_video": (F.col("kind") == "Video") & (F.col("codec") != "") & ((F.col("width") <= 0) | (F.col("height") <= 0)),
+        "no_duration": (F.col("codec") != "") & (F.col("duration") <= 0),
         "failed": F.col("status") == "Failed",
         "verify_failed": F.col("last_verify_result").isNotNull() & ~F.col("last_verify_result").isin("ok", "missing"),
     }
@@ -50,19 +55,19 @@ def health() -> dict[str, Column]:
 
 def health_summary(files: DataFrame) -> DataFrame:
     """Files of each category in one pass; categories overlap."""
-    return files.agg(*[F.count_if(v).alias(k) for k, v in health().items()])
+    return scanned(files).agg(*[F.count_if(v).alias(k) for k, v in health().items()])
 
 
 def health_page(files: DataFrame, category: str = "any", skip: int = 0, take: int = 50, search: str | None = None) -> DataFrame:
     """Findings, failed files first, then by path. Deep pages read as far as they reach."""
-    rows = files.where(health()[category])
+    rows = scanned(files).where(health()[category])
     if search:
         rows = rows.where(like_escaped(F.col("file_path"), search))
     return rows.orderBy(F.desc(F.col("status") == "Failed"), "file_path").offset(skip).limit(take).select("id", "file_path", "status", "failure_count")
 
 
 def health_paths(files: DataFrame, category: str = "any", limit: int = 5000) -> DataFrame:
-    return files.where(health()[category]).orderBy(F.desc(F.col("status") == "Failed"), "file_path").limit(limit).select("file_path")
+    return scanned(files).where(health()[category]).orderBy(F.desc(F.col("status") == "Failed"), "file_path").limit(limit).select("file_path")
 
 
 def issues(files: DataFrame) -> DataFrame:
@@ -71,7 +76,7 @@ def issues(files: DataFrame) -> DataFrame:
     named = health()
     named["verify_failed"] = F.coalesce(F.col("last_verify_result").isNotNull() & (F.col("last_verify_result") != "ok"), F.lit(False))
     names = F.array_compact(F.array(*[F.when(v, F.lit(k.replace("_", "-"))) for k, v in named.items() if k != "any"]))
-    return files.select("id", F.array_join(names, ",").alias("issues")).where("issues <> ''")
+    return scanned(files).select("id", F.array_join(names, ",").alias("issues")).where("issues <> ''")
 
 
 def verify_rotation(files: DataFrame, quota: int) -> DataFrame:
@@ -85,7 +90,7 @@ def hourly_quota(per_day: int) -> int:
 
 
 def verify_stats(files: DataFrame) -> DataFrame:
-    return files.agg(F.count("last_verified_at").alias("verified"), F.count_if(health()["verify_failed"]).alias("failed"), F.count("*").alias("total"))
+    return scanned(files).agg(F.count("last_verified_at").alias("verified"), F.count_if(health()["verify_failed"]).alias("failed"), F.count("*").alias("total"))
 
 
 def failed_files(files: DataFrame, limit: int = 100) -> DataFrame:

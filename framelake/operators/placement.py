@@ -106,5 +106,20 @@ def encoder_catalog(local: DataFrame, workers: DataFrame, registry: DataFrame) -
 
 
 def phase_label(phase: Column) -> Column:
-    """Phases as they travel between nodes; some share a name."""
-    return F.when(phase.isin("Reserved", "Uploading"), "uploading").when(phase == "Encoding", "encoding").when(phase == "Downloading", "downloading").otherwise("unknown")
+    """Phases as they travel between nodes: a slot counts as uploading until bytes flow, as downloading at its end."""
+    return F.when(phase == "Encoding", "Encoding").when(phase.isin("Downloading", "Completing"), "Downloading").otherwise("Uploading")
+
+
+def phase_of(label: Column) -> Column:
+    """Phases as they are read back; unknown ones are taken as encoding."""
+    return F.when(label.isin("Receiving", "Uploading"), "Uploading").when(label == "Downloading", "Downloading").otherwise("Encoding")
+
+
+def master(nodes: DataFrame) -> DataFrame:
+    """The node that leads: the least name among those that may, letter by letter."""
+    return nodes.where("role = 'master'").agg(F.min("node_id").alias("node_id"))
+
+
+def silent(nodes: DataFrame, now: Column, minutes: int = 5) -> DataFrame:
+    """Nodes (node_id, last_heartbeat) to remove."""
+    return nodes.where(F.col("last_heartbeat") < now - F.make_interval(mins=F.lit(minutes)))

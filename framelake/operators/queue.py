@@ -73,8 +73,19 @@ def segments(active: DataFrame, pending: DataFrame, terminal: DataFrame, skip: i
 def terminal_rank(dashboard: bool = True) -> Column:
     """Order of finished states: on the dashboard savings-free ones have a rank of their own."""
     status = F.col("status")
-    out = F.when(status == "Failed", 0).when(status == "Completed", 1)
-    return (out.when(status == "NoSavings", 2) if dashboard else out).when(status == "Cancelled", 3).otherwise(4)
+    if dashboard:
+        return F.when(status == "Completed", 0).when(status == "NoSavings", 1).when(status == "Failed", 2).when(status.isin("Cancelled", "Stopped"), 3).otherwise(4)
+    return F.when(status == "Completed", 0).when(status == "Failed", 1).when(status == "Cancelled", 2).otherwise(3)
+
+
+def active_rank() -> Column:
+    status = F.col("status")
+    return F.when(status == "Processing", 0).when(status == "Uploading", 1).when(status == "Downloading", 2).otherwise(3)
+
+
+def remote(files: DataFrame) -> DataFrame:
+    """Files that a node works on."""
+    return files.where("assigned_node_id is not null")
 
 
 def item_counts(files: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.functions.paths import folder_key, glob
+from framelake.functions.paths import base_name, directory, folder_key, glob, longest_prefix
 from framelake.functions.media import exclusion_label
 
 
@@ -145,6 +145,36 @@ def clear_assignment(files: DataFrame, node: str) -> DataFrame:
     return files.withColumn("status", F.when(hit & (F.col("status") == "Processing"), "Queued").otherwise(F.col("status"))).withColumn("assigned_node_id", F.when(~hit, F.col("assigned_node_id")))
 
 
+def insert_unseen(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """Rows for paths (column path) that the library doesn't know, as completed files."""
+    new = paths.select("path").distinct().join(files, F.col("path") == files["file_path"], "left_anti")
+    return new.select(F.col("path").alias("file_path"), directory(F.col("path")).alias("directory"), base_name(F.col("path")).alias("base_name"), F.lit("Completed").alias("status"))
+
+
+def open_transitions(log: DataFrame) -> DataFrame:
+    """Entries of a write-ahead log that were begun and never completed."""
+    return log.where(~F.coalesce("completed", F.lit(False)))
+
+
+def old_transitions(log: DataFrame, now: Column, hours: int = 24, limit: int = 1000) -> DataFrame:
+    """Completed entries to delete, the oldest first, so many at a time."""
+    return log.where(F.col("completed") & (F.col("at") < now - F.make_interval(hours=F.lit(hours)))).orderBy("at", "id").limit(limit)
+
+
+def external_language(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """file_path and the language (column lang of roots) of the longest external root above it, else of the longest
+    root whose folder name is a segment of the path, whatever the case."""
+    from framelake.functions.language import two_letter
+
+    named = roots.where("lang <> ''").select(F.lower(F.regexp_replace(F.regexp_replace("path", r"\\\\", "/"), "/+$", "")).alias("root"), "lang").dropDuplicates(["root"])
+    first = longest_prefix(files.select("file_path"), named)
+    folder = F.element_at(F.split("root", "/"), -1)
+    names = named.select(folder.alias("segment"), "lang").where("segment <> ''").groupBy("segment").agg(F.min("lang").alias("lang"))
+    segments = F.array_distinct(F.transform(F.filter(F.split(F.lower("file_path"), "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, r"\.[^.]*$", "")))
+    hits = files.select("file_path", F.explode(segments).alias("segment")).distinct().join(names, "segment").groupBy("file_path").agg(F.max_by("lang", F.struct(F.length("segment"), "segment")).alias("fallback"))
+    return first.join(hits, "file_path", "left").select("file_path", two_letter(F.coalesce("lang", "fallback")).alias("language"))
+
+
 def latest_transition(log: DataFrame) -> DataFrame:
     """The state of each work item in a write-ahead log (work_item_id, id, phase, completed): its last entry."""
     return log.groupBy("work_item_id").agg(F.max_by(F.struct("phase", "completed"), "id").alias("last")).select("work_item_id", "last.phase", "last.completed")

@@ -12,9 +12,14 @@ from framelake.functions import language as L
 AUDIO = "array<struct<l:string,c:string,ch:int,t:string>>"
 SUBTITLE = "array<struct<l:string,c:string,t:string,s:boolean>>"
 # Subtitle codecs that are pictures; channels of layouts; quality of audio codecs.
-BITMAP = ("hdmv_pgs_subtitle", "dvd_subtitle", "dvb_subtitle", "xsub")
+BITMAP = ("hdmv_pgs_subtitle", "pgssub", "dvd_subtitle", "dvdsub", "dvb_subtitle", "dvbsub", "xsub")
 CHANNELS = {"mono": 1, "stereo": 2, "5.1": 6, "7.1": 8}
-QUALITY = {"truehd": 6, "dts": 5, "flac": 5, "eac3": 4, "ac3": 3, "opus": 3, "aac": 2, "mp3": 1}
+QUALITY = {
+    **dict.fromkeys(("flac", "truehd", "mlp", "alac", "pcm_s16le", "pcm_s24le"), 4),
+    **dict.fromkeys(("dts", "dtshd"), 3),
+    **dict.fromkeys(("eac3", "ac3"), 2),
+    **dict.fromkeys(("aac", "opus", "vorbis", "mp3"), 1),
+}
 
 
 @dataclass(frozen=True)
@@ -91,7 +96,7 @@ def has_subtitle_work(streams: Column, o: StreamOptions) -> Column:
     if o.extract_sidecar:
         work = work | (F.size(kept) > 0)
     if o.convert_images or (o.format.lower() in ("mkv", "matroska") and not o.pass_images_mkv):
-        work = work | F.exists(kept, lambda s: F.coalesce(s["c"].isin(*BITMAP), F.lit(False)))
+        work = work | F.exists(kept, lambda s: F.coalesce(F.lower(s["c"]).isin(*BITMAP), F.lit(False)))
     return (F.size(streams) > 0) & F.coalesce(work, F.lit(False))
 
 
@@ -132,5 +137,5 @@ def sidecars(streams: Column, o: StreamOptions) -> Column:
     """Text subtitles to extract, in order of the wanted languages: array of indexes."""
     wanted = [w.lower() for w in o.subtitle_languages]
     indexed = F.transform(streams, lambda s, i: F.struct(F.when(F.lit(bool(wanted)), F.array_position(F.array(*[F.lit(w) for w in wanted or [""]]), F.coalesce(L.two_letter(s["l"]), L.from_title(s["t"]), F.lit("")))).otherwise(F.lit(0).cast("long")).alias("rank"), i.alias("i"), s.alias("s")))
-    fit = F.filter(indexed, lambda x: ~F.coalesce(x["s"]["c"].isin(*BITMAP), F.lit(False)) & L.matches(x["s"]["l"], x["s"]["t"], wanted) & ~(F.lit(o.exclude_sdh) & F.coalesce(x["s"]["s"], F.lit(False))))
+    fit = F.filter(indexed, lambda x: ~F.coalesce(F.lower(x["s"]["c"]).isin(*BITMAP), F.lit(False)) & L.matches(x["s"]["l"], x["s"]["t"], wanted) & ~(F.lit(o.exclude_sdh) & F.coalesce(x["s"]["s"], F.lit(False))))
     return F.transform(F.array_sort(F.transform(fit, lambda x: F.struct(x["rank"], x["i"]))), lambda x: x["i"])

@@ -13,6 +13,7 @@ from framelake.functions import media as M
 from framelake.functions import ocr
 from framelake.functions import paths as P
 from framelake.functions import schedule as S
+from framelake.functions import text as X
 from framelake.functions import titles as T
 from framelake.operators import decision as D
 from framelake.operators import ledger, library, placement, queue, scan
@@ -94,13 +95,13 @@ query("ledger_append", "SELECT job_key, line_no, part_key, node_key, greatest(by
 
 # library
 
-query("library_codecs", "SELECT codec, count(*) AS files, CAST(sum(file_size) AS BIGINT) AS bytes FROM media_files WHERE codec <> '' GROUP BY 1")(_from(library.codecs, "media_files"))
-query("library_resolutions", "SELECT CASE WHEN width > 1920 THEN '4K' WHEN width > 1280 THEN '1080p' WHEN width > 960 THEN '720p' WHEN width > 0 THEN 'SD' ELSE 'Unknown' END AS bucket, count(*) AS files FROM media_files WHERE kind = 'Video' GROUP BY 1")(_from(library.resolutions, "media_files"))
-query("library_statuses", "SELECT status, count(*) AS files FROM media_files GROUP BY 1")(_from(library.statuses, "media_files"))
+query("library_codecs", "SELECT codec, count(*) AS files, CAST(sum(file_size) AS BIGINT) AS bytes FROM media_files WHERE codec <> '' AND last_scanned_at IS NOT NULL GROUP BY 1")(_from(library.codecs, "media_files"))
+query("library_resolutions", "SELECT CASE WHEN width > 1920 THEN '4K' WHEN width > 1280 THEN '1080p' WHEN width > 960 THEN '720p' ELSE 'SD' END AS bucket, count(*) AS files FROM media_files WHERE kind = 'Video' AND width > 0 AND last_scanned_at IS NOT NULL GROUP BY 1")(_from(library.resolutions, "media_files"))
+query("library_statuses", "SELECT status, count(*) AS files FROM media_files WHERE last_scanned_at IS NOT NULL GROUP BY 1")(_from(library.statuses, "media_files"))
 query("library_status_kinds", "SELECT status, kind, count(*) AS files FROM media_files GROUP BY 1, 2")(_from(library.status_counts, "media_files"))
-query("library_totals", "SELECT count(*) AS files, count(*) FILTER (kind = 'Video') AS video, count(*) FILTER (kind = 'Music') AS music, CAST(sum(file_size) AS BIGINT) AS file_size, CAST(sum(duration) AS BIGINT) AS duration FROM media_files")(_from(library.totals, "media_files"))
-_HEALTH = """SELECT id, file_path, status, failure_count, kind = 'Video' AND coalesce(audio_streams = '[]', FALSE) AS no_audio, kind = 'Video' AND (width <= 0 OR height <= 0) AS no_video, duration <= 0 AS no_duration, status = 'Failed' AS failed,
-last_verify_result IS NOT NULL AND last_verify_result NOT IN ('ok', 'missing') AS verify_failed, last_verify_result IS NOT NULL AND last_verify_result <> 'ok' AS not_ok FROM media_files"""
+query("library_totals", "SELECT count(*) AS files, count(*) FILTER (is_hdr) AS hdr, count(*) FILTER (kind = 'Video') AS video, count(*) FILTER (kind = 'Music') AS music, CAST(sum(file_size) AS BIGINT) AS file_size, CAST(sum(duration) AS BIGINT) AS duration FROM media_files WHERE last_scanned_at IS NOT NULL")(_from(library.totals, "media_files"))
+_HEALTH = """SELECT id, file_path, status, failure_count, kind = 'Video' AND coalesce(audio_streams = '[]', FALSE) AS no_audio, kind = 'Video' AND codec <> '' AND (width <= 0 OR height <= 0) AS no_video, codec <> '' AND duration <= 0 AS no_duration, status = 'Failed' AS failed,
+last_verify_result IS NOT NULL AND last_verify_result NOT IN ('ok', 'missing') AS verify_failed, last_verify_result IS NOT NULL AND last_verify_result <> 'ok' AS not_ok FROM media_files WHERE last_scanned_at IS NOT NULL"""
 _ANY = "(no_audio OR no_video OR no_duration OR failed OR verify_failed)"
 query("health_summary", f'SELECT count(*) FILTER (no_audio) AS no_audio, count(*) FILTER (no_video) AS no_video, count(*) FILTER (no_duration) AS no_duration, count(*) FILTER (failed) AS failed, count(*) FILTER (verify_failed) AS verify_failed, count(*) FILTER ({_ANY}) AS "any" FROM ({_HEALTH})')(_from(library.health_summary, "media_files"))
 query("health_page", f"SELECT id, file_path, status, failure_count FROM ({_HEALTH}) WHERE {_ANY} ORDER BY status = 'Failed' DESC, file_path LIMIT 50 OFFSET 25")(_from(library.health_page, "media_files", skip=25))
@@ -109,7 +110,7 @@ query("health_paths", f"SELECT file_path FROM ({_HEALTH}) WHERE verify_failed OR
 query("health_issues", f"""SELECT id, concat_ws(',', CASE WHEN no_audio THEN 'no-audio' END, CASE WHEN no_video THEN 'no-video' END, CASE WHEN no_duration THEN 'no-duration' END, CASE WHEN failed THEN 'failed' END, CASE WHEN not_ok THEN 'verify-failed' END) AS issues FROM ({_HEALTH})
 WHERE no_audio OR no_video OR no_duration OR failed OR not_ok""")(_from(library.issues, "media_files"))
 query("verify_rotation", "SELECT id, file_path, last_verified_at FROM media_files WHERE last_scanned_at IS NOT NULL AND status NOT IN ('Queued', 'Processing') ORDER BY last_verified_at ASC NULLS FIRST, id LIMIT 41")(_from(library.verify_rotation, "media_files", quota=library.hourly_quota(1000)))
-query("verify_stats", f"SELECT (SELECT count(last_verified_at) FROM media_files) AS verified, (SELECT count(*) FROM ({_HEALTH}) WHERE verify_failed) AS failed, (SELECT count(*) FROM media_files) AS total")(_from(library.verify_stats, "media_files"))
+query("verify_stats", f"SELECT (SELECT count(last_verified_at) FROM media_files WHERE last_scanned_at IS NOT NULL) AS verified, (SELECT count(*) FROM ({_HEALTH}) WHERE verify_failed) AS failed, (SELECT count(*) FROM media_files WHERE last_scanned_at IS NOT NULL) AS total")(_from(library.verify_stats, "media_files"))
 query("failed_files", "SELECT id, file_path, failure_count FROM media_files WHERE status = 'Failed' ORDER BY failure_count DESC, id LIMIT 100")(_from(library.failed_files, "media_files"))
 query("directory_totals", "SELECT directory, count(*) AS files, count(*) FILTER (kind = 'Video') AS video, count(*) FILTER (kind = 'Music') AS music FROM media_files GROUP BY 1")(_from(library.directory_totals, "media_files"))
 query("directory_page", "SELECT id, file_path, kind FROM media_files WHERE starts_with(file_path, '/media/asia/') ORDER BY lower(file_path), id LIMIT 100 OFFSET 20")(_from(library.directory_page, "media_files", directory="/media/asia", skip=20, take=100))
@@ -137,7 +138,7 @@ _SEGMENTS = "SELECT id, file_path, status, {} AS rank, {} AS segment FROM media_
 
 
 @query("queue_segments", f"""SELECT * FROM ({_SEGMENTS.format('-bitrate', 0, "status = 'Processing' AND id % 40 = 1")} UNION ALL {_SEGMENTS.format('-bitrate', 1, "status = 'Queued' AND assigned_node_id IS NULL AND id % 40 = 2")} UNION ALL
-{_SEGMENTS.format("CASE status WHEN 'Failed' THEN 0 WHEN 'Completed' THEN 1 ELSE 4 END", 2, "status IN ('Failed', 'Completed')")}) ORDER BY segment, rank, id LIMIT 60 OFFSET 15""")
+{_SEGMENTS.format("CASE status WHEN 'Completed' THEN 0 WHEN 'Failed' THEN 2 ELSE 4 END", 2, "status IN ('Failed', 'Completed')")}) ORDER BY segment, rank, id LIMIT 60 OFFSET 15""")
 def _segments(spark, d):
     m = view(spark, d, "media_files")
     columns = ("id", "file_path", "status")
@@ -252,7 +253,7 @@ query("best_audio", "SELECT id, CASE id % 9 WHEN 2 THEN 'ac3' WHEN 5 THEN 'ac3'
 query("sidecars")(lambda s, d: view(s, d, "media_files").select("id", F.array_join(A.sidecars(A.subtitles(F.col("subtitle_streams")), WANTED).cast("array<string>"), ",").alias("indexes")))
 query("container_change", "SELECT id, NOT ends_with(file_path, '.mkv') AS change FROM media_files")(lambda s, d: view(s, d, "media_files").select("id", D.needs_container_change(OPTIONS).alias("change")))
 query("no_op_encodes", "SELECT id FROM media_files WHERE is_hevc AND bitrate > 0 AND bitrate < 4200 AND id % 9 <> 3")(lambda s, d: view(s, d, "media_files").where(D.is_no_op(OPTIONS)).select("id"))
-query("decision_labels", "SELECT DISTINCT status, CASE status WHEN 'Queued' THEN 'Queue' WHEN 'Processing' THEN 'Queue' WHEN 'Completed' THEN 'Transcode success' WHEN 'Skipped' THEN 'Not required' ELSE 'Transcode error' END AS label FROM media_files")(
+query("decision_labels", "SELECT DISTINCT status, status AS label FROM media_files")(
     lambda s, d: view(s, d, "media_files").select("status", D.decision_label(F.col("status")).alias("label")).distinct()
 )
 
@@ -307,7 +308,7 @@ query("codec_normalize", "SELECT DISTINCT codec, CASE WHEN codec IN ('hevc') THE
 )
 query("bit_depth", "SELECT id, CASE pixel_format WHEN 'yuv420p' THEN 8 WHEN 'yuv420p10le' THEN 10 WHEN 'p010le' THEN 10 WHEN 'v210' THEN 10 WHEN 'gray12be' THEN 12 END AS depth FROM media_files")(lambda s, d: view(s, d, "media_files").select("id", M.bit_depth(F.col("pixel_format")).alias("depth")))
 query("resolution_labels", """SELECT id, CASE WHEN e IS NULL THEN NULL WHEN e < 720 THEN 'sd' WHEN e < 1080 THEN '720p' WHEN e < 1440 THEN '1080p' WHEN e < 2160 THEN '1440p' ELSE '2160p+' END AS class, CASE WHEN h >= 2000 THEN '2160p' WHEN h >= 1300 THEN '1440p' WHEN h >= 900 THEN '1080p' WHEN h >= 600 THEN '720p' WHEN h >= 380 THEN '480p' END AS exclusion,
-CASE WHEN is_4k THEN '4K' WHEN e >= 1080 THEN '1080p' WHEN e >= 720 THEN '720p' WHEN e > 0 THEN 'SD' ELSE 'unknown' END AS display, CASE WHEN width > 1920 THEN '4K' WHEN width > 1280 THEN '1080p' WHEN width > 960 THEN '720p' WHEN width > 0 THEN 'SD' ELSE 'Unknown' END AS insight
+CASE WHEN is_4k OR e >= 2160 THEN '4K' WHEN e >= 1440 THEN '1440p' WHEN e >= 1080 THEN '1080p' WHEN e >= 720 THEN '720p' WHEN e > 0 THEN 'SD' ELSE 'Unknown' END AS display, CASE WHEN width > 1920 THEN '4K' WHEN width > 1280 THEN '1080p' WHEN width > 960 THEN '720p' WHEN width > 0 THEN 'SD' END AS insight
 FROM (SELECT *, CASE WHEN width > 0 AND height > 0 THEN least(width, height) END AS e, CASE WHEN width > 0 AND height > 0 THEN greatest(height, CAST(floor(width * 3 / 4.0) AS INT)) END AS h FROM media_files)""")(
     lambda s, d: (lambda w, h: view(s, d, "media_files").select("id", M.resolution_class(w, h).alias("class"), M.exclusion_label(w, h).alias("exclusion"), M.display_resolution(F.col("is_4k"), w, h).alias("display"), M.insight_bucket(w).alias("insight")))(F.col("width"), F.col("height"))
 )
@@ -392,8 +393,44 @@ query("srt_cues", """SELECT conv_id, string_agg(concat(CAST(n AS VARCHAR), chr(1
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT DISTINCT conv_id, turn, trim(text) AS text FROM conversations WHERE trim(text) <> '')) GROUP BY 1""")(
     lambda s, d: FS.srt(table(s, d, "conversations").select("conv_id", (F.col("turn") * 2000).alias("start_ms"), (F.col("turn") * 2000 + 1500).alias("end_ms"), F.trim("text").alias("text"), "turn").distinct(), "conv_id")
 )
-query("metrics_text", """SELECT name, concat('# HELP ', name, ' Files by status', chr(10), '# TYPE ', name, ' gauge', chr(10), string_agg(sample, chr(10) ORDER BY sample)) AS text FROM (SELECT 'library_files' AS name, concat('library_files{status="', status, '"} ', CAST(count(*) AS VARCHAR)) AS sample FROM media_files GROUP BY status) GROUP BY name""")(
+query("metrics_text", """SELECT name, concat('# HELP ', name, ' Files by status', chr(10), '# TYPE ', name, ' gauge', chr(10), string_agg(sample, chr(10) ORDER BY sample)) AS text FROM (SELECT 'library_files' AS name, concat('library_files{status="', status, '"} ', CAST(count(*) AS VARCHAR)) AS sample FROM media_files WHERE last_scanned_at IS NOT NULL GROUP BY status) GROUP BY name""")(
     lambda s, d: FS.metrics_text(library.statuses(view(s, d, "media_files")).select(F.lit("library_files").alias("name"), F.lit("gauge").alias("kind"), F.lit("Files by status").alias("help"), F.lit("status").alias("label"), F.col("status").alias("label_value"), F.col("files").alias("value")))
 )
 query("crop_modes", "SELECT file_id, arg_min(crop, (-n, crop)) AS crop FROM (SELECT user_id AS file_id, event_type AS crop, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")(lambda s, d: FS.crop_mode(table(s, d, "events").select(F.col("user_id").alias("file_id"), F.col("event_type").alias("crop"))))
 query("json_envelope")(lambda s, d: (lambda m: FS.envelope(queue.page(m, 0, 10).select("id", "priority"), queue.total(m).first()[0], 0, 10))(view(s, d, "media_files")))
+
+# more of the repertoire
+
+query("remote_files", "SELECT id, assigned_node_id FROM media_files WHERE assigned_node_id IS NOT NULL")(lambda s, d: queue.remote(view(s, d, "media_files")).select("id", "assigned_node_id"))
+query("insert_unseen", "SELECT DISTINCT path AS file_path, directory, CASE WHEN ends_with(path, '.mp4') THEN base_name ELSE split_part(base_name, '/', -1) END AS base_name, 'Completed' AS status FROM scan WHERE path NOT IN (SELECT file_path FROM media_files)")(_from(scan.insert_unseen, "media_files", "scan"))
+query("open_transitions", "SELECT event_id FROM events WHERE event_type <> 'purchase'")(lambda s, d: scan.open_transitions(table(s, d, "events").select("event_id", (F.col("event_type") == "purchase").alias("completed"))).select("event_id"))
+query("old_transitions", "SELECT event_id AS id FROM events WHERE event_type = 'purchase' AND ts < CAST('2024-01-20' AS TIMESTAMP) - INTERVAL '24' HOUR ORDER BY ts, event_id LIMIT 50")(
+    lambda s, d: scan.old_transitions(table(s, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), (F.col("event_type") == "purchase").alias("completed")), F.lit("2024-01-20").cast("timestamp_ntz"), limit=50).select("id")
+)
+query("external_language", "SELECT file_path, CASE WHEN starts_with(file_path, '/media/asia/') THEN 'ja' WHEN starts_with(file_path, '/media/europe/') THEN 'de' WHEN contains(file_path, '/nation_7/') THEN 'fr' END AS language FROM media_files")(
+    lambda s, d: scan.external_language(view(s, d, "media_files"), s.createDataFrame([("/media/asia/", "Japanese"), ("/media", ""), ("/Media/Europe", "ger"), ("/elsewhere/NATION_7", "fra")], "path string, lang string"))
+)
+query("music_intake", "SELECT id, CASE WHEN codec = 'aac' AND bitrate BETWEEN 3000 AND 5000 THEN 'Skip' WHEN id % 3 <> 0 AND status IN ('Completed', 'Queued') THEN 'Known' WHEN id % 3 <> 0 AND status = 'Failed' AND failure_count >= 3 THEN 'Failed' ELSE 'Queue' END AS decision FROM media_files WHERE kind = 'Music'")(
+    lambda s, d: view(s, d, "media_files").where("kind = 'Music'").select("id", D.intake_music(MUSIC, F.col("id") % 3 == 0).alias("decision"))
+)
+query("mux_dry_run", """SELECT id, CASE WHEN status = 'Completed' THEN 'AlreadyCompleted' WHEN status = 'Failed' THEN 'AlreadyFailed' WHEN id % 9 = 3 THEN 'Mux' ELSE 'Skip' END AS decision FROM media_files WHERE kind = 'Video'""")(
+    lambda s, d: view(s, d, "media_files").where("kind = 'Video'").select("id", D.dry_run_video(D.Options(mode="MuxOnly", mux_streams="Audio"), F.lit(False))["decision"].alias("decision"))
+)
+query("analysis_tab", f"SELECT m.id, m.file_path, y.decision FROM ({_DRY}) y JOIN media_files m ON m.id = y.id WHERE decision IN ('Queue', 'Shrink') AND contains(lower(m.file_path), 'asia')")(
+    lambda s, d: (lambda m: D.filter_analysis(m.select("id", "file_path", D.dry_run_video(OPTIONS, scan.excluded(m, **_RULES))["decision"].alias("decision")), ["Queue", "Shrink"], "ASIA"))(view(s, d, "media_files").where("kind = 'Video'"))
+)
+query("master_node", "SELECT min(node_id) AS node_id FROM nodes WHERE role = 'master'")(_from(placement.master, "nodes"))
+query("slot_labels", "SELECT job_id, CASE phase WHEN 'Encoding' THEN 'Encoding' WHEN 'Downloading' THEN 'Downloading' ELSE 'Uploading' END AS label, CASE phase WHEN 'Encoding' THEN 'Encoding' WHEN 'Downloading' THEN 'Downloading' ELSE 'Uploading' END AS back FROM slots")(
+    lambda s, d: view(s, d, "slots").select("job_id", placement.phase_label(F.col("phase")).alias("label")).withColumn("back", placement.phase_of(F.col("label")))
+)
+query("node_statuses", "SELECT n.node_id, CASE WHEN is_paused THEN 'Paused' WHEN count(s.job_id) > 0 THEN 'Busy' ELSE 'Online' END AS status FROM nodes n LEFT JOIN slots s ON s.node_id = n.node_id GROUP BY n.node_id, is_paused")(
+    lambda s, d: view(s, d, "nodes").join(view(s, d, "slots").groupBy("node_id").agg(F.count("*").alias("used")), "node_id", "left").select("node_id", placement.node_status(F.col("is_paused"), F.coalesce("used", F.lit(0))).alias("status"))
+)
+query("slim_projection", "SELECT id, file_path, file_name, codec, width, height, bitrate, file_size, duration, pixel_format, is_hdr, is_4k, status, kind FROM media_files")(_from(library.slim, "media_files"))
+query("labelled_ledger", "SELECT profile_name, profile_id, original_size_bytes, encoded_size_bytes, bytes_saved, duration_seconds, completed_at, job_key, line_no, part_key, node_key FROM encode_history WHERE profile_name IS NOT NULL")(_from(ledger.labelled, "encode_history"))
+query("notification_texts", "SELECT DISTINCT event_type, regexp_replace(event_type, '([a-z])([A-Z])', '\\1 \\2', 'g') AS title, CASE WHEN event_type = 'click' THEN 'ntfy' ELSE 'webhook' END AS channel FROM events")(
+    lambda s, d: table(s, d, "events").select("event_type", X.spaced(F.col("event_type")).alias("title"), X.channel(F.when(F.col("event_type") == "click", "https://ntfy.sh/x").otherwise("https://example.com/h")).alias("channel")).distinct()
+)
+query("companions", "SELECT m.file_path, concat(m.directory, '/', m.base_name, ' [encoded].mkv') AS output FROM media_files m WHERE id % 3 = 0")(
+    lambda s, d: (lambda m: scan.companions(m.select("directory", "base_name", "file_path").unionByName(m.where("id % 3 = 0").select("directory", F.concat("base_name", F.lit(" [encoded]")).alias("base_name"), F.concat("directory", F.lit("/"), "base_name", F.lit(" [encoded].mkv")).alias("file_path"))), " [encoded]"))(view(s, d, "media_files"))
+)

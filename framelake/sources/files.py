@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions import paths as P
+from framelake.functions import schedule as S
 
-PROBE = """streams array<struct<index:int,codec_type:string,codec_name:string,width:int,height:int,channels:int,channel_layout:string,avg_frame_rate:string,r_frame_rate:string,color_transfer:string,color_primaries:string,pix_fmt:string,tags:struct<language:string,title:string>,disposition:struct<default:int,forced:int,hearing_impaired:int>>>, format struct<duration:string,size:string,bit_rate:string>"""
+PROBE = """streams array<struct<index:int,codec_type:string,codec_name:string,duration:string,bit_rate:string,width:int,height:int,channels:int,channel_layout:string,avg_frame_rate:string,r_frame_rate:string,color_transfer:string,color_primaries:string,pix_fmt:string,tags:struct<language:string,title:string>,disposition:struct<default:int,forced:int,hearing_impaired:int>>>, format struct<duration:string,size:string,bit_rate:string>"""
 
 
 def listing(spark: SparkSession, folder: str, marker: str = "[encoded]") -> DataFrame:
@@ -26,7 +27,15 @@ def probe(text: Column) -> Column:
 
 def best_duration(p: Column) -> Column:
     """The longer of the container's and the first video stream's lengths, in seconds."""
-    return F.coalesce(p["format"]["duration"].try_cast("double"), F.lit(0.0))
+    first = F.get(F.filter(p["streams"], lambda s: s["codec_type"] == "video"), 0)
+    return F.when(first.isNull(), F.lit(0.0)).otherwise(F.greatest(S.seconds(p["format"]["duration"]), S.seconds(first["duration"])))
+
+
+def source_kbps(p: Column) -> Column:
+    """Kbps of the first audio stream, else of the container, else 0."""
+    rate = lambda x: F.when(x.try_cast("long") > 0, x.try_cast("long"))
+    stream = F.get(F.filter(p["streams"], lambda s: s["codec_type"] == "audio"), 0)
+    return F.floor(F.coalesce(rate(stream["bit_rate"]), rate(p["format"]["bit_rate"]), F.lit(0)) / 1000).cast("long")
 
 
 def settings(spark: SparkSession, path: str) -> dict:
@@ -68,7 +77,7 @@ def expired_logs(files: DataFrame, now: Column, days: int, keep: str = "current-
 
 def benign(line: Column) -> Column:
     """Decoder messages that don't tell of damage."""
-    return line.rlike(r"(?i)non monotonically increasing dts|application provided invalid|deprecated pixel format|last message repeated")
+    return F.lower(line).contains("non monotonically increasing dts to muxer")
 
 
 def stamp(ms: Column) -> Column:

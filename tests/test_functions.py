@@ -244,7 +244,7 @@ def test_scores_prefer_older_heartbeats(spark):
 
 
 def test_ocr(spark):
-    assert one(spark, ocr.substituted(F.lit("= | am he|lo"))) == "- I am hello"
+    assert one(spark, ocr.substituted(F.lit("=Well, | am here\n= [1] -| x"))) == "-Well, I am here\n- [1] -I x"
     assert ocr.variants("he110") == [a + b + c for a in ("hel", "heI") for b in "lI" for c in "oO"] and ocr.variants("hello") == []
     ranks, pairs = {"hello": 1, "hallo": 0, "world": 2}, {("hello", "world"): 3}
     assert ocr.correct_word("Hcllo", "", ranks, pairs) == "Hallo" or ocr.correct_word("Hcllo", "", ranks, pairs) == "Hello"
@@ -267,9 +267,9 @@ def test_sources(spark, tmp_path):
 
 
 def test_probe_and_subtitles(spark):
-    text = json.dumps({"streams": [{"codec_type": "video", "color_primaries": "BT2020"}, {"codec_type": "audio", "codec_name": "aac", "channels": 2, "tags": {"language": "eng"}}, {"codec_type": "subtitle", "codec_name": "ass", "tags": {"title": "English SDH"}}], "format": {"duration": "12.5"}})
+    text = json.dumps({"streams": [{"codec_type": "video", "color_primaries": "BT2020"}, {"codec_type": "audio", "codec_name": "aac", "channels": 2, "tags": {"language": "eng"}}, {"codec_type": "subtitle", "codec_name": "ass", "tags": {"title": "English SDH"}}], "format": {"duration": "12.5", "bit_rate": "256999"}})
     p = FS.probe(F.lit(text))
-    assert one(spark, M.hdr_any(p["streams"])) is True and one(spark, M.hdr_first(p["streams"])) is False and one(spark, FS.best_duration(p)) == 12.5
+    assert one(spark, M.hdr_any(p["streams"])) is True and one(spark, M.hdr_first(p["streams"])) is False and one(spark, FS.best_duration(p)) == 12.5 and one(spark, FS.source_kbps(p)) == 256
     a, b = A.summaries(p["streams"])
     assert one(spark, a)[0]["l"] == "eng" and one(spark, b)[0]["s"] is True
     cues = spark.createDataFrame([("f", 3_723_004, 3_724_000, " hi "), ("f", 0, 900, "first"), ("f", 5, 6, "  ")], "f string, start_ms long, end_ms long, text string")
