@@ -166,7 +166,7 @@ def external_language(files: DataFrame, roots: DataFrame) -> DataFrame:
     root whose folder name is a segment of the path, whatever the case."""
     from framelake.functions.language import two_letter
 
-    named = roots.where("lang <> ''").select(F.lower(F.regexp_replace(F.regexp_replace("path", r"\\\\", "/"), "/+$", "")).alias("root"), "lang").dropDuplicates(["root"])
+    named = roots.where("lang <> ''").select(F.lower(F.regexp_replace(F.regexp_replace("path", r"\\", "/"), "/+$", "")).alias("root"), "lang").dropDuplicates(["root"])
     first = longest_prefix(files.select("file_path"), named)
     folder = F.element_at(F.split("root", "/"), -1)
     names = named.select(folder.alias("segment"), "lang").where("segment <> ''").groupBy("segment").agg(F.min("lang").alias("lang"))
