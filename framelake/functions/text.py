@@ -24,5 +24,5 @@ def channel(url: Column) -> Column:
 
 def number(value: Column) -> Column:
     """A number with six decimals at most and no trailing zeros."""
-    text = F.format_number(value, "0.######")
+    text = F.call_function("format_number", value, F.lit("0.######"))
     return F.regexp_replace(text, r"\\.$", "")

@@ -195,7 +195,7 @@ def worker_problem(plan: Column, o: Options, protocol: int = 1) -> Column:
         .when(plan["action"] != "transcode_with_profile", None)
         .when(plan["resolved_id"].isNull(), "profile missing")
         .when(plan["profile_id"].isNotNull() & (plan["profile_id"] != plan["resolved_id"]), "profile mismatch")
-        .when(plan["profile_encoder"].isNotNull() & (F.lower("plan.profile_encoder") != F.lower(exact)), "encoder mismatch")
+        .when(plan["profile_encoder"].isNotNull() & (F.lower(plan["profile_encoder"]) != F.lower(exact)), "encoder mismatch")
         .when(plan["profile_encoder"].isNotNull() & (F.lower(exact) != o.encoder.lower()), "options mismatch")
     )
 

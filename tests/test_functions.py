@@ -288,3 +288,51 @@ def test_push_is_resumable(spark, tmp_path):
             spark.createDataFrame([(2, "2024-01-02 00:00:00")], "n int, t string").write.mode("append").parquet(str(source))
         feeds.push(feeds.open_stream(spark, str(source), "t"), feeds.append_to(str(out)), str(tmp_path / "state")).awaitTermination()
     assert sorted(r["n"] for r in spark.read.parquet(str(out)).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize(
+    ("plan", "reason"),
+    [
+        ((2, None, "skip", None, None, None, None), "protocol not supported"),
+        ((1, "x", "skip", None, None, None, None), "blocked: x"),
+        ((1, None, "skip", None, None, None, None), "skip must not be dispatched"),
+        ((1, None, "mux_only", None, None, None, None), "mux plan needs mux options"),
+        ((1, None, "use_simple", None, None, None, None), None),
+        ((1, None, "transcode_with_profile", "a", None, None, None), "profile missing"),
+        ((1, None, "transcode_with_profile", "a", "b", None, None), "profile mismatch"),
+        ((1, None, "transcode_with_profile", "a", "a", None, "libx265"), "encoder mismatch"),
+        ((1, None, "transcode_with_profile", "a", "a", "hevc_qsv", "HEVC_QSV"), "options mismatch"),
+        ((1, None, "transcode_with_profile", "a", "a", "libx265", "LIBX265"), None),
+    ],
+)
+def test_worker_contract(spark, plan, reason):
+    df = spark.createDataFrame([(plan,)], "p struct<protocol:int,blocked:string,action:string,profile_id:string,resolved_id:string,encoder:string,profile_encoder:string>")
+    assert df.select(D.worker_problem(F.col("p"), D.Options()).alias("x")).first()["x"] == reason
+
+
+def test_small_helpers(spark):
+    from framelake.functions import text as X
+
+    assert one(spark, X.spaced(F.lit("EncodeCompletedNow"))) == "Encode Completed Now"
+    assert one(spark, X.shortened(F.lit("abcdef"), 5)) == "ab..." and one(spark, X.shortened(F.lit("abc"), 5)) == "abc"
+    assert [one(spark, X.channel(F.lit(u))) for u in ("Apprises://x", "https://ntfy.sh/a", "https://h/x")] == ["apprise", "ntfy", "webhook"]
+    assert [one(spark, X.number(F.lit(v))) for v in (1.5, 2.0, 0.1234567)] == ["1.5", "2", "0.123457"]
+    assert M.best_quality({20: 5000, 24: 3400, 28: 2000}, 3000, 0.2) == 24 and M.best_quality({20: 9000, 24: 5000}, 3000, 0.1) == 24
+    assert one(spark, M.display_bytes(F.lit(1536))) == "1.5 KB" and one(spark, placement.music_score(F.lit(3), F.lit(True))) == 70
+    assert one(spark, FS.escaped(F.lit('a"b\\c'))) == 'a\\"b\\\\c'
+    assert [one(spark, placement.capacity(F.lit(d), F.lit(3))) for d in ("cpu", "gpu")] == [1, 3]
+
+
+def test_changes(spark):
+    import datetime
+
+    rows = [(1, "/a/x.mkv", "Queued", "ok", 2, None), (2, "/a/y.mkv", "Processing", "bad", 0, "n"), (3, "/a/z.mkv", "Processing", None, 0, None)]
+    df = spark.createDataFrame(rows, "id long, file_path string, status string, last_verify_result string, failure_count int, assigned_node_id string").withColumn("failure_reason", F.lit(None).cast("string")).withColumn("priority", F.lit(4))
+    failed = {r["id"]: (r["failure_count"], r["failure_reason"]) for r in scan.record_failure(df, 1, "x" * 3000).collect()}
+    assert failed[1] == (3, "x" * 2048) and failed[2] == (0, None)
+    assert {r["id"]: r["status"] for r in scan.requeue_orphans(df).collect()} == {1: "Queued", 2: "Processing", 3: "Queued"}
+    assert {(r["status"], r["priority"], r["assigned_node_id"]) for r in scan.reset_all(df).collect()} == {("Unseen", 0, None)}
+    log = spark.createDataFrame([(1, 1, "a", False), (1, 2, "b", True), (2, 3, "a", False)], "work_item_id long, id long, phase string, completed boolean")
+    assert {r["work_item_id"]: r["phase"] for r in scan.latest_transition(log).collect()} == {1: "b", 2: "a"} and scan.open_transitions(log).count() == 2
+    nodes = spark.createDataFrame([("a", datetime.datetime(2024, 1, 1, 0, 0)), ("b", datetime.datetime(2024, 1, 1, 0, 9))], "node_id string, last_heartbeat timestamp_ntz")
+    assert [r["node_id"] for r in placement.silent(nodes, F.lit("2024-01-01 00:10:00").cast("timestamp_ntz")).collect()] == ["a"]
