@@ -291,6 +291,7 @@ def _anchors(sample: np.ndarray, n: int) -> np.ndarray:
 def _blocks(vectors: DataFrame, count: int, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
     """Trees of blocks (block, tree), and the pairs of blocks that may hold links (a, b, side, block)."""
     spark = vectors.sparkSession
+    kind = vectors.schema["embedding"].dataType.simpleString()
     sample = vectors.orderBy(F.xxhash64("uid")).limit(SAMPLE).select("embedding").toPandas()
     points = _unit(np.array(sample["embedding"].tolist(), dtype=np.float64))
     anchors = spark.sparkContext.broadcast(_anchors(points, min(ANCHORS, len(points), max(1, -(-count // block)))))
@@ -301,7 +302,7 @@ def _blocks(vectors: DataFrame, count: int, threshold: float, block: int) -> tup
             best = dots.argmax(axis=1)
             yield pdf.assign(cell=best.astype("int32"), away=_chord(dots[np.arange(len(pdf)), best]))
 
-    placed = written(vectors.mapInPandas(assign, "uid bigint, copies bigint, embedding array<float>, cell int, away double"), "vectors")
+    placed = written(vectors.mapInPandas(assign, f"uid bigint, copies bigint, embedding {kind}, cell int, away double"), "vectors")
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()  # as many rows as anchors at most
     parts = {c["cell"]: -(-c["n"] // block) for c in cells}
     tau = float(_chord(np.array(threshold)))
@@ -355,8 +356,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = BLO
     null component and aren't kept. Vectors of different dimensions never link. Repeated rows link with each other.
     """
     prepare(vectors.sparkSession, 4096)
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     usable = F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
     keyed = rows.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("h1", F.when(F.col("usable"), F.xxhash64("embedding"))).withColumn("h2", F.when(F.col("usable"), F.hash("embedding", F.lit(1))))
     distinct = written(keyed.where("usable").groupBy("h1", "h2").agg(F.min("vec_id").alias("uid"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding")), "distinct")
