@@ -55,3 +55,11 @@ def test_run(spark, make_docs, folder):
     assert rows
     empty = spark.read.parquet(f"{d}/documents.parquet").where(F.lit(False))
     assert corpus_pipeline.run(spark, folder(documents=empty, labels=spark.read.parquet(f"{d}/labels.parquet"))).count() == 0
+
+
+def test_near_copies_by_five_words(spark, make_docs):
+    words = [f"word{i}" for i in range(100)]
+    changed = lambda at: " ".join("other" + w if i in at else w for i, w in enumerate(words))
+    # with two words changed, 86 of 106 shingles of five words are common, and 92 of 104 of three; with three, 81 of 111
+    docs = make_docs([(1, changed(())), (2, changed((30, 60))), (3, changed((20, 45, 70)))])
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()} == {1, 3}
