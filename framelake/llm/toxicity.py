@@ -5,6 +5,10 @@ class's own words go on after their first letters, and what is taken off goes to
 share, with continuation counts as Kneser and Ney have them. So a rare or unseen expression is smoothed by the same
 backoff in both classes, and only what a class has really seen makes a difference.
 
+Counts, backoff and ratios are tables, without a bound: a row for each word beginning that was seen. Its most frequent
+rows go to all executors and decide most words where the text is. A word that goes on where rows are left out is open:
+such words, rare in the labelled texts, get their values by joins, which are brought back to the documents they are in.
+
 An expression (a word) is scored by the difference of its log-likelihoods under the classes. A document is scored by
 its most toxic expressions and by the toxic evidence normalised by its length, which a logistic curve turns into a
 probability. The curve is fitted on labelled documents from which no counts were taken.
@@ -15,6 +19,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import crc_mod, fold, prepare, table
+from framelake.llm.common import crc_mod, fold, prepare, table, written
 
 #: Letters of a word's beginning that the classes have counts for, the start mark among them; letters of a shared window.
 BEGINNING = 7
@@ -30,7 +35,7 @@ SHARED = 4
 DISCOUNT = 0.75
 #: A word whose log-likelihood ratio is above this counts as evidence.
 EVIDENCE = 1.0
-#: Bounds of the model (beginnings and windows kept, the most frequent ones) and of the sample the curve is fitted on.
+#: Beginnings that go to all executors, the most frequent ones (others are joined), and the sample the curve is fitted on.
 WINDOWS = 1 << 18
 CALIBRATION_ROWS = 20_000
 CALIBRATION_FOLDS = 5
@@ -66,7 +71,7 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
     return parts.groupBy("token", "toxic").agg(F.sum("count").alias("count"))
 
 
-def _windows(counts: DataFrame) -> list:
+def _grams(counts: DataFrame) -> DataFrame:
     """(gram, ordinary, toxic): counts of word beginnings (tagged "<") and of shared windows (tagged "=") over all
     labelled texts."""
     words = counts.select(F.explode(F.regexp_extract_all("token", F.lit(r"(\p{L}+)"))).alias("word"), "toxic", "count")
@@ -76,12 +81,57 @@ def _windows(counts: DataFrame) -> list:
     windows = F.transform(F.sequence(F.lit(1), F.char_length("word") + 1), lambda i: F.concat(F.lit("="), F.substring(padded, i, F.lit(SHARED))))
     grams = words.select(F.explode(F.concat(beginnings, windows)).alias("gram"), "toxic", "count")
     of = lambda c: F.sum(F.when(F.col("toxic") == c, F.col("count")).otherwise(0))
-    table_ = grams.groupBy("gram").agg(of(0).alias("ordinary"), of(1).alias("toxic"))
-    return table_.orderBy((F.col("ordinary") + F.col("toxic")).desc(), "gram").limit(WINDOWS).collect()
+    return grams.groupBy("gram").agg(of(0).alias("ordinary"), of(1).alias("toxic"))
+
+
+def _but_last(c: str):
+    return F.expr(f"substring({c}, 1, char_length({c}) - 1)")
+
+
+def _backoff(grams: DataFrame) -> DataFrame:
+    """(last, shared): the shared probability of the last letter of each window of SHARED - 1 letters after the others."""
+    seen = grams.where("gram like '=%'").select(F.expr("substring(gram, 2)").alias("g"))
+    orders = []
+    for _ in range(SHARED - 1):
+        counts = seen.groupBy(F.expr("substring(g, 2)").alias("g")).agg(F.count("*").alias("n"))
+        orders.append(counts.join(counts.groupBy(_but_last("g").alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("types")), _but_last("g") == F.col("context")))
+        seen = counts.select("g")
+    letters = seen.agg((F.greatest(F.count("*"), F.lit(1)) + 1).alias("letters"))
+    lower = orders[-1].crossJoin(letters).withColumn("below", 1.0 / F.col("letters"))
+    for k in reversed(range(SHARED - 1)):
+        value = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total") + DISCOUNT * F.col("types") / F.col("total") * F.col("below")
+        found = lower.select("g", value.alias("shared"))
+        if k:
+            lower = orders[k - 1].join(found.select(F.col("g").alias("rest"), F.col("shared").alias("below")), F.expr("substring(g, 2)") == F.col("rest"))
+    return found.withColumnRenamed("g", "last")
+
+
+def _nodes(grams: DataFrame) -> DataFrame:
+    """(beginning, ratio, beyond, kids, count) of each word beginning that was seen and of the start mark: the log-likelihood ratio
+    of its last letter, the ratio of any letter after it that was not seen there, and how many were."""
+    seen = grams.where("gram like '<%'").select(F.expr("substring(gram, 2)").alias("beginning"), "ordinary", "toxic").withColumn("context", _but_last("beginning"))
+    sums = [F.sum(c).alias(f"{c}_total") for c in ("ordinary", "toxic")] + [F.sum((F.col(c) > 0).cast("int")).alias(f"{c}_types") for c in ("ordinary", "toxic")]
+    contexts = seen.groupBy("context").agg(*sums, F.count("*").cast("int").alias("kids"))
+    taken = lambda c: F.when(F.col(f"{c}_total") > 0, DISCOUNT * F.col(f"{c}_types") / F.col(f"{c}_total")).otherwise(1.0)
+    own = lambda c: F.when(F.col(f"{c}_total") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_total")).otherwise(0.0)
+    chance = lambda c: own(c) + taken(c) * F.col("shared")
+    last = F.expr(f"right(concat('{_START * (SHARED - 2)}', beginning), {SHARED - 1})")
+    ratios = seen.join(contexts, "context").withColumn("last", last).join(_backoff(grams), "last")
+    ratios = ratios.select("beginning", (F.log(chance("toxic")) - F.log(chance("ordinary"))).alias("ratio"), (F.col("ordinary") + F.col("toxic")).alias("count"))
+    after = contexts.select(F.col("context").alias("beginning"), (F.log(taken("toxic")) - F.log(taken("ordinary"))).alias("beyond"), "kids", (F.col("ordinary_total") + F.col("toxic_total")).alias("sum"))
+    both = ratios.join(after, "beginning", "full")  # the start mark is a context only
+    return both.select("beginning", F.coalesce("ratio", F.lit(0.0)).alias("ratio"), F.coalesce("beyond", F.lit(0.0)).alias("beyond"), F.coalesce("kids", F.lit(0)).alias("kids"), F.coalesce("count", "sum").alias("count"))
+
+
+def _head(nodes: DataFrame, size: int) -> dict[str, tuple[float, float | None]]:
+    """ratio and beyond of the `size` most frequent beginnings; beyond is null where rows that go on are left out."""
+    rows = nodes.orderBy(F.col("count").desc(), "beginning").limit(size).collect()
+    kids = Counter(r["beginning"][:-1] for r in rows)
+    return {r["beginning"]: (r["ratio"], r["beyond"] if kids[r["beginning"]] == r["kids"] else None) for r in rows}
 
 
 class KneserNey:
-    """Log-likelihood ratios of words under the two classes."""
+    """Log-likelihood ratios of words under the two classes, from counts in memory: what the tables are held against."""
 
     def __init__(self, rows: list[tuple[str, int, int]]):
         self.full = ({}, {})
@@ -145,35 +195,70 @@ class KneserNey:
         return best or 0.0
 
 
-class _Scorer:
-    def __init__(self, model: KneserNey):
-        self.model = model
-        self.known: dict[str, float] = {}
+def _marked(word: str) -> str:
+    """The part of a lower-case word that counts."""
+    return (_START + word + _END)[:BEGINNING]
 
-    def features(self, text: str | None) -> tuple[float, ...]:
-        """The second highest expression, the mean of the five highest, the evidence a word, and log length."""
+
+class _Scorer:
+    def __init__(self, head: dict[str, tuple[float, float | None]]):
+        self.head = head
+        self.known: dict[str, float | tuple[float | None, tuple[str, ...]]] = {}
+
+    def word(self, marked: str) -> float | None:
+        """The log-likelihood ratio of a word; null if the head leaves it open."""
+        value, beyond = self.head[_START]
+        for i in range(2, len(marked) + 1):
+            found = self.head.get(marked[:i])
+            if found is None:
+                return None if beyond is None else value + beyond
+            value, beyond = value + found[0], found[1]
+        return value
+
+    def expression(self, token: str) -> float | tuple[float | None, tuple[str, ...]]:
+        """The highest log-likelihood ratio of the words of a token, 0 without a letter; or the highest of those that
+        the head decides, and the open words."""
+        words = {_marked(w) for w in _WORD.findall(token.lower())}
+        values = {w: self.word(w) for w in words}
+        best = max([v for v in values.values() if v is not None], default=None)
+        left = tuple(w for w, v in values.items() if v is None)
+        return (best, left) if left else best or 0.0
+
+    def evidence(self, text: str | None) -> tuple[int, list[float], float, list[tuple]]:
+        """The tokens, the five highest decided expressions, the sum of decided evidence, and (count, value, words) of
+        the open tokens."""
         tokens = (text or "").split()
-        if not tokens:
-            return 0.0, 0.0, 0.0, 0.0
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
+        left = []
         for t in {*tokens}:
             if t not in known:
-                known[t] = self.model.expression(t)
+                known[t] = self.expression(t)
+            if type(known[t]) is tuple:
+                left.append(t)
         values = list(map(known.__getitem__, tokens))
-        top = [*heapq.nlargest(5, values), 0.0, 0.0, 0.0, 0.0]
-        return top[1], sum(top[:5]) / 5, sum([x for x in values if x > EVIDENCE]) / len(values), math.log1p(len(values))
+        if left:
+            times = Counter(t for t in tokens if type(known[t]) is tuple)
+            left = [(times[t], *known[t]) for t in left]
+            values = [v for v in values if type(v) is not tuple]
+        return len(tokens), heapq.nlargest(5, values), sum([x for x in values if x > EVIDENCE]), left
+
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """The second highest expression, the mean of the five highest, the evidence a word, and log length."""
+        n, top, evidence, _ = self.evidence(text)
+        top = [*top, 0.0, 0.0, 0.0, 0.0, 0.0]
+        return top[1], sum(top[:5]) / 5, evidence / max(1, n), math.log1p(n)
 
 
-_models: dict[int, _Scorer] = {}
+_models: dict[str, _Scorer] = {}
 
 
 def _scorer(shared) -> _Scorer:
     """One scorer for each broadcast model in a worker, so that what it remembers lasts over tasks."""
     if shared.value[0] not in _models:
         _models.clear()
-        _models[shared.value[0]] = _Scorer(KneserNey(shared.value[1]))
+        _models[shared.value[0]] = _Scorer(shared.value[1])
     return _models[shared.value[0]]
 
 
@@ -193,22 +278,61 @@ def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 0.03, steps: int =
     return w
 
 
-def _with_features(rows: DataFrame, shared, keep: list[str]) -> DataFrame:
+def _with_features(rows: DataFrame, text: str, shared, nodes: DataFrame | None) -> DataFrame:
+    """`rows` with their features; `nodes` is there if the head leaves words open."""
+    keep = rows.columns
+    fields = lambda names: ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in names)
+
     def run(batches):
         scorer = _scorer(shared)
         for b in batches:
-            found = [scorer.features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], *[pa.array([f[i] for f in found], pa.float64()) for i in range(len(FEATURES))]], names=[*keep, *FEATURES])
+            found = [scorer.features(t) for t in b.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([f[i] for f in found], pa.float64()) for i in range(len(FEATURES))]], names=[*keep, *FEATURES])
+
+    if nodes is None:
+        return rows.mapInArrow(run, ", ".join([fields(keep), *[f"{f} double" for f in FEATURES]]))
 
-    schema = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep] + [f"{f} double" for f in FEATURES])
-    return rows.mapInArrow(run, schema)
+    open_ = pa.list_(pa.struct([("times", pa.int64()), ("best", pa.float64()), ("words", pa.list_(pa.string()))]))
+
+    def decide(batches):
+        scorer = _scorer(shared)
+        for b in batches:
+            n, top, evidence, left = zip(*[scorer.evidence(t) for t in b.column(1).to_pylist()], strict=True) if b.num_rows else ((), (), (), ())
+            left = [[{"times": t, "best": v, "words": w} for t, v, w in some] for some in left]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(top, pa.list_(pa.float64())), pa.array(evidence, pa.float64()), pa.array(left, open_)], names=["the row", "n", "top", "evidence", "left"])
+
+    rows = written(rows.withColumn("the row", F.monotonically_increasing_id()), "toxicity-rows")
+    decided = rows.select("the row", text).mapInArrow(decide, "`the row` long, n long, top array<double>, evidence double, left array<struct<times: long, best: double, words: array<string>>>")
+    decided = written(decided, "toxicity-decided")
+    tokens = decided.select("the row", F.posexplode("left").alias("at", "t")).select("the row", "at", "t.times", "t.best", F.explode("t.words").alias("word"))
+    values = _values(tokens.select("word").distinct(), nodes)
+    tokens = tokens.join(values, "word").groupBy("the row", "at").agg(F.first("times").alias("times"), F.greatest(F.max("best"), F.max("value")).alias("value"))
+    of_five = F.sort_array(F.flatten(F.collect_list(F.array_repeat("value", F.least("times", F.lit(5)).cast("int")))), asc=False)
+    joined = tokens.groupBy("the row").agg(F.slice(of_five, 1, 5).alias("more"), F.sum(F.when(F.col("value") > EVIDENCE, F.col("value") * F.col("times")).otherwise(0.0)).alias("more_evidence"))
+    both = decided.drop("left").join(joined, "the row", "left")
+    top = F.slice(F.sort_array(F.concat("top", F.coalesce("more", F.array().cast("array<double>"))), asc=False), 1, 5)
+    both = both.withColumn("five highest", top)
+    second = F.coalesce(F.get("five highest", F.lit(1)), F.lit(0.0))
+    five = F.aggregate("five highest", F.lit(0.0), lambda a, x: a + x) / 5
+    density = (F.col("evidence") + F.coalesce("more_evidence", F.lit(0.0))) / F.greatest("n", F.lit(1))
+    found = both.select("the row", *[c.alias(f) for f, c in zip(FEATURES, (second, five, density, F.log1p("n")), strict=True)])
+    return rows.join(found, "the row").select(*keep, *FEATURES)
+
+
+def _values(words: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(word, value) of rows (word), marked and cut to what counts."""
+    lengths = F.sequence(F.lit(1), F.char_length("word"))
+    steps = words.select("word", F.explode(F.transform(lengths, lambda i: F.expr("word").substr(F.lit(1), i))).alias("beginning")).join(nodes.select("beginning", "ratio", "beyond"), "beginning")
+    far = F.char_length("beginning")
+    found = steps.groupBy("word").agg(F.sum("ratio").alias("ratio"), F.max(far).alias("far"), F.max_by("beyond", far).alias("beyond"))
+    return found.select("word", (F.col("ratio") + F.when(F.col("far") < F.char_length("word"), F.col("beyond")).otherwise(0.0)).alias("value"))
 
 
 class ToxicityModel:
     """A fitted model: `score` adds columns score and predicted."""
 
-    def __init__(self, shared, weights: np.ndarray | None, default: float):
-        self.shared, self.weights, self.default = shared, weights, default
+    def __init__(self, shared, nodes: DataFrame | None, weights: np.ndarray | None, default: float):
+        self.shared, self.nodes, self.weights, self.default = shared, nodes, weights, default
 
     def score(self, docs: DataFrame) -> DataFrame:
         """`docs` (with a column text) with score and predicted. Null texts are empty; texts without a word have the
@@ -217,8 +341,8 @@ class ToxicityModel:
         names = [c for c in docs.columns if c not in ("score", "predicted")]
         if self.weights is None:
             return docs.select(*names).withColumn("score", F.lit(self.default)).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
-        inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col("text"))
-        found = _with_features(inner, self.shared, [f"c{i}" for i in range(len(names))])
+        inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+        found = _with_features(inner, f"c{names.index('text')}", self.shared, self.nodes)
         *weights, constant = (float(x) for x in self.weights)
         score = 1.0 / (1.0 + F.exp(-sum((w * F.col(f) for w, f in zip(weights, FEATURES, strict=True)), F.lit(constant))))
         found = found.withColumn("the score", score)
@@ -237,16 +361,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted = labels.where("fold <> 0")
     counted = rows.join(F.broadcast(counted) if counted.count() <= BROADCAST_LABELS else counted, "doc_id")
-    windows = [tuple(r) for r in _windows(_word_counts(counted))]
-    name = hash(tuple(windows[:1000])) ^ len(windows)
-    shared = spark.sparkContext.broadcast((name, windows))
+    grams = written(_grams(_word_counts(counted)), "toxicity-grams")
+    nodes = written(_nodes(grams), "toxicity-nodes")
+    head = _head(nodes, WINDOWS)
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, head))
+    left = nodes if nodes.count() > len(head) else None
     chosen = labels.where("fold = 0").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(CALIBRATION_ROWS)
     sample = rows.join(F.broadcast(chosen), "doc_id")  # bounded
-    seen = _with_features(sample, shared, ["toxic"]).toPandas()
+    if not head:
+        y = sample.select("toxic").toPandas()["toxic"].to_numpy()
+        return ToxicityModel(shared, None, None, float(y.mean()) if len(y) else 0.0)
+    seen = _with_features(sample.select("toxic", "text"), "text", shared, left).drop("text").toPandas()
     y = seen["toxic"].to_numpy()
-    if not windows or len(set(y.tolist())) < 2:
-        return ToxicityModel(shared, None, float(y.mean()) if len(y) else 0.0)
-    return ToxicityModel(shared, fit_curve(seen[list(FEATURES)].to_numpy(), y), 0.0)
+    if len(set(y.tolist())) < 2:
+        return ToxicityModel(shared, None, None, float(y.mean()) if len(y) else 0.0)
+    return ToxicityModel(shared, left, fit_curve(seen[list(FEATURES)].to_numpy(), y), 0.0)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -166,6 +166,35 @@ def test_kneser_ney_is_a_distribution():
     assert model.ratio("^zz") == 0.0
 
 
+def test_rare_beginnings_count(spark, make_docs, monkeypatch):
+    docs, labels = toxic_tables(make_docs, 200)
+    more = [(1000, "mo-vilgrumx RALENOK zzz tim,slurb grot"), (1001, "slurbek"), (1002, "ra ra ra grotzanos 12"), (1003, ""), (1004, None), (None, "vilgrum")]
+    docs = docs.unionByName(make_docs(more))
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    for size in (toxicity.WINDOWS, 25):
+        monkeypatch.setattr(toxicity, "WINDOWS", size)
+        model = toxicity.fit(docs, labels)
+        assert (model.nodes is None) == (size > 25)
+        seen.append({(r["doc_id"], r["text"]): r["score"] for r in model.score(docs).collect()})
+    assert seen[0].keys() == seen[1].keys() and len(seen[0]) == 206
+    assert all(abs(seen[1][k] - v) < 1e-6 for k, v in seen[0].items())
+
+
+def test_tables_have_the_ratios(spark):
+    words = ["vilgrum", "vilgar", "ranok", "ravel", "mo", "a", "slurbek", "ravelling"]
+    counts = spark.createDataFrame([(w, c, n) for i, w in enumerate(words) for c in (0, 1) if (n := (i * 5 + c * 7) % 4)], "token string, toxic int, count long")
+    grams = toxicity._grams(counts)
+    plain = toxicity.KneserNey([tuple(r) for r in grams.collect()])
+    new = ["vil", "vilx", "raz", "zz", "ravellers", "slurb", "é"]
+    nodes = toxicity._nodes(grams)
+    scorer = toxicity._Scorer(toxicity._head(nodes, 1000))
+    joined = toxicity._values(spark.createDataFrame([(toxicity._marked(w),) for w in words + new], "word string").distinct(), nodes)
+    joined = {r["word"]: r["value"] for r in joined.collect()}
+    for w in words + new:
+        assert abs(scorer.expression(w) - plain.expression(w)) < 1e-9 and abs(joined[toxicity._marked(w)] - plain.expression(w)) < 1e-9
+
+
 def sentences(lang, n, seed):
     rng = random.Random(seed)
     parts = {"xx": "ther ing and the of tion ed".split(), "yy": "keit ung der die sch ein zu".split(), "zz": "ción mente que de la os".split()}[lang]
