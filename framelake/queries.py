@@ -352,14 +352,18 @@ FROM (SELECT i.*, dn.*, coalesce(u.used, 0) AS used, EXISTS (SELECT 1 FROM devic
 FROM ({_ITEMS}) i CROSS JOIN (SELECT d.node_id, d.device_id, d.codecs, d.encoders, CASE WHEN d.device_id = 'cpu' THEN 1 ELSE d.capacity END AS cap, n.status, n.is_paused, n.heartbeat_rank, n.only_4k, n.exclude_4k, n.available_disk_bytes FROM devices d JOIN nodes n ON d.node_id = n.node_id) dn LEFT JOIN (SELECT node_id, device_id, CAST(count(*) AS INT) AS used FROM slots GROUP BY 1, 2) u ON u.node_id = dn.node_id AND u.device_id = dn.device_id)"""
 
 
-def _scores(spark, d):
-    m = view(spark, d, "media_files").where("status = 'Queued' and kind = 'Video' and id % 25 = 3")
+def _scores(spark, d, chosen="id % 25 = 3"):
+    m = view(spark, d, "media_files").where("status = 'Queued' and kind = 'Video'").where(chosen)
     items = m.selectExpr("id as item_id", "file_size as size", "is_4k", "case id % 3 when 0 then 'h265' when 1 then 'av1' else 'h264' end as codec", "case id % 4 when 0 then 'auto' when 1 then 'none' when 2 then 'nvidia' else 'intel' end as hardware", "case when id % 10 = 0 then 'hevc_qsv' else '' end as encoder")
     return placement.video_scores(items, view(spark, d, "nodes"), view(spark, d, "devices"), view(spark, d, "slots"))
 
 
 query("slot_scores", f"SELECT item_id, node_id, device_id, score FROM ({_SCORES})")(lambda s, d: _scores(s, d).select("item_id", "node_id", "device_id", "score"))
 query("best_slot", f"SELECT item_id, node_id, device_id, score FROM ({_SCORES}) WHERE status IN ('Online', 'Busy', 'Uploading', 'Downloading') AND NOT is_paused AND used < cap AND score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, heartbeat_rank, node_id, device_id) = 1")(lambda s, d: placement.best_slots(_scores(s, d)))
+#: The same over all queued videos.
+_ALL_SCORES = _SCORES.replace(_ITEMS, _ITEMS.removesuffix(" AND id % 25 = 3"))
+query("slot_scores_all", f"SELECT item_id, node_id, device_id, score FROM ({_ALL_SCORES})")(lambda s, d: _scores(s, d, "true").select("item_id", "node_id", "device_id", "score"))
+query("best_slot_all", f"SELECT item_id, node_id, device_id, score FROM ({_ALL_SCORES}) WHERE status IN ('Online', 'Busy', 'Uploading', 'Downloading') AND NOT is_paused AND used < cap AND score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, heartbeat_rank, node_id, device_id) = 1")(lambda s, d: placement.best_slots(_scores(s, d, "true")))
 query("slot_usage", "SELECT node_id, device_id, count(*) AS used FROM slots GROUP BY 1, 2")(_from(placement.used_slots, "slots"))
 query("slot_phases", "SELECT phase, count(*) AS slots, max(progress) AS furthest FROM slots GROUP BY 1")(_from(placement.slots_by_phase, "slots"))
 query("watchdog", """SELECT id, assigned_node_id, id % 13 AS idle_minutes, CASE WHEN assigned_node_id IS NOT NULL AND assigned_node_id NOT IN (SELECT node_id FROM nodes) THEN 'ghost-node' WHEN assigned_node_id IS NULL AND concat('job-', CAST(id AS VARCHAR)) NOT IN (SELECT job_id FROM slots) THEN 'local-orphan' WHEN id % 13 >= CASE WHEN assigned_node_id IS NULL THEN 5 ELSE 10 END THEN 'stalled' ELSE 'ok' END AS class FROM media_files WHERE status = 'Processing'""")(
