@@ -139,15 +139,19 @@ _SEGMENTS = "SELECT id, file_path, status, {} AS rank, {} AS segment FROM media_
 
 @query("queue_segments", f"""SELECT * FROM ({_SEGMENTS.format('-bitrate', 0, "status = 'Processing' AND id % 40 = 1")} UNION ALL {_SEGMENTS.format('-bitrate', 1, "status = 'Queued' AND assigned_node_id IS NULL AND id % 40 = 2")} UNION ALL
 {_SEGMENTS.format("CASE status WHEN 'Completed' THEN 0 WHEN 'Failed' THEN 2 ELSE 4 END", 2, "status IN ('Failed', 'Completed')")}) ORDER BY segment, rank, id LIMIT 60 OFFSET 15""")
-def _segments(spark, d):
+def _segments(spark, d, active="id % 40 = 1", pending="id % 40 = 2"):
     m = view(spark, d, "media_files")
     columns = ("id", "file_path", "status")
-    active = m.where("status = 'Processing' and id % 40 = 1").select(*columns, (-F.col("bitrate")).alias("rank"))
-    pending = queue.queued(m).where("id % 40 = 2").select(*columns, (-F.col("bitrate")).alias("rank"))
+    active = m.where("status = 'Processing'").where(active).select(*columns, (-F.col("bitrate")).alias("rank"))
+    pending = queue.queued(m).where(pending).select(*columns, (-F.col("bitrate")).alias("rank"))
     done = m.where("status in ('Failed', 'Completed')").select(*columns, queue.terminal_rank().cast("long").alias("rank"))
     return queue.segments(active, pending, done, 15, 60).withColumn("segment", F.col("segment").cast("int"))
 
 
+#: The same page of the whole queue.
+query("queue_segments_all", f"""SELECT * FROM ({_SEGMENTS.format('-bitrate', 0, "status = 'Processing'")} UNION ALL {_SEGMENTS.format('-bitrate', 1, "status = 'Queued' AND assigned_node_id IS NULL")} UNION ALL
+{_SEGMENTS.format("CASE status WHEN 'Completed' THEN 0 WHEN 'Failed' THEN 2 ELSE 4 END", 2, "status IN ('Failed', 'Completed')")}) ORDER BY segment, rank, id LIMIT 60 OFFSET 15""")(lambda s, d: _segments(s, d, "true", "true"))
+
 query("bump_priority", "SELECT id, CASE WHEN id = (SELECT min(id) FROM media_files WHERE status = 'Queued') THEN (SELECT coalesce(max(priority), 0) + 1 FROM media_files WHERE status = 'Queued') ELSE priority END AS priority FROM media_files")(
     lambda s, d: (lambda m: queue.bump(m, m.where("status = 'Queued'").agg(F.min("id")).first()[0]).select("id", "priority"))(view(s, d, "media_files"))
 )
@@ -317,9 +321,9 @@ query("path_parts", "SELECT id, directory, file_name, base_name, CASE WHEN id %
 )
 _TITLE = "concat('/lib/', c_name, CASE c_custkey % 6 WHEN 0 THEN '.S01E02.1080p.mkv' WHEN 1 THEN ' (1999).mkv' WHEN 2 THEN ' - 07 [720p].mkv' WHEN 3 THEN '.2x05.avi' WHEN 4 THEN ' 2001 A Space (1968).mkv' ELSE '.mkv' END)"
 query("media_classify", "SELECT c_custkey, CASE WHEN c_custkey % 6 IN (0, 2, 3) THEN 'Tv' ELSE 'Movie' END AS media FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", T.classify(F.expr(_TITLE)).alias("media")))
-query("series_title", "SELECT c_custkey, c_name AS title FROM customer WHERE c_custkey % 6 IN (0, 2, 3)")(lambda s, d: table(s, d, "customer").where("c_custkey % 6 in (0, 2, 3)").select("c_custkey", T.series_title(F.expr(_TITLE)).alias("title")))
+query("series_title", "SELECT c_custkey, c_name AS title FROM customer WHERE c_custkey % 6 IN (0, 2, 3)")(lambda s, d: table(s, d, "customer").where(T.classify(F.expr(_TITLE)) == "Tv").select("c_custkey", T.series_title(F.expr(_TITLE)).alias("title")))
 query("movie_year", "SELECT c_custkey, CASE c_custkey % 6 WHEN 4 THEN concat(c_name, ' 2001 A Space') ELSE c_name END AS title, CASE c_custkey % 6 WHEN 1 THEN 1999 WHEN 4 THEN 1968 END AS year FROM customer WHERE c_custkey % 6 IN (1, 4, 5)")(
-    lambda s, d: table(s, d, "customer").where("c_custkey % 6 in (1, 4, 5)").select("c_custkey", T.movie_title(F.expr(_TITLE)).alias("m")).select("c_custkey", "m.*")
+    lambda s, d: table(s, d, "customer").where(T.classify(F.expr(_TITLE)) == "Movie").select("c_custkey", T.movie_title(F.expr(_TITLE)).alias("m")).select("c_custkey", "m.*")
 )
 _TAG = "CASE c_custkey % 6 WHEN 0 THEN 'ENG' WHEN 1 THEN ' ger' WHEN 2 THEN 'French' WHEN 3 THEN 'und' WHEN 4 THEN NULL ELSE 'jpn' END"
 query("language_normalize", "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' WHEN 5 THEN 'ja' END AS two, CASE c_custkey % 6 WHEN 0 THEN 'eng' WHEN 1 THEN 'ger' WHEN 2 THEN 'fre' WHEN 5 THEN 'jpn' END AS b, CASE c_custkey % 6 WHEN 0 THEN 'eng' WHEN 1 THEN 'deu' WHEN 2 THEN 'fra' WHEN 5 THEN 'jpn' END AS t, CASE c_custkey % 6 WHEN 0 THEN 'English' WHEN 1 THEN 'German' WHEN 2 THEN 'French' WHEN 5 THEN 'Japanese' END AS name FROM customer")(
