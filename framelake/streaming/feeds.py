@@ -5,6 +5,7 @@ Event-time windows with a watermark are an addition of this library. Parquet tim
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,19 +43,25 @@ def latest(rows: DataFrame, key: str, order: str, *values: str) -> DataFrame:
 
 
 def drained(rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now and returns its result."""
-    query = rows.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a stream over what is there now and returns its result, which is written to the shared scratch folder, as
+    is the stream's state. A batch in complete mode is the whole result and replaces the one before."""
+    spark = rows.sparkSession
+    where = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/framelake-checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    out = f"{where}/rows"
+    spark.createDataFrame([], rows.schema).write.parquet(out if mode == "complete" else f"{out}/batch=-1")
+    sink = (lambda batch, _: batch.write.mode("overwrite").parquet(out)) if mode == "complete" else append_to(out)
+    query = push(rows, sink, f"{where}/state", mode=mode)
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return rows.sparkSession.table(name)
+    return spark.read.schema(rows.schema).parquet(out).select(*rows.columns)
 
 
-def push(rows: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
+def push(rows: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, mode: str = "append"):
     """Gives each batch to `sink`. The checkpoint makes the stream go on where it stopped; a sink must bear the same
     batch twice."""
-    writer = rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

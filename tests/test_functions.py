@@ -1,6 +1,7 @@
 """Scalar functions, streams, decisions, placement, sources on small rows."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -280,6 +281,20 @@ def test_probe_and_subtitles(spark):
     assert one(spark, FS.original_language(F.lit('{"originalLanguage": {"name": "Japanese"}}'))) == "Japanese" and one(spark, FS.original_language(F.lit('{"originalLanguage": "ja"}'))) == "ja"
 
 
+def test_drained_rows_are_in_the_shared_folder(spark, tmp_path):
+    source = tmp_path / "in"
+    for i in range(3):
+        spark.createDataFrame([(i % 2, i, "2024-01-01 00:00:00"), (7, i, "2024-01-01 00:00:00")], "k int, n int, t string").coalesce(1).write.mode("append").parquet(str(source))
+    stream = feeds.open_stream(spark, str(source), "t", files_per_trigger=1)
+    found = feeds.drained(feeds.latest(stream, "k", "n", "n"), "drained_test")
+    assert {tuple(r) for r in found.collect()} == {(0, 2, 2), (1, 1, 1), (7, 2, 3)}
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert found.inputFiles() and all(shared in f for f in found.inputFiles())
+    assert list(Path(shared).glob("drained_test-*/state/state"))
+    every = feeds.drained(feeds.open_stream(spark, str(source), "t", files_per_trigger=1), "drained_rows", "append")
+    assert every.columns == ["k", "n", "t"] and every.count() == 6
+
+
 def test_push_is_resumable(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     spark.createDataFrame([(1, "2024-01-01 00:00:00")], "n int, t string").write.parquet(str(source))
