@@ -144,8 +144,9 @@ class WordBpe:
     def words(self, chunk: str) -> list[bytes]:
         """The words of a chunk without white space, as bytes."""
         if self._LATIN.fullmatch(chunk):
-            plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
-            return [w.encode() for w in self._WORDS.findall(plain.lower())]
+            plain = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)).lower()
+            if self._LATIN.fullmatch(plain):  # some capitals have their small letter elsewhere
+                return [w.encode() for w in self._WORDS.findall(plain)]
         found = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(chunk))
         return [bytes(self._of_char[c] for c in w) for w, _ in found]
 

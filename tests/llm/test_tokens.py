@@ -33,6 +33,21 @@ def test_byte_bpe_is_the_librarys(text):
     assert bytes_bpe.load().encoded(text) == expected
 
 
+@pytest.mark.parametrize("pattern", ["{}", "X {}a1{}b"])
+def test_word_bpe_over_unicode(pattern):
+    """Every character of the basic plane and some beyond, alone and inside words: ids and decoded text."""
+    chars = [chr(c) for c in [*range(0x10000), *range(0x10000, 0x110000, 997)] if not 0xD800 <= c < 0xE000]
+    if pattern != "{}":
+        chars = [c for c in chars if ord(c) < 0x600 or ord(c) % 7 == 0]
+    texts = [pattern.replace("{}", c) for c in chars]
+    model = bpe.word_bpe(bpe.tokenizer_path(bpe.WORD_BPE))
+    for lo in range(0, len(texts), 5000):
+        some = texts[lo : lo + 5000]
+        for text, (ids, decoded), w in zip(some, model.encode(some), WORD.encode_batch(some, add_special_tokens=False), strict=True):
+            assert ids == " ".join(map(str, w.ids)), ascii(text)
+            assert decoded == WORD.decode(w.ids, skip_special_tokens=False), ascii(text)
+
+
 def test_bpe_query(spark, make_docs, folder, odd):
     d = folder(documents=make_docs([*odd, *[(None, "no id"), (None, "no id")]]))
     rows = bpe.op4_bpe(spark, d).collect()
