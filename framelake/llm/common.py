@@ -23,27 +23,33 @@ def prepare(spark: SparkSession, rows: int = 256) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set, as in tests."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is set,
+    as in tests on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "/tmp/framelake-checkpoints"
         spark.conf.set("spark.checkpoint.dir", where)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` written once as Parquet to the shared scratch folder and read back: lineage ends here and a lost
-    executor costs a re-read, not a recomputation. The folder is scratch space that the cluster clears."""
+    executor costs a re-read, not a recomputation. `discard` deletes it; else the cluster clears the folder."""
     path = f"{scratch_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that `written` made and nothing reads any more."""
+    for df in tables:
+        if df is not None and getattr(df, "scratch_path", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_mod(id_column: str, modulus: int) -> Column:

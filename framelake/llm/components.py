@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import checkpointed
+from framelake.llm.common import discard, written
 
 _MOST_ROUNDS = 60
 
@@ -28,13 +28,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each end of an edge of (u, v) reaches; ids without an edge have no row.
 
     Loops and repeated edges do no harm. A node with very many edges is one row of the small side of a join whose
-    large side Spark splits. Every round is checkpointed, so a lost executor costs one round.
+    large side Spark splits. Every round is written to the shared folder, so a lost executor costs one round, and
+    replaces the one before.
     """
     now = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct()
-    now = checkpointed(now)
+    now = written(now, "edges")
     state = None
     for _ in range(_MOST_ROUNDS):
-        now = checkpointed(_small_star(_large_star(now)))
+        before, now = now, written(_small_star(_large_star(now)), "stars")
+        discard(before)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(new) == state:
             break
@@ -42,4 +44,6 @@ def components(edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("the components did not settle")
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return stars.union(now.select(F.col("v"), F.col("v")).distinct())
+    found = written(stars.union(now.select(F.col("v"), F.col("v")).distinct()), "components")
+    discard(now)
+    return found
