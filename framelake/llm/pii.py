@@ -1,24 +1,29 @@
 """Personal data by a semi-Markov conditional random field.
 
 Base spans (email, ip, card, phone) are found by their patterns. Around whatever holds a digit or an at sign the text
-is cut in regions of tokens; in a region every run of up to MOST tokens is a candidate segment of each kind or of
-none. Features look at the whole segment (its groups of digits, marks between them, checks, the words before it), and
-dynamic programming over the ends of segments, with at most MOST tokens for an entity, chooses boundaries and kinds
-jointly. Tokens outside regions can't be part of an entity, so regions are decided one by one without loss.
+is cut in regions of tokens; in a region every run of up to MOST tokens and LONGEST characters that holds such a sign
+is a candidate segment of each kind or of none, but for runs of several words without an at sign. Features look at the whole segment (its groups of digits, marks between
+them, checks) and at the words before it, and dynamic programming over the ends of segments chooses boundaries and
+kinds jointly. A region reaches AROUND blanks past the signs, within a line, and takes in later signs that are near, so
+an entity can't reach out of its region but by more blanks than that.
 
 The weights maximise the likelihood of segmentations of a bounded sample of regions of the corpus, whose base spans
-are the entities, and of rewritings of them in ways that people write such data and that the base patterns miss.
-Decoded entities that touch no base span are added to the base spans.
+are the entities, and of rewritings of them in ways that people write such data and that the base patterns miss. A part
+of the sample is kept out: on it the margin is chosen that an added span needs. Decoded entities that touch no base
+span are added to the base spans.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import random
 import re
-from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,24 +31,38 @@ from pyspark.sql import functions as F
 from framelake.llm.common import prepare, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of an entity at most, plain words on either side of a region, and tokens of a region at most that training takes.
-MOST = 9
-AROUND = 2
-#: Bounds of the sample that the weights are learned from: documents, and regions.
-SAMPLE = 2_000
-REGIONS = 1_500
-EPOCHS = 6
-#: Log-odds against no entity that an added span needs.
-MARGIN = 2.0
+#: Tokens and characters of an entity at most, blanks around a sign that a region takes in, tokens of a region at most
+#: that training takes.
+MOST = 13
+LONGEST = 254
+AROUND = 6
+TRAINED = 60
+#: Bounds of the sample that the weights are learned from: documents of each sort, and regions.
+SAMPLE = 1_500
+REGIONS = 400
+#: Rewritings of each region that has an entity; one region in KEPT_OUT chooses the margin.
+REWRITTEN = 3
+KEPT_OUT = 5
+EPOCHS = 8
+#: Share of the added spans that must be right on the regions kept out.
+PRECISION = 0.95
+MARGINS = tuple(i / 4 for i in range(25))
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_SEED = re.compile(r"[0-9@]")
+_SEED = re.compile(r"[0-9@]|[\[(]at[\])]", re.IGNORECASE)
+_SEEDED = r"(?i)[0-9@]|[\[(]at[\])]"
+#: What every base span holds, for choosing the sample.
+_LIKELY = r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|\+[0-9][ ().0-9-]{8}|[0-9](?:[ -]?[0-9]){13}"
 _DIGIT = re.compile(r"[0-9]")
 
+_DIGITS, _LETTERS = re.compile(r"[0-9]+"), re.compile(r"[^\W\d_]+")
+_AT = re.compile(r"@|[\[(]at[\])]", re.IGNORECASE)
+_MAILBOX = re.compile(r"[\w.%+-]+(?:\s?[._]\s?[\w%+-]+)*\s?(?:@|[\[(]at[\])])\s?[\w-]+(?:\s?(?:\.|[\[(]dot[\])])\s?[\w-]+)+", re.IGNORECASE)
+
 Span = tuple[int, int, str]
 
 
@@ -109,110 +128,106 @@ def _regions(text: str) -> list[list[tuple[int, int]]]:
 
 
 def _reach(text: str, at: int, step: int) -> int:
-    """The position AROUND blanks away, at most 80 characters from `at` but for the seed's own run."""
-    blanks = 0
-    i = at
-    while 0 <= i < len(text) and abs(i - at) < 80:
+    """The position AROUND blanks away, in the same line, and at most 80 characters beyond the sign's own run."""
+    blanks, i, end = 0, at, None
+    while 0 <= i < len(text) and (end is None or i != end):
         if text[i].isspace():
             if text[i] == "\n":
                 break
             blanks += 1
+            if end is None:
+                end = i + 80 * step
             if blanks > AROUND:
                 break
         i += step
+    i = max(-1, min(len(text), i))
     return i + 1 if step < 0 else i
 
 
-_CUES = {
-    "email": {"mail", "email", "e", "contact", "write"},
-    "ip": {"ip", "host", "server", "address", "addr"},
-    "card": {"card", "visa", "credit", "cc", "pan", "mastercard"},
-    "phone": {"phone", "tel", "call", "mobile", "fax", "cell", "telephone"},
-}
-
-
-@functools.lru_cache(maxsize=100_000)
+@functools.lru_cache(maxsize=50_000)
 def _shape(segment: str) -> tuple[str, ...]:
-    """Features of a whole segment, whatever its kind."""
-    groups = re.findall(r"[0-9]+", segment)
+    """Features of a whole segment."""
+    groups = _DIGITS.findall(segment)
     digits = "".join(groups)
     n = len(digits)
-    marks = re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", segment))
+    marks = _DIGITS.sub("9", _LETTERS.sub("a", segment))
+    dense = "".join(marks.split())
+    kind = lambda c: c if not c.isalnum() else "d" if c.isdigit() else "a"
     out = [
         f"digits={min(n, 20)}" if n else "no digits",
         "groups=" + "-".join(str(min(len(g), 6)) for g in groups[:6]),
         f"length={int(math.log2(len(segment) + 1))}",
-        f"first={segment[0] if not segment[0].isalnum() else 'd' if segment[0].isdigit() else 'a'}",
-        f"last={segment[-1] if not segment[-1].isalnum() else 'd' if segment[-1].isdigit() else 'a'}",
-        "letters" if re.search(r"[^\W\d_]", segment) else "no letters",
+        f"first={kind(segment[0])}",
+        f"last={kind(segment[-1])}",
+        "letters" if "a" in marks else "no letters",
+        "set=" + "".join(sorted(set(marks)))[:12],
     ]
-    if len(marks) <= 16:
+    if len(marks) <= 24:
         out.append("marks=" + marks)
-    if "@" in segment:
-        out.append("at=" + str(min(3, segment.count("@"))))
-        if re.fullmatch(r"[\w.%+-]+\s?@\s?[\w-]+(\s?\.\s?[\w-]+)+", segment):
+        out.append("dense=" + dense)
+    if _AT.search(segment):
+        out.append("at")
+        if _MAILBOX.fullmatch(segment):
             out.append("mailbox")
-    if "\n" in segment:
-        out.append("line break")
-    if len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and re.fullmatch(r"[0-9]+([.][0-9]+){3}", re.sub(r"\s", "", segment)):
+    if len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and dense in ("9.9.9.9", "9[.]9[.]9[.]9", "9(.)9(.)9(.)9"):
         out.append("octets")
-    if 14 <= n <= 19 and not re.search(r"[^0-9 .\-/]", segment):
+    if 14 <= n <= 19 and not {*dense} - {*"9.-/"}:
         out.append("luhn" if luhn(digits) else "not luhn")
-    if 9 <= n <= 15 and not re.search(r"[^0-9+().\-/ ]", segment):
+    if 9 <= n <= 15 and not {*dense} - {*"9+().-/"}:
         out.append("dialled")
         out.append("punctuated" if len(groups) > 1 else "solid")
     return tuple(out)
 
 
-class SemiMarkov:
-    """Scores of segments and the dynamic programmes over them."""
-
-    def __init__(self, weights: dict[tuple[str, str], float] | None = None):
-        self.weights = defaultdict(float, weights or {})
-
-    def features(self, text: str, tokens: list[tuple[int, int]], i: int, j: int, kind: str) -> list[tuple[str, str]]:
-        segment = text[tokens[i][0] : tokens[j - 1][1]]
-        before = text[tokens[i - 1][0] : tokens[i - 1][1]].lower() if i else ""
-        two = text[tokens[i - 2][0] : tokens[i - 2][1]].lower() if i > 1 else ""
-        out = [(kind, f) for f in _shape(segment)]
-        out.append((kind, "bias"))
-        glued = "blank" if i == 0 or tokens[i - 1][1] < tokens[i][0] else before[-1:] if not before[-1:].isalnum() else "word"
-        out.append((kind, "before=" + glued))
+_Tokens = list[tuple[int, int]]
+
+
+def _segments(text: str, tokens: _Tokens) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+    """Candidate segments (first token, end token, features), by their ends."""
+    words = [text[a:b].lower() for a, b in tokens]
+    seeded = [bool(_SEED.match(text, a)) for a, _ in tokens]
+    near = [0, *itertools.accumulate(seeded)]
+    ats = [0, *itertools.accumulate(bool(_AT.match(text, a)) for a, _ in tokens)]
+    letters = [0, *itertools.accumulate(w.isalpha() for w in words)]
+    for j in range(1, len(tokens) + 1):
+        end = tokens[j - 1][1]
+        after = "end"
         if j < len(tokens):
-            nxt = text[tokens[j][0] : tokens[j][1]]
-            out.append((kind, "after=" + ("blank" if tokens[j - 1][1] < tokens[j][0] else nxt[0] if not nxt[0].isalnum() else "word")))
-        if before in _CUES[kind] or two in _CUES[kind]:
-            out.append((kind, "cue"))
-        return out
+            after = "blank" if end < tokens[j][0] else words[j][0] if not words[j][0].isalnum() else "word"
+        for i in range(max(0, j - MOST), j):
+            start = tokens[i][0]
+            if near[j] == near[i] or end - start > LONGEST or (ats[j] == ats[i] and letters[j] - letters[i] > 1):
+                continue
+            segment = text[start:end]
+            before = "blank" if i == 0 or tokens[i - 1][1] < start else words[i - 1][-1] if not words[i - 1][-1].isalnum() else "word"
+            cues = [f"{d} before={words[i - d][:16]}" for d in (1, 2, 3) if i >= d and words[i - d].isalpha()]
+            yield i, j, (*_shape(segment), "before=" + before, "after=" + after, "any", *cues)
+
 
-    def _segments(self, text: str, tokens: list[tuple[int, int]]):
-        """For each end, the candidate segments (start, kind, features). A segment of no kind has score 0."""
-        at = []
-        for j in range(1, len(tokens) + 1):
-            some = []
-            for i in range(max(0, j - MOST), j):
-                segment = text[tokens[i][0] : tokens[j - 1][1]]
-                if _SEED.search(segment) and "\n" not in segment:
-                    some.extend((i, kind, self.features(text, tokens, i, j, kind)) for kind in KINDS)
-            at.append(some)
-        return at
-
-    def _score(self, features) -> float:
-        w = self.weights
-        return sum([w[f] for f in features if f in w])
-
-    def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, str, float]]:
-        """Best segmentation: entities (first token, end token, kind, score)."""
-        best, back = [0.0], [None]
-        for j, some in enumerate(self._segments(text, tokens), 1):
-            top, choice = best[j - 1], None
-            for i, kind, features in some:
-                s = self._score(features)
-                if s > 0 and best[i] + s > top:
-                    top, choice = best[i] + s, (i, kind, s)
-            best.append(top)
-            back.append(choice)
-        out, j = [], len(tokens)
+@dataclass
+class SemiMarkov:
+    """Weights of features, one for each kind, the margin of added spans, and how they did on the regions kept out."""
+
+    weights: dict[str, tuple[float, ...]] = field(default_factory=dict)
+    margin: float = 0.0
+    report: dict[str, float] = field(default_factory=dict)
+
+    def scores(self, features: tuple[str, ...]) -> list[float]:
+        known = [w for f in features if (w := self.weights.get(f)) is not None]
+        return [sum(x) for x in zip(*known, strict=True)] if known else [0.0] * len(KINDS)
+
+    def decode(self, text: str, tokens: _Tokens) -> list[tuple[int, int, str, float]]:
+        """Best segmentation: entities (first token, end token, kind, score). A segment of no kind has score 0."""
+        best, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
+        done = 0
+        for i, j, features in _segments(text, tokens):
+            while done < j:
+                done += 1
+                best[done] = best[done - 1]
+            for kind, s in zip(KINDS, self.scores(features), strict=True):
+                if s > 0 and best[i] + s > best[j]:
+                    best[j], back[j] = best[i] + s, (i, kind, s)
+        out, j = [], done
         while j > 0:
             if back[j]:
                 i, kind, s = back[j]
@@ -222,78 +237,137 @@ class SemiMarkov:
                 j -= 1
         return out[::-1]
 
-    def gradient(self, text: str, tokens: list[tuple[int, int]], gold: set[tuple[int, int, str]]):
-        """Log-likelihood of the gold entities and its gradient, by the forward and backward sums over segments."""
-        at = self._segments(text, tokens)
-        n = len(tokens)
-        scores = [[self._score(f) for _, _, f in some] for some in at]
-        forward = [0.0] * (n + 1)
-        for j in range(1, n + 1):
-            parts = [forward[j - 1], *[forward[i] + s for (i, _, _), s in zip(at[j - 1], scores[j - 1], strict=True)]]
-            m = max(parts)
-            forward[j] = m + math.log(sum(math.exp(p - m) for p in parts))
-        backward = [0.0] * (n + 1)
-        starts = defaultdict(list)
-        for j in range(1, n + 1):
-            for (i, _, _), s in zip(at[j - 1], scores[j - 1], strict=True):
-                starts[i].append((j, s))
-        for i in range(n - 1, -1, -1):
-            parts = [backward[i + 1], *[backward[j] + s for j, s in starts[i]]]
-            m = max(parts)
-            backward[i] = m + math.log(sum(math.exp(p - m) for p in parts))
-        total, likelihood, grad = forward[n], -forward[n], defaultdict(float)
-        for j in range(1, n + 1):
-            for (i, kind, features), s in zip(at[j - 1], scores[j - 1], strict=True):
-                p = math.exp(forward[i] + s + backward[j] - total)
-                is_gold = (i, j, kind) in gold
-                likelihood += s if is_gold else 0.0
-                if is_gold or p > 1e-6:
-                    for f in features:
-                        grad[f] += is_gold - p
-        return likelihood, grad
-
-    def train(self, examples: list[tuple[str, list[tuple[int, int]], set]], epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-4) -> None:
-        """Stochastic gradient ascent with step sizes adapted to each weight."""
-        order, squares = list(range(len(examples))), defaultdict(float)
-        shuffle = random.Random(7)
-        for _ in range(epochs):
-            shuffle.shuffle(order)
-            for k in order:
-                _, grad = self.gradient(*examples[k])
-                for f, g in grad.items():
-                    g -= decay * self.weights[f]
-                    squares[f] += g * g
-                    self.weights[f] += rate * g / (math.sqrt(squares[f]) + 1e-3)
+
+class _Batch:
+    """Regions with their segments as arrays, whose forward and backward sums advance together."""
+
+    def __init__(self, examples, ids: dict[str, int]):
+        region, start, end, gold, flat, sizes = [], [], [], [], [], []
+        for r, (text, tokens, entities) in enumerate(examples):
+            for i, j, features in _segments(text, tokens):
+                known = [ids[f] for f in features if f in ids]
+                region.append(r)
+                start.append(i)
+                end.append(j)
+                gold.append([float((i, j, k) in entities) for k in KINDS])
+                flat.extend(known)
+                sizes.append(len(known))
+        self.n, self.last = len(examples), max([len(t) for _, t, _ in examples], default=0)
+        self.region, self.start, self.end = (np.array(x, dtype=np.int64) for x in (region, start, end))
+        self.gold = np.array(gold).reshape(len(region), len(KINDS))
+        self.flat = np.array(flat, dtype=np.int64)
+        self.of = np.repeat(np.arange(len(sizes)), sizes)
+        self.by_end = [np.flatnonzero(self.end == j) for j in range(self.last + 1)]
+        self.by_start = [np.flatnonzero(self.start == i) for i in range(self.last + 1)]
+
+    def _sums(self, which: list[np.ndarray], steps: range, back: int, ends: np.ndarray, score: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, self.last + 1))
+        for j in steps:
+            some = which[j]
+            r = self.region[some]
+            parts = out[r, ends[some]][:, None] + score[some]
+            top = out[:, j + back].copy()
+            np.maximum.at(top, r, parts.max(axis=1, initial=-np.inf))
+            total = np.exp(out[:, j + back] - top)
+            np.add.at(total, r, np.exp(parts - top[r][:, None]).sum(axis=1))
+            out[:, j] = top + np.log(total)
+        return out
+
+    def gradient(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """Log-likelihood of the gold entities and its gradient by (feature, kind)."""
+        score = np.stack([np.bincount(self.of, weights=w[self.flat, k], minlength=len(self.region)) for k in range(len(KINDS))], axis=1)
+        forward = self._sums(self.by_end, range(1, self.last + 1), -1, self.start, score)
+        backward = self._sums(self.by_start, range(self.last - 1, -1, -1), 1, self.end, score)
+        total = forward[:, self.last]
+        r = self.region
+        p = np.exp((forward[r, self.start] + backward[r, self.end] - total[r])[:, None] + score)
+        left = self.gold - p
+        grad = np.stack([np.bincount(self.flat, weights=left[self.of, k], minlength=len(w)) for k in range(len(KINDS))], axis=1)
+        return float((self.gold * score).sum() - total.sum()), grad
+
+
+def train(examples, epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-3, batch: int = 64) -> SemiMarkov:
+    """Gradient ascent with step sizes adapted to each weight, and the margin by the examples kept out. An example is
+    (text, tokens, entities), entities being (first token, end token, kind)."""
+    order = list(range(len(examples)))
+    random.Random(7).shuffle(order)
+    kept_out = [examples[k] for k in order if k % KEPT_OUT == 0]
+    used = [examples[k] for k in order if k % KEPT_OUT]
+    ids: dict[str, int] = {}
+    for text, tokens, _ in used:
+        for _, _, features in _segments(text, tokens):
+            for f in features:
+                ids.setdefault(f, len(ids))
+    batches = [_Batch(used[lo : lo + batch], ids) for lo in range(0, len(used), batch)]
+    w = np.zeros((len(ids), len(KINDS)))
+    squares = np.zeros_like(w)
+    for _ in range(epochs):
+        for b in batches:
+            grad = b.gradient(w)[1] - decay * w
+            squares += grad * grad
+            w += rate * grad / (np.sqrt(squares) + 1e-3)
+    model = SemiMarkov({f: tuple(w[i].round(5).tolist()) for f, i in ids.items() if np.abs(w[i]).max() > 1e-3})
+    model.margin, model.report = _margin(model, kept_out)
+    return model
+
+
+def _margin(model: SemiMarkov, examples) -> tuple[float, dict[str, float]]:
+    """The least margin with which PRECISION of the entities that no base pattern finds are right, and how many of
+    those there are it finds."""
+    found, wanted = [], 0
+    for text, tokens, entities in examples:
+        base = base_spans(text)
+        apart = lambda i, j: not any(x < tokens[j - 1][1] and tokens[i][0] < y for x, y, _ in base)  # noqa: B023, E731
+        wanted += sum(apart(i, j) for i, j, _ in entities)
+        found += [(s, (i, j, k) in entities) for i, j, k, s in model.decode(text, tokens) if apart(i, j)]
+    for margin in MARGINS:
+        kept = [right for s, right in found if s >= margin]
+        precision = sum(kept) / max(1, len(kept))
+        if precision >= PRECISION or margin == MARGINS[-1]:
+            return margin, {"recall": sum(kept) / max(1, wanted), "precision": precision, "entities": float(wanted)}
+    raise AssertionError
 
 
 def _rewritten(value: str, kind: str, rng: random.Random) -> str:
-    """The same datum as people also write it."""
+    """A datum of the same kind with other digits, as people also write it and base patterns mostly don't see it."""
     digits = re.sub(r"\D", "", value)
     if kind == "phone":
-        local = digits[-10:]
-        return rng.choice([f"({local[:3]}) {local[3:6]}-{local[6:]}", f"{local[:3]}-{local[3:6]}-{local[6:]}", f"{local[:3]}.{local[3:6]}.{local[6:]}", f"00{digits[:-10] or '1'} {local[:3]} {local[3:6]} {local[6:]}", f"+{digits[:-10] or '1'}-{local[:3]}-{local[3:6]}-{local[6:]}", f"+{digits[:-10] or '1'} {local}"])
+        local = "".join(rng.choices("23456789", k=1) + rng.choices("0123456789", k=9))
+        a, b, c = local[:3], local[3:6], local[6:]
+        country = digits[:-10] or "1"
+        return rng.choice([f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{country} {a} {b} {c}", f"{country}-{a}-{b}-{c}", f"({a}){b}-{c}"])
     if kind == "card":
-        mark = rng.choice([" ", "-", ".", " - "])
-        return mark.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        digits = "".join(rng.choices("3456", k=1) + rng.choices("0123456789", k=14))
+        digits += next(d for d in "0123456789" if luhn(digits + d))
+        return rng.choice([".", " - ", "/", "  "]).join(digits[i : i + 4] for i in range(0, 16, 4))
     if kind == "email":
-        return rng.choice([value.upper(), value.replace("@", " @ "), value.replace("@", "@ "), value.replace(".", "_", 1)])
-    return value.replace(".", rng.choice([".", ". ", " ."]))
+        at = rng.choice([" @ ", "@ ", " @", " [at] ", "(at)", " (at) "])
+        name, _, domain = value.rpartition("@")
+        dot = rng.choice([".", " . ", " [dot] "]) if at not in ("@ ", " @") else " . "
+        return name + at + domain.replace(".", dot)
+    octets = [str(rng.randrange(256)) for _ in range(4)]
+    return rng.choice([". ", " .", " . ", "[.]", "(.)"]).join(octets)
 
 
-def _examples(texts: list[str]) -> list[tuple[str, list[tuple[int, int]], set]]:
+def _examples(texts: list[str], seed: int = 11) -> list[tuple[str, _Tokens, set]]:
     """Training regions with gold entities: as they are, and rewritten."""
-    rng = random.Random(11)
+    rng = random.Random(seed)
     out = []
+    plain = 0
     for text in texts:
         spans = base_spans(text)
         for tokens in _regions(text):
-            if len(tokens) > 60:
+            if len(tokens) > TRAINED:
                 continue
             lo, hi = tokens[0][0], tokens[-1][1]
             inside = [s for s in spans if s[0] >= lo and s[1] <= hi]
             if any(a[1] > b[0] for a, b in zip(inside, inside[1:], strict=False)):
                 continue
-            for change in ((False, True) if inside else (False,)):
+            if not inside:
+                plain += 1
+                if plain > REGIONS // 2:
+                    continue
+            for change in range(1 + REWRITTEN if inside else 1):
                 parts, gold, at = [], [], lo
                 for start, end, kind in inside:
                     parts.append(text[at:start])
@@ -306,25 +380,25 @@ def _examples(texts: list[str]) -> list[tuple[str, list[tuple[int, int]], set]]:
                 firsts, ends = {a: i for i, (a, _) in enumerate(cut)}, {b: i + 1 for i, (_, b) in enumerate(cut)}
                 if all(a in firsts and b in ends and ends[b] - firsts[a] <= MOST for a, b, _ in gold):
                     out.append((piece, cut, {(firsts[a], ends[b], k) for a, b, k in gold}))
-            if len(out) >= REGIONS:
+            if len(out) >= REGIONS * 2:
                 return out
     return out
 
 
-def learn(docs: DataFrame) -> dict[tuple[str, str], float]:
-    """Weights from the regions of at most SAMPLE documents that hold a digit or an at sign, taken by a hash of the id.
-    Only the characters around the seeds leave the executors. With nothing to learn from there are no weights, and
-    no spans beyond the base ones."""
+def learn(docs: DataFrame) -> SemiMarkov:
+    """A model from the regions of at most SAMPLE documents that hold what base spans hold and SAMPLE others that hold
+    a digit or an at sign, taken by a hash of the id. Only the characters around the signs leave the executors. With
+    nothing to learn from there are no weights, and no spans beyond the base ones."""
     # the hash stands for the text, which would else go along to the one task that takes the sample
-    seeded = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", F.xxhash64("text").alias("h")).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "h").limit(SAMPLE)
-    around = F.regexp_extract_all("text", F.lit(r"([^\n]{0,120}[0-9@][^\n]{0,120})"))
-    rows = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(seeded), ["doc_id", "h"]).select("doc_id", F.slice(around, 1, 4).alias("parts")).collect()
-    texts = [p for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"])) for p in r["parts"]]
-    model = SemiMarkov()
+    marked = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").rlike(_LIKELY).alias("likely"), F.col("text").rlike(_SEEDED).alias("seeded"))
+    order = (F.xxhash64("doc_id", F.lit(3)), "doc_id", "h")
+    chosen = marked.where("likely").orderBy(*order).limit(SAMPLE).union(marked.where("seeded and not likely").orderBy(*order).limit(SAMPLE))
+    around = lambda what: F.slice(F.regexp_extract_all("text", F.lit(rf"([^\n]{{0,120}}(?:{what})[^\n]{{0,120}})")), 1, 4)
+    rows = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"])
+    rows = rows.select("doc_id", "h", F.when(F.col("likely"), around(_LIKELY)).otherwise(around("[0-9@]")).alias("parts")).distinct().collect()
+    texts = [p for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["h"])) for p in r["parts"]]
     examples = _examples(texts)
-    if any(gold for _, _, gold in examples):
-        model.train(examples)
-    return {k: v for k, v in model.weights.items() if abs(v) > 1e-4}
+    return train(examples) if any(gold for _, _, gold in examples) else SemiMarkov()
 
 
 def spans(text: str, model: SemiMarkov) -> tuple[list[Span], list[Span]]:
@@ -337,9 +411,14 @@ def spans(text: str, model: SemiMarkov) -> tuple[list[Span], list[Span]]:
         taken = sorted((a, b) for a, b, _ in base)
         for tokens in _regions(text):
             lo, hi = tokens[0][0], tokens[-1][1]
+            near = None
             for i, j, kind, s in model.decode(text, tokens):
+                if s < model.margin:
+                    continue
+                if near is None:
+                    near = [(x, y) for x, y in taken if x < hi and y > lo]
                 a, b = tokens[i][0], tokens[j - 1][1]
-                if s >= MARGIN and not any(x < b and a < y for x, y in taken if x < hi and y > lo):
+                if not any(x < b and a < y for x, y in near):
                     added.append((a, b, kind))
     return base, sorted([*base, *added], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
@@ -348,18 +427,18 @@ def _joined(found: list[Span]) -> str:
     return ",".join([f"{k}:{a}:{b}" for a, b, k in found])
 
 
-def with_spans(docs: DataFrame, weights: dict, mask: bool = False) -> DataFrame:
+def with_spans(docs: DataFrame, model: SemiMarkov, mask: bool = False) -> DataFrame:
     """`docs` with columns base and spans ("kind:start:end,..." in code points), or with all spans in column text
     replaced by "[KIND]". Null texts have no span and stay null; other columns stay."""
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(weights)
+    shared = spark.sparkContext.broadcast(model)
     new = [] if mask else ["base", "spans"]
     names = [c for c in docs.columns if c not in new]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches):
-        model = SemiMarkov(shared.value)
+        model = shared.value
         for b in batches:
             texts = b.column("text").to_pylist()
             found = [spans(t or "", model) for t in texts]
