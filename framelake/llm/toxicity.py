@@ -1,17 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Each class, toxic and ordinary, has a model of the letters of words: the highest order is discounted counts of how the
-class's own words go on after their first letters, and what is taken off goes to lower orders that both classes
+class's own words go on after what was read of a word, and what is taken off goes to lower orders that both classes
 share, with continuation counts as Kneser and Ney have them. So a rare or unseen expression is smoothed by the same
-backoff in both classes, and only what a class has really seen makes a difference.
+backoff in both classes, and only what a class has really seen makes a difference. After a beginning that the toxic
+class has never seen both classes go on by the shared orders alone, so nothing tells them apart there.
 
 Counts, backoff and ratios are tables, without a bound: a row for each word beginning that was seen. Its most frequent
 rows go to all executors and decide most words where the text is. A word that goes on where rows are left out is open:
 such words, rare in the labelled texts, get their values by joins, which are brought back to the documents they are in.
 
-An expression (a word) is scored by the difference of its log-likelihoods under the classes. A document is scored by
-its most toxic expressions and by the toxic evidence normalised by its length, which a logistic curve turns into a
-probability. The curve is fitted on labelled documents from which no counts were taken.
+An expression (a word) has the difference of its log-likelihoods under the classes. A document's features are that
+difference over the whole text, normalised by its length; the same of its toxic expressions alone; and its most toxic
+expressions, as a few insults in a long text are not many for each word. A logistic curve turns them into a
+probability. It is fitted on labelled documents from which no counts were taken.
 """
 
 from __future__ import annotations
@@ -27,25 +29,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import crc_mod, fold, prepare, table, written
+from framelake.llm.common import crc_mod, discard, prepare, table, written
 
-#: Letters of a word's beginning that the classes have counts for, the start mark among them; letters of a shared window.
-BEGINNING = 7
+#: Letters of a word, start mark included, that the classes have counts for; letters of a shared window.
+BEGINNING = 24
 SHARED = 4
 DISCOUNT = 0.75
 #: A word whose log-likelihood ratio is above this counts as evidence.
 EVIDENCE = 1.0
-#: Beginnings that go to all executors, the most frequent ones (others are joined), and the sample the curve is fitted on.
-WINDOWS = 1 << 18
-CALIBRATION_ROWS = 20_000
-CALIBRATION_FOLDS = 5
+#: Beginnings that go to all executors, the most frequent ones (others are joined).
+WINDOWS = 1 << 21
+#: The curve is fitted on this share of the labels of each class, at most so many rows.
+CALIBRATION_SHARE = 5
+CALIBRATION_ROWS = 10_000
 THRESHOLD = 0.7
-FEATURES = ("second", "five", "density", "length")
+FEATURES = ("difference", "second", "five", "density", "length")
 #: Labels up to this number are sent to all executors; more of them are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 REMEMBERED = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 _START, _END = "^", "$"
+_U = np.uint64
 
 
 def _word_counts(labelled: DataFrame) -> DataFrame:
@@ -107,92 +111,70 @@ def _backoff(grams: DataFrame) -> DataFrame:
 
 
 def _nodes(grams: DataFrame) -> DataFrame:
-    """(beginning, ratio, beyond, kids, count) of each word beginning that was seen and of the start mark: the log-likelihood ratio
-    of its last letter, the ratio of any letter after it that was not seen there, and how many were."""
+    """(beginning, ratio, beyond, least, count) of the start mark and of each word beginning that was seen after one
+    that the toxic class has seen: the log-likelihood ratio of its last letter, the ratio of any letter after it that
+    was not seen there, and the least count of those that were."""
     seen = grams.where("gram like '<%'").select(F.expr("substring(gram, 2)").alias("beginning"), "ordinary", "toxic").withColumn("context", _but_last("beginning"))
     sums = [F.sum(c).alias(f"{c}_total") for c in ("ordinary", "toxic")] + [F.sum((F.col(c) > 0).cast("int")).alias(f"{c}_types") for c in ("ordinary", "toxic")]
-    contexts = seen.groupBy("context").agg(*sums, F.count("*").cast("int").alias("kids"))
+    contexts = seen.groupBy("context").agg(*sums, F.min(F.col("ordinary") + F.col("toxic")).alias("least")).where("toxic_total > 0")
     taken = lambda c: F.when(F.col(f"{c}_total") > 0, DISCOUNT * F.col(f"{c}_types") / F.col(f"{c}_total")).otherwise(1.0)
     own = lambda c: F.when(F.col(f"{c}_total") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_total")).otherwise(0.0)
     chance = lambda c: own(c) + taken(c) * F.col("shared")
     last = F.expr(f"right(concat('{_START * (SHARED - 2)}', beginning), {SHARED - 1})")
     ratios = seen.join(contexts, "context").withColumn("last", last).join(_backoff(grams), "last")
     ratios = ratios.select("beginning", (F.log(chance("toxic")) - F.log(chance("ordinary"))).alias("ratio"), (F.col("ordinary") + F.col("toxic")).alias("count"))
-    after = contexts.select(F.col("context").alias("beginning"), (F.log(taken("toxic")) - F.log(taken("ordinary"))).alias("beyond"), "kids", (F.col("ordinary_total") + F.col("toxic_total")).alias("sum"))
+    after = contexts.select(F.col("context").alias("beginning"), (F.log(taken("toxic")) - F.log(taken("ordinary"))).alias("beyond"), "least", (F.col("ordinary_total") + F.col("toxic_total")).alias("sum"))
     both = ratios.join(after, "beginning", "full")  # the start mark is a context only
-    return both.select("beginning", F.coalesce("ratio", F.lit(0.0)).alias("ratio"), F.coalesce("beyond", F.lit(0.0)).alias("beyond"), F.coalesce("kids", F.lit(0)).alias("kids"), F.coalesce("count", "sum").alias("count"))
-
-
-def _head(nodes: DataFrame, size: int) -> dict[str, tuple[float, float | None]]:
-    """ratio and beyond of the `size` most frequent beginnings; beyond is null where rows that go on are left out."""
-    rows = nodes.orderBy(F.col("count").desc(), "beginning").limit(size).collect()
-    kids = Counter(r["beginning"][:-1] for r in rows)
-    return {r["beginning"]: (r["ratio"], r["beyond"] if kids[r["beginning"]] == r["kids"] else None) for r in rows}
-
-
-class KneserNey:
-    """Log-likelihood ratios of words under the two classes, from counts in memory: what the tables are held against."""
-
-    def __init__(self, rows: list[tuple[str, int, int]]):
-        self.full = ({}, {})
-        self.total, self.types = (Counter(), Counter()), (Counter(), Counter())
-        for gram, *counts in rows:
-            for c, n in enumerate(counts):
-                if n and gram[0] == "<":
-                    self.full[c][gram[1:]] = n
-                    self.total[c][gram[1:-1]] += n
-                    self.types[c][gram[1:-1]] += 1
-        self.lower = []  # shared: continuation counts of ever shorter windows
-        seen = {r[0][1:] for r in rows if r[0][0] == "="}
-        for _ in range(SHARED - 1):
-            counts = Counter(g[1:] for g in seen)
-            total, types = Counter(), Counter()
-            for g, n in counts.items():
-                total[g[:-1]] += n
-                types[g[:-1]] += 1
-            self.lower.append((counts, total, types))
-            seen = set(counts)
-        self.letters = max(1, len(seen)) + 1  # one more for all unseen letters
-        self._ratios: dict[str, float] = {}
-
-    def shared(self, gram: str, k: int = 0) -> float:
-        """Probability of the last letter after the others, from the k-th lower order down."""
-        if k == len(self.lower):
-            return 1.0 / self.letters
-        counts, total, types = self.lower[k]
-        backoff = self.shared(gram[1:], k + 1)
-        n = total.get(gram[:-1], 0)
-        if not n:
-            return backoff
-        return max(counts.get(gram, 0) - DISCOUNT, 0.0) / n + DISCOUNT * types[gram[:-1]] / n * backoff
-
-    def probability(self, beginning: str, toxic: int) -> float:
-        """Probability in a class of the last letter of a word's beginning after the others."""
-        backoff = self.shared((_START * (SHARED - 2) + beginning)[1 - SHARED :])
-        n = self.total[toxic].get(beginning[:-1], 0)
-        if not n:
-            return backoff
-        return max(self.full[toxic].get(beginning, 0) - DISCOUNT, 0.0) / n + DISCOUNT * self.types[toxic][beginning[:-1]] / n * backoff
-
-    def ratio(self, beginning: str) -> float:
-        """Log-likelihood ratio of the last letter. Beyond BEGINNING letters the classes share all, so it is 0."""
-        found = self._ratios.get(beginning)
-        if found is None:
-            if len(self._ratios) > REMEMBERED:
-                self._ratios.clear()
-            found = self._ratios[beginning] = math.log(self.probability(beginning, 1)) - math.log(self.probability(beginning, 0))
-        return found
-
-    def expression(self, token: str) -> float:
-        """The highest log-likelihood ratio of the words of a token; 0 without a letter."""
-        best = None
-        for word in _WORD.findall(token.lower()):
-            marked = _START + word[:BEGINNING] + _END
-            if len(word) > BEGINNING:
-                marked = marked[:BEGINNING]
-            value = sum([self.ratio(marked[:i]) for i in range(2, min(BEGINNING, len(marked)) + 1)])
-            best = value if best is None or value > best else best
-        return best or 0.0
+    number = lambda c: F.coalesce(c, F.lit(0.0)).cast("float").alias(c)
+    return both.select("beginning", number("ratio"), number("beyond"), "least", F.coalesce("count", "sum").alias("count"))
+
+
+def _steps(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of words as a matrix of code points, their lengths, and a hash of nothing for each."""
+    length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    letters = np.zeros((len(words), int(length.max(initial=0))), dtype=np.uint64)
+    row = np.repeat(np.arange(len(words)), length)
+    letters[row, np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)] = flat
+    return letters, length, np.full(len(words), _U(0x9E3779B97F4A7C15))
+
+
+def _onward(h: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Hashes of beginnings with one letter more."""
+    h = (h ^ letters) * _U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> _U(29))) * _U(0x94D049BB133111EB)
+    return h ^ (h >> _U(32))
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    letters, length, h = _steps(words)
+    for i in range(letters.shape[1]):
+        on = length > i
+        h[on] = _onward(h[on], letters[on, i])
+    return h
+
+
+def _head(nodes: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Sorted hashes of the most frequent beginnings, at most `size`, their ratio and beyond, and whether these are all
+    beginnings. beyond is not a number where rows that go on are left out."""
+    by_count = nodes.groupBy("count").agg(F.count("*").alias("n"))
+    total = nodes.count()
+    least = 0
+    if total > size:  # the counts are few numbers, but for the largest ones, which don't decide
+        rarest = by_count.orderBy("count").limit(100_000).toPandas()
+        left = total - np.cumsum(rarest["n"].to_numpy())
+        least = int(rarest["count"].to_numpy()[np.flatnonzero(left <= size)[0]]) + 1
+
+    def hashed(batches):
+        for b in batches:
+            h = _hashes(b.column("beginning").to_pylist()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), b.column("ratio"), b.column("beyond")], names=["h", "ratio", "beyond"])
+
+    beyond = F.when(F.col("least") < least, F.lit(float("nan"))).otherwise(F.col("beyond")).cast("float").alias("beyond")
+    rows = nodes.where(F.col("count") >= least).select("beginning", "ratio", beyond).mapInArrow(hashed, "h bigint, ratio float, beyond float").toPandas()
+    h = rows["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], rows["ratio"].to_numpy(np.float32)[order], rows["beyond"].to_numpy(np.float32)[order], least == 0
 
 
 def _marked(word: str) -> str:
@@ -201,54 +183,65 @@ def _marked(word: str) -> str:
 
 
 class _Scorer:
-    def __init__(self, head: dict[str, tuple[float, float | None]]):
-        self.head = head
+    def __init__(self, head: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        self.hashes, self.ratio, self.beyond = head
         self.known: dict[str, float | tuple[float | None, tuple[str, ...]]] = {}
 
-    def word(self, marked: str) -> float | None:
-        """The log-likelihood ratio of a word; null if the head leaves it open."""
-        value, beyond = self.head[_START]
-        for i in range(2, len(marked) + 1):
-            found = self.head.get(marked[:i])
-            if found is None:
-                return None if beyond is None else value + beyond
-            value, beyond = value + found[0], found[1]
-        return value
-
-    def expression(self, token: str) -> float | tuple[float | None, tuple[str, ...]]:
-        """The highest log-likelihood ratio of the words of a token, 0 without a letter; or the highest of those that
-        the head decides, and the open words."""
-        words = {_marked(w) for w in _WORD.findall(token.lower())}
-        values = {w: self.word(w) for w in words}
-        best = max([v for v in values.values() if v is not None], default=None)
-        left = tuple(w for w, v in values.items() if v is None)
-        return (best, left) if left else best or 0.0
-
-    def evidence(self, text: str | None) -> tuple[int, list[float], float, list[tuple]]:
-        """The tokens, the five highest decided expressions, the sum of decided evidence, and (count, value, words) of
-        the open tokens."""
-        tokens = (text or "").split()
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        left = []
-        for t in {*tokens}:
-            if t not in known:
-                known[t] = self.expression(t)
-            if type(known[t]) is tuple:
-                left.append(t)
+    def values(self, marked: list[str]) -> list[float | None]:
+        """The log-likelihood ratios of words, all read letter by letter together; null where the head leaves one open."""
+        letters, length, h = _steps(marked)
+        value, beyond = np.zeros(len(marked)), np.zeros(len(marked))
+        on = np.arange(len(marked))
+        for i in range(letters.shape[1]):
+            on = on[length[on] > i]
+            h[on] = _onward(h[on], letters[on, i])
+            at = np.minimum(np.searchsorted(self.hashes, h[on]), len(self.hashes) - 1)
+            found = self.hashes[at] == h[on]
+            value[on[~found]] += beyond[on[~found]]
+            on, at = on[found], at[found]
+            value[on] += self.ratio[at]
+            beyond[on] = self.beyond[at]
+        return [None if v != v else v for v in value.tolist()]
+
+    def learn(self, tokens: set[str]) -> None:
+        """The highest log-likelihood ratio of the words of each token, 0 without a letter; or the highest of those
+        that the head decides, and the open words."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = {t: tuple({_marked(w) for w in _WORD.findall(t.lower())}) for t in tokens if t not in self.known}
+        words = list({w for ws in new.values() for w in ws})
+        values = dict(zip(words, self.values(words), strict=True)) if words else {}
+        for t, ws in new.items():
+            best = max([v for w in ws if (v := values[w]) is not None], default=None)
+            left = tuple(w for w in ws if values[w] is None)
+            self.known[t] = (best, left) if left else best or 0.0
+
+    def batch(self, texts: list[str | None]) -> list[list[str]]:
+        """The tokens of texts, which it learns together."""
+        split = [(t or "").split() for t in texts]
+        self.learn({t for s in split for t in s})
+        return split
+
+    def evidence(self, tokens: list[str]) -> tuple[int, list[float], float, float, list[tuple]]:
+        """The tokens, the five highest decided expressions, the sums of all and of toxic evidence that is decided, and
+        (count, value, words) of the open tokens."""
+        known, different = self.known, {*tokens}
+        if not known.keys() >= different:
+            self.learn(different)
+        left = [t for t in different if type(known[t]) is tuple]
         values = list(map(known.__getitem__, tokens))
         if left:
             times = Counter(t for t in tokens if type(known[t]) is tuple)
             left = [(times[t], *known[t]) for t in left]
             values = [v for v in values if type(v) is not tuple]
-        return len(tokens), heapq.nlargest(5, values), sum([x for x in values if x > EVIDENCE]), left
+        return len(tokens), heapq.nlargest(5, values), math.fsum(values), math.fsum([x for x in values if x > EVIDENCE]), left
 
-    def features(self, text: str | None) -> tuple[float, ...]:
-        """The second highest expression, the mean of the five highest, the evidence a word, and log length."""
-        n, top, evidence, _ = self.evidence(text)
+    def features(self, tokens: list[str]) -> tuple[float, ...]:
+        """The difference a word, the second highest expression, the mean of the five highest, the toxic evidence a
+        word, and log length."""
+        n, top, total, evidence, _ = self.evidence(tokens)
         top = [*top, 0.0, 0.0, 0.0, 0.0, 0.0]
-        return top[1], sum(top[:5]) / 5, evidence / max(1, n), math.log1p(n)
+        return total / max(1, n), top[1], sum(top[:5]) / 5, evidence / max(1, n), math.log1p(n)
 
 
 _models: dict[str, _Scorer] = {}
@@ -286,7 +279,7 @@ def _with_features(rows: DataFrame, text: str, shared, nodes: DataFrame | None)
     def run(batches):
         scorer = _scorer(shared)
         for b in batches:
-            found = [scorer.features(t) for t in b.column(text).to_pylist()]
+            found = [scorer.features(t) for t in scorer.batch(b.column(text).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([f[i] for f in found], pa.float64()) for i in range(len(FEATURES))]], names=[*keep, *FEATURES])
 
     if nodes is None:
@@ -297,25 +290,29 @@ def _with_features(rows: DataFrame, text: str, shared, nodes: DataFrame | None)
     def decide(batches):
         scorer = _scorer(shared)
         for b in batches:
-            n, top, evidence, left = zip(*[scorer.evidence(t) for t in b.column(1).to_pylist()], strict=True) if b.num_rows else ((), (), (), ())
+            found = [scorer.evidence(t) for t in scorer.batch(b.column(1).to_pylist())]
+            n, top, total, evidence, left = zip(*found, strict=True) if found else ((), (), (), (), ())
             left = [[{"times": t, "best": v, "words": w} for t, v, w in some] for some in left]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(top, pa.list_(pa.float64())), pa.array(evidence, pa.float64()), pa.array(left, open_)], names=["the row", "n", "top", "evidence", "left"])
+            columns = [pa.array(n, pa.int64()), pa.array(top, pa.list_(pa.float64())), pa.array(total, pa.float64()), pa.array(evidence, pa.float64()), pa.array(left, open_)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["the row", "n", "top", "total", "evidence", "left"])
 
     rows = written(rows.withColumn("the row", F.monotonically_increasing_id()), "toxicity-rows")
-    decided = rows.select("the row", text).mapInArrow(decide, "`the row` long, n long, top array<double>, evidence double, left array<struct<times: long, best: double, words: array<string>>>")
+    decided = rows.select("the row", text).mapInArrow(decide, "`the row` long, n long, top array<double>, total double, evidence double, left array<struct<times: long, best: double, words: array<string>>>")
     decided = written(decided, "toxicity-decided")
     tokens = decided.select("the row", F.posexplode("left").alias("at", "t")).select("the row", "at", "t.times", "t.best", F.explode("t.words").alias("word"))
     values = _values(tokens.select("word").distinct(), nodes)
     tokens = tokens.join(values, "word").groupBy("the row", "at").agg(F.first("times").alias("times"), F.greatest(F.max("best"), F.max("value")).alias("value"))
     of_five = F.sort_array(F.flatten(F.collect_list(F.array_repeat("value", F.least("times", F.lit(5)).cast("int")))), asc=False)
-    joined = tokens.groupBy("the row").agg(F.slice(of_five, 1, 5).alias("more"), F.sum(F.when(F.col("value") > EVIDENCE, F.col("value") * F.col("times")).otherwise(0.0)).alias("more_evidence"))
+    total = F.sum(F.col("value") * F.col("times")).alias("more_total")
+    joined = tokens.groupBy("the row").agg(F.slice(of_five, 1, 5).alias("more"), total, F.sum(F.when(F.col("value") > EVIDENCE, F.col("value") * F.col("times")).otherwise(0.0)).alias("more_evidence"))
     both = decided.drop("left").join(joined, "the row", "left")
     top = F.slice(F.sort_array(F.concat("top", F.coalesce("more", F.array().cast("array<double>"))), asc=False), 1, 5)
     both = both.withColumn("five highest", top)
     second = F.coalesce(F.get("five highest", F.lit(1)), F.lit(0.0))
     five = F.aggregate("five highest", F.lit(0.0), lambda a, x: a + x) / 5
+    difference = (F.col("total") + F.coalesce("more_total", F.lit(0.0))) / F.greatest("n", F.lit(1))
     density = (F.col("evidence") + F.coalesce("more_evidence", F.lit(0.0))) / F.greatest("n", F.lit(1))
-    found = both.select("the row", *[c.alias(f) for f, c in zip(FEATURES, (second, five, density, F.log1p("n")), strict=True)])
+    found = both.select("the row", *[c.alias(f) for f, c in zip(FEATURES, (difference, second, five, density, F.log1p("n")), strict=True)])
     return rows.join(found, "the row").select(*keep, *FEATURES)
 
 
@@ -350,37 +347,43 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Learns from rows of (doc_id, text) that have a label (doc_id, toxic) and aren't held out. Counts cover all of
-    them but every fifth, which go to the curve, at most CALIBRATION_ROWS. Without labels of both classes there is
-    nothing to compare, and every document gets the share of toxic labels."""
+    """Learns from rows of (doc_id, text) that have a label (doc_id, toxic) and aren't held out. One label in
+    CALIBRATION_SHARE of each class, at most CALIBRATION_ROWS, goes to the curve; counts cover all others. Ids with
+    several labels are toxic if one says so. Without two labels of both classes there is nothing to compare, and every
+    document gets the share of toxic labels."""
     spark = docs.sparkSession
     prepare(spark)
     labels = labels.where("doc_id is not null and toxic in (0, 1)").where(F.coalesce(crc_mod("doc_id", 3) != 1, F.lit(False)))
     labels = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    labels = labels.withColumn("fold", fold(F.col("doc_id"), CALIBRATION_FOLDS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = labels.where("fold <> 0")
-    counted = rows.join(F.broadcast(counted) if counted.count() <= BROADCAST_LABELS else counted, "doc_id")
+    many = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    share = many.get(1, 0) / max(1, sum(many.values()))
+    order = (F.xxhash64("doc_id", F.lit(1)), "doc_id")
+    taken = {c: min(CALIBRATION_ROWS, max(1, many.get(c, 0) // CALIBRATION_SHARE)) for c in (0, 1)}
+    chosen = labels.where("toxic = 0").orderBy(*order).limit(taken[0]).union(labels.where("toxic = 1").orderBy(*order).limit(taken[1]))
+    chosen = written(chosen, "toxicity-chosen")  # bounded, so it can go to every executor
+    counted = labels.join(F.broadcast(chosen), "doc_id", "left_anti")
+    counted = rows.join(F.broadcast(counted) if sum(many.values()) <= BROADCAST_LABELS else counted, "doc_id")
     grams = written(_grams(_word_counts(counted)), "toxicity-grams")
     nodes = written(_nodes(grams), "toxicity-nodes")
-    head = _head(nodes, WINDOWS)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, head))
-    left = nodes if nodes.count() > len(head) else None
-    chosen = labels.where("fold = 0").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(CALIBRATION_ROWS)
-    sample = rows.join(F.broadcast(chosen), "doc_id")  # bounded
-    if not head:
-        y = sample.select("toxic").toPandas()["toxic"].to_numpy()
-        return ToxicityModel(shared, None, None, float(y.mean()) if len(y) else 0.0)
-    seen = _with_features(sample.select("toxic", "text"), "text", shared, left).drop("text").toPandas()
-    y = seen["toxic"].to_numpy()
-    if len(set(y.tolist())) < 2:
-        return ToxicityModel(shared, None, None, float(y.mean()) if len(y) else 0.0)
-    return ToxicityModel(shared, left, fit_curve(seen[list(FEATURES)].to_numpy(), y), 0.0)
+    discard(grams)
+    *head, whole = _head(nodes, WINDOWS)
+    seen = None
+    if len(head[0]):
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, tuple(head)))
+        left = None if whole else nodes
+        sample = rows.join(F.broadcast(chosen), "doc_id")
+        seen = _with_features(sample.select("toxic", "text"), "text", shared, left).drop("text").toPandas()
+    discard(chosen)
+    if seen is None or len(set(seen["toxic"].tolist())) < 2:
+        return ToxicityModel(None, None, None, share)
+    return ToxicityModel(shared, left, fit_curve(seen[list(FEATURES)].to_numpy(), seen["toxic"].to_numpy(), penalty=1.0), 0.0)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     """The toxicity of every whole text, learned from labels that aren't held out. Rows with a null id are scored like
-    others and count as not held out."""
+    others and count as not held out. Rows that repeat an id are scored one by one, whatever their texts; a label
+    counts for all of them. Null texts are empty; an empty table gives no row."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = fit(docs, table(spark, sf_dir, "labels")).score(docs)
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
