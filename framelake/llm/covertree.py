@@ -7,25 +7,30 @@ stay centres on every deeper level. Every node knows its true covering radius.
 
 Pairs of cells, then pairs of nodes, are pruned where their centres are further apart than both radii and the
 threshold together, and taken whole where they are that near; the others are opened. What is left at the leaves is
-decided by the dot product in double precision, so the pairs are exact.
+decided by the dot product in double precision, so the pairs are exact. Blocks meet in tiles of several blocks against
+several, so a tree travels once for each tile and not for each other block.
 
 Links are counted, not listed: a task returns the links of each vector and a forest that spans its linked vectors.
 """
 
 from __future__ import annotations
 
+import functools
 import io
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import prepare, table, written
+from framelake.llm.common import discard, prepare, table, written
 from framelake.llm.components import components
 
 #: Vectors of a block, about.
 BLOCK = 6144
+#: Blocks of a tile's side at most.
+TOGETHER = 8
 #: Vectors of the sample from which the anchors come, and the most anchors.
 SAMPLE = 8192
 ANCHORS = 1024
@@ -73,7 +78,8 @@ def _cover(x: np.ndarray, members: np.ndarray, radius: float) -> tuple[np.ndarra
 class CoverTree:
     """Nodes in breadth-first order; a node's vectors are a range of `x`, its children a range of nodes."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, copies: np.ndarray):
+    def __init__(self, raw: np.ndarray, ids: np.ndarray, copies: np.ndarray):
+        x = _unit(raw)
         order = np.arange(len(x))
         nodes = [(0, 0, len(x), 0)]  # centre (an index of the input), range in order, level
         kids: list[tuple[int, int]] = []
@@ -94,14 +100,14 @@ class CoverTree:
         place = np.empty(len(x), dtype=np.int64)
         place[order] = np.arange(len(x))
         table_ = np.array(nodes, dtype=np.int64).reshape(-1, 4)
-        self.x, self.ids, self.copies = x[order], ids[order], copies[order]
+        self.raw, self.x, self.ids, self.copies = raw[order], x[order], ids[order], copies[order]
         self.centre, self.lo, self.hi = place[table_[:, 0]], table_[:, 1], table_[:, 2]
         self.kids = np.array(kids, dtype=np.int64).reshape(-1, 2)
         self.radius = np.zeros(len(nodes))
         for i in np.flatnonzero(self.hi - self.lo > 1):
             self.radius[i] = _chord(self.x[self.lo[i] : self.hi[i]] @ self.x[self.centre[i]]).max()
 
-    _PARTS = ("x", "ids", "copies", "centre", "lo", "hi", "kids", "radius")
+    _PARTS = ("raw", "ids", "copies", "centre", "lo", "hi", "kids", "radius")
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -114,6 +120,7 @@ class CoverTree:
         with np.load(io.BytesIO(data)) as parts:
             for k in cls._PARTS:
                 setattr(self, k, parts[k])
+        self.x = _unit(self.raw)
         return self
 
     def below(self, nodes: np.ndarray) -> np.ndarray:
@@ -288,64 +295,80 @@ def _anchors(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-def _blocks(vectors: DataFrame, count: int, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """Trees of blocks (block, tree), and the pairs of blocks that may hold links (a, b, side, block)."""
+def _array(column: pd.Series, kind: str) -> np.ndarray:
+    return np.array(column.tolist(), dtype=np.float32 if kind == "array<float>" else np.float64)
+
+
+def _blocks(vectors: DataFrame, count: int, threshold: float, block: int):
+    """Trees (number, cell, tree) of blocks, tiles (a, b, group) of groups of `together` blocks that may hold links, and
+    for each two cells whether they may. Tables that are used up by then are gone."""
     spark = vectors.sparkSession
     kind = vectors.schema["embedding"].dataType.simpleString()
     sample = vectors.orderBy(F.xxhash64("uid")).limit(SAMPLE).select("embedding").toPandas()
-    points = _unit(np.array(sample["embedding"].tolist(), dtype=np.float64))
-    anchors = spark.sparkContext.broadcast(_anchors(points, min(ANCHORS, len(points), max(1, -(-count // block)))))
+    points = _anchors(_unit(_array(sample["embedding"], kind)), min(ANCHORS, len(sample), max(1, -(-count // block))))
+    anchors = spark.sparkContext.broadcast(points)
 
     def assign(batches):
         for pdf in batches:
-            dots = _unit(np.array(pdf["embedding"].tolist(), dtype=np.float64)) @ anchors.value.T
+            dots = _unit(_array(pdf["embedding"], kind)) @ anchors.value.T
             best = dots.argmax(axis=1)
             yield pdf.assign(cell=best.astype("int32"), away=_chord(dots[np.arange(len(pdf)), best]))
 
     placed = written(vectors.mapInPandas(assign, f"uid bigint, copies bigint, embedding {kind}, cell int, away double"), "vectors")
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()  # as many rows as anchors at most
-    parts = {c["cell"]: -(-c["n"] // block) for c in cells}
-    tau = float(_chord(np.array(threshold)))
-    near = [
-        (c["cell"], d["cell"], parts[c["cell"]], parts[d["cell"]])
-        for c in cells
-        for d in cells
-        if c["cell"] <= d["cell"] and _chord(anchors.value[c["cell"]] @ anchors.value[d["cell"]]) <= c["radius"] + d["radius"] + tau + _EPS
-    ]
-    many = F.create_map(*[x for c, p in parts.items() for x in (F.lit(c), F.lit(p))])
-    block_of = F.concat_ws(":", "cell", F.pmod(F.xxhash64("uid"), many[F.col("cell")].cast("long")))
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).orderBy("cell").toPandas()  # a row for each anchor at most
+    number, radius = cells["cell"].to_numpy(), cells["radius"].to_numpy()
+    parts = -(-cells["n"].to_numpy() // block)
+    first = np.cumsum(parts) - parts
+    near = _chord(points[number] @ points[number].T) <= radius[:, None] + radius[None, :] + float(_chord(np.array(threshold))) + _EPS
+
+    of = spark.createDataFrame(list(zip(range(len(cells)), *(x.tolist() for x in (number, parts, first)), strict=True)), "at int, cell int, parts long, first long")
+    numbered = placed.join(F.broadcast(of), "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("uid"), F.col("parts")))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uid")
-        x = _unit(np.array(pdf["embedding"].tolist(), dtype=np.float64))
-        tree = CoverTree(x, pdf["uid"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64))
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "tree": [tree.dump()]})
-
-    trees = written(placed.withColumn("block", block_of).groupBy("block").applyInPandas(build, "block string, tree binary"), "trees")
-    pairs = spark.createDataFrame(near, "c int, d int, cn int, dn int")
-    pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cn") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("dn") - 1))).where("c < d or i <= j")
-    pairs = pairs.select(F.concat_ws(":", "c", "i").alias("a"), F.concat_ws(":", "d", "j").alias("b"))
-    sides = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("block")).union(pairs.where("a <> b").select("a", "b", F.lit(1), "b"))
-    return trees, sides
+        tree = CoverTree(_array(pdf["embedding"], kind), pdf["uid"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64))
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "at": [pdf["at"].iloc[0]], "tree": [tree.dump()]})
+
+    trees = written(numbered.select("block", "at", "uid", "copies", "embedding").groupBy("block").applyInPandas(build, "block bigint, at int, tree binary"), "trees")
+    discard(placed)
+    # so many blocks together that there are a few tiles for each core, and that their trees fit in a task
+    together = int(min(TOGETHER, max(1, parts.sum() // math.sqrt(4 * spark.sparkContext.defaultParallelism))))
+    i, j = np.nonzero(np.triu(near))
+    pairs = spark.createDataFrame(pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32")}))
+    ends = of.select("at", F.floor(F.col("first") / together).alias("lo"), F.floor((F.col("first") + F.col("parts") - 1) / together).alias("hi"))
+    ends = F.broadcast(ends)
+    groups = lambda side, name: F.explode(F.sequence(f"{side}_lo", f"{side}_hi")).alias(name)
+    tiles = pairs.join(ends.toDF("i", "i_lo", "i_hi"), "i").join(ends.toDF("j", "j_lo", "j_hi"), "j")
+    tiles = tiles.select("j_lo", "j_hi", groups("i", "p")).select("p", groups("j", "q")).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    tiles = tiles.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("group"))
+    return trees.withColumn("group", F.floor(F.col("block") / together)), tiles, near
 
 
 def links(vectors: DataFrame, threshold: float = 0.9, block: int = BLOCK) -> DataFrame:
-    """(u, v, links) over distinct vectors (uid, copies, embedding) of one dimension: rows with u = v count the rows
-    that u is linked with, others are edges that span what is linked."""
+    """(u, v, links) over distinct vectors (uid, copies, embedding) of one dimension, written: rows with u = v count the
+    rows that u is linked with, others are edges that span what is linked."""
     count = vectors.count()
-    empty = vectors.sparkSession.createDataFrame([], "u bigint, v bigint, links bigint")
+    spark = vectors.sparkSession
     if not count:
-        return empty
-    trees, sides = _blocks(vectors, count, threshold, block)
+        return spark.createDataFrame([], "u bigint, v bigint, links bigint")
+    trees, tiles, near = _blocks(vectors, count, threshold, block)
+    near = spark.sparkContext.broadcast(near)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("side")
-        found = [CoverTree.load(t) for t in pdf["tree"]]
-        same = len(found) == 1
-        u, v, n = dual_traversal(found[0], found[-1], same, threshold).result()
-        return pd.DataFrame({"u": u, "v": v, "links": n})
-
-    return sides.join(trees, "block").groupBy("a", "b").applyInPandas(meet, "u bigint, v bigint, links bigint")
+        a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
+        found = [(n, g, at, CoverTree.load(t)) for n, g, at, t in zip(pdf["block"], pdf["group"], pdf["at"], pdf["tree"], strict=True)]
+        parts = []
+        for m, g, c, s in found:
+            for n, h, d, t in found:
+                if g == a and h == b and (a < b or m <= n) and near.value[c, d]:
+                    parts.append(pd.DataFrame(dict(zip(("u", "v", "links"), dual_traversal(s, t, m == n, threshold).result(), strict=True))))
+        out = pd.concat(parts) if parts else pd.DataFrame({"u": [], "v": [], "links": []}).astype("int64")
+        return out.groupby(["u", "v"], as_index=False).sum()
+
+    joined = tiles.join(trees.select("block", "at", "tree", "group"), "group")
+    found = written(joined.groupBy("a", "b").applyInPandas(meet, "u bigint, v bigint, links bigint"), "links")
+    discard(trees)
+    return found
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = BLOCK) -> DataFrame:
@@ -353,28 +376,35 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = BLO
 
     Equal vectors are one point with a number of copies, so a group of copies costs one row. Vectors that are null,
     zero or hold null or non-finite components, and rows without an id, link with nothing; rows with a null id have a
-    null component and aren't kept. Vectors of different dimensions never link. Repeated rows link with each other.
+    null component and aren't kept. Vectors of different dimensions never link. Repeated rows link with each other;
+    rows that share an id but not the vector are vectors of their own. An empty table gives no row.
     """
-    prepare(vectors.sparkSession, 4096)
+    spark = vectors.sparkSession
+    prepare(spark)
     kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     usable = F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
     keyed = rows.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("h1", F.when(F.col("usable"), F.xxhash64("embedding"))).withColumn("h2", F.when(F.col("usable"), F.hash("embedding", F.lit(1))))
-    distinct = written(keyed.where("usable").groupBy("h1", "h2").agg(F.min("vec_id").alias("uid"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding")), "distinct")
-    found = None
+    distinct = keyed.where("usable").groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding"))
+    distinct = written(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct")  # written, so the numbers stay
+    found = []
     for row in distinct.select(F.size("embedding").alias("d")).distinct().collect():  # dimensions of a table: a handful
-        some = links(distinct.where(F.size("embedding") == row["d"]).select("uid", "copies", "embedding"), threshold, block)
-        found = some if found is None else found.unionByName(some)
+        found.append(links(distinct.where(F.size("embedding") == row["d"]).select("uid", "copies", "embedding"), threshold, block))
     members = keyed.select("vec_id", "h1", "h2")
-    if found is None:
+    if not found:
         return members.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    found = written(found, "links")
-    counts = found.where("u = v").groupBy(F.col("u").alias("uid")).agg(F.sum("links").alias("links"))
-    parts = components(found.where("u <> v").select("u", "v")).select(F.col("id").alias("uid"), "component")
-    points = distinct.select("h1", "h2", "uid", "copies").join(counts, "uid", "left").join(parts, "uid", "left")
-    points = points.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "uid").alias("component"))
-    return members.join(points, ["h1", "h2"], "left").select(
+    all_links = functools.reduce(DataFrame.unionByName, found)
+    counts = all_links.where("u = v").groupBy(F.col("u").alias("uid")).agg(F.sum("links").alias("links"))
+    parts = components(all_links.where("u <> v").select("u", "v"))
+    points = distinct.select("h1", "h2", "uid", "first", "copies").join(counts, "uid", "left").join(parts.withColumnRenamed("id", "uid"), "uid", "left")
+    points = points.select("h1", "h2", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "uid").alias("part"))
+    points = written(points, "points")
+    least = written(points.groupBy("part").agg(F.min("first").alias("component")), "least-of-parts")
+    # written, so that both sides of the joins come from shuffles and Spark splits the rows of a large group
+    named = written(points.join(least, "part").select("h1", "h2", "n", "component"), "named-points")
+    discard(distinct, parts, points, least, *found)
+    return members.join(named, ["h1", "h2"], "left").select(
         "vec_id",
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),

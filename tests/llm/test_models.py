@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from framelake.llm import language, pii, quality, toxicity
+from tests.llm.plain_kneser_ney import KneserNey
 
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
@@ -50,9 +51,7 @@ def private_texts():
 
 @pytest.fixture(scope="module")
 def crf():
-    model = pii.SemiMarkov()
-    model.train(pii._examples(private_texts()))
-    return model
+    return pii.train(pii._examples(private_texts()))
 
 
 def test_added_spans(crf):
@@ -63,14 +62,46 @@ def test_added_spans(crf):
         assert pii.spans(text, crf)[1] == []
 
 
+@pytest.fixture(scope="module")
+def learned(spark):
+    """A model of every other document of the small tables, and the documents left out."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 4 < 2").select("doc_id", "text")
+    model = pii.learn(docs.where("doc_id % 2 = 0"))
+    return model, [r["text"] for r in docs.where("doc_id % 2 = 1").where(F.col("text").rlike(pii._LIKELY)).collect()], docs
+
+
+def test_recall_and_precision_on_texts_left_out(learned):
+    """Data rewritten in other texts than the learned ones: nine in ten are found, and what is found is right."""
+    model, texts, _ = learned
+    parts = [m.group() for t in texts for m in re.finditer(r"[^\n]{0,120}(?:" + pii._LIKELY + r")[^\n]{0,120}", t)]
+    examples = pii._examples(parts, seed=99)
+    wanted = found = right = 0
+    for text, tokens, gold in examples:
+        base = pii.base_spans(text)
+        apart = {(tokens[i][0], tokens[j - 1][1], k) for i, j, k in gold}
+        apart = {g for g in apart if not any(x < g[1] and g[0] < y for x, y, _ in base)}
+        added = set(pii.spans(text, model)[1]) - set(base)
+        wanted, found, right = wanted + len(apart), found + len(added), right + len(added & apart)
+    print(f"{wanted} rewritten, {found} found, {right} right; margin {model.margin}, {model.report}")
+    assert wanted > 100 and right >= 0.9 * wanted and right >= 0.9 * found
+
+
+def test_known_rewritings(learned):
+    model = learned[0]
+    for text, kind, part in (
+        ("please call (555) 010-4477 today", "phone", "(555) 010-4477"),
+        ("the address is 10. 0. 0. 1 there", "ip", "10. 0. 0. 1"),
+        ("write to john.doe @ example . com now", "email", "john.doe @ example . com"),
+    ):
+        at = text.index(part)
+        assert (at, at + len(part), kind) in pii.spans(text, model)[1], text
+
+
 def test_decoding_is_the_best_segmentation(crf):
     """The dynamic programme against all segmentations of a short region."""
     text = "tel 555 0100 at 10.1.2.3"
     tokens = [m.span() for m in pii._TOKEN.finditer(text)]
-    scored = {}
-    for j, some in enumerate(crf._segments(text, tokens), 1):
-        for i, kind, features in some:
-            scored[i, j, kind] = crf._score(features)
+    scored = {(i, j, k): s for i, j, features in pii._segments(text, tokens) for k, s in zip(pii.KINDS, crf.scores(features), strict=True)}
 
     def best(at):
         if at == len(tokens):
@@ -80,17 +111,43 @@ def test_decoding_is_the_best_segmentation(crf):
     assert sum(s for *_, s in crf.decode(text, tokens)) == pytest.approx(best(0))
 
 
-def test_gradient(crf):
-    """The gradient of the log-likelihood against finite differences."""
-    text = "at 10.1.2.3 x"
-    tokens = [m.span() for m in pii._TOKEN.finditer(text)]
-    gold = {(1, 8, "ip")}
-    model = pii.SemiMarkov(dict(crf.weights))
-    value, grad = model.gradient(text, tokens, gold)
-    for f in sorted(grad, key=lambda f: -abs(grad[f]))[:5]:
-        model.weights[f] += 1e-5
-        assert (model.gradient(text, tokens, gold)[0] - value) / 1e-5 == pytest.approx(grad[f], abs=1e-3)
-        model.weights[f] -= 1e-5
+def test_gradient():
+    """Log-likelihood against the sum over all segmentations, and its gradient against finite differences."""
+    texts = ["at 10.1.2.3 x", "call 555 0100", "a@b.c"]
+    examples = [(t, [m.span() for m in pii._TOKEN.finditer(t)], g) for t, g in zip(texts, ({(1, 8, "ip")}, {(1, 3, "phone")}, set()), strict=True)]
+    ids = {f: i for i, f in enumerate(sorted({f for t, tokens, _ in examples for *_, fs in pii._segments(t, tokens) for f in fs}))}
+    batch = pii._Batch(examples, ids)
+    w = np.random.default_rng(0).normal(size=(len(ids), 4)) * 0.3
+    value, grad = batch.gradient(w)
+
+    def total(text, tokens, at):
+        if at == len(tokens):
+            return 1.0
+        ways = total(text, tokens, at + 1)
+        for i, j, features in pii._segments(text, tokens):
+            if i == at:
+                ways += np.exp(w[[ids[f] for f in features]].sum(axis=0)).sum() * total(text, tokens, j)
+        return ways
+
+    expected = 0.0
+    for text, tokens, gold in examples:
+        for i, j, features in pii._segments(text, tokens):
+            expected += sum(w[[ids[f] for f in features], k].sum() for k, kind in enumerate(pii.KINDS) if (i, j, kind) in gold)
+        expected -= np.log(total(text, tokens, 0))
+    assert value == pytest.approx(expected)
+    for at in [(0, 0), (3, 1), (len(ids) - 1, 3), *zip(*np.unravel_index(np.argsort(-np.abs(grad), axis=None)[:4], grad.shape), strict=True)]:
+        more = w.copy()
+        more[at] += 1e-6
+        assert (batch.gradient(more)[0] - value) / 1e-6 == pytest.approx(grad[at], abs=1e-3)
+
+
+def test_long_runs_and_long_tokens(crf):
+    """A sign far inside a run without blanks, and runs of a million characters."""
+    text = "x" * 500 + "-call-" + "y" * 90 + " 10. 0. 0. 1"
+    assert pii._regions("ab" * 300 + "7" + "cd" * 300)[0][0][0] == 0
+    assert pii.spans(text, crf)[0] == []
+    for odd in ("é" * 1_000_000 + "1", "1," * 100_000, "@" * 100_000, "7" * 1_000_000):
+        assert isinstance(pii.spans(odd, crf)[1], list)
 
 
 def test_pii_query(spark, make_docs, folder, odd):
@@ -108,8 +165,8 @@ def test_pii_query(spark, make_docs, folder, odd):
 
 def test_masking(spark, make_docs):
     df = make_docs(["mail a@b.cd now", None, "nothing"])
-    assert [r["text"] for r in pii.with_spans(df, {}, mask=True).orderBy("doc_id").collect()] == ["mail [EMAIL] now", None, "nothing"]
-    assert pii.learn(df.where(F.lit(False))) == {}
+    assert [r["text"] for r in pii.with_spans(df, pii.SemiMarkov(), mask=True).orderBy("doc_id").collect()] == ["mail [EMAIL] now", None, "nothing"]
+    assert pii.learn(df.where(F.lit(False))) == pii.SemiMarkov()
 
 
 def toxic_tables(make_docs, n=500):
@@ -156,14 +213,45 @@ def test_toxicity_without_labels(spark, make_docs, folder):
     assert {(r["score"], r["predicted"]) for r in toxicity.op3_toxicity(spark, d).collect()} == {(0.0, 0)}
 
 
+def grams_of(words):
+    """Rows (gram, ordinary, toxic) of (word, ordinary, toxic)."""
+    rows = {}
+    for word, *counts in words:
+        marked, padded = f"^{word}$"[: toxicity.BEGINNING], f"^^^{word}$"
+        for gram in ["<" + marked[:i] for i in range(2, len(marked) + 1)] + ["=" + padded[i : i + 4] for i in range(len(word) + 1)]:
+            row = rows.setdefault(gram, [0, 0])
+            rows[gram] = [a + b for a, b in zip(row, counts, strict=True)]
+    return [(g, *v) for g, v in rows.items()]
+
+
 def test_kneser_ney_is_a_distribution():
-    rows = [("=" + g, n, m) for g, n, m in (("^^^a", 5, 2), ("^^ab", 4, 1), ("^ab$", 4, 1), ("^^a$", 1, 1))] + [("<^a", 5, 2), ("<^ab", 4, 1), ("<^ab$", 4, 1), ("<^a$", 1, 1)]
-    model = toxicity.KneserNey(rows)
+    """Over the letters, the end and one more for all unseen letters, the chances of each context sum to 1."""
+    model = KneserNey(grams_of([("ab", 4, 1), ("a", 1, 1), ("bac", 3, 0), ("abc", 0, 2)]))
     for toxic in (0, 1):
-        for context in ("^", "^a"):
-            total = sum(model.probability(context + c, toxic) for c in "ab$^") + model.probability(context + "?", toxic)
-            assert 0.9 < total < 1.3
-    assert model.ratio("^zz") == 0.0
+        for context in ("^", "^a", "^ab", "^abc", "^b", "^ca"):
+            assert sum(model.probability(context + c, toxic) for c in "abc$?") == pytest.approx(1.0, abs=1e-12)
+    assert model.word("zz") == pytest.approx(model.ratio("^z")) and model.word("bac") < 0
+
+
+def test_scores_by_definition(spark, make_docs):
+    """Features of documents against the plain model of the same counts."""
+    docs, labels = toxic_tables(make_docs, 120)
+    docs = docs.unionByName(make_docs([(900, "vilgrumation-x MO 12 grotz"), (901, ""), (902, None), (903, "lenok " * 40 + "slurbeken")]))
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    names = ["difference", "second", "five", "density", "length"]
+    rows = toxicity._with_features(docs.select("doc_id", "text"), "text", model.shared, None).collect()
+    learnable = sorted((zlib.crc32(str(i).encode()), i, t) for i, _, t in labels if zlib.crc32(str(i).encode()) % 3 != 1)
+    order = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(1)).alias("h")).collect()}
+    counts = {}
+    for c in (0, 1):
+        some = sorted([i for _, i, t in learnable if t == c], key=lambda i: (order[i], i))
+        for i in some[max(1, len(some) // toxicity.CALIBRATION_SHARE) :]:
+            for w in re.findall(r"[^\W\d_]+", next(r["text"] for r in rows if r["doc_id"] == i).lower()):
+                counts.setdefault(w, [0, 0])[c] += 1
+    plain = KneserNey(grams_of([(w, *n) for w, n in counts.items()]))
+    assert len(rows) == 124
+    for r in rows:
+        assert [r[n] for n in names] == pytest.approx(plain.features(r["text"] or ""), abs=2e-5), r["text"]
 
 
 def test_rare_beginnings_count(spark, make_docs, monkeypatch):
@@ -182,17 +270,28 @@ def test_rare_beginnings_count(spark, make_docs, monkeypatch):
 
 
 def test_tables_have_the_ratios(spark):
-    words = ["vilgrum", "vilgar", "ranok", "ravel", "mo", "a", "slurbek", "ravelling"]
+    words = ["vilgrum", "vilgar", "ranok", "ravel", "mo", "a", "slurbek", "ravelling", "b" * 40]
     counts = spark.createDataFrame([(w, c, n) for i, w in enumerate(words) for c in (0, 1) if (n := (i * 5 + c * 7) % 4)], "token string, toxic int, count long")
     grams = toxicity._grams(counts)
-    plain = toxicity.KneserNey([tuple(r) for r in grams.collect()])
-    new = ["vil", "vilx", "raz", "zz", "ravellers", "slurb", "é"]
+    plain = KneserNey([tuple(r) for r in grams.collect()])
+    new = ["vil", "vilx", "raz", "zz", "ravellers", "slurb", "é", "b" * 50, "b" * 23]
     nodes = toxicity._nodes(grams)
-    scorer = toxicity._Scorer(toxicity._head(nodes, 1000))
+    *head, whole = toxicity._head(nodes, 1000)
+    assert whole and not toxicity._head(nodes, 10)[3] and len(toxicity._head(nodes, 10)[0]) <= 10
+    scored = toxicity._Scorer(head).values([toxicity._marked(w) for w in words + new])
     joined = toxicity._values(spark.createDataFrame([(toxicity._marked(w),) for w in words + new], "word string").distinct(), nodes)
     joined = {r["word"]: r["value"] for r in joined.collect()}
-    for w in words + new:
-        assert abs(scorer.expression(w) - plain.expression(w)) < 1e-9 and abs(joined[toxicity._marked(w)] - plain.expression(w)) < 1e-9
+    for w, v in zip(words + new, scored, strict=True):
+        assert v == pytest.approx(plain.word(w), abs=1e-5) and joined[toxicity._marked(w)] == pytest.approx(plain.word(w), abs=1e-5)
+
+
+def test_toxicity_held_out_on_the_tables(spark):
+    """AUC and catches over the held-out labels of the small tables."""
+    d = "/root/testdata/sf0.01"
+    rows = toxicity.op3_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("toxic is not null").collect()
+    good, bad = [r["score"] for r in rows if not r["toxic"]], [r["score"] for r in rows if r["toxic"]]
+    auc = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
+    assert auc >= 0.93 and np.mean([b >= toxicity.THRESHOLD for b in bad]) >= 0.75 and np.mean([g >= toxicity.THRESHOLD for g in good]) <= 0.05
 
 
 def sentences(lang, n, seed):

@@ -3,10 +3,12 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from framelake.llm import covertree, fingerprints, jaccard
@@ -90,6 +92,23 @@ def test_vector_query(spark, block):
     assert covertree.near_duplicates(df.where("vec_id is null or embedding is null")).count() == 2
 
 
+@pytest.mark.parametrize("block", [8, 5000])
+def test_vectors_at_the_threshold_and_with_repeated_ids(spark, block):
+    """Cosines of 0.9 +- 1e-9, rows that share an id but not the vector, and a large group of copies."""
+    at = lambda cosine: [cosine, math.sqrt(1 - cosine * cosine), 0.0, 0.0]
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, at(0.9 + 1e-9)), (3, at(0.9 - 1e-9)), (4, [0.0, 0.0, 1.0, 0.0]), (4, [0.0, 0.0, 0.0, 1.0])]
+    rows += [(5, [0.0, 0.0, 1.0, 0.001]), (6, [0.0, 0.0, 0.001, 1.0]), (7, [0.0, 0.0, 0.002, 1.0]), (7, [0.0, 0.0, 0.002, 1.0])]
+    rows += [(100 + i, [-1.0, -1.0, -1.0, -1.0]) for i in range(40)]
+    got = covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=block)
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if unit[i] @ unit[j] >= 0.9]
+    root = union_find(len(rows), pairs)
+    least = {r: min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in root}
+    expected = sorted((rows[i][0], sum(i in p for p in pairs), least[root[i]], least[root[i]] == rows[i][0]) for i in range(len(rows)))
+    assert sorted(map(tuple, got.collect())) == expected
+    assert (0, 1) in pairs and (0, 2) not in pairs
+
+
 def word_set(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if w]
     return set(zip(words, words[1:], words[2:], strict=False)) if len(words) >= 3 else {tuple(words)} if words else set()
@@ -162,41 +181,75 @@ def test_hot_lists_are_dealt_out(spark, make_docs, monkeypatch):
     assert got == {i: 0 if i < 40 else i for i in range(45)}
 
 
-def winnow_plain(text, k=8, w=8):
+def winnow_plain(text, hashed, k=8, w=8):
+    """Chosen (hash, position) by the definition."""
     grams = [text[i : i + k] for i in range(len(text) - k + 1)] or ([text] if text else [])
-    return grams, w
+    values = [(hashed(g), -i) for i, g in enumerate(grams)]
+    chosen = {min(values[i : i + w]) for i in range(max(1, len(values) - w + 1))} if values else set()
+    return sorted(((h, -i) for h, i in chosen), key=lambda x: x[1])
+
+
+def gram_hash(gram):
+    return xxhash.xxh64_intdigest(gram.encode(), 42) & (1 << 35) - 1
+
+
+def likeness_plain(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def test_fingerprint_query(spark, make_docs, folder, odd):
+def digest_plain(chosen):
+    return hashlib.sha256(",".join(f"{h << 28 | (1 << 28) - 1 - p:X}" for h, p in chosen).encode()).hexdigest()
+
+
+def test_fingerprint_query(spark, make_docs, folder, odd, monkeypatch):
+    """All columns against the definition, with texts of each length around the window's, emoji, and small chunks."""
+    monkeypatch.setattr(fingerprints, "CHUNK", 50)
+    rng = random.Random(6)
+    some = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
     texts = [*odd, "the quick brown fox jumps over the lazy dog " * 20, "another text altogether, with other words " * 9]
+    texts += [some(n, "ab😀é ") for n in range(0, 70)] + [some(n, "xyz 𝒳\n") for n in (99, 100, 101, 300, 1000, 3)] + ["", "aaaa" * 100]
     d = folder(documents=make_docs([(10 * i, t) for i, t in enumerate(texts)]))
     rows = {r["doc_id"] // 10: r for r in fingerprints.op8_fingerprints(spark, d).collect()}
     plain = [t or "" for t in texts]
+    prints = [winnow_plain(t, gram_hash) for t in plain]
+    assert len(rows) == len(plain)
     for i, t in enumerate(plain):
         nxt = plain[(i - 1) % len(plain)]
         cut = len(t) // 3
         edited = t[: len(t) - cut] + nxt[:cut]
-        assert rows[i]["n_chars"] == len(t) and rows[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= rows[i]["near_edited"] <= 1 and 0 <= rows[i]["near_next"] <= 1
+        other = winnow_plain(edited, gram_hash)
+        r = rows[i]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == digest_plain(prints[i]) and r["edited_fingerprint"] == digest_plain(other), repr(t)
+        assert r["near_edited"] == pytest.approx(likeness_plain(prints[i], other))
+        assert r["near_next"] == pytest.approx(likeness_plain(prints[i], prints[(i - 1) % len(plain)]))
+        assert r["n_grams"] == len(prints[i])
     assert rows[5]["fingerprint"] == rows[6]["fingerprint"] != rows[7]["fingerprint"]
-    n = len(texts)
-    assert rows[n - 2]["near_edited"] > 0.4 > rows[n - 2]["near_next"]
 
 
-def test_winnowing_by_definition(spark):
-    """The chosen grams are the rightmost minima of all windows, with their positions."""
-    texts = ["", "short", "exactly8", "abcabcabcabcabcabcabcabc", "the quick brown fox jumps over the lazy dog", "日本語のテキストもあります。日本語のテキストもあります。"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    rows = fingerprints.fingerprints(df).withColumn("all", fingerprints._packed(F.col("text"), 8)).collect()
+def test_fingerprint_of_a_million_characters(spark, make_docs, folder):
+    rng = random.Random(1)
+    long = "".join(rng.choice(["ab", "c d", "😀", "é", "xyz "]) for _ in range(500_000))
+    rows = {r["doc_id"]: r for r in fingerprints.op8_fingerprints(spark, folder(documents=make_docs([(1, long), (2, long + "tail"), (2, "again"), (None, "x")]))).collect() if r["n_chars"] > 9}
+    assert len(long) > 1_000_000
+    for i, text in ((1, long), (2, long + "tail")):
+        assert rows[i]["fingerprint"] == digest_plain(winnow_plain(text, gram_hash))
+
+
+def test_slices(spark):
+    for n in (0, 1, 2, 5, 17, 100):
+        cuts = [3 * i for i in range(n)]
+        df = spark.range(-2, 320).withColumn("slice", fingerprints._slice_of(F.col("id"), cuts))
+        assert all(r["slice"] == sum(c <= r["id"] for c in cuts) for r in df.collect())
+
+
+def test_winnowing_positions(spark):
+    """The chosen grams are the rightmost minima of all windows, with their positions in code points."""
+    texts = ["", "short", "exactly8", "abcabcabcabcabcabcabcabc", "the quick brown fox jumps over the lazy dog", "日本語のテキストもあります。日本語😀のテキストも😀あります。😀😀😀"]
+    rows = fingerprints.fingerprints(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
     for r in rows:
-        packed, k, w = r["all"], 8, 8
-        expected = list(dict.fromkeys(min(packed[i : i + w]) for i in range(max(1, len(packed) - w + 1)))) if packed else []
-        assert [x["position"] for x in r["fingerprint"]] == [(1 << 28) - 1 - (x & ((1 << 28) - 1)) for x in expected]
-        by_hash = [(x >> 28, (1 << 28) - 1 - (x & ((1 << 28) - 1))) for x in packed]
-        for i in range(max(0, len(packed) - w + 1)):
-            window = by_hash[i : i + w]
-            least = min(h for h, _ in window)
-            assert max(p for h, p in window if h == least) in {x["position"] for x in r["fingerprint"]}
+        assert [(x["hash"], x["position"]) for x in r["fingerprint"]] == winnow_plain(r["text"], gram_hash)
 
 
 def test_shared_passages_meet(spark):
