@@ -102,8 +102,9 @@ def packed(docs: DataFrame, tokenizer: str = bytes_bpe.BYTE_BPE, capacity: int =
     cut = written(pieces(docs, tokenizer, capacity, piece), "pieces")
     tokens = cut.select(F.sum("length")).first()[0] or 0
     groups = max(1, round(tokens / (GROUP_WINDOWS * capacity)))
-    # two places in the id for the group and its windows: a window's number stays far below 2^32
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
+    # two places in the id for the group and its windows: a window's number stays far below 2^32. Pieces are dealt by
+    # their place in the written table, so that rows that repeat an id, or have none, don't go to one group
+    group = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)

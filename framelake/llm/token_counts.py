@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm import bytes_bpe
-from framelake.llm.common import prepare, table, written
+from framelake.llm.common import discard, prepare, table, written
 
 HUGE = 32_768
 CHUNK = 16_384
@@ -87,9 +87,13 @@ def huge_counts(texts: DataFrame, tokenizer: str = bytes_bpe.BYTE_BPE, size: int
     texts = texts.select("key", "text")
     found = None
     longest = None
+    # a number of its own, else few small partitions become one although their chunks are much work
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        chunks = _chunks(texts, size, overlap).repartition(F.col("key"), F.col("k"))
-        now = written(_spliced(_encoded(chunks, size, overlap, tokenizer)), "splices")
+        chunks = _chunks(texts, size, overlap).repartition(tasks, F.col("key"), F.col("k"))
+        encoded = written(_encoded(chunks, size, overlap, tokenizer), "encoded-chunks")  # both sides of the splices read it
+        now = written(_spliced(encoded), "splices")
+        discard(encoded)
         done = now.where("n_tokens is not null")
         found = done if found is None else found.unionByName(done)
         failed = now.where("n_tokens is null").select("key")
