@@ -61,13 +61,36 @@ def rewrite_prefix(path: Column, rewrites: list[tuple[str, str]]) -> Column:
     return out
 
 
+#: Folders up to this number, of so many depths, are sent to all executors.
+FEW_FOLDERS = 100_000
+FEW_DEPTHS = 12
+
+
 def longest_prefix(files: DataFrame, folders: DataFrame, path: str = "file_path", root: str = "root") -> DataFrame:
     """`files` with the columns of the folder that is the longest ancestor of the path, whatever its case; null where
-    none is. Every path is exploded to its ancestors and joined on equality, so neither side is scanned for each row
-    of the other, and folders may be many."""
+    none is. Few folders are looked up depth by depth without moving the files; with many, every path is exploded to
+    its ancestors and joined on equality, so neither side is scanned for each row of the other."""
     columns = [c for c in folders.columns if c != root]
     key = F.lower(F.regexp_replace(root, r"[\\/]+$", ""))
     found = folders.withColumn("folder_root", key).dropDuplicates(["folder_root"]).select("folder_root", *columns)
+    found = found.withColumn("depth", F.size(F.split("folder_root", "/")))
+    depths = {r["depth"]: r["count"] for r in found.groupBy("depth").count().limit(FEW_DEPTHS + 1).collect()}
+    parts = F.split(F.lower(F.col(path)), "/")
+    if len(depths) <= FEW_DEPTHS and sum(depths.values()) <= FEW_FOLDERS:
+        out, hits = files, []
+        for depth in sorted(depths, reverse=True):
+            name = f"the folder {depth}"
+            side = found.where(F.col("depth") == depth).select(F.col("folder_root").alias(f"the root {depth}"), F.struct("folder_root", *columns).alias(name))
+            ancestor = F.when(F.size(parts) > depth, F.array_join(F.slice(parts, 1, depth), "/"))
+            out = out.join(F.broadcast(side), ancestor == F.col(f"the root {depth}"), "left")
+            hits.append(F.col(name))
+        best = F.coalesce(*hits) if hits else F.lit(None).cast(found.select(F.struct("folder_root", *columns).alias("s")).schema["s"].dataType)
+        out = out.withColumn("the best", best)
+        return out.select(*[F.col(c) for c in files.columns], *[F.col("the best")[c].alias(c) for c in ("folder_root", *columns)])
+    return _longest_of_many(files, found.drop("depth"), columns, path)
+
+
+def _longest_of_many(files: DataFrame, found: DataFrame, columns: list[str], path: str) -> DataFrame:
     parts = F.split(F.lower(F.col(path)), "/")
     ancestors = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     hits = files.select(F.col(path).alias("the_path"), F.explode(ancestors).alias("folder_root")).distinct().join(found, "folder_root")

@@ -135,3 +135,15 @@ def outcome_pies(ledger: DataFrame, drop_zero: bool = False) -> DataFrame:
     segment = lambda pie, name, value: F.struct(F.lit(pie).alias("pie"), F.lit(name).alias("name"), value.alias("value"))
     rows = c.select(F.explode(F.array(segment("status", "success", F.greatest(zero, F.col("total") - F.col("none"))), segment("status", "noSavings", F.col("none")), segment("status", "error", zero), segment("kind", "video", F.col("video")), segment("kind", "music", F.col("music")), segment("resolution", "4K", F.col("wide")), segment("resolution", "other", F.greatest(zero, F.col("video") - F.col("wide"))))).alias("s")).select("s.*")
     return rows.where("value > 0") if drop_zero else rows
+
+
+def codec_pies(ledger: DataFrame) -> DataFrame:
+    """Segments (pie, name, value): codecs of video and of music that were made, `unknown` for an empty name."""
+    pie = F.when(F.col("kind") == "Video", "video").otherwise("audio").alias("pie")
+    name = F.when(F.coalesce("encoded_codec", F.lit("")) == "", "unknown").otherwise(F.col("encoded_codec"))
+    return ledger.groupBy(pie, name.alias("name")).agg(F.count("*").alias("value"))
+
+
+def size_difference(ledger: DataFrame) -> DataFrame:
+    """Thousandths of the 10^9 bytes that all jobs saved."""
+    return ledger.agg(F.floor(F.coalesce(F.sum("bytes_saved"), F.lit(0)) / 1_000_000).cast("long").alias("size_diff_thousandths"))

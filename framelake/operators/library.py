@@ -109,7 +109,7 @@ def directory_page(files: DataFrame, directory: str, skip: int, take: int) -> Da
 
 def sample(files: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Exactly n files (or all), the same for the same seed: those of least hash."""
-    return files.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    return files.orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), "id").limit(n)
 
 
 def slim(files: DataFrame) -> DataFrame:
@@ -121,6 +121,10 @@ def by_path(files: DataFrame, path: str) -> DataFrame:
     return files.where(F.col("file_path") == path).limit(1)
 
 
+def by_id(files: DataFrame, id_: int) -> DataFrame:
+    return files.where(F.col("id") == id_).limit(1)
+
+
 def by_title(files: DataFrame, directory: str, base_name: str) -> DataFrame:
     return files.where((F.col("directory") == directory) & (F.col("base_name") == base_name))
 

@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DISPATCHABLE = ("Online", "Busy", "Uploading", "Downloading")
 
 
+def first_local(items: DataFrame, deferred: DataFrame, skip: Column) -> DataFrame:
+    """The first pending video, in the queue's order (column place), that isn't deferred (column id) or left to nodes."""
+    fit = items.where("kind = 'Video' and status = 'Pending'").where(~F.coalesce(skip, F.lit(False)))
+    return fit.join(deferred.select("id").distinct(), "id", "left_anti").orderBy("place", "id").limit(1)
+
+
+def reserve(slots: DataFrame, wishes: DataFrame, capacities: DataFrame) -> DataFrame:
+    """The slots after a round of wishes (job_id, node_id, device_id, asked): each place (node_id, device_id, cap) takes
+    the wishes asked first, as far as it has room. Jobs that have a slot, and wishes without a place, get none. A job
+    that asks several times asks once, first."""
+    named = wishes.where("job_id <> '' and node_id <> '' and device_id <> ''").join(slots.select("job_id"), "job_id", "left_anti")
+    once = named.groupBy("job_id").agg(F.min_by(F.struct("node_id", "device_id", "asked"), F.struct("asked", "node_id", "device_id")).alias("w")).select("job_id", "w.*")
+    room = capacities.join(used_slots(slots), ["node_id", "device_id"], "left").select("node_id", "device_id", (F.col("cap") - F.coalesce("used", F.lit(0))).alias("room"))
+    order = Window.partitionBy("node_id", "device_id").orderBy("asked", "job_id")
+    won = once.join(room.where("room > 0"), ["node_id", "device_id"]).withColumn("turn", F.row_number().over(order)).where("turn <= room")
+    return slots.select("job_id", "node_id", "device_id", "phase", "progress").unionByName(won.select("job_id", "node_id", "device_id", F.lit("Reserved").alias("phase"), F.lit(0).alias("progress")))
+
+
+def release(slots: DataFrame, done: DataFrame) -> DataFrame:
+    """The slots without those of jobs (job_id) that ended."""
+    return slots.join(done.select("job_id").distinct(), "job_id", "left_anti")
+
+
+def rekey(slots: DataFrame, moves: DataFrame) -> DataFrame:
+    """The slots with jobs renamed (job_id, new_id); a name that is taken stays with its holder."""
+    taken = slots.select(F.col("job_id").alias("new_id"))
+    free = moves.join(taken, "new_id", "left_anti").groupBy("new_id").agg(F.min("job_id").alias("job_id"))
+    free = free.groupBy("job_id").agg(F.min("new_id").alias("new_id"))
+    return slots.join(free, "job_id", "left").withColumn("job_id", F.coalesce("new_id", "job_id")).drop("new_id")
+
+
 def used_slots(slots: DataFrame) -> DataFrame:
     return slots.groupBy("node_id", "device_id").agg(F.count("*").alias("used"))
 
@@ -29,13 +60,12 @@ def _codecs(c: Column) -> Column:
 def video_scores(items: DataFrame, nodes: DataFrame, devices: DataFrame, slots: DataFrame) -> DataFrame:
     """A score for each item (item_id, size, is_4k, codec, hardware, encoder) on each device of each node: -100 and -50
     where it can't or mustn't run, else 1 and more for a better fit and for free slots. Every item is held against every
-    device, as devices of a cluster are few: their table is sent to all executors, and its size is checked."""
+    device: the answer is a row for each of both. `best_slots_by_class` places items without making those rows."""
     used = used_slots(slots).select("node_id", "device_id", F.col("used").cast("int").alias("used"))
     places = devices.join(nodes, "node_id").join(used, ["node_id", "device_id"], "left").fillna({"used": 0})
     able = devices.where("device_id <> 'cpu'").groupBy("node_id").agg(F.collect_set(F.struct("device_id", "codecs")).alias("hardware_codecs"))
     places = places.join(able, "node_id", "left").withColumn("cap", capacity(F.col("device_id"), F.col("capacity")))
-    few = places.count() <= 100_000
-    both = items.crossJoin(F.broadcast(places) if few else places)
+    both = items.crossJoin(F.broadcast(places))  # a row for each device of the cluster
     codec = F.when(F.lower("codec").isin("h265", "hevc"), "h265").when(F.lower("codec").isin("h264", "avc"), "h264").otherwise(F.lower("codec"))
     hw, cpu, exact = F.coalesce(F.lower("hardware"), F.lit("auto")), F.col("device_id") == "cpu", F.coalesce(F.trim("encoder"), F.lit("")) != ""
     usable = F.coalesce(F.exists("hardware_codecs", lambda d: F.array_contains(_codecs(d["codecs"]), codec)), F.lit(False))
@@ -69,6 +99,23 @@ def best_slots(scores: DataFrame) -> DataFrame:
     return fit.groupBy("item_id").agg(best.alias("b")).select("item_id", "b.node_id", "b.device_id", "b.score")
 
 
+def best_slots_by_class(items: DataFrame, nodes: DataFrame, devices: DataFrame, slots: DataFrame) -> DataFrame:
+    """The rows of `best_slots`, without a row for each item and device. Items that are alike but for their size are a
+    class; of a class's places, best first, only those count that have more disk than all better ones, and an item
+    takes the first that has room for it. Classes are few, and a class's list is short."""
+    alike = ["is_4k", "codec", "hardware", "encoder"]
+    classes = items.select(*alike).distinct().withColumn("size", F.lit(0).cast("long")).withColumn("item_id", F.xxhash64(*alike))
+    scored = video_scores(classes, nodes, devices, slots).join(nodes.select("node_id", "available_disk_bytes"), "node_id")
+    fit = scored.where(F.col("status").isin(*DISPATCHABLE) & ~F.col("is_paused") & (F.col("used") < F.col("cap")) & (F.col("score") > 0))
+    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "heartbeat_rank", "node_id", "device_id")
+    before = F.max("available_disk_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fit = fit.withColumn("place", F.row_number().over(order)).withColumn("before", before).where("before is null or available_disk_bytes > before")
+    lists = fit.groupBy(F.col("item_id").alias("class")).agg(F.array_sort(F.collect_list(F.struct("place", "available_disk_bytes", "node_id", "device_id", "score"))).alias("places"))
+    chosen = F.get(F.filter("places", lambda p: p["available_disk_bytes"] >= F.col("size") * 2.5), 0)
+    placed = items.withColumn("class", F.xxhash64(*alike)).join(lists, "class").withColumn("b", chosen).where("b is not null")
+    return placed.select("item_id", "b.node_id", "b.device_id", "b.score")
+
+
 def watchdog(items: DataFrame, nodes: DataFrame, slots: DataFrame) -> DataFrame:
     """Classes of running items (id, assigned_node_id, idle_minutes): on a node that is gone, local but not active, or
     without progress for 5 minutes (10 on a node)."""

@@ -56,11 +56,12 @@ def rotated(files: DataFrame, turn: int, size: int = 50) -> DataFrame:
     return queued(files).orderBy(*order()).offset(turn * size).limit(size).select("id", "file_path")
 
 
-def bump(files: DataFrame, id_: int) -> DataFrame:
-    """Gives a queued file one more than the highest priority of the queue; others stay."""
+def bump(files: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Gives a queued file, the one row of `chosen` (column id), one more than the highest priority of the queue."""
     most = files.where("status = 'Queued'").agg((F.coalesce(F.max("priority"), F.lit(0)) + 1).alias("most"))
-    hit = (F.col("id") == id_) & (F.col("status") == "Queued")
-    return files.crossJoin(F.broadcast(most)).withColumn("priority", F.when(hit, F.col("most")).otherwise(F.col("priority"))).drop("most")  # one row
+    one = most.crossJoin(chosen.select(F.col("id").alias("chosen")))  # one row each
+    hit = F.coalesce((F.col("id") == F.col("chosen")) & (F.col("status") == "Queued"), F.lit(False))
+    return files.crossJoin(F.broadcast(one)).withColumn("priority", F.when(hit, F.col("most")).otherwise(F.col("priority"))).drop("most", "chosen")
 
 
 def segments(active: DataFrame, pending: DataFrame, terminal: DataFrame, skip: int, take: int) -> DataFrame:
@@ -97,3 +98,17 @@ def evicted(files: DataFrame, keep: int) -> DataFrame:
     done = files.where("status in ('Completed', 'Failed')").select("id", F.coalesce("last_scanned_at", "created_at").alias("finished_at"))
     last = done.orderBy(F.desc("finished_at"), F.desc("id")).limit(keep).agg(F.min_by(F.struct("finished_at", "id"), F.struct("finished_at", "id")).alias("bound"), F.count("*").alias("n"))
     return done.crossJoin(F.broadcast(last)).where((F.col("n") == keep) & (F.struct("finished_at", "id") < F.col("bound"))).select("id", "finished_at")  # one row
+
+
+def page_after(files: DataFrame, last: int, take: int, statuses: tuple[str, ...] = ("Queued",)) -> DataFrame:
+    """The next rows by id after `last`: pages that don't move when rows before them go. Spark needs them only for
+    callers that fetch page by page."""
+    return files.where(F.col("id") > last).where(F.col("status").isin(*statuses)).orderBy("id").limit(take)
+
+
+def capped(rows: DataFrame, order: list[Column], most: int = 20_000, keep: int = 1_000) -> DataFrame:
+    """All rows, or the first `keep` where there are more than `most`, each with the number of all rows (total)."""
+    head = rows.orderBy(*order).limit(most + 1)
+    n = rows.agg(F.count("*").alias("total"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))  # of a limited page
+    return head.withColumn("place", place).crossJoin(F.broadcast(n)).where((F.col("total") <= most) | (F.col("place") <= keep)).drop("place")

@@ -115,8 +115,10 @@ def set_status(files: DataFrame, paths: DataFrame, status: str) -> DataFrame:
 
 
 def record_failure(files: DataFrame, id_: int, reason: str) -> DataFrame:
+    """One failure more of a file, and its reason, cut to 2048 characters."""
     hit = F.col("id") == id_
-    return files.withColumn("failure_count", F.col("failure_count") + hit.cast("int")).withColumn("failure_reason", F.when(hit, F.lit(reason[:2048])))
+    before = F.col("failure_reason") if "failure_reason" in files.columns else F.lit(None).cast("string")
+    return files.withColumn("failure_count", F.col("failure_count") + hit.cast("int")).withColumn("failure_reason", F.when(hit, F.lit(reason[:2048])).otherwise(before))
 
 
 def requeue_orphans(files: DataFrame) -> DataFrame:
@@ -124,10 +126,94 @@ def requeue_orphans(files: DataFrame) -> DataFrame:
     return files.withColumn("status", F.when((F.col("status") == "Processing") & F.col("assigned_node_id").isNull(), "Queued").otherwise(F.col("status")))
 
 
+_ASSIGNED = {
+    "assigned_node_id": "string",
+    "assigned_node_name": "string",
+    "assigned_node_ip": "string",
+    "assigned_node_port": "int",
+    "remote_work_item_id": "string",
+    "remote_job_phase": "string",
+    "dispatched_device_id": "string",
+}
+
+
+def _blank(files: DataFrame, columns: dict) -> dict:
+    return {k: F.lit(None).cast(v) for k, v in columns.items() if k in files.columns}
+
+
 def reset_all(files: DataFrame) -> DataFrame:
-    """Every file as if never seen; what is known about its contents stays."""
-    blank = {"status": F.lit("Unseen"), "priority": F.lit(0), "failure_count": F.lit(0), "force_mux": F.lit(False), "assigned_node_id": F.lit(None).cast("string"), "last_scanned_at": F.lit(None).cast("timestamp_ntz")}
-    return files.withColumns({k: v for k, v in blank.items() if k in files.columns})
+    """Every file as if never seen: status, failures, completion, assignment. What is known about its contents, its
+    priority and its scan time stay."""
+    blank = _blank(files, {"failure_reason": "string", "completed_at": "timestamp_ntz", **_ASSIGNED})
+    zero = {k: F.lit(0) for k in ("failure_count", "remote_failure_count") if k in files.columns}
+    return files.withColumns({"status": F.lit("Unseen"), **zero, **blank})
+
+
+def reset_file(files: DataFrame, hit: Column) -> DataFrame:
+    """Files that changed on disk: unseen again, without failures and without a wish to remux."""
+    hit = F.coalesce(hit, F.lit(False))
+    pick = lambda c, value: F.when(hit, value).otherwise(F.col(c))
+    new = {"status": F.lit("Unseen"), "failure_count": F.lit(0), "failure_reason": F.lit(None).cast("string"), "force_mux": F.lit(False)}
+    return files.withColumns({c: pick(c, v) for c, v in new.items() if c in files.columns})
+
+
+def reset_queued(files: DataFrame) -> DataFrame:
+    """The queue is emptied: what waits is unseen again."""
+    return files.withColumn("status", F.when(F.col("status") == "Queued", "Unseen").otherwise(F.col("status")))
+
+
+def set_state(files: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """Changes (path, new_status, reason, encoded): a reason is kept where none is given, a completed file gets its time.
+    After an encode the time of the encode is set and a wish to remux is satisfied."""
+    c = changes.select(F.col("path").alias("the path"), "new_status", "reason", "encoded")
+    both = files.join(c, F.col("file_path") == F.col("the path"), "left")
+    hit, encoded = F.col("the path").isNotNull(), F.coalesce("encoded", F.lit(False))
+    new = {
+        "status": F.when(hit, F.col("new_status")).otherwise(F.col("status")),
+        "failure_reason": F.when(hit & ~encoded & F.col("reason").isNotNull(), F.col("reason")).otherwise(F.col("failure_reason")),
+        "completed_at": F.when(hit & (F.col("new_status") == "Completed"), now).otherwise(F.col("completed_at")),
+        "last_encoded_at": F.when(hit & encoded, now).otherwise(F.col("last_encoded_at")),
+        "force_mux": F.col("force_mux") & ~(hit & encoded),
+    }
+    return both.withColumns(new).select(*files.columns)
+
+
+def flip(files: DataFrame, hit: Column, expected: tuple[str, ...], status: str) -> DataFrame:
+    """A status only where the file still has one of the expected ones."""
+    guarded = F.coalesce(hit & F.col("status").isin(*expected), F.lit(False))
+    return files.withColumn("status", F.when(guarded, status).otherwise(F.col("status")))
+
+
+def reopen_no_savings(files: DataFrame, skip: Column) -> DataFrame:
+    """After settings changed, files that saved nothing before are skipped or unseen again; those of which no stream
+    summary is known are spared."""
+    blind = F.col("audio_streams").isNull() & F.col("subtitle_streams").isNull()
+    new = F.when((F.col("status") == "NoSavings") & ~blind, F.when(F.coalesce(skip, F.lit(False)), "Skipped").otherwise("Unseen"))
+    return files.withColumn("status", F.coalesce(new, F.col("status")))
+
+
+def assign(files: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Jobs (path, job_id, node_id, phase, device_id) that nodes were given: their files are running there. A device
+    that isn't named leaves the one before."""
+    c = jobs.select(F.col("path").alias("the path"), F.col("job_id").alias("the job"), F.col("node_id").alias("the node"), F.col("phase").alias("the phase"), F.col("device_id").alias("the device"))
+    both = files.join(c, F.col("file_path") == F.col("the path"), "left")
+    hit = F.col("the path").isNotNull()
+    pick = lambda c, value: F.when(hit, value).otherwise(F.col(c))
+    new = {"status": pick("status", F.lit("Processing")), "remote_work_item_id": pick("remote_work_item_id", F.col("the job")), "assigned_node_id": pick("assigned_node_id", F.col("the node"))}
+    new |= {"remote_job_phase": pick("remote_job_phase", F.col("the phase")), "dispatched_device_id": pick("dispatched_device_id", F.coalesce(F.nullif("the device", F.lit("")), "dispatched_device_id"))}
+    return both.withColumns(new).select(*files.columns)
+
+
+def unassign(files: DataFrame, ends: DataFrame, now: Column) -> DataFrame:
+    """Ends (path, new_status) of jobs on nodes: the assignment goes; the work item's id stays only where the file waits
+    again, so that what its node has can be used; a status that an encode leads to gets its time."""
+    c = ends.select(F.col("path").alias("the path"), "new_status")
+    both = files.join(c, F.col("file_path") == F.col("the path"), "left")
+    hit = F.col("the path").isNotNull()
+    gone = {k: F.when(~hit, F.col(k)) for k in _ASSIGNED if k in files.columns and k != "remote_work_item_id"}
+    gone["remote_work_item_id"] = F.when(~hit | (F.col("new_status") == "Queued"), F.col("remote_work_item_id"))
+    gone["last_encoded_at"] = F.when(hit & F.col("new_status").isin("Completed", "NoSavings", "Skipped"), now).otherwise(F.col("last_encoded_at"))
+    return both.withColumns({**gone, "status": F.when(hit, F.col("new_status")).otherwise(F.col("status"))}).select(*files.columns)
 
 
 def reset_verification(files: DataFrame, condition: Column) -> DataFrame:

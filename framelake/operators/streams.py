@@ -108,29 +108,99 @@ def best_source(streams: Column, channels: int) -> Column:
     return F.array_max(fit)
 
 
+# Audio codecs that can be made, with their most channels; which of them containers hold, and which
+# codecs containers take as they are.
+MOST_CHANNELS = {"aac": 8, "ac3": 6, "eac3": 8, "opus": 8}
+HELD = {"mp4": ("aac", "ac3", "eac3"), "webm": ("opus",)}
+COPIED = {"mp4": ("aac", "ac3", "eac3", "mp3", "alac"), "webm": ("opus", "vorbis")}
+
+_STEP = "array<struct<bucket:string,action:string,source:int,codec:string,channels:int,kbps:int>>"
+
+
+def _container(format_: str) -> str:
+    name = format_.strip().lower()
+    return {"m4v": "mp4", "mov": "mp4"}.get(name, name)
+
+
+def _made(codec: str, container: str) -> str:
+    """The codec that an output gets: what is asked for if it can be made and the container holds it."""
+    held = HELD.get(container, tuple(MOST_CHANNELS))
+    return codec if codec in MOST_CHANNELS and codec in held else "opus" if container == "webm" else "aac"
+
+
+def audio_buckets(streams: Column, wanted: tuple[str, ...]) -> Column:
+    """array<struct<bucket, sources>>: tracks by wanted language, or by their own tag if none is wanted; commentaries
+    are left out. A file without a bucket has one of all its tracks, without commentaries if others are there."""
+    indexed = F.transform(streams, lambda s, i: F.struct(i.cast("int").alias("i"), s["l"].alias("l"), s["c"].alias("c"), F.coalesce(s["ch"], F.lit(0)).alias("ch"), s["t"].alias("t")))
+    real = F.filter(indexed, lambda s: ~L.is_commentary(s["t"]))
+    of = lambda name, sources: F.struct(name.alias("bucket"), sources.alias("sources"))
+    if wanted:
+        among = lambda w: F.filter(real, lambda s: L.matches(s["l"], s["t"], [w]))
+        found = F.array(*[of(F.lit(w), among(w)) for w in wanted])
+        found = F.filter(found, lambda b: F.size(b["sources"]) > 0)
+    else:
+        tag = lambda s: F.lower(F.coalesce(s["l"], F.lit("und")))
+        found = F.transform(F.array_distinct(F.transform(real, tag)), lambda name: of(name, F.filter(real, lambda s: tag(s) == name)))
+    rest = F.when(F.size(real) > 0, real).otherwise(indexed)
+    return F.when(F.size(found) > 0, found).when(F.size(streams) > 0, F.array(of(F.lit("und"), rest))).otherwise(F.slice(found, 1, 0))
+
+
 def audio_plan(streams: Column, o: StreamOptions) -> Column:
-    """What is written: array<struct<action, source, codec, channels>> in order of the sources. Each kept track is
-    copied if originals are kept; an output that a kept track already is isn't made again, and none has more channels
-    than its source; if nothing were left, all tracks are copied."""
-    wanted = list(o.audio_languages)
-    indexed = F.transform(streams, lambda s, i: F.struct(i.alias("i"), s["l"].alias("l"), s["c"].alias("c"), s["ch"].alias("ch"), s["t"].alias("t")))
-    kept = F.filter(indexed, lambda s: L.matches(s["l"], s["t"], wanted) & ~L.is_commentary(s["t"]))
-    kept = F.when(F.size(kept) > 0, kept).otherwise(indexed)
-    step = lambda action, s, codec, channels: F.struct(F.lit(action).alias("action"), s["i"].alias("source"), codec.alias("codec"), channels.alias("channels"))
-    copies = F.transform(kept, lambda s: step("copy", s, s["c"], s["ch"]))
-    if not o.audio_outputs:
-        return copies
-    plan = copies if o.preserve_original_audio else F.filter(copies, lambda s: F.lit(False))
-    for out in o.audio_outputs:
-        n = CHANNELS.get((out.layout or "").strip().lower())
-        same = lambda s: (F.lower(F.coalesce(s["c"], F.lit(""))) == out.codec.lower()) & (F.lit(True) if n is None else F.coalesce(s["ch"] == n, F.lit(False)))  # noqa: B023, E731
-        there = F.filter(kept, same)
-        source = F.get(F.filter(kept, lambda s: F.lit(True) if n is None else F.coalesce(s["ch"] >= n, F.lit(False))), 0)  # noqa: B023
-        source = F.coalesce(source, F.get(kept, 0))
-        made = F.array(step("encode", source, F.lit(out.codec), F.least(F.coalesce(source["ch"], F.lit(2)), F.lit(n)) if n else F.coalesce(source["ch"], F.lit(2))))
-        copied = F.filter(copies, lambda s: F.lit(False)) if o.preserve_original_audio else F.slice(F.transform(there, lambda s: step("copy", s, s["c"], s["ch"])), 1, 1)
-        plan = F.concat(plan, F.when(F.size(there) > 0, copied).otherwise(made))
-    return F.when(F.size(plan) > 0, plan).otherwise(F.transform(indexed, lambda s: step("copy", s, s["c"], s["ch"])))
+    """What is written, in order: array<struct<output, bucket, action, source, codec, channels, kbps>>.
+
+    In each bucket an output that a track already is copies that track, the one with most channels; else the best
+    source with enough channels is encoded, and without one the output is left out. Copies come first, in order of
+    their sources: those, and all tracks of the bucket if originals are kept. A bucket that would be empty keeps its
+    track with most channels. What the container can't take as it is gets encoded, with kbps 0 for the codec's own
+    default. If no track is in a wanted language, the tracks that are there are kept.
+    """
+    wanted, container = tuple(o.audio_languages), _container(o.format)
+    takes = COPIED.get(container)
+    quality = F.create_map(*[F.lit(x) for pair in QUALITY.items() for x in pair])
+    lowered = lambda s: F.lower(F.coalesce(s["c"], F.lit("")))
+    # the first of the best: more channels, then a better codec, then the earlier track
+    best = lambda sources: F.array_max(F.transform(sources, lambda s: F.struct(s["ch"].alias("ch"), F.coalesce(F.try_element_at(quality, lowered(s)), F.lit(0)).alias("q"), (-s["i"]).alias("back"))))
+    widest = lambda sources: F.array_max(F.transform(sources, lambda s: F.struct(s["ch"].alias("ch"), (-s["i"]).alias("back"))))
+    step = lambda b, action, source, codec, channels, kbps: F.struct(b["bucket"].alias("bucket"), F.lit(action).alias("action"), source.cast("int").alias("source"), codec.alias("codec"), channels.cast("int").alias("channels"), F.lit(kbps).alias("kbps"))
+    none = F.array().cast(_STEP)
+    misses = ~F.exists(streams, lambda s: ~L.is_commentary(s["t"]) & L.matches(s["l"], s["t"], list(wanted))) if wanted else ~F.exists(streams, lambda s: ~L.is_commentary(s["t"]))
+
+    def of(b: Column) -> Column:
+        sources, copies, encodes = b["sources"], [], []
+        for out in o.audio_outputs:
+            if not out.codec.strip():
+                continue
+            n = CHANNELS.get((out.layout or "").strip().lower())
+            same = F.filter(sources, lambda s: (lowered(s) == out.codec.lower()) & (F.lit(True) if n is None else s["ch"] == n))  # noqa: B023
+            fit = best(F.filter(sources, lambda s: s["ch"] >= (n or 0)))  # noqa: B023
+            codec = _made(out.codec.strip().lower(), container)
+            channels = F.least(F.lit(n) if n else fit["ch"], F.lit(MOST_CHANNELS[codec]))
+            copies.append(F.when(F.size(same) > 0, F.array(-widest(same)["back"])).otherwise(F.array().cast("array<int>")))
+            encodes.append(F.when((F.size(same) == 0) & fit.isNotNull(), F.array(step(b, "encode", -fit["back"], F.lit(codec), channels, out.kbps))).otherwise(none))
+        kept = F.flatten(F.array(*copies)) if copies else F.array().cast("array<int>")
+        made = F.flatten(F.array(*encodes)) if encodes else none
+        all_ = F.transform(sources, lambda s: s["i"])
+        kept = F.when(F.lit(o.preserve_original_audio) | misses, F.array_union(kept, all_)).otherwise(kept)
+        kept = F.when((F.size(kept) == 0) & (F.size(made) == 0), F.array(-widest(sources)["back"])).otherwise(F.array_distinct(kept))
+
+        def copied(i: Column) -> Column:
+            s = F.get(F.filter(sources, lambda x: x["i"] == i), 0)
+            copy = step(b, "copy", i, s["c"], s["ch"], 0)
+            if takes is None:
+                return copy
+            codec = _made("", container)
+            return F.when(lowered(s).isin(*takes), copy).otherwise(step(b, "encode", i, F.lit(codec), F.least(s["ch"], F.lit(MOST_CHANNELS[codec])), 0))
+
+        return F.concat(F.transform(F.array_sort(kept), copied), made)
+
+    steps = F.flatten(F.transform(audio_buckets(streams, wanted), of))
+    return F.transform(steps, lambda s, i: F.struct(i.alias("output"), *[s[c].alias(c) for c in ("bucket", "action", "source", "codec", "channels", "kbps")]))
+
+
+def language_counts(streams: Column) -> Column:
+    """array<struct<language, tracks>>: tracks of each language tag, lower case, `und` without one, in order of names."""
+    tags = F.transform(streams, lambda s: F.lower(F.coalesce(s["l"], F.lit("und"))))
+    return F.transform(F.array_sort(F.array_distinct(tags)), lambda name: F.struct(name.alias("language"), F.size(F.filter(tags, lambda t: t == name)).alias("tracks")))
 
 
 def sidecars(streams: Column, o: StreamOptions) -> Column:

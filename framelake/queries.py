@@ -115,7 +115,7 @@ query("failed_files", "SELECT id, file_path, failure_count FROM media_files WHER
 query("directory_totals", "SELECT directory, count(*) AS files, count(*) FILTER (kind = 'Video') AS video, count(*) FILTER (kind = 'Music') AS music FROM media_files GROUP BY 1")(_from(library.directory_totals, "media_files"))
 query("directory_page", "SELECT id, file_path, kind FROM media_files WHERE starts_with(file_path, '/media/asia/') ORDER BY lower(file_path), id LIMIT 100 OFFSET 20")(_from(library.directory_page, "media_files", directory="/media/asia", skip=20, take=100))
 query("api_ids", "SELECT id, concat('mf-', CAST(id AS VARCHAR)) AS api_id, id AS parsed FROM media_files")(_from(library.api_id, "media_files"))
-query("random_sample")(_from(library.sample, "media_files", n=100))
+query("random_sample", "SELECT * FROM media_files ORDER BY md5(concat(CAST(id AS VARCHAR), ':0')), id LIMIT 100")(_from(library.sample, "media_files", n=100))
 query("lookup_path", "SELECT id, file_path FROM media_files WHERE file_path = (SELECT min(file_path) FROM media_files)")(
     lambda s, d: (lambda m: m.join(F.broadcast(m.agg(F.min("file_path").alias("file_path"))), "file_path", "left_semi").select("id", "file_path"))(view(s, d, "media_files"))
 )
@@ -137,23 +137,23 @@ query("queue_counts", "SELECT count(*) FILTER (status = 'Queued' AND assigned_no
 _SEGMENTS = "SELECT id, file_path, status, {} AS rank, {} AS segment FROM media_files WHERE {}"
 
 
-@query("queue_segments", f"""SELECT * FROM ({_SEGMENTS.format('-bitrate', 0, "status = 'Processing' AND id % 40 = 1")} UNION ALL {_SEGMENTS.format('-bitrate', 1, "status = 'Queued' AND assigned_node_id IS NULL AND id % 40 = 2")} UNION ALL
-{_SEGMENTS.format("CASE status WHEN 'Completed' THEN 0 WHEN 'Failed' THEN 2 ELSE 4 END", 2, "status IN ('Failed', 'Completed')")}) ORDER BY segment, rank, id LIMIT 60 OFFSET 15""")
-def _segments(spark, d, active="id % 40 = 1", pending="id % 40 = 2"):
+_WHOLE = f"""SELECT * FROM ({_SEGMENTS.format('-bitrate', 0, "status = 'Processing'")} UNION ALL {_SEGMENTS.format('-bitrate', 1, "status = 'Queued' AND assigned_node_id IS NULL")} UNION ALL
+{_SEGMENTS.format("CASE status WHEN 'Completed' THEN 0 WHEN 'Failed' THEN 2 ELSE 4 END", 2, "status IN ('Failed', 'Completed')")}) ORDER BY segment, rank, id LIMIT 60 OFFSET 15"""
+
+
+@query("queue_segments_all", _WHOLE)
+@query("queue_segments", _WHOLE)
+def _segments(spark, d):
     m = view(spark, d, "media_files")
     columns = ("id", "file_path", "status")
-    active = m.where("status = 'Processing'").where(active).select(*columns, (-F.col("bitrate")).alias("rank"))
-    pending = queue.queued(m).where(pending).select(*columns, (-F.col("bitrate")).alias("rank"))
+    active = m.where("status = 'Processing'").select(*columns, (-F.col("bitrate")).alias("rank"))
+    pending = queue.queued(m).select(*columns, (-F.col("bitrate")).alias("rank"))
     done = m.where("status in ('Failed', 'Completed')").select(*columns, queue.terminal_rank().cast("long").alias("rank"))
     return queue.segments(active, pending, done, 15, 60).withColumn("segment", F.col("segment").cast("int"))
 
 
-#: The same page of the whole queue.
-query("queue_segments_all", f"""SELECT * FROM ({_SEGMENTS.format('-bitrate', 0, "status = 'Processing'")} UNION ALL {_SEGMENTS.format('-bitrate', 1, "status = 'Queued' AND assigned_node_id IS NULL")} UNION ALL
-{_SEGMENTS.format("CASE status WHEN 'Completed' THEN 0 WHEN 'Failed' THEN 2 ELSE 4 END", 2, "status IN ('Failed', 'Completed')")}) ORDER BY segment, rank, id LIMIT 60 OFFSET 15""")(lambda s, d: _segments(s, d, "true", "true"))
-
 query("bump_priority", "SELECT id, CASE WHEN id = (SELECT min(id) FROM media_files WHERE status = 'Queued') THEN (SELECT coalesce(max(priority), 0) + 1 FROM media_files WHERE status = 'Queued') ELSE priority END AS priority FROM media_files")(
-    lambda s, d: (lambda m: queue.bump(m, m.where("status = 'Queued'").agg(F.min("id")).first()[0]).select("id", "priority"))(view(s, d, "media_files"))
+    lambda s, d: (lambda m: queue.bump(m, m.where("status = 'Queued'").agg(F.min("id").alias("id"))).select("id", "priority"))(view(s, d, "media_files"))
 )
 query("evicted_items", "SELECT id, finished_at FROM (SELECT id, coalesce(last_scanned_at, created_at) AS finished_at, row_number() OVER (ORDER BY coalesce(last_scanned_at, created_at) DESC, id DESC) AS rn FROM media_files WHERE status IN ('Completed', 'Failed')) WHERE rn > 100")(_from(queue.evicted, "media_files", keep=100))
 
@@ -250,11 +250,7 @@ WANTED = A.StreamOptions(audio_languages=("en", "ja"), subtitle_languages=("en",
 query("audio_work", "SELECT id, CASE id % 9 WHEN 2 THEN TRUE WHEN 3 THEN TRUE WHEN 6 THEN TRUE ELSE FALSE END AS work FROM media_files")(lambda s, d: view(s, d, "media_files").select("id", A.has_audio_work(A.audio(F.col("audio_streams")), WANTED).alias("work")))
 query("subtitle_work", "SELECT id, CASE id % 10 WHEN 2 THEN TRUE WHEN 3 THEN TRUE ELSE FALSE END AS work FROM media_files")(lambda s, d: view(s, d, "media_files").select("id", A.has_subtitle_work(A.subtitles(F.col("subtitle_streams")), WANTED).alias("work")))
 query("audio_duplicates", "SELECT id, CASE id % 9 WHEN 3 THEN TRUE WHEN 5 THEN TRUE ELSE FALSE END AS work FROM media_files")(lambda s, d: view(s, d, "media_files").select("id", A.has_audio_work(A.audio(F.col("audio_streams")), A.StreamOptions(preserve_original_audio=False)).alias("work")))
-query("audio_plan")(
-    lambda s, d: view(s, d, "media_files").select("id", F.explode(A.audio_plan(A.audio(F.col("audio_streams")), A.StreamOptions(audio_outputs=(A.AudioOutput("aac", "stereo"), A.AudioOutput("opus", "5.1"))))).alias("p")).select("id", "p.*")
-)
 query("best_audio", "SELECT id, CASE id % 9 WHEN 2 THEN 'ac3' WHEN 5 THEN 'ac3' WHEN 6 THEN 'dts' END AS codec FROM media_files")(lambda s, d: view(s, d, "media_files").select("id", A.best_source(A.audio(F.col("audio_streams")), 6)["c"].alias("codec")))
-query("sidecars")(lambda s, d: view(s, d, "media_files").select("id", F.array_join(A.sidecars(A.subtitles(F.col("subtitle_streams")), WANTED).cast("array<string>"), ",").alias("indexes")))
 query("container_change", "SELECT id, NOT ends_with(file_path, '.mkv') AS change FROM media_files")(lambda s, d: view(s, d, "media_files").select("id", D.needs_container_change(OPTIONS).alias("change")))
 query("no_op_encodes", "SELECT id FROM media_files WHERE is_hevc AND bitrate > 0 AND bitrate < 4200 AND id % 9 <> 3")(lambda s, d: view(s, d, "media_files").where(D.is_no_op(OPTIONS)).select("id"))
 query("decision_labels", "SELECT DISTINCT status, status AS label FROM media_files")(
@@ -348,7 +344,7 @@ query("plausible_outputs", "SELECT id, duration % 100 = 0 OR abs(duration - dura
 
 # placement
 
-_ITEMS = "SELECT id AS item_id, file_size AS size, is_4k, CASE id % 3 WHEN 0 THEN 'h265' WHEN 1 THEN 'av1' ELSE 'h264' END AS codec, CASE id % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'none' WHEN 2 THEN 'nvidia' ELSE 'intel' END AS hardware, CASE WHEN id % 10 = 0 THEN 'hevc_qsv' ELSE '' END AS encoder FROM media_files WHERE status = 'Queued' AND kind = 'Video' AND id % 25 = 3"
+_ITEMS = "SELECT id AS item_id, file_size AS size, is_4k, CASE id % 3 WHEN 0 THEN 'h265' WHEN 1 THEN 'av1' ELSE 'h264' END AS codec, CASE id % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'none' WHEN 2 THEN 'nvidia' ELSE 'intel' END AS hardware, CASE WHEN id % 10 = 0 THEN 'hevc_qsv' ELSE '' END AS encoder FROM media_files WHERE status = 'Queued' AND kind = 'Video'"
 _SCORES = f"""SELECT item_id, node_id, device_id, status, is_paused, heartbeat_rank, cap, used, CAST(CASE WHEN device_id = 'music' THEN -100 WHEN only_4k AND NOT is_4k THEN -100 WHEN exclude_4k AND is_4k THEN -100 WHEN encoder <> '' AND NOT list_contains(string_split(encoders, ','), encoder) THEN -100 WHEN available_disk_bytes < size * 2.5 THEN -100
 WHEN NOT list_contains(string_split(codecs, ','), codec) THEN -50 WHEN encoder = '' AND hardware = 'none' AND device_id <> 'cpu' THEN -50 WHEN encoder = '' AND hardware NOT IN ('none', 'auto') AND device_id = 'cpu' AND chosen THEN -50 WHEN encoder = '' AND hardware = 'auto' AND device_id = 'cpu' AND usable THEN -50 WHEN encoder = '' AND hardware NOT IN ('none', 'auto') AND device_id <> 'cpu' AND device_id <> hardware THEN -50
 ELSE CASE WHEN encoder <> '' THEN 21 WHEN hardware = 'none' THEN 7 WHEN hardware = 'auto' THEN CASE WHEN device_id = 'cpu' THEN 6 ELSE 9 END WHEN device_id = hardware THEN 13 ELSE 1 END + greatest(0, cap - used) END AS INT) AS score
@@ -356,18 +352,27 @@ FROM (SELECT i.*, dn.*, coalesce(u.used, 0) AS used, EXISTS (SELECT 1 FROM devic
 FROM ({_ITEMS}) i CROSS JOIN (SELECT d.node_id, d.device_id, d.codecs, d.encoders, CASE WHEN d.device_id = 'cpu' THEN 1 ELSE d.capacity END AS cap, n.status, n.is_paused, n.heartbeat_rank, n.only_4k, n.exclude_4k, n.available_disk_bytes FROM devices d JOIN nodes n ON d.node_id = n.node_id) dn LEFT JOIN (SELECT node_id, device_id, CAST(count(*) AS INT) AS used FROM slots GROUP BY 1, 2) u ON u.node_id = dn.node_id AND u.device_id = dn.device_id)"""
 
 
-def _scores(spark, d, chosen="id % 25 = 3"):
-    m = view(spark, d, "media_files").where("status = 'Queued' and kind = 'Video'").where(chosen)
-    items = m.selectExpr("id as item_id", "file_size as size", "is_4k", "case id % 3 when 0 then 'h265' when 1 then 'av1' else 'h264' end as codec", "case id % 4 when 0 then 'auto' when 1 then 'none' when 2 then 'nvidia' else 'intel' end as hardware", "case when id % 10 = 0 then 'hevc_qsv' else '' end as encoder")
-    return placement.video_scores(items, view(spark, d, "nodes"), view(spark, d, "devices"), view(spark, d, "slots"))
+def _items(spark, d):
+    """Queued videos as items to place."""
+    return view(spark, d, "media_files").where("status = 'Queued' and kind = 'Video'").selectExpr(
+        "id as item_id",
+        "file_size as size",
+        "is_4k",
+        "case id % 3 when 0 then 'h265' when 1 then 'av1' else 'h264' end as codec",
+        "case id % 4 when 0 then 'auto' when 1 then 'none' when 2 then 'nvidia' else 'intel' end as hardware",
+        "case when id % 10 = 0 then 'hevc_qsv' else '' end as encoder",
+    )
+
+
+def _placed(operator):
+    return lambda s, d: operator(_items(s, d), *[view(s, d, v) for v in ("nodes", "devices", "slots")])
 
 
-query("slot_scores", f"SELECT item_id, node_id, device_id, score FROM ({_SCORES})")(lambda s, d: _scores(s, d).select("item_id", "node_id", "device_id", "score"))
-query("best_slot", f"SELECT item_id, node_id, device_id, score FROM ({_SCORES}) WHERE status IN ('Online', 'Busy', 'Uploading', 'Downloading') AND NOT is_paused AND used < cap AND score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, heartbeat_rank, node_id, device_id) = 1")(lambda s, d: placement.best_slots(_scores(s, d)))
-#: The same over all queued videos.
-_ALL_SCORES = _SCORES.replace(_ITEMS, _ITEMS.removesuffix(" AND id % 25 = 3"))
-query("slot_scores_all", f"SELECT item_id, node_id, device_id, score FROM ({_ALL_SCORES})")(lambda s, d: _scores(s, d, "true").select("item_id", "node_id", "device_id", "score"))
-query("best_slot_all", f"SELECT item_id, node_id, device_id, score FROM ({_ALL_SCORES}) WHERE status IN ('Online', 'Busy', 'Uploading', 'Downloading') AND NOT is_paused AND used < cap AND score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, heartbeat_rank, node_id, device_id) = 1")(lambda s, d: placement.best_slots(_scores(s, d, "true")))
+_BEST = f"SELECT item_id, node_id, device_id, score FROM ({_SCORES}) WHERE status IN ('Online', 'Busy', 'Uploading', 'Downloading') AND NOT is_paused AND used < cap AND score > 0\nQUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, heartbeat_rank, node_id, device_id) = 1"
+for _name in ("slot_scores", "slot_scores_all"):
+    query(_name, f"SELECT item_id, node_id, device_id, score FROM ({_SCORES})")(lambda s, d: _placed(placement.video_scores)(s, d).select("item_id", "node_id", "device_id", "score"))
+for _name in ("best_slot", "best_slot_all"):
+    query(_name, _BEST)(_placed(placement.best_slots_by_class))
 query("slot_usage", "SELECT node_id, device_id, count(*) AS used FROM slots GROUP BY 1, 2")(_from(placement.used_slots, "slots"))
 query("slot_phases", "SELECT phase, count(*) AS slots, max(progress) AS furthest FROM slots GROUP BY 1")(_from(placement.slots_by_phase, "slots"))
 query("watchdog", """SELECT id, assigned_node_id, id % 13 AS idle_minutes, CASE WHEN assigned_node_id IS NOT NULL AND assigned_node_id NOT IN (SELECT node_id FROM nodes) THEN 'ghost-node' WHEN assigned_node_id IS NULL AND concat('job-', CAST(id AS VARCHAR)) NOT IN (SELECT job_id FROM slots) THEN 'local-orphan' WHEN id % 13 >= CASE WHEN assigned_node_id IS NULL THEN 5 ELSE 10 END THEN 'stalled' ELSE 'ok' END AS class FROM media_files WHERE status = 'Processing'""")(
@@ -395,7 +400,11 @@ query("stream_daily", "SELECT CAST(ts AS DATE) AS day, count(*) AS events, CAST(
 query("stream_latest", "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, count(*) AS events FROM events GROUP BY 1")(
     lambda s, d: feeds.drained(feeds.latest(feeds.open_stream(s, f"{d}/events.parquet", "ts"), "user_id", "event_id", "event_type", "value"), "framelake_latest")
 )
-query("ocr_substitutions")(lambda s, d: table(s, d, "conversations").select("conv_id", "turn", ocr.substituted(F.concat(F.lit("= | think "), "text")).alias("text")))
+_ALONE = "'(^|\\s|-)[|\\[\\]]($|\\s|[,.?!''])', '\\1I\\2', 'g'"  # twice, as neighbours share the blank between them
+query(
+    "ocr_substitutions",
+    f"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(concat('= | think ', text), {_ALONE}), {_ALONE}), '(^|\\n|\\r)=', '\\1-', 'g') AS text FROM conversations",
+)(lambda s, d: table(s, d, "conversations").select("conv_id", "turn", ocr.substituted(F.concat(F.lit("= | think "), "text")).alias("text")))
 query("ocr_correct")(lambda s, d: (lambda c: ocr.corrected(c, "text", ocr.dictionary(c, "text")).select("conv_id", "turn", "corrected"))(table(s, d, "conversations")))
 query("srt_cues", """SELECT conv_id, string_agg(concat(CAST(n AS VARCHAR), chr(10), '00:', lpad(CAST(turn * 2 // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(turn * 2 % 60 AS VARCHAR), 2, '0'), ',000 --> 00:', lpad(CAST((turn * 2 + 1) // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST((turn * 2 + 1) % 60 AS VARCHAR), 2, '0'), ',500', chr(10), text, chr(10)), chr(10) ORDER BY n) AS srt
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT DISTINCT conv_id, turn, trim(text) AS text FROM conversations WHERE trim(text) <> '')) GROUP BY 1""")(
@@ -405,7 +414,11 @@ query("metrics_text", """SELECT name, concat('# HELP ', name, ' Files by status'
     lambda s, d: FS.metrics_text(library.statuses(view(s, d, "media_files")).select(F.lit("library_files").alias("name"), F.lit("gauge").alias("kind"), F.lit("Files by status").alias("help"), F.lit("status").alias("label"), F.col("status").alias("label_value"), F.col("files").alias("value")))
 )
 query("crop_modes", "SELECT file_id, arg_min(crop, (-n, crop)) AS crop FROM (SELECT user_id AS file_id, event_type AS crop, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")(lambda s, d: FS.crop_mode(table(s, d, "events").select(F.col("user_id").alias("file_id"), F.col("event_type").alias("crop"))))
-query("json_envelope")(lambda s, d: (lambda m: FS.envelope(queue.page(m, 0, 10).select("id", "priority"), queue.total(m).first()[0], 0, 10))(view(s, d, "media_files")))
+query(
+    "json_envelope",
+    f"""SELECT concat('{{{{"page":0,"pageSize":10,"total":', (SELECT count(*) FROM {_QUEUED}), ',"records":[', string_agg(concat('{{{{"id":', id, ',"priority":', priority, '}}}}'), ',' ORDER BY priority DESC, bitrate DESC, id), ']}}}}') AS json
+FROM (SELECT * FROM {_QUEUED} ORDER BY priority DESC, bitrate DESC, id LIMIT 10)""".replace("{{", "{").replace("}}", "}"),
+)(lambda s, d: (lambda m: FS.envelope(queue.page(m, 0, 10).select("id", "priority"), queue.total(m), 0, 10))(view(s, d, "media_files")))
 
 # more of the repertoire
 
@@ -442,3 +455,5 @@ query("notification_texts", "SELECT DISTINCT event_type, regexp_replace(event_ty
 query("companions", "SELECT m.file_path, concat(m.directory, '/', m.base_name, ' [encoded].mkv') AS output FROM media_files m WHERE id % 3 = 0")(
     lambda s, d: (lambda m: scan.companions(m.select("directory", "base_name", "file_path").unionByName(m.where("id % 3 = 0").select("directory", F.concat("base_name", F.lit(" [encoded]")).alias("base_name"), F.concat("directory", F.lit("/"), "base_name", F.lit(" [encoded].mkv")).alias("file_path"))), " [encoded]"))(view(s, d, "media_files"))
 )
+
+from framelake import more_queries  # noqa: E402, F401  its queries are added to these

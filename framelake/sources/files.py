@@ -118,9 +118,12 @@ def metrics_text(metrics: DataFrame) -> DataFrame:
     return rows.select("name", F.array_join(F.concat(F.array(F.concat(F.lit("# HELP "), "name", F.lit(" "), "help"), F.concat(F.lit("# TYPE "), "name", F.lit(" "), "kind")), "samples"), "\n").alias("text"))
 
 
-def envelope(rows: DataFrame, total: int, page: int, size: int) -> DataFrame:
-    """A page of records as one JSON document. The page is bounded by its size."""
-    return rows.limit(size).agg(F.to_json(F.struct(F.lit(page).alias("page"), F.lit(size).alias("pageSize"), F.lit(total).alias("total"), F.collect_list(F.struct(*rows.columns)).alias("records"))).alias("json"))
+def envelope(rows: DataFrame, total: DataFrame, page: int, size: int) -> DataFrame:
+    """A page of records as one JSON document, with the number of all records, the one row of `total`. The page is
+    bounded by its size."""
+    records = rows.limit(size).agg(F.collect_list(F.struct(*rows.columns)).alias("records"))
+    both = records.crossJoin(F.broadcast(total.toDF("total")))  # one row each
+    return both.select(F.to_json(F.struct(F.lit(page).alias("page"), F.lit(size).alias("pageSize"), "total", "records")).alias("json"))
 
 
 def transition_sink(rows: DataFrame, path: str) -> None:

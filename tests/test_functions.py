@@ -133,12 +133,56 @@ def test_subtitle_work(spark):
     assert work(image, extract_sidecar=True) is True and work("[]", extract_sidecar=True) is False
 
 
-def test_audio_plan_never_drops_all(spark):
-    plan = one(spark, A.audio_plan(A.audio(F.lit(AUDIO)), A.StreamOptions(audio_languages=("fr",), audio_outputs=(A.AudioOutput("aac", "7.1"),), preserve_original_audio=False)))
-    assert [(s["action"], s["channels"]) for s in plan] == [("encode", 6)]  # nothing is mixed up
+def test_audio_plan(spark):
+    """Copies before encodes in each bucket, no track twice, nothing mixed up, no bucket and no file left without audio."""
+    tracks = '[{"l":"eng","c":"truehd","ch":8,"t":"Main"},{"l":"eng","c":"aac","ch":2,"t":null},{"l":"fre","c":"dts","ch":6,"t":"VF"},{"l":"eng","c":"ac3","ch":2,"t":"Commentary"}]'
+    out = (A.AudioOutput("aac", "stereo"), A.AudioOutput("opus", "5.1", 256))
+
+    def plan(text=tracks, **o):
+        steps = one(spark, A.audio_plan(A.audio(F.lit(text)), A.StreamOptions(**o)))
+        assert [s["output"] for s in steps] == list(range(len(steps)))
+        return [(s["bucket"], s["action"], s["source"], s["codec"], s["channels"], s["kbps"]) for s in steps]
+
+    assert plan(audio_languages=("fr", "en"), audio_outputs=out) == [
+        ("fr", "copy", 2, "dts", 6, 0), ("fr", "encode", 2, "aac", 2, 192), ("fr", "encode", 2, "opus", 6, 256),
+        ("en", "copy", 0, "truehd", 8, 0), ("en", "copy", 1, "aac", 2, 0), ("en", "encode", 0, "opus", 6, 256),
+    ]
+    assert plan(audio_languages=("en",), audio_outputs=out, preserve_original_audio=False) == [("en", "copy", 1, "aac", 2, 0), ("en", "encode", 0, "opus", 6, 256)]
+    assert plan(audio_languages=("fr",), audio_outputs=(A.AudioOutput("aac", "7.1"),), preserve_original_audio=False) == [("fr", "copy", 2, "dts", 6, 0)]
+    assert [s[:3] for s in plan(audio_languages=("ja",), preserve_original_audio=False)] == [("und", "copy", i) for i in (0, 1, 2)]
+    assert plan(audio_languages=("fr",), format="mp4") == [("fr", "encode", 2, "aac", 6, 0)]
+    assert plan(audio_languages=("fr",), format="webm", audio_outputs=(A.AudioOutput("ac3", "5.1", 448),)) == [("fr", "encode", 2, "opus", 6, 0), ("fr", "encode", 2, "opus", 6, 448)]
+    assert plan('[{"l":"eng","c":"aac","ch":2,"t":"Commentary"}]') == [("und", "copy", 0, "aac", 2, 0)]
+    assert plan("[]") == [] and plan("broken", audio_languages=("en",)) == []
     assert A.with_original(("en",), "ja") == ("en", "ja") and A.with_original((), "ja") == ()
 
 
+def test_folders_few_and_many(spark, monkeypatch):
+    rows = [(i, p) for i, p in enumerate(["/m/A/b/x.mkv", "/m/a/y.mkv", "/m/z.mkv", "/n/a/b/c/d.mkv", "/m/ab/q.mkv", None])]
+    df = spark.createDataFrame(rows, "id long, file_path string")
+    folders = spark.createDataFrame([("/m/a/", 1), ("/M/a/B", 2), ("/n/a", 3), ("/n/a", 3), ("/m/a/y.mkv", 9)], "root string, rank int")
+    seen = []
+    for few in (100, 0):
+        monkeypatch.setattr(P, "FEW_FOLDERS", few)
+        seen.append(sorted(map(tuple, P.longest_prefix(df, folders).collect()), key=str))
+        assert P.longest_prefix(df, folders.where("false")).where("rank is not null").count() == 0
+    assert seen[0] == seen[1] and {r[0]: r[3] for r in seen[0]} == {0: 2, 1: 1, 2: None, 3: 3, 4: None, 5: None}
+
+
+def test_slots_and_candidates(spark):
+    slots = spark.createDataFrame([("j1", "n", "nvidia", "Encoding", 5)], "job_id string, node_id string, device_id string, phase string, progress int")
+    places = spark.createDataFrame([("n", "nvidia", 2), ("n", "cpu", 0)], "node_id string, device_id string, cap int")
+    wishes = spark.createDataFrame([("a", "n", "nvidia", 2), ("b", "n", "nvidia", 1), ("j1", "n", "nvidia", 0), ("c", "n", "cpu", 0), ("", "n", "nvidia", 0), ("d", "m", "cpu", 0)], "job_id string, node_id string, device_id string, asked int")
+    now = placement.reserve(slots, wishes, places)
+    assert {(r["job_id"], r["phase"]) for r in now.collect()} == {("j1", "Encoding"), ("b", "Reserved")}
+    moves = spark.createDataFrame([("b", "b2"), ("j1", "b"), ("gone", "x")], "job_id string, new_id string")
+    assert {r["job_id"] for r in placement.rekey(now, moves).collect()} == {"b2", "j1"}
+    assert [r["job_id"] for r in placement.release(now, moves.where("job_id = 'b'")).collect()] == ["j1"]
+    items = spark.createDataFrame([(1, "Music", "Pending", 0), (2, "Video", "Pending", 2), (3, "Video", "Pending", 1), (4, "Video", "Done", 0)], "id long, kind string, status string, place int")
+    first = lambda ids, skip: [r["id"] for r in placement.first_local(items, items.where(F.col("id").isin(*ids)), F.col("id") == skip).collect()]
+    assert first([], 0) == [3] and first([3], 0) == [2] and first([3], 2) == []
+
+
 def files(spark, *rows):
     schema = "id long, file_path string, kind string, codec string, is_hevc boolean, is_4k boolean, is_hdr boolean, bitrate long, width int, height int, duration long, status string, audio_streams string, subtitle_streams string, failure_count int"
     return spark.createDataFrame(rows, schema)
@@ -217,7 +261,7 @@ def test_queue_order_and_page(spark):
     assert [r["id"] for r in queue.page(df, 0, 3).collect()] == [8, 6, 5]
     assert [r["bitrate"] for r in queue.page(df, 2, 3, kind="Video").collect()] == [1004, 1003, 1002] and queue.page(df, 0, 0).count() == 0
     assert queue.total(df, "Video").first()[0] == 7
-    assert {r["id"]: r["priority"] for r in queue.bump(df, 3).collect()}[3] == 10
+    assert {r["id"]: r["priority"] for r in queue.bump(df, df.where("id = 3")).collect()}[3] == 10
     window = queue.window(df, size=4, floor=1)
     assert {r["id"] for r in window.collect()} == {8, 6, 5, 4}
 
@@ -346,7 +390,7 @@ def test_changes(spark):
     failed = {r["id"]: (r["failure_count"], r["failure_reason"]) for r in scan.record_failure(df, 1, "x" * 3000).collect()}
     assert failed[1] == (3, "x" * 2048) and failed[2] == (0, None)
     assert {r["id"]: r["status"] for r in scan.requeue_orphans(df).collect()} == {1: "Queued", 2: "Processing", 3: "Queued"}
-    assert {(r["status"], r["priority"], r["assigned_node_id"]) for r in scan.reset_all(df).collect()} == {("Unseen", 0, None)}
+    assert {(r["status"], r["priority"], r["assigned_node_id"]) for r in scan.reset_all(df).collect()} == {("Unseen", 4, None)}
     log = spark.createDataFrame([(1, 1, "a", False), (1, 2, "b", True), (2, 3, "a", False)], "work_item_id long, id long, phase string, completed boolean")
     assert {r["work_item_id"]: r["phase"] for r in scan.latest_transition(log).collect()} == {1: "b", 2: "a"} and scan.open_transitions(log).count() == 2
     nodes = spark.createDataFrame([("a", datetime.datetime(2024, 1, 1, 0, 0)), ("b", datetime.datetime(2024, 1, 1, 0, 9))], "node_id string, last_heartbeat timestamp_ntz")
