@@ -131,6 +131,13 @@ def best_quality(tested: dict[int, int], target: int, tolerance: float) -> int:
     return min(under) if under else min(tested, key=lambda q: (abs(tested[q] - target), q))
 
 
+def best_tested(tests: Column, target: Column, tolerance: float) -> Column:
+    """`best_quality` of array<struct<quality, kbps>>; null without a test."""
+    under = F.transform(F.filter(tests, lambda x: x["kbps"] <= F.floor(target * (1 + tolerance))), lambda x: x["quality"])
+    nearest = F.array_min(F.transform(tests, lambda x: F.struct(F.abs(x["kbps"] - target).alias("off"), x["quality"].alias("quality"))))
+    return F.when(F.size(under) > 0, F.array_min(under)).otherwise(nearest["quality"])
+
+
 def display_bytes(size: Column) -> Column:
     """Bytes for people, in powers of 1024."""
     steps = [(1024**4, "TB"), (1024**3, "GB"), (1024**2, "MB"), (1024, "KB")]

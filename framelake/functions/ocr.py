@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +16,9 @@ from framelake.session import ship
 LOOKALIKES = {"0": "oO", "1": "lI", "5": "sS", "8": "B", "6": "b", "9": "g"}
 _LETTERS = "abcdefghijklmnopqrstuvwxyz'"
 MOST_VARIANTS = 256
+#: Words that a worker remembers; it forgets all of them beyond that.
+REMEMBERED = 200_000
+_TOKENS = re.compile(r"([\w']+)")
 
 
 def substituted(text: Column) -> Column:
@@ -57,16 +62,38 @@ def _shape(a: str, b: str) -> int:
     return 2 * (len(a) == len(b)) + (a[:1] == b[:1]) + (a[-1:] == b[-1:]) + len(set(a) & set(b))
 
 
+class Corrector:
+    """Corrects words; what a word could be is found once, and the word before it only chooses among that."""
+
+    def __init__(self, ranks: dict[str, int], pairs: dict[tuple[str, str], int]):
+        self.ranks, self.pairs = ranks, pairs
+        self._found: dict[str, tuple[str, ...]] = {}
+
+    def candidates(self, word: str) -> tuple[str, ...]:
+        """Known words at one edit, or that the word is with its digits read as letters."""
+        found = self._found.get(word)
+        if found is None:
+            if len(self._found) > REMEMBERED:
+                self._found.clear()
+            low = word.lower()
+            known = {v.lower() for v in variants(word) if v.lower() in self.ranks} or {e for e in edits(low) if e in self.ranks}
+            found = self._found[word] = tuple(sorted(known))
+        return found
+
+    def word(self, word: str, before: str) -> str:
+        """The word, or the best known one: frequent, alike, and seen after the word before it."""
+        low = word.lower()
+        if low in self.ranks or len(low) < 3 or not any(c.isalpha() for c in low):
+            return word
+        found = self.candidates(word)
+        if not found:
+            return word
+        score = lambda w: (self.pairs.get((before.lower(), w), 0), _shape(low, w), -self.ranks[w], w)
+        return _like(max(found, key=score), word)
+
+
 def correct_word(word: str, before: str, ranks: dict[str, int], pairs: dict[tuple[str, str], int]) -> str:
-    """The word, or the best known one at one edit: frequent, alike, and seen after the word before it."""
-    low = word.lower()
-    if low in ranks or len(low) < 3 or not any(c.isalpha() for c in low):
-        return word
-    found = {v.lower() for v in variants(word) if v.lower() in ranks} or {e for e in edits(low) if e in ranks}
-    if not found:
-        return word
-    score = lambda w: (pairs.get((before.lower(), w), 0), _shape(low, w), -ranks[w], w)
-    return _like(max(found, key=score), word)
+    return Corrector(ranks, pairs).word(word, before)
 
 
 def dictionary(lines: DataFrame, column: str, words: int = 5000, pairs: int = 20_000) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
@@ -82,28 +109,33 @@ def corrected(lines: DataFrame, column: str, known: tuple[dict, dict]) -> DataFr
     """`lines` with column corrected: substitutions, then words that aren't known replaced by known ones."""
     spark = lines.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(known)  # bounded by the dictionary's parameters
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, known))  # bounded by the dictionary's parameters
 
     @F.pandas_udf("string")
     def fix(texts: pd.Series) -> pd.Series:
-        import re
-
-        ranks, pairs = shared.value
-        seen: dict[tuple[str, str], str] = {}
+        corrector = _corrector(*shared.value)
 
         def line(text):
             if text is None:
                 return None
             out, before = [], ""
-            for token in re.split(r"([\w']+)", text):
-                if re.fullmatch(r"[\w']+", token):
-                    key = (token, before)
-                    if key not in seen:
-                        seen[key] = correct_word(token, before, ranks, pairs)
-                    token = before = seen[key]
+            for i, token in enumerate(_TOKENS.split(text)):
+                if i % 2:
+                    token = before = corrector.word(token, before)
                 out.append(token)
             return "".join(out)
 
         return texts.map(line)
 
     return lines.withColumn("corrected", fix(substituted(F.col(column))))
+
+
+_correctors: dict[str, Corrector] = {}
+
+
+def _corrector(key: str, known: tuple[dict, dict]) -> Corrector:
+    """One corrector for each dictionary in a worker, so that what it has found lasts over batches and tasks."""
+    if key not in _correctors:
+        _correctors.clear()
+        _correctors[key] = Corrector(*known)
+    return _correctors[key]

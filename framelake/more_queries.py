@@ -134,6 +134,21 @@ CASE WHEN n OR duration_seconds <= 0 THEN 0 ELSE CAST(floor(encoded_size_bytes *
 FROM (SELECT *, encoded_size_bytes = 0 AS n FROM encode_history)""",
 )(_from(ledger.job_row, "encode_history", kilo=1024, always_keep=True))
 
+query(
+    "best_qualities",
+    """SELECT id, coalesce(min(q) FILTER (k <= floor(2000 * 1.25)), arg_min(q, (abs(k - 2000), q))) AS quality FROM (
+SELECT id, q, CAST(bitrate + (30 - q) * (id % 7) * 60 AS BIGINT) AS k FROM media_files, (VALUES (18), (24), (30), (36)) v(q)) GROUP BY id""",
+)(
+    lambda s, d: view(s, d, "media_files").select(
+        "id",
+        M.best_tested(F.transform(F.array(*[F.lit(q) for q in (18, 24, 30, 36)]), lambda q: F.struct(q.alias("quality"), (F.col("bitrate") + (30 - q) * (F.col("id") % 7) * 60).cast("long").alias("kbps"))), F.lit(2000), 0.25).alias("quality"),
+    )
+)
+query("active_order", "SELECT id, CASE id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS rank FROM media_files ORDER BY rank, bitrate DESC, id LIMIT 700")(
+    lambda s, d: view(s, d, "media_files").withColumn("status", F.element_at(F.array(*[F.lit(x) for x in ("Processing", "Uploading", "Downloading", "Queued", "Failed")]), (F.col("id") % 5 + 1).cast("int")))
+    .withColumn("rank", queue.active_rank()).orderBy("rank", F.desc("bitrate"), "id").limit(700).select("id", "rank")
+)
+
 # workers
 
 query(
@@ -332,3 +347,20 @@ SELECT id, CASE WHEN json_valid(subtitle_streams) THEN from_json(subtitle_stream
 WHERE i IS NULL OR (b[i].c NOT IN ('hdmv_pgs_subtitle') AND (b[i].l = 'eng' OR (b[i].l = 'und' AND b[i].t LIKE 'English%')) AND NOT b[i].s) GROUP BY id
 UNION ALL SELECT id, '' FROM media_files WHERE id % 10 IN (2, 3)""",
 )(lambda s, d: view(s, d, "media_files").select("id", F.array_join(A.sidecars(A.subtitles(F.col("subtitle_streams")), WANTED).cast("array<string>"), ",").alias("indexes")))
+
+
+def _kept(spark, d) -> DataFrame:
+    m = view(spark, d, "media_files").withColumn("a", A.audio(F.col("audio_streams")))
+    count = None
+    for original in ("ja", "en", None):  # the languages that the library has
+        wanted = list(A.with_original(("en",), original))
+        n = F.size(F.filter("a", lambda x: L.matches(x["l"], x["t"], wanted)))  # noqa: B023
+        count = n if count is None else F.when(F.col("original_language").eqNullSafe(F.lit(original)), n).otherwise(count)
+    return m.select("id", count.alias("kept"))
+
+
+query(
+    "kept_tracks",
+    f"""SELECT m.id, CAST(count(a.id) FILTER (lower(a.l) = 'eng' OR (a.l IS NULL AND a.t = 'English') OR (a.l = 'jpn' AND m.original_language = 'ja')) AS INT) AS kept
+FROM media_files m LEFT JOIN ({_AUDIO}) a ON a.id = m.id GROUP BY 1""",
+)(_kept)
