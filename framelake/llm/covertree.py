@@ -412,6 +412,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = BLO
     )
 
 
+#: The rows of op1_near_vectors for tables whose ids are there and differ.
+ORACLE_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (
+  SELECT * FROM v WHERE len(e) > 0 AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in e if x <> 0]) > 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+),
+reached AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT r.vec_id, coalesce(any_value(n), 0) AS n_links, min(other) AS component_id, min(other) = r.vec_id AS kept
+FROM reached r LEFT JOIN counted c ON c.vec_id = r.vec_id GROUP BY r.vec_id"""
+
+
 def op1_near_vectors(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors of the whole table at cosine 0.9; see `near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
