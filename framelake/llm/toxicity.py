@@ -4,7 +4,8 @@ Each class, toxic and ordinary, has a model of the letters of words: the highest
 class's own words go on after what was read of a word, and what is taken off goes to lower orders that both classes
 share, with continuation counts as Kneser and Ney have them. So a rare or unseen expression is smoothed by the same
 backoff in both classes, and only what a class has really seen makes a difference. After a beginning that the toxic
-class has never seen both classes go on by the shared orders alone, so nothing tells them apart there.
+class has seen fewer than SEEN times both classes go on by the shared orders alone, so that a word that a toxic text
+happens to hold doesn't count as an insult.
 
 Counts, backoff and ratios are tables, without a bound: a row for each word beginning that was seen. Its most frequent
 rows go to all executors and decide most words where the text is. A word that goes on where rows are left out is open:
@@ -38,7 +39,9 @@ DISCOUNT = 0.75
 #: A word whose log-likelihood ratio is above this counts as evidence.
 EVIDENCE = 1.0
 #: Beginnings that go to all executors, the most frequent ones (others are joined).
-WINDOWS = 1 << 21
+WINDOWS = 1 << 20
+#: Sightings by the toxic class from which the classes go on after a beginning by counts of their own.
+SEEN = 4
 #: The curve is fitted on this share of the labels of each class, at most so many rows.
 CALIBRATION_SHARE = 5
 CALIBRATION_ROWS = 10_000
@@ -112,11 +115,11 @@ def _backoff(grams: DataFrame) -> DataFrame:
 
 def _nodes(grams: DataFrame) -> DataFrame:
     """(beginning, ratio, beyond, least, count) of the start mark and of each word beginning that was seen after one
-    that the toxic class has seen: the log-likelihood ratio of its last letter, the ratio of any letter after it that
+    that the toxic class has seen often enough: the log-likelihood ratio of its last letter, the ratio of any letter after it that
     was not seen there, and the least count of those that were."""
     seen = grams.where("gram like '<%'").select(F.expr("substring(gram, 2)").alias("beginning"), "ordinary", "toxic").withColumn("context", _but_last("beginning"))
     sums = [F.sum(c).alias(f"{c}_total") for c in ("ordinary", "toxic")] + [F.sum((F.col(c) > 0).cast("int")).alias(f"{c}_types") for c in ("ordinary", "toxic")]
-    contexts = seen.groupBy("context").agg(*sums, F.min(F.col("ordinary") + F.col("toxic")).alias("least")).where("toxic_total > 0")
+    contexts = seen.groupBy("context").agg(*sums, F.min(F.col("ordinary") + F.col("toxic")).alias("least")).where(F.col("toxic_total") >= SEEN)
     taken = lambda c: F.when(F.col(f"{c}_total") > 0, DISCOUNT * F.col(f"{c}_types") / F.col(f"{c}_total")).otherwise(1.0)
     own = lambda c: F.when(F.col(f"{c}_total") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_total")).otherwise(0.0)
     chance = lambda c: own(c) + taken(c) * F.col("shared")
@@ -161,20 +164,26 @@ def _head(nodes: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     total = nodes.count()
     least = 0
     if total > size:  # the counts are few numbers, but for the largest ones, which don't decide
-        rarest = by_count.orderBy("count").limit(100_000).toPandas()
-        left = total - np.cumsum(rarest["n"].to_numpy())
-        least = int(rarest["count"].to_numpy()[np.flatnonzero(left <= size)[0]]) + 1
-
-    def hashed(batches):
+        left = total
+        for r in by_count.orderBy("count").limit(100_000).collect():
+            left, least = left - r["n"], r["count"] + 1
+            if left <= size:
+                break
+
+    def packed(batches):  # one row of arrays for each task, as a million rows would cost the driver far more than their bytes
+        parts = []
         for b in batches:
-            h = _hashes(b.column("beginning").to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), b.column("ratio"), b.column("beyond")], names=["h", "ratio", "beyond"])
+            ratio, beyond = (b.column(c).to_numpy(zero_copy_only=False).astype(np.float32) for c in ("ratio", "beyond"))
+            parts.append((_hashes(b.column("beginning").to_pylist()), ratio, beyond))
+        if parts:
+            columns = [pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "ratio", "beyond"])
 
     beyond = F.when(F.col("least") < least, F.lit(float("nan"))).otherwise(F.col("beyond")).cast("float").alias("beyond")
-    rows = nodes.where(F.col("count") >= least).select("beginning", "ratio", beyond).mapInArrow(hashed, "h bigint, ratio float, beyond float").toPandas()
-    h = rows["h"].to_numpy(np.int64).view(np.uint64)
+    rows = nodes.where(F.col("count") >= least).select("beginning", "ratio", beyond).mapInArrow(packed, "h binary, ratio binary, beyond binary").collect()
+    h, ratio, beyond = (np.frombuffer(b"".join([bytes(r[c]) for r in rows]), dtype=t) for c, t in (("h", np.uint64), ("ratio", np.float32), ("beyond", np.float32)))
     order = np.argsort(h)
-    return h[order], rows["ratio"].to_numpy(np.float32)[order], rows["beyond"].to_numpy(np.float32)[order], least == 0
+    return h[order], ratio[order], beyond[order], least == 0
 
 
 def _marked(word: str) -> str:
@@ -373,11 +382,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, tuple(head)))
         left = None if whole else nodes
         sample = rows.join(F.broadcast(chosen), "doc_id")
-        seen = _with_features(sample.select("toxic", "text"), "text", shared, left).drop("text").toPandas()
+        rows = _with_features(sample.select("toxic", "text"), "text", shared, left).select("toxic", *FEATURES).collect()
+        seen = np.array(rows, dtype=np.float64).reshape(-1, 1 + len(FEATURES))
     discard(chosen)
-    if seen is None or len(set(seen["toxic"].tolist())) < 2:
+    if seen is None or len(set(seen[:, 0].tolist())) < 2:
         return ToxicityModel(None, None, None, share)
-    return ToxicityModel(shared, left, fit_curve(seen[list(FEATURES)].to_numpy(), seen["toxic"].to_numpy(), penalty=1.0), 0.0)
+    return ToxicityModel(shared, left, fit_curve(seen[:, 1:], seen[:, 0], penalty=1.0), 0.0)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

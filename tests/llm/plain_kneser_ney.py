@@ -4,7 +4,7 @@ import math
 import re
 from collections import Counter
 
-from framelake.llm.toxicity import _END, _START, BEGINNING, DISCOUNT, EVIDENCE, SHARED
+from framelake.llm.toxicity import _END, _START, BEGINNING, DISCOUNT, EVIDENCE, SEEN, SHARED
 
 
 class KneserNey:
@@ -51,8 +51,8 @@ class KneserNey:
         return max(self.full[toxic].get(beginning, 0) - DISCOUNT, 0.0) / n + DISCOUNT * self.types[toxic][beginning[:-1]] / n * backoff
 
     def ratio(self, beginning: str) -> float:
-        """Log-likelihood ratio of the last letter; the classes share all that follows what the toxic one hasn't seen."""
-        if not self.total[1].get(beginning[:-1], 0):
+        """Log-likelihood ratio of the last letter; the classes share all that follows what the toxic one has hardly seen."""
+        if self.total[1].get(beginning[:-1], 0) < SEEN:
             return 0.0
         return math.log(self.probability(beginning, 1)) - math.log(self.probability(beginning, 0))
 

@@ -226,7 +226,7 @@ def grams_of(words):
 
 def test_kneser_ney_is_a_distribution():
     """Over the letters, the end and one more for all unseen letters, the chances of each context sum to 1."""
-    model = KneserNey(grams_of([("ab", 4, 1), ("a", 1, 1), ("bac", 3, 0), ("abc", 0, 2)]))
+    model = KneserNey(grams_of([("ab", 4, 1), ("a", 1, 1), ("bac", 3, 0), ("abc", 0, 2), ("cab", 1, 6)]))
     for toxic in (0, 1):
         for context in ("^", "^a", "^ab", "^abc", "^b", "^ca"):
             assert sum(model.probability(context + c, toxic) for c in "abc$?") == pytest.approx(1.0, abs=1e-12)
@@ -271,7 +271,7 @@ def test_rare_beginnings_count(spark, make_docs, monkeypatch):
 
 def test_tables_have_the_ratios(spark):
     words = ["vilgrum", "vilgar", "ranok", "ravel", "mo", "a", "slurbek", "ravelling", "b" * 40]
-    counts = spark.createDataFrame([(w, c, n) for i, w in enumerate(words) for c in (0, 1) if (n := (i * 5 + c * 7) % 4)], "token string, toxic int, count long")
+    counts = spark.createDataFrame([(w, c, n) for i, w in enumerate(words) for c in (0, 1) if (n := (i * 5 + c * 7) % 4 * 3)], "token string, toxic int, count long")
     grams = toxicity._grams(counts)
     plain = KneserNey([tuple(r) for r in grams.collect()])
     new = ["vil", "vilx", "raz", "zz", "ravellers", "slurb", "é", "b" * 50, "b" * 23]
