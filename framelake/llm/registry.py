@@ -11,6 +11,7 @@ from framelake.llm.language import op9_language
 from framelake.llm.packing import op7_packing
 from framelake.llm.pii import op2_pii
 from framelake.llm.quality import op10_quality
+from framelake.llm.runs import op12_runs
 from framelake.llm.token_counts import op5_token_counts
 from framelake.llm.toxicity import op3_toxicity
 
@@ -27,6 +28,7 @@ def queries() -> dict:
         "op8_fingerprints": op8_fingerprints,
         "op9_language": op9_language,
         "op10_quality": op10_quality,
+        "op12_runs": op12_runs,
     }
 
 
