@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import crc_mod, prepare, table
 
-#: The bounded sample: bytes of a language's dictionary, characters that one text gives to it, and languages at most.
+#: The bounded sample: bytes of a language's dictionary, characters that one text gives to it, and bytes of all
+#: dictionaries together. All languages are learned; where there are so many that this is less, each gets its share.
 DICTIONARY = 65_536
 SHARE = 2_048
-LANGUAGES = 256
+ALL_DICTIONARIES = 256 * DICTIONARY
 #: Bytes of a block: long texts are judged by all their blocks, each against the dictionary alone.
 BLOCK = 4_096
 LEVEL = 6
@@ -36,23 +37,24 @@ def letters(text: str) -> str:
     return _OTHER.sub(" ", text).lower()
 
 
-def dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    """Dictionaries from rows of (doc_id, text, lang). Texts are taken in order of a hash of their ids until a
-    dictionary is full, each with its middle part; at most LANGUAGES languages, the most frequent ones, in that order."""
+def dictionaries(docs: DataFrame, most: int = DICTIONARY, together: int = ALL_DICTIONARIES) -> dict[str, bytes]:
+    """Dictionaries of all languages from rows of (doc_id, text, lang), the most frequent language first. Texts are taken
+    in order of a hash of their ids until a dictionary is full, each with its middle part."""
     rows = docs.where("lang is not null and length(text) > 0")
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    need = DICTIONARY // 256  # texts per language; more than enough if texts are 256 bytes long
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    order = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]  # a row for each language
+    if not order:
+        return {}
+    size = min(most, max(1, together // len(order)))
+    need = -(-size // 256)  # texts per language; more than enough if texts are 256 bytes long
+    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     part = F.substring("text", F.greatest(F.lit(1), F.floor((F.char_length("text") - SHARE) / 2).cast("int")), F.lit(SHARE))
-    some = rows.join(F.broadcast(frequent.select("lang")), "lang").select("lang", "doc_id", part.alias("text"))
-    some = some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= need)
-    ranked = frequent.collect()
+    some = rows.select("lang", "doc_id", part.alias("text")).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= need)
     found: dict[str, list[bytes]] = {}
-    for r in some.orderBy("lang", "rank").toLocalIterator():  # at most LANGUAGES * need parts of SHARE characters
+    for r in some.orderBy("lang", "rank").toLocalIterator():  # at most `need` parts of SHARE characters for each language
         parts = found.setdefault(r["lang"], [])
-        if sum(map(len, parts)) < DICTIONARY:
+        if sum(map(len, parts)) < size:
             parts.append(letters(r["text"]).encode("utf-8", "surrogatepass"))
-    return {r["lang"]: b" ".join(found[r["lang"]])[:DICTIONARY] for r in ranked if r["lang"] in found}
+    return {lang: b" ".join(found[lang])[:size] for lang in order if lang in found}
 
 
 class _Judge:

@@ -340,6 +340,11 @@ class ToxicityModel:
     def __init__(self, shared, nodes: DataFrame | None, weights: np.ndarray | None, default: float):
         self.shared, self.nodes, self.weights, self.default = shared, nodes, weights, default
 
+    @property
+    def compares(self) -> bool:
+        """Whether there were labels of both classes; else all documents have one score, which says nothing of them."""
+        return self.weights is not None
+
     def score(self, docs: DataFrame) -> DataFrame:
         """`docs` (with a column text) with score and predicted. Null texts are empty; texts without a word have the
         score of a document in which nothing speaks for either class. Other columns stay."""

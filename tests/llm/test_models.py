@@ -318,6 +318,30 @@ def test_language(spark, make_docs, folder, odd):
     assert language.op9_language(spark, folder(documents=df.where(F.lit(False)))).count() == 0
 
 
+def test_language_against_plain_compression(spark, make_docs, folder, odd):
+    """Each text with each dictionary in a plain loop; more languages than would have whole dictionaries."""
+    import zstandard
+
+    rng = random.Random(12)
+    alphabets = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 6)) for _ in range(9)]
+    texts = [(10 * i + k, " ".join("".join(rng.choices(a, k=rng.randint(2, 7))) for _ in range(rng.randint(5, 60))), f"l{k}") for k, a in enumerate(alphabets) for i in range(12)]
+    docs = spark.createDataFrame([*texts, *[(1000 + i, t, None) for i, t in enumerate(odd)], (None, texts[0][1] * 300, None)], "doc_id long, text string, lang string")
+    known = language.dictionaries(docs.where("doc_id is not null"), together=9 * 400)
+    assert len(known) == 9 and all(0 < len(d) <= 400 for d in known.values())
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.with_language(docs, known).collect()}
+    for doc_id, text in [(r["doc_id"], r["text"]) for r in docs.collect()]:
+        if not text or not any(c.isalpha() for c in text):
+            assert got[doc_id] == ("und", 0.0)
+            continue
+        data, sizes = language.letters(text).encode(), []
+        for d in known.values():
+            encoder = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(encoder.compress(data[i : i + language.BLOCK])) for i in range(0, len(data), language.BLOCK)))
+        first, second = sorted(sizes)[:2]
+        margin = (second - first) / first
+        assert got[doc_id] == (list(known)[sizes.index(first)], pytest.approx(margin / (margin + language.HALF)))
+
+
 def test_quality(spark, make_docs, folder, odd):
     rng = random.Random(3)
     good = [" ".join(rng.choices("the river runs below an old stone bridge near town".split(), k=40)) + "." for _ in range(150)]

@@ -63,3 +63,10 @@ def test_near_copies_by_five_words(spark, make_docs):
     # with two words changed, 86 of 106 shingles of five words are common, and 92 of 104 of three; with three, 81 of 111
     docs = make_docs([(1, changed(())), (2, changed((30, 60))), (3, changed((20, 45, 70)))])
     assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()} == {1, 3}
+
+
+def test_labels_of_one_class_drop_nothing(spark, make_docs, folder):
+    docs = make_docs([f"text number {i} of some words" for i in range(30)] + [None])
+    for toxic in (0, 1):
+        d = folder(documents=docs, labels=spark.createDataFrame([(i, 0, toxic) for i in range(30)], "doc_id long, quality int, toxic int"))
+        assert corpus_pipeline.drop_toxic(spark, docs, d).count() == 31
