@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import jaccard, language, packing, pii, toxicity
-from framelake.llm.common import table, written
+from framelake.llm.common import discard, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,9 +22,11 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose toxicity is below the threshold."""
+    """Keeps the documents whose toxicity is below the threshold, null and empty texts and rows with a null or repeated
+    id like all others. Without labels of both classes there is nothing to compare, and all documents stay."""
     docs = _documents(docs)
-    return _documents(toxicity.fit(docs, table(spark, sf_dir, "labels")).score(docs).where("predicted = 0"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _documents(model.score(docs).where("predicted = 0")) if model.compares else docs
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind in brackets, and counts the characters anew where a text changed."""
+    """Replaces personal data by its kind in brackets, and counts the characters anew where a text changed. Rows stay
+    one for one, whatever their ids; null and empty texts stay as they are."""
     docs = _documents(docs)
     masked = pii.with_spans(docs.withColumn("before", F.xxhash64("text")), pii.learn(docs), mask=True)
     counted = F.when(F.xxhash64("text") == F.col("before"), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
@@ -55,7 +58,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens."""
+    """Pieces of sequences of at most 1024 tokens. Null and empty texts are their closing token alone; equal rows, and
+    rows that share an id or have none, are packed each by itself."""
     return packing.packed(docs)
 
 
@@ -72,8 +76,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared scratch folder before the next one."""
+    """The stages over documents, each written to the shared scratch folder before the next one; a stage's table goes
+    once the next one is written. An empty table passes all stages."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
