@@ -138,10 +138,69 @@ def best_tested(tests: Column, target: Column, tolerance: float) -> Column:
     return F.when(F.size(under) > 0, F.array_min(under)).otherwise(nearest["quality"])
 
 
+# The units of sizes on the dashboard, and in the log.
+DASHBOARD_UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
+LOG_UNITS = ("Bytes", "KB", "MB", "GB", "TB")
+
+
+def _rounded(size: Column, step: int, places: int) -> Column:
+    """size / step with so many decimal places, halves up, in integers."""
+    scale = 10**places
+    div = lambda a, b: F.call_function("div", a, F.lit(b).cast("long"))
+    n = div(size, step) * scale + div(size % step * (2 * scale) + step, 2 * step)
+    if not places:
+        return n.cast("string")
+    return F.concat(div(n, scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), places, "0"))
+
+
+def _in_units(size: Column, units: tuple[str, ...], shown) -> Column:
+    """`shown(step)` in the largest unit that the size reaches."""
+    out = F.concat(shown(1), F.lit(f" {units[0]}"))
+    for i, unit in enumerate(units[1:], 1):
+        out = F.when(size >= 1024**i, F.concat(shown(1024**i), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
 def display_bytes(size: Column) -> Column:
-    """Bytes for people, in powers of 1024."""
-    steps = [(1024**4, "TB"), (1024**3, "GB"), (1024**2, "MB"), (1024, "KB")]
-    out = F.concat(size.cast("string"), F.lit(" B"))
-    for step, unit in reversed(steps):
-        out = F.when(size >= step, F.concat(F.format_number(size / step, 1), F.lit(f" {unit}"))).otherwise(out)
+    """A size on the dashboard: two decimals below 10, one below 100, else none; nothing is 0 B."""
+    size = size.cast("long")
+    shown = lambda step: F.when(size < 10 * step, _rounded(size, step, 2)).when(size < 100 * step, _rounded(size, step, 1)).otherwise(_rounded(size, step, 0))
+    return F.when(F.coalesce(size, F.lit(0)) <= 0, "0 B").otherwise(_in_units(size, DASHBOARD_UNITS, shown))
+
+
+def log_bytes(size: Column) -> Column:
+    """A size in the log: at most two decimals, no zeros at the end."""
+    size = size.cast("long")
+    shown = lambda step: F.regexp_replace(_rounded(size, step, 2), r"\.?0+$", "")
+    return F.when(F.coalesce(size, F.lit(0)) <= 0, "0 Bytes").otherwise(_in_units(size, LOG_UNITS, shown))
+
+
+def hours_minutes(seconds: Column) -> Column:
+    """A duration in whole minutes; from 100 hours on in hours."""
+    minutes = F.floor(seconds / 60).cast("long")
+    hours, rest = F.floor(minutes / 60).cast("long"), minutes % 60
+    text = F.when(hours == 0, F.concat(rest.cast("string"), F.lit("m"))).when(hours < 100, F.concat(hours.cast("string"), F.lit("h "), rest.cast("string"), F.lit("m")))
+    return F.when(F.coalesce(seconds, F.lit(0)) <= 0, "0m").otherwise(text.otherwise(F.concat(hours.cast("string"), F.lit("h"))))
+
+
+def ago(time: Column, now: Column) -> Column:
+    """How long ago a time is; beyond a week the date, as month/day/year."""
+    seconds = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(time.cast("timestamp"))) / 1_000_000).cast("long")
+    out = F.date_format(time, "M/d/yyyy")
+    for below, step, unit in ((86400 * 7, 86400, "d"), (86400, 3600, "h"), (3600, 60, "m"), (60, 1, "s")):
+        out = F.when(seconds < below, F.concat(F.floor(seconds / step).cast("string"), F.lit(f"{unit} ago"))).otherwise(out)
     return out
+
+
+def realtime(content: Column, encode: Column) -> Column:
+    """Seconds of content for each second of encoding: one decimal below 10, else none; a dash where there is nothing."""
+    times = content / encode
+    one = F.format_string("%.1f", F.floor(times * 10 + 0.5) / 10)
+    shown = F.concat(F.when(times < 10, one).otherwise(F.floor(times + 0.5).cast("string")), F.lit("×"))
+    return F.when((F.coalesce(content, F.lit(0)) == 0) | (F.coalesce(encode, F.lit(0)) <= 0), "—").otherwise(shown)
+
+
+def saved_share(original: Column, encoded: Column) -> Column:
+    """The percentage saved, never below 0; a dash without an original size."""
+    share = F.greatest(F.lit(0), F.floor((original - F.coalesce(encoded, F.lit(0))) / original * 100 + 0.5).cast("long"))
+    return F.when(F.coalesce(original, F.lit(0)) <= 0, "—").otherwise(F.concat(share.cast("string"), F.lit("%")))

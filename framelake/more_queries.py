@@ -88,11 +88,13 @@ query("original_languages", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THE
         """case n_nationkey % 3 when 0 then concat('{"originalLanguage":{"id":1,"name":"', n_name, '"}}') when 1 then concat('{"originalLanguage":"', lower(n_name), '"}') else '{}' end as entry""",
     ).select("n_nationkey", FS.original_language(F.col("entry")).alias("language"))
 )
+# three digits at least: the exact quotient, as the divisors are powers of two, rounded half up as a decimal
+_DIGITS = "CASE WHEN {0} < 10 THEN CAST(CAST(CAST({0} AS DECIMAL(38, 24)) AS DECIMAL(20, 2)) AS VARCHAR) WHEN {0} < 100 THEN CAST(CAST(CAST({0} AS DECIMAL(38, 24)) AS DECIMAL(20, 1)) AS VARCHAR) ELSE CAST(CAST(CAST({0} AS DECIMAL(38, 24)) AS DECIMAL(20, 0)) AS VARCHAR) END"
 query(
     "media_scalars",
-    """SELECT id, CASE id % 5 WHEN 0 THEN 2160 WHEN 1 THEN 1440 WHEN 2 THEN 720 WHEN 3 THEN 480 ELSE 1080 END AS height, CAST(id * 3003 // 90 AS BIGINT) AS ms,
+    f"""SELECT id, CASE id % 5 WHEN 0 THEN 2160 WHEN 1 THEN 1440 WHEN 2 THEN 720 WHEN 3 THEN 480 ELSE 1080 END AS height, CAST(id * 3003 // 90 AS BIGINT) AS ms,
 CASE WHEN id % 7 = 0 THEN -100 ELSE greatest(1, 100 - id % 12 * 10) END AS music_score, CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN greatest(0, CAST(id % 6 AS INT) - 2) ELSE 4 END AS cap,
-CASE WHEN file_size >= 1048576 THEN printf('%.1f MB', file_size / 1048576.0) WHEN file_size >= 1024 THEN printf('%.1f KB', file_size / 1024.0) ELSE concat(file_size, ' B') END AS shown FROM media_files""",
+CASE WHEN file_size >= 1073741824 THEN {_DIGITS.format('file_size / 1073741824.0')} || ' GB' WHEN file_size >= 1048576 THEN {_DIGITS.format('file_size / 1048576.0')} || ' MB' WHEN file_size >= 1024 THEN {_DIGITS.format('file_size / 1024.0')} || ' KB' ELSE {_DIGITS.format('file_size / 1.0')} || ' B' END AS shown FROM media_files""",
 )(
     lambda s, d: view(s, d, "media_files").select(
         "id",
@@ -167,9 +169,6 @@ WHEN id % 5 = 0 THEN 'profile missing' WHEN id % 5 = 1 THEN 'profile mismatch' W
 # lookups and pages
 
 query("lookup_id", "SELECT id, file_path FROM media_files WHERE id = 7")(lambda s, d: library.by_id(view(s, d, "media_files"), 7).select("id", "file_path"))
-query("lookup_title", "SELECT id, file_path FROM media_files WHERE directory = '/media/africa/nation_0/automobile' AND base_name LIKE '1%'")(
-    lambda s, d: (lambda m: library.by_title(m.withColumn("base_name", F.substring("base_name", 1, 1)), "/media/africa/nation_0/automobile", "1"))(view(s, d, "media_files")).select("id", "file_path")
-)
 query("keyset_page", "SELECT id, file_path FROM media_files WHERE id > 300 AND status IN ('Queued', 'Skipped') ORDER BY id LIMIT 40")(
     lambda s, d: queue.page_after(view(s, d, "media_files"), 300, 40, ("Queued", "Skipped")).select("id", "file_path")
 )
@@ -227,16 +226,6 @@ force_mux AND NOT (id % 4 IN (0, 1) AND id % 8 IN (0, 1)) AS force_mux FROM (SEL
 query("guarded_flip", "SELECT id, CASE WHEN id % 2 = 0 AND status IN ('Queued', 'Skipped') THEN 'Unseen' ELSE status END AS status FROM media_files")(
     lambda s, d: scan.flip(view(s, d, "media_files"), F.col("id") % 2 == 0, ("Queued", "Skipped"), "Unseen").select("id", "status")
 )
-query(
-    "reopen_no_savings",
-    """SELECT id, CASE WHEN s <> 'NoSavings' OR (audio_streams IS NULL AND subtitle_streams IS NULL) THEN s WHEN bitrate < 2000 THEN 'Skipped' ELSE 'Unseen' END AS status
-FROM (SELECT *, CASE WHEN status = 'Completed' THEN 'NoSavings' ELSE status END AS s FROM media_files)""",
-)(
-    lambda s, d: scan.reopen_no_savings(view(s, d, "media_files").withColumn("status", F.when(F.col("status") == "Completed", "NoSavings").otherwise(F.col("status"))), F.col("bitrate") < 2000).select("id", "status")
-)
-query("record_failure", "SELECT id, failure_count + CASE WHEN id = 7 THEN 1 ELSE 0 END AS failure_count, CASE WHEN id = 7 THEN repeat('x', 2048) ELSE failure_reason END AS failure_reason FROM (SELECT {} FROM media_files)".format(_WIDE))(
-    lambda s, d: scan.record_failure(_wide(s, d), 7, "x" * 3000).select("id", "failure_count", "failure_reason")
-)
 _RESET = ["id", "status", "priority", "failure_count", "failure_reason", "completed_at", "assigned_node_id", "remote_work_item_id", "remote_job_phase", "dispatched_device_id", "remote_failure_count"]
 query(
     "reset_all",
@@ -247,20 +236,7 @@ query(
     "reset_file",
     f"SELECT id, CASE WHEN id % 9 = 0 THEN 'Unseen' ELSE status END AS status, CASE WHEN id % 9 = 0 THEN 0 ELSE failure_count END AS failure_count, CASE WHEN id % 9 <> 0 THEN failure_reason END AS failure_reason, force_mux AND id % 9 <> 0 AS force_mux FROM (SELECT {_WIDE} FROM media_files)",
 )(lambda s, d: scan.reset_file(_wide(s, d), F.col("id") % 9 == 0).select("id", "status", "failure_count", "failure_reason", "force_mux"))
-query("reset_queued", "SELECT id, CASE WHEN status = 'Queued' THEN 'Unseen' ELSE status END AS status FROM media_files")(lambda s, d: scan.reset_queued(view(s, d, "media_files")).select("id", "status"))
 _JOB = ["id", "status", "assigned_node_id", "remote_work_item_id", "remote_job_phase", "dispatched_device_id"]
-query(
-    "assign_jobs",
-    f"""SELECT id, CASE WHEN h THEN 'Processing' ELSE status END AS status, CASE WHEN h THEN 'node-9' ELSE assigned_node_id END AS assigned_node_id, CASE WHEN h THEN concat('job-', CAST(id AS VARCHAR)) ELSE remote_work_item_id END AS remote_work_item_id,
-CASE WHEN h THEN 'Uploading' ELSE remote_job_phase END AS remote_job_phase, CASE WHEN h AND id % 8 = 0 THEN 'intel' ELSE dispatched_device_id END AS dispatched_device_id FROM (SELECT {_WIDE}, id % 4 = 0 AS h FROM media_files)""",
-)(
-    lambda s, d: (
-        lambda m: scan.assign(
-            m,
-            m.where("id % 4 = 0").selectExpr("file_path as path", "concat('job-', cast(id as string)) as job_id", "'node-9' as node_id", "'Uploading' as phase", "case when id % 8 = 0 then 'intel' else '' end as device_id"),
-        )
-    )(_wide(s, d)).select(*_JOB)
-)
 query(
     "unassign_jobs",
     f"""SELECT id, CASE WHEN h THEN n ELSE status END AS status, CASE WHEN NOT h THEN assigned_node_id END AS assigned_node_id, CASE WHEN NOT h OR n = 'Queued' THEN remote_work_item_id END AS remote_work_item_id,
@@ -364,3 +340,5 @@ query(
     f"""SELECT m.id, CAST(count(a.id) FILTER (lower(a.l) = 'eng' OR (a.l IS NULL AND a.t = 'English') OR (a.l = 'jpn' AND m.original_language = 'ja')) AS INT) AS kept
 FROM media_files m LEFT JOIN ({_AUDIO}) a ON a.id = m.id GROUP BY 1""",
 )(_kept)
+
+from framelake import change_queries  # noqa: E402, F401  and these

@@ -121,6 +121,11 @@ def by_path(files: DataFrame, path: str) -> DataFrame:
     return files.where(F.col("file_path") == path).limit(1)
 
 
+def by_remote_id(files: DataFrame, work_item_id: str) -> DataFrame:
+    """The file of a work item on a node, or nothing."""
+    return files.where(F.col("remote_work_item_id") == work_item_id).limit(1)
+
+
 def by_id(files: DataFrame, id_: int) -> DataFrame:
     return files.where(F.col("id") == id_).limit(1)
 

@@ -99,26 +99,40 @@ def merge(files: DataFrame, probes: DataFrame) -> DataFrame:
     return both.select(*[pick[c].alias(c) for c in shared])
 
 
-def reevaluate(files: DataFrame, skip: Column) -> DataFrame:
-    """New states after settings changed: queued files that would be skipped are, skipped ones that wouldn't go back to
-    unseen. Queued files of which no stream summary is known are spared."""
-    blind = F.col("audio_streams").isNull() & F.col("subtitle_streams").isNull()
-    skip = F.coalesce(skip, F.lit(False))
-    state = F.when((F.col("status") == "Queued") & skip & ~blind, "Skipped").when((F.col("status") == "Skipped") & ~skip, "Unseen").otherwise(F.col("status"))
-    return files.withColumn("status", state)
+def reevaluate(files: DataFrame, skip: Column, retry_no_savings: bool = False) -> DataFrame:
+    """New states after settings changed. Skipped files that wouldn't be skipped now, or of which no stream summary is
+    known, are unseen again. Unseen ones, and ones that wait for this machine, are skipped if they would be; without a
+    summary they are spared. Files that saved nothing before are tried again only if that is asked for."""
+    known = F.col("audio_streams").isNotNull() | F.col("subtitle_streams").isNotNull()
+    skip = known & F.coalesce(skip, F.lit(False))
+    waits = (F.col("status") == "Queued") & F.col("assigned_node_id").isNull()
+    state = F.when((F.col("status") == "Skipped") & ~skip, "Unseen").when(((F.col("status") == "Unseen") | waits) & skip, "Skipped")
+    if retry_no_savings:
+        state = state.when(F.col("status") == "NoSavings", "Unseen")
+    return files.withColumn("status", state.otherwise(F.col("status")))
 
 
 def set_status(files: DataFrame, paths: DataFrame, status: str) -> DataFrame:
-    """Files whose path is listed (column path, whatever its case) get a status."""
-    hit = paths.select(F.lower("path").alias("hit")).distinct()
-    return files.join(hit, F.lower("file_path") == F.col("hit"), "left").withColumn("status", F.when(F.col("hit").isNotNull(), status).otherwise(F.col("status"))).drop("hit")
-
-
-def record_failure(files: DataFrame, id_: int, reason: str) -> DataFrame:
-    """One failure more of a file, and its reason, cut to 2048 characters."""
-    hit = F.col("id") == id_
+    """Files whose path is listed (column path) get a status. Of spellings of a path that differ in case only, the first
+    counts (by column place, else the least spelling), and files match it letter by letter."""
+    place = F.col("place") if "place" in paths.columns else F.col("path")
+    hit = paths.where("path is not null").groupBy(F.lower("path")).agg(F.min_by("path", F.struct(place, F.col("path"))).alias("hit")).select("hit")
+    return files.join(hit, F.col("file_path") == F.col("hit"), "left").withColumn("status", F.when(F.col("hit").isNotNull(), status).otherwise(F.col("status"))).select(*files.columns)
+
+
+def record_failures(files: DataFrame, failures: DataFrame) -> DataFrame:
+    """Failures (path, reason, at): their files are failed, each failure counts, and the latest gives the reason, cut to
+    2048 characters."""
+    last = failures.groupBy(F.col("path").alias("the path")).agg(F.count("*").cast("int").alias("more"), F.max_by("reason", F.struct("at", "reason")).alias("why"))
+    both = files.join(last, F.col("file_path") == F.col("the path"), "left")
+    hit = F.col("the path").isNotNull()
     before = F.col("failure_reason") if "failure_reason" in files.columns else F.lit(None).cast("string")
-    return files.withColumn("failure_count", F.col("failure_count") + hit.cast("int")).withColumn("failure_reason", F.when(hit, F.lit(reason[:2048])).otherwise(before))
+    new = {
+        "status": F.when(hit, "Failed").otherwise(F.col("status")),
+        "failure_count": F.col("failure_count") + F.coalesce("more", F.lit(0)),
+        "failure_reason": F.when(hit, F.substring("why", 1, 2048)).otherwise(before),
+    }
+    return both.withColumns(new).drop("the path", "more", "why")
 
 
 def requeue_orphans(files: DataFrame) -> DataFrame:
@@ -158,8 +172,11 @@ def reset_file(files: DataFrame, hit: Column) -> DataFrame:
 
 
 def reset_queued(files: DataFrame) -> DataFrame:
-    """The queue is emptied: what waits is unseen again."""
-    return files.withColumn("status", F.when(F.col("status") == "Queued", "Unseen").otherwise(F.col("status")))
+    """The queue of this machine is emptied: what waits is unseen again, without a priority and without a wish to remux.
+    What a node has stays."""
+    waits = (F.col("status") == "Queued") & F.col("assigned_node_id").isNull()
+    new = {"status": F.lit("Unseen"), "priority": F.lit(0), "force_mux": F.lit(False)}
+    return files.withColumns({c: F.when(waits, v).otherwise(F.col(c)) for c, v in new.items()})
 
 
 def set_state(files: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
@@ -184,26 +201,55 @@ def flip(files: DataFrame, hit: Column, expected: tuple[str, ...], status: str)
     return files.withColumn("status", F.when(guarded, status).otherwise(F.col("status")))
 
 
-def reopen_no_savings(files: DataFrame, skip: Column) -> DataFrame:
-    """After settings changed, files that saved nothing before are skipped or unseen again; those of which no stream
-    summary is known are spared."""
-    blind = F.col("audio_streams").isNull() & F.col("subtitle_streams").isNull()
-    new = F.when((F.col("status") == "NoSavings") & ~blind, F.when(F.coalesce(skip, F.lit(False)), "Skipped").otherwise("Unseen"))
-    return files.withColumn("status", F.coalesce(new, F.col("status")))
+def reopen_no_savings(files: DataFrame) -> DataFrame:
+    """Files that saved nothing before are unseen again, whatever is known of them."""
+    return files.withColumn("status", F.when(F.col("status") == "NoSavings", "Unseen").otherwise(F.col("status")))
 
 
 def assign(files: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Jobs (path, job_id, node_id, phase, device_id) that nodes were given: their files are running there. A device
-    that isn't named leaves the one before."""
-    c = jobs.select(F.col("path").alias("the path"), F.col("job_id").alias("the job"), F.col("node_id").alias("the node"), F.col("phase").alias("the phase"), F.col("device_id").alias("the device"))
+    """Jobs (path, job_id, node_id, node_name, node_ip, node_port, phase, device_id) that nodes were given: their files
+    are running there. A device that isn't named leaves the one before."""
+    names = {"job_id": "remote_work_item_id", "node_id": "assigned_node_id", "node_name": "assigned_node_name", "node_ip": "assigned_node_ip", "node_port": "assigned_node_port", "phase": "remote_job_phase"}
+    c = jobs.select(F.col("path").alias("the path"), *[F.col(k).alias(f"the {k}") for k in names], F.nullif("device_id", F.lit("")).alias("the device"))
     both = files.join(c, F.col("file_path") == F.col("the path"), "left")
     hit = F.col("the path").isNotNull()
-    pick = lambda c, value: F.when(hit, value).otherwise(F.col(c))
-    new = {"status": pick("status", F.lit("Processing")), "remote_work_item_id": pick("remote_work_item_id", F.col("the job")), "assigned_node_id": pick("assigned_node_id", F.col("the node"))}
-    new |= {"remote_job_phase": pick("remote_job_phase", F.col("the phase")), "dispatched_device_id": pick("dispatched_device_id", F.coalesce(F.nullif("the device", F.lit("")), "dispatched_device_id"))}
+    new = {v: F.when(hit, F.col(f"the {k}")).otherwise(F.col(v)) for k, v in names.items()}
+    new |= {"status": F.when(hit, "Processing").otherwise(F.col("status")), "dispatched_device_id": F.coalesce("the device", "dispatched_device_id")}
+    return both.withColumns(new).select(*files.columns)
+
+
+def set_remote(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """Changes (path, phase, forget, failures) of jobs on nodes: a phase that is given is set, the work item's id is
+    forgotten where its node has no part of it any more, and remote failures are added. The status stays."""
+    c = changes.select(F.col("path").alias("the path"), F.col("phase").alias("the phase"), "forget", "failures")
+    both = files.join(c, F.col("file_path") == F.col("the path"), "left")
+    new = {
+        "remote_job_phase": F.coalesce("the phase", "remote_job_phase"),
+        "remote_work_item_id": F.when(~F.coalesce("forget", F.lit(False)), F.col("remote_work_item_id")),
+        "remote_failure_count": F.col("remote_failure_count") + F.coalesce("failures", F.lit(0)),
+    }
     return both.withColumns(new).select(*files.columns)
 
 
+def set_verified(files: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """Results (path, result) of deep verifications, "ok" or what is wrong, and their time."""
+    c = results.select(F.col("path").alias("the path"), F.col("result").alias("the result"))
+    both = files.join(c, F.col("file_path") == F.col("the path"), "left")
+    hit = F.col("the path").isNotNull()
+    new = {"last_verified_at": F.when(hit, now).otherwise(F.col("last_verified_at")), "last_verify_result": F.when(hit, F.col("the result")).otherwise(F.col("last_verify_result"))}
+    return both.withColumns(new).select(*files.columns)
+
+
+def delete_paths(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """The files without those whose path is listed (column path)."""
+    return files.join(paths.select(F.col("path").alias("file_path")), "file_path", "left_anti").select(*files.columns)
+
+
+def clear(rows: DataFrame) -> DataFrame:
+    """The table emptied: the whole ledger, or the whole log of transitions."""
+    return rows.where(F.lit(False))
+
+
 def unassign(files: DataFrame, ends: DataFrame, now: Column) -> DataFrame:
     """Ends (path, new_status) of jobs on nodes: the assignment goes; the work item's id stays only where the file waits
     again, so that what its node has can be used; a status that an encode leads to gets its time."""
@@ -247,6 +293,11 @@ def old_transitions(log: DataFrame, now: Column, hours: int = 24, limit: int = 1
     return log.where(F.col("completed") & (F.col("at") < now - F.make_interval(hours=F.lit(hours)))).orderBy("at", "id").limit(limit)
 
 
+def without_old_transitions(log: DataFrame, now: Column, hours: int = 24, limit: int = 1000) -> DataFrame:
+    """The log (id, at, completed) without the oldest completed entries, at most `limit` of them at a time."""
+    return log.join(F.broadcast(old_transitions(log, now, hours, limit).select("id")), "id", "left_anti").select(*log.columns)
+
+
 def external_language(files: DataFrame, roots: DataFrame) -> DataFrame:
     """file_path and the language (column lang of roots) of the longest external root above it, else of the longest
     root whose folder name is a segment of the path, whatever the case."""

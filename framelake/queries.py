@@ -116,9 +116,6 @@ query("directory_totals", "SELECT directory, count(*) AS files, count(*) FILTER
 query("directory_page", "SELECT id, file_path, kind FROM media_files WHERE starts_with(file_path, '/media/asia/') ORDER BY lower(file_path), id LIMIT 100 OFFSET 20")(_from(library.directory_page, "media_files", directory="/media/asia", skip=20, take=100))
 query("api_ids", "SELECT id, concat('mf-', CAST(id AS VARCHAR)) AS api_id, id AS parsed FROM media_files")(_from(library.api_id, "media_files"))
 query("random_sample", "SELECT * FROM media_files ORDER BY md5(concat(CAST(id AS VARCHAR), ':0')), id LIMIT 100")(_from(library.sample, "media_files", n=100))
-query("lookup_path", "SELECT id, file_path FROM media_files WHERE file_path = (SELECT min(file_path) FROM media_files)")(
-    lambda s, d: (lambda m: m.join(F.broadcast(m.agg(F.min("file_path").alias("file_path"))), "file_path", "left_semi").select("id", "file_path"))(view(s, d, "media_files"))
-)
 
 # queue
 
@@ -280,13 +277,7 @@ CASE WHEN n.priority <> 0 THEN n.priority ELSE coalesce(o.priority, 0) END AS pr
 FROM media_files o FULL JOIN (SELECT CASE WHEN id % 2 = 0 THEN file_path ELSE concat(file_path, '.new') END AS file_path, file_size + 1 AS file_size, CASE WHEN id % 4 = 0 THEN 9 ELSE 0 END AS priority, id % 12 = 0 AS force_mux, CASE WHEN id % 5 = 0 THEN '[]' END AS audio_streams, CASE WHEN id % 7 = 0 THEN 'fr' END AS original_language FROM media_files WHERE id % 3 = 0) n ON o.file_path = n.file_path""")(
     lambda s, d: (lambda m: scan.merge(m, _probes(m)).select("file_path", "file_size", "codec", "status", "priority", "force_mux", "audio_streams", "original_language", "failure_count"))(view(s, d, "media_files"))
 )
-query("reevaluate", f"SELECT m.id, CASE WHEN status = 'Queued' AND skip AND NOT (audio_streams IS NULL AND subtitle_streams IS NULL) THEN 'Skipped' WHEN status = 'Skipped' AND NOT skip THEN 'Unseen' ELSE status END AS status FROM media_files m JOIN ({_SKIP}) k ON m.id = k.id")(
-    lambda s, d: (lambda m: scan.reevaluate(m, D.would_skip(OPTIONS)).select("id", "status"))(view(s, d, "media_files"))
-)
 query("requeue_orphans", "SELECT id, CASE WHEN status = 'Processing' AND assigned_node_id IS NULL THEN 'Queued' ELSE status END AS status FROM media_files")(lambda s, d: scan.requeue_orphans(view(s, d, "media_files")).select("id", "status"))
-query("batch_status", "SELECT id, CASE WHEN lower(file_path) IN (SELECT lower(path) FROM scan WHERE size % 2 = 0) THEN 'Queued' ELSE status END AS status FROM media_files")(
-    lambda s, d: scan.set_status(view(s, d, "media_files"), view(s, d, "scan").where("size % 2 = 0").select("path"), "Queued").select("id", "status")
-)
 query("reset_verification", "SELECT id, CASE WHEN last_verify_result IS NOT NULL AND last_verify_result NOT IN ('ok', 'missing') THEN NULL ELSE last_verify_result END AS last_verify_result FROM media_files")(
     lambda s, d: scan.reset_verification(view(s, d, "media_files"), library.health()["verify_failed"]).select("id", "last_verify_result")
 )

@@ -21,3 +21,15 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(str(target))
     context._framelake_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is set, on one
+    machine, as in tests."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "/tmp/framelake-checkpoints"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")

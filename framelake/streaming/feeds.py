@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.session import shared_folder
+
 
 def open_stream(spark: SparkSession, path: str, time: str, files_per_trigger: int = 8) -> DataFrame:
     """New Parquet files of a folder (or the one file given), with `time` as a timestamp."""
@@ -46,7 +48,7 @@ def drained(rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there now and returns its result, which is written to the shared scratch folder, as
     is the stream's state. A batch in complete mode is the whole result and replaces the one before."""
     spark = rows.sparkSession
-    where = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/framelake-checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     out = f"{where}/rows"
     spark.createDataFrame([], rows.schema).write.parquet(out if mode == "complete" else f"{out}/batch=-1")
     sink = (lambda batch, _: batch.write.mode("overwrite").parquet(out)) if mode == "complete" else append_to(out)

@@ -377,7 +377,9 @@ def test_small_helpers(spark):
     assert [one(spark, X.channel(F.lit(u))) for u in ("Apprises://x", "https://ntfy.sh/a", "https://h/x")] == ["apprise", "ntfy", "webhook"]
     assert [one(spark, X.number(F.lit(v))) for v in (1.5, 2.0, 0.1234567)] == ["1.5", "2", "0.123457"]
     assert M.best_quality({20: 5000, 24: 3400, 28: 2000}, 3000, 0.2) == 24 and M.best_quality({20: 9000, 24: 5000}, 3000, 0.1) == 24
-    assert one(spark, M.display_bytes(F.lit(1536))) == "1.5 KB" and one(spark, placement.music_score(F.lit(3), F.lit(True))) == 70
+    assert [one(spark, M.display_bytes(F.lit(v))) for v in (0, 9, 1029, 1030, 10_240, 1_027_891, 1024**3 * 1024, 5 * 1024**5)] == ["0 B", "9.00 B", "1.00 KB", "1.01 KB", "10.0 KB", "1004 KB", "1.00 TB", "5.00 PB"]
+    assert [one(spark, M.log_bytes(F.lit(v))) for v in (0, 9, 1536, 1024 * 100, 3 * 1024**4 + 1024**3 * 256)] == ["0 Bytes", "9 Bytes", "1.5 KB", "100 KB", "3.25 TB"]
+    assert one(spark, placement.music_score(F.lit(3), F.lit(True))) == 70
     assert one(spark, FS.escaped(F.lit('a"b\\c'))) == 'a\\"b\\\\c'
     assert [one(spark, placement.capacity(F.lit(d), F.lit(3))) for d in ("cpu", "gpu")] == [1, 3]
 
@@ -387,8 +389,9 @@ def test_changes(spark):
 
     rows = [(1, "/a/x.mkv", "Queued", "ok", 2, None), (2, "/a/y.mkv", "Processing", "bad", 0, "n"), (3, "/a/z.mkv", "Processing", None, 0, None)]
     df = spark.createDataFrame(rows, "id long, file_path string, status string, last_verify_result string, failure_count int, assigned_node_id string").withColumn("failure_reason", F.lit(None).cast("string")).withColumn("priority", F.lit(4))
-    failed = {r["id"]: (r["failure_count"], r["failure_reason"]) for r in scan.record_failure(df, 1, "x" * 3000).collect()}
-    assert failed[1] == (3, "x" * 2048) and failed[2] == (0, None)
+    failures = spark.createDataFrame([("/a/x.mkv", "y", 1), ("/a/x.mkv", "x" * 3000, 2), ("/b", "z", 1)], "path string, reason string, at int")
+    failed = {r["id"]: (r["status"], r["failure_count"], r["failure_reason"]) for r in scan.record_failures(df, failures).collect()}
+    assert failed[1] == ("Failed", 4, "x" * 2048) and failed[2] == ("Processing", 0, None) and len(failed) == 3
     assert {r["id"]: r["status"] for r in scan.requeue_orphans(df).collect()} == {1: "Queued", 2: "Processing", 3: "Queued"}
     assert {(r["status"], r["priority"], r["assigned_node_id"]) for r in scan.reset_all(df).collect()} == {("Unseen", 4, None)}
     log = spark.createDataFrame([(1, 1, "a", False), (1, 2, "b", True), (2, 3, "a", False)], "work_item_id long, id long, phase string, completed boolean")
