@@ -152,7 +152,7 @@ query("silent_nodes", "SELECT node_id FROM (SELECT concat('node-', user_id) AS n
 # texts of the dashboard and the log
 
 _UNITS = "CASE " + " ".join(f"WHEN b >= {1024**i} THEN {_DIGITS.format(f'(b / {1024**i}.0)')} || ' {u}'" for i, u in reversed(list(enumerate(M.DASHBOARD_UNITS)))) + " ELSE '0 B' END"
-_LOGGED = "CASE " + " ".join(f"WHEN b >= {1024**i} THEN regexp_replace(CAST(CAST(CAST(b / {1024**i}.0 AS DECIMAL(38, 24)) AS DECIMAL(30, 2)) AS VARCHAR), '\\.?0+$', '') || ' {u}'" for i, u in reversed(list(enumerate(M.LOG_UNITS)))) + " ELSE '0 Bytes' END"
+_LOGGED = "CASE " + " ".join(f"WHEN b >= {1024**i} THEN regexp_replace(printf('%.2f', round(b / {1024**i}.0, 2)), '\\.?0+$', '') || ' {u}'" for i, u in reversed(list(enumerate(M.LOG_UNITS)))) + " ELSE '0 Bytes' END"
 _SIZED = "file_size * CAST(pow(40, id % 6) AS BIGINT) // CASE WHEN id % 6 = 0 THEN 1000 * (1 + id % 5) ELSE 1 END"
 query(
     "display_texts",

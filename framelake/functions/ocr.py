@@ -1,24 +1,31 @@
-"""Corrections of subtitle text that was read from pictures."""
+"""Corrections of subtitle text that was read from pictures.
 
-from __future__ import annotations
+A word is looked up among a list of known words by rank. Known words at one edit come from an index of deletions: each
+word, and each known word, stands under itself and under itself without each one of its letters, and an equality join
+of the two finds all pairs at one edit, and which edit it is. What a word becomes depends on the words beside it as
+well, so it is decided once for each distinct (word, word before, word after), and only lines in which something changes
+are put together anew. No list of words goes to the driver or to all executors.
+"""
 
-import re
-import uuid
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.session import ship
-
-# Digits and the letters that they are mistaken for.
-LOOKALIKES = {"0": "oO", "1": "lI", "5": "sS", "8": "B", "6": "b", "9": "g"}
-_LETTERS = "abcdefghijklmnopqrstuvwxyz'"
+# The letters that a digit is mistaken for, likeliest first; letters of edits, in order; how alike pairs of
+# letters look (in either order; r and n, o and q are 2, which the source sets last); what evidence counts.
+DIGITS = {"0": "o", "1": "li", "5": "s", "8": "sb", "6": "g"}
+ALPHABET = "abcdefghijklmnopqrstuvwxyz'"
+ALIKE = {
+    3: "ao ad bd ce co eo il nm pq uv vw",
+    2: "ae bh bp cg fr ft gq hn ij lt nr qo rt yj yg uw",
+}
+SHAPE, LONGER, PAIR, COMMON_PAIR, COMMON = 100, 200, 1000, 300, 500
+LEAST_GAIN = 500
+RAREST = 100_000
 MOST_VARIANTS = 256
-#: Words that a worker remembers; it forgets all of them beyond that.
-REMEMBERED = 200_000
-_TOKENS = re.compile(r"([\w']+)")
+
+_WORD = r"([\p{L}\p{Nd}']+)"
 
 
 def substituted(text: Column) -> Column:
@@ -28,114 +35,133 @@ def substituted(text: Column) -> Column:
     return F.regexp_replace(out, r"(?<=^|\n|\r)=", "-")
 
 
-def variants(word: str) -> list[str]:
-    """The word with its digits read as letters, in all ways; none if there are more than 256."""
-    out = [""]
-    for c in word:
-        out = [a + b for a in out for b in LOOKALIKES.get(c, c)]
-        if len(out) > MOST_VARIANTS:
-            return []
-    return out if out != [word] else []
-
-
-def edits(word: str) -> Iterator[str]:
-    """Words at one edit."""
-    for i in range(len(word) + 1):
-        a, b = word[:i], word[i:]
-        if b:
-            yield a + b[1:]
-        if len(b) > 1:
-            yield a + b[1] + b[0] + b[2:]
-        for c in _LETTERS:
-            if b:
-                yield a + c + b[1:]
-            yield a + c + b
-
-
-def _like(word: str, model: str) -> str:
-    """`word` in the case of `model`."""
-    return word.upper() if model.isupper() and len(model) > 1 else word.capitalize() if model[:1].isupper() else word
-
-
-def _shape(a: str, b: str) -> int:
-    """How alike two words look: the same length, ends and letters count."""
-    return 2 * (len(a) == len(b)) + (a[:1] == b[:1]) + (a[-1:] == b[-1:]) + len(set(a) & set(b))
-
-
-class Corrector:
-    """Corrects words; what a word could be is found once, and the word before it only chooses among that."""
-
-    def __init__(self, ranks: dict[str, int], pairs: dict[tuple[str, str], int]):
-        self.ranks, self.pairs = ranks, pairs
-        self._found: dict[str, tuple[str, ...]] = {}
-
-    def candidates(self, word: str) -> tuple[str, ...]:
-        """Known words at one edit, or that the word is with its digits read as letters."""
-        found = self._found.get(word)
-        if found is None:
-            if len(self._found) > REMEMBERED:
-                self._found.clear()
-            low = word.lower()
-            known = {v.lower() for v in variants(word) if v.lower() in self.ranks} or {e for e in edits(low) if e in self.ranks}
-            found = self._found[word] = tuple(sorted(known))
-        return found
-
-    def word(self, word: str, before: str) -> str:
-        """The word, or the best known one: frequent, alike, and seen after the word before it."""
-        low = word.lower()
-        if low in self.ranks or len(low) < 3 or not any(c.isalpha() for c in low):
-            return word
-        found = self.candidates(word)
-        if not found:
-            return word
-        score = lambda w: (self.pairs.get((before.lower(), w), 0), _shape(low, w), -self.ranks[w], w)
-        return _like(max(found, key=score), word)
-
-
-def correct_word(word: str, before: str, ranks: dict[str, int], pairs: dict[tuple[str, str], int]) -> str:
-    return Corrector(ranks, pairs).word(word, before)
-
-
-def dictionary(lines: DataFrame, column: str, words: int = 5000, pairs: int = 20_000) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
-    """Ranks of the most frequent words of the lines and counts of their most frequent pairs; both are bounded."""
-    tokens = lines.select(F.regexp_extract_all(F.lower(column), F.lit(r"([\p{L}']+)")).alias("w"))
-    one = tokens.select(F.explode("w").alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(words).collect()
-    both = tokens.where("size(w) > 1").select(F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))).alias("p"))
-    two = both.groupBy("p.a", "p.b").count().orderBy(F.desc("count"), "a", "b").limit(pairs).collect()
-    return {r["word"]: i for i, r in enumerate(one)}, {(r["a"], r["b"]): r["count"] for r in two}
-
-
-def corrected(lines: DataFrame, column: str, known: tuple[dict, dict]) -> DataFrame:
-    """`lines` with column corrected: substitutions, then words that aren't known replaced by known ones."""
-    spark = lines.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, known))  # bounded by the dictionary's parameters
-
-    @F.pandas_udf("string")
-    def fix(texts: pd.Series) -> pd.Series:
-        corrector = _corrector(*shared.value)
-
-        def line(text):
-            if text is None:
-                return None
-            out, before = [], ""
-            for i, token in enumerate(_TOKENS.split(text)):
-                if i % 2:
-                    token = before = corrector.word(token, before)
-                out.append(token)
-            return "".join(out)
-
-        return texts.map(line)
-
-    return lines.withColumn("corrected", fix(substituted(F.col(column))))
-
-
-_correctors: dict[str, Corrector] = {}
-
-
-def _corrector(key: str, known: tuple[dict, dict]) -> Corrector:
-    """One corrector for each dictionary in a worker, so that what it has found lasts over batches and tasks."""
-    if key not in _correctors:
-        _correctors.clear()
-        _correctors[key] = Corrector(*known)
-    return _correctors[key]
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(1))
+
+
+def _between(text: Column) -> Column:
+    """What stands before, between and after the words: one more than there are words."""
+    return F.split(text, _WORD)
+
+
+def word_ranks(lines: DataFrame, column: str, least: int = 1) -> DataFrame:
+    """(word, rank) of the words without digits that the lines hold `least` times or more, in small letters: how many
+    words are more frequent. Ranks come from how often each frequency occurs, so no task sorts all words."""
+    counts = lines.select(F.explode(_words(F.lower(column))).alias("word")).where(~F.col("word").rlike(r"\p{Nd}")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    often = counts.groupBy("n").agg(F.count("*").alias("words"))  # a row for each frequency that occurs: few
+    above = F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+    return counts.join(often.select("n", F.coalesce(above, F.lit(0)).cast("int").alias("rank")), "n").select("word", "rank")
+
+
+def word_pairs(lines: DataFrame, column: str, least: int = 2) -> DataFrame:
+    """(a, b): words that follow each other in the lines `least` times or more, in small letters."""
+    w = F.col("w")
+    pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, i: F.struct(a.alias("a"), F.get(w, i + 1).alias("b")))
+    return lines.select(_words(F.lower(column)).alias("w")).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b")
+
+
+def _deletions(words: DataFrame, word: str) -> DataFrame:
+    """The words under themselves (at -1) and under themselves without the letter at each place."""
+    w = F.col(word)
+    shorter = F.transform(F.sequence(F.lit(0), F.char_length(w) - 1), lambda i: F.struct(F.concat(F.substring(w, F.lit(1), i), F.substring(w, i + 2, F.char_length(w))).alias("key"), i.alias("at"), F.substring(w, i + 1, F.lit(1)).alias("letter")))
+    own = F.array(F.struct(w.alias("key"), F.lit(-1).alias("at"), F.lit("").alias("letter")))
+    return words.where(F.char_length(w) > 0).withColumn("d", F.explode(F.concat(own, shorter))).select(*words.columns, "d.*")
+
+
+def neighbours(words: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(word, candidate, rank, place, shape): known words at one edit of `words` (word), in which a letter that comes in
+    is one of ALPHABET. place orders the edits: by position, then deletion, transposition, letter, substitution before
+    insertion. shape is how alike the letters look that were taken for each other; 1 for letters that changed places."""
+    a = _deletions(words.select("word"), "word").toDF("word", "key", "at", "letter")
+    b = _deletions(ranks.select(F.col("word").alias("candidate"), "rank"), "candidate").toDF("candidate", "rank", "key", "to", "by")
+    both = a.join(b, "key").where("word <> candidate")
+    letter = F.instr(F.lit(ALPHABET), F.col("by")) - 1  # also found by strings that aren't a letter
+    known = (letter >= 0) & (F.char_length("by") == 1)
+    gone = (F.col("at") >= 0) & (F.col("to") < 0)
+    added = (F.col("at") < 0) & (F.col("to") >= 0) & known
+    other = (F.col("at") >= 0) & (F.col("at") == F.col("to")) & known
+    turned = (F.col("at") >= 0) & (F.col("to") == F.col("at") + 1) & (F.col("letter") == F.col("by"))
+    order = lambda at, kind, which, last: F.struct(at.alias("at"), F.lit(kind).alias("kind"), which.alias("letter"), F.lit(last).alias("last"))
+    place = (
+        F.when(gone, order(F.col("at"), 0, F.lit(0), 0)).when(turned, order(F.col("at"), 1, F.lit(0), 0)).when(other, order(F.col("at"), 2, letter, 0)).when(added, order(F.col("to"), 2, letter, 1))
+    )
+    looks = F.create_map(*[F.lit(x) for shape, pairs in ALIKE.items() for p in pairs.split() for q in (p, p[::-1]) for x in (q, shape)])
+    shape = F.when(other, F.coalesce(F.try_element_at(looks, F.concat("letter", "by")), F.lit(0))).when(turned, F.lit(1)).otherwise(F.lit(0))
+    found = both.withColumns({"place": place, "shape": shape}).where("place is not null")
+    return found.groupBy("word", "candidate", "rank").agg(F.min(F.struct("place", "shape")).alias("b")).select("word", "candidate", "rank", "b.place", "b.shape")
+
+
+def readings(words: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(word, best) of words with digits: the first known word that they are with their digits read as letters, unless
+    there are more than 256 ways to read them."""
+    w = F.col("word")
+    ways = F.pow(F.lit(2.0), F.char_length(F.regexp_replace(w, "[^18]", "")))
+    options = F.create_map(*[x for d, letters in DIGITS.items() for x in (F.lit(d), F.array(*[F.lit(c) for c in letters]))])
+    step = lambda found, c: F.flatten(F.transform(found, lambda head: F.transform(F.coalesce(F.try_element_at(options, c), F.array(c)), lambda tail: F.concat(head, tail))))
+    letters = F.transform(F.sequence(F.lit(1), F.char_length(w)), lambda i: F.substring(w, i, F.lit(1)))
+    variants = F.aggregate(letters, F.array(F.lit("")), step)
+    read = words.where(w.rlike(r"\p{Nd}")).where(ways <= MOST_VARIANTS).select("word", F.posexplode(variants).alias("place", "candidate"))
+    return read.join(ranks.select(F.col("word").alias("candidate")), "candidate").groupBy("word").agg(F.min_by("candidate", "place").alias("best"))
+
+
+def decisions(contexts: DataFrame, ranks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(word, before, after, best) of distinct contexts (word, before, after; "" where there is no neighbour) in which the
+    word becomes another one. Unknown words become their best neighbour; a known one only on much better evidence, and
+    one of another length only if a known pair speaks for it."""
+    words = contexts.where(~F.col("word").rlike(r"\p{Nd}")).select("word").distinct()
+    own = ranks.select("word", F.col("rank").alias("own_rank"))
+    near = neighbours(words, ranks).join(own, "word", "left")
+    grows = F.signum(F.char_length("candidate") - F.char_length("word")).cast("int")
+    near = near.withColumns({"grows": grows, "worth": -F.least("rank", F.lit(RAREST)) + SHAPE * F.col("shape") + LONGER * grows})
+    # what the words beside it can add at most; known words that can't reach the least gain are left out
+    most = 2 * (PAIR + COMMON_PAIR)
+    near = near.where(F.col("own_rank").isNull() | (F.col("worth") + most + F.least("own_rank", F.lit(RAREST)) >= LEAST_GAIN))
+
+    beside = lambda name, to: ranks.select(F.col("word").alias(name), F.col("rank").alias(to))
+    open_ = contexts.join(near.select("word").distinct(), "word", "left_semi").join(beside("before", "rank_before"), "before", "left").join(beside("after", "rank_after"), "after", "left")
+    rows = open_.join(near, "word")
+    for name, a, b in (("pair_before", "before", "candidate"), ("pair_after", "candidate", "after"), ("own_before", "before", "word"), ("own_after", "word", "after")):
+        rows = rows.join(pairs.select(F.col("a").alias(a), F.col("b").alias(b), F.lit(1).alias(name)), [a, b], "left")
+    paired = lambda p, rank: PAIR * F.coalesce(p, F.lit(0)) + COMMON_PAIR * F.coalesce((rank < COMMON).cast("int"), F.lit(0))
+    score = F.col("worth") + paired(F.col("pair_before"), F.col("rank_before") + F.col("rank")) + paired(F.col("pair_after"), F.col("rank_after") + F.col("rank"))
+    held = -F.least("own_rank", F.lit(RAREST)) + paired(F.col("own_before"), F.col("rank_before") + F.col("own_rank")) + paired(F.col("own_after"), F.col("rank_after") + F.col("own_rank"))
+    rows = rows.withColumns({"score": score, "held": held, "voted": F.coalesce("pair_before", "pair_after").isNotNull()})
+    best = rows.groupBy("word", "before", "after").agg(F.min_by(F.struct("candidate", "score", "held", "grows", "voted"), F.struct(-F.col("score"), F.col("place"))).alias("b"))
+    strong = F.expr("b.held is null or (b.score - b.held >= {} and (b.grows = 0 or b.voted))".format(LEAST_GAIN))
+    read = contexts.join(readings(contexts.select("word").distinct(), ranks), "word").select("word", "before", "after", "best")
+    return best.where(strong).select("word", "before", "after", F.col("b.candidate").alias("best")).unionByName(read)
+
+
+def _looked_at(text: Column) -> Column:
+    """array<struct<at, shown, word, before, after>>: the words that may be corrected. Short ones, ones in capitals and
+    capitalised ones inside a sentence may not."""
+
+    def one(words, between):
+        low = F.transform(words, lambda w: F.lower(w))
+        beside = lambda i: F.coalesce(F.get(low, i), F.lit(""))
+        rows = F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("shown"), F.get(low, i).alias("word"), F.when(i > 0, beside(i - 1)).otherwise("").alias("before"), beside(i + 1).alias("after"), ((i == 0) | F.get(between, i).rlike(r"[.!?\n\r:]")).alias("opens")))
+        return F.filter(rows, lambda r: (F.char_length(r["shown"]) >= 3) & (r["opens"] | ~r["shown"].rlike(r"^\p{Lu}")) & ~r["shown"].rlike(r"^\p{Lu}+$"))
+
+    parts = F.transform(F.array(F.struct(_words(text).alias("w"), _between(text).alias("b"))), lambda x: one(x["w"], x["b"]))
+    return F.element_at(parts, 1)
+
+
+def _cased(word: Column, shown: Column) -> Column:
+    """`word` in the case of what was shown."""
+    first = F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.char_length(word)))
+    return F.when(shown.rlike(r"^\p{Lu}+$"), F.upper(word)).when(shown.rlike(r"^\p{Lu}"), first).otherwise(word)
+
+
+def corrected(lines: DataFrame, column: str, ranks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`lines` with column corrected: substitutions, then words by `decisions`. Null lines stay null, and lines stay one
+    for one. Words that are known have at most as many letters as the list's longest, so longer ones cost no more."""
+    rows = lines.withColumn("corrected", substituted(F.col(column)))
+    longest = ranks.agg(F.max(F.char_length("word")).alias("longest"))
+    seen = rows.select(F.col("corrected").alias("line")).where("line is not null").distinct().select("line", F.explode(_looked_at(F.col("line"))).alias("t")).select("line", "t.*")
+    seen = seen.join(F.broadcast(longest), F.char_length("word") <= F.col("longest") + 1).drop("longest")  # one row
+    new = decisions(seen.select("word", "before", "after").distinct(), ranks, pairs)
+    changed = seen.join(new, ["word", "before", "after"]).groupBy("line").agg(F.map_from_entries(F.collect_list(F.struct("at", _cased(F.col("best"), F.col("shown")).alias("w")))).alias("new"))
+    both = rows.join(changed, rows["corrected"] == changed["line"], "left")
+    words = F.transform(_words(F.col("corrected")), lambda w, i: F.coalesce(F.try_element_at("new", i), w))
+    whole = F.transform(F.array(words), lambda w: F.array_join(F.transform(_between(F.col("corrected")), lambda g, i: F.concat(g, F.coalesce(F.get(w, i), F.lit("")))), ""))
+    return both.withColumn("corrected", F.when(F.col("new").isNull(), F.col("corrected")).otherwise(F.element_at(whole, 1))).drop("line", "new")

@@ -88,8 +88,8 @@ query("original_languages", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THE
         """case n_nationkey % 3 when 0 then concat('{"originalLanguage":{"id":1,"name":"', n_name, '"}}') when 1 then concat('{"originalLanguage":"', lower(n_name), '"}') else '{}' end as entry""",
     ).select("n_nationkey", FS.original_language(F.col("entry")).alias("language"))
 )
-# three digits at least: the exact quotient, as the divisors are powers of two, rounded half up as a decimal
-_DIGITS = "CASE WHEN {0} < 10 THEN CAST(CAST(CAST({0} AS DECIMAL(38, 24)) AS DECIMAL(20, 2)) AS VARCHAR) WHEN {0} < 100 THEN CAST(CAST(CAST({0} AS DECIMAL(38, 24)) AS DECIMAL(20, 1)) AS VARCHAR) ELSE CAST(CAST(CAST({0} AS DECIMAL(38, 24)) AS DECIMAL(20, 0)) AS VARCHAR) END"
+# three digits at least, halves up: quotients by powers of two are exact
+_DIGITS = "CASE WHEN {0} < 10 THEN printf('%.2f', round({0}, 2)) WHEN {0} < 100 THEN printf('%.1f', round({0}, 1)) ELSE CAST(CAST(round({0}) AS BIGINT) AS VARCHAR) END"
 query(
     "media_scalars",
     f"""SELECT id, CASE id % 5 WHEN 0 THEN 2160 WHEN 1 THEN 1440 WHEN 2 THEN 720 WHEN 3 THEN 480 ELSE 1080 END AS height, CAST(id * 3003 // 90 AS BIGINT) AS ms,

@@ -396,7 +396,6 @@ query(
     "ocr_substitutions",
     f"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(concat('= | think ', text), {_ALONE}), {_ALONE}), '(^|\\n|\\r)=', '\\1-', 'g') AS text FROM conversations",
 )(lambda s, d: table(s, d, "conversations").select("conv_id", "turn", ocr.substituted(F.concat(F.lit("= | think "), "text")).alias("text")))
-query("ocr_correct")(lambda s, d: (lambda c: ocr.corrected(c, "text", ocr.dictionary(c, "text")).select("conv_id", "turn", "corrected"))(table(s, d, "conversations")))
 query("srt_cues", """SELECT conv_id, string_agg(concat(CAST(n AS VARCHAR), chr(10), '00:', lpad(CAST(turn * 2 // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(turn * 2 % 60 AS VARCHAR), 2, '0'), ',000 --> 00:', lpad(CAST((turn * 2 + 1) // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST((turn * 2 + 1) % 60 AS VARCHAR), 2, '0'), ',500', chr(10), text, chr(10)), chr(10) ORDER BY n) AS srt
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT DISTINCT conv_id, turn, trim(text) AS text FROM conversations WHERE trim(text) <> '')) GROUP BY 1""")(
     lambda s, d: FS.srt(table(s, d, "conversations").select("conv_id", (F.col("turn") * 2000).alias("start_ms"), (F.col("turn") * 2000 + 1500).alias("end_ms"), F.trim("text").alias("text"), "turn").distinct(), "conv_id")
@@ -448,3 +447,4 @@ query("companions", "SELECT m.file_path, concat(m.directory, '/', m.base_name, '
 )
 
 from framelake import more_queries  # noqa: E402, F401  its queries are added to these
+from framelake import ocr_queries  # noqa: E402, F401

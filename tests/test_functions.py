@@ -290,12 +290,27 @@ def test_scores_prefer_older_heartbeats(spark):
 
 def test_ocr(spark):
     assert one(spark, ocr.substituted(F.lit("=Well, | am here\n= [1] -| x"))) == "-Well, I am here\n- [1] -I x"
-    assert ocr.variants("he110") == [a + b + c for a in ("hel", "heI") for b in "lI" for c in "oO"] and ocr.variants("hello") == []
-    ranks, pairs = {"hello": 1, "hallo": 0, "world": 2}, {("hello", "world"): 3}
-    assert ocr.correct_word("Hcllo", "", ranks, pairs) == "Hallo" or ocr.correct_word("Hcllo", "", ranks, pairs) == "Hello"
-    assert ocr.correct_word("WORLD", "", ranks, pairs) == "WORLD" and ocr.correct_word("w0rld", "hello", ranks, pairs) == "world"
-    lines = spark.createDataFrame([("hello world",), ("hello w0rld",), (None,)], "text string")
-    assert {r["corrected"] for r in ocr.corrected(lines, "text", ({"hello": 0, "world": 1}, {})).collect()} == {"hello world", None}
+    ranks = spark.createDataFrame([("and", 3), ("hello", 10), ("hallo", 900), ("world", 20), ("look", 30), ("did", 40), ("aid", 700), ("what", 5), ("they", 6), ("ships", 9000), ("ship", 50), ("then", 200), ("rnan", 99_000), ("man", 60), ("don't", 70), ("rare", 450)], "word string, rank int")
+    pairs = spark.createDataFrame([("what", "did"), ("did", "they")], "a string, b string")
+    wanted = {
+        "hcllo w0rld": "hello world",  # an unknown word becomes its best neighbour, digits are read as letters
+        "Hcllo WORLB": "Hello WORLB",  # the case stays, capitals are left alone
+        "and Hcllo": "and Hcllo",  # a capitalised word inside a sentence is a name
+        "so. Hcllo": "so. Hello",
+        "1oo8 100K 8100": "1oo8 look 8100",
+        "what aid they": "what did they",  # a known word gives way where the words beside it speak for another
+        "the aid": "the did",  # or where the other is more frequent by far
+        "hallo rare": "hello rare",  # but not on little evidence
+        "ships": "ships",  # nor another length without a pair that speaks for it
+        "thne": "then",
+        "d0n't": "don't",
+        "ab hx": "ab hx",
+    }
+    lines = spark.createDataFrame([(k, i) for i, k in enumerate([*wanted, *wanted, None, ""])], "text string, new int")
+    got = ocr.corrected(lines.withColumnRenamed("new", "n"), "text", ranks, pairs).collect()
+    assert len(got) == 2 * len(wanted) + 2 and {r["text"]: r["corrected"] for r in got} == {**wanted, None: None, "": ""}
+    assert {tuple(r) for r in ocr.word_ranks(spark.createDataFrame([("b a a A c1",), ("B c d",)], "t string"), "t").collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 2)}
+    assert [tuple(r) for r in ocr.word_pairs(spark.createDataFrame([("x y x y",), ("y",), (None,)], "t string"), "t").collect()] == [("x", "y")]
 
 
 def test_sources(spark, tmp_path):
