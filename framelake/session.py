@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -33,3 +34,25 @@ def shared_folder(spark: SparkSession) -> str:
         where = "/tmp/framelake-checkpoints"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """`df` written once as Parquet to the shared folder and read back: its lineage ends there. `discard` deletes it."""
+    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that `written` made and nothing reads any more."""
+    for df in tables:
+        if df is not None and getattr(df, "scratch_path", None):
+            remove(df.sparkSession, df.scratch_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
