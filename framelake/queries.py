@@ -449,3 +449,4 @@ query("companions", "SELECT m.file_path, concat(m.directory, '/', m.base_name, '
 from framelake import more_queries  # noqa: E402, F401  its queries are added to these
 from framelake import ocr_queries  # noqa: E402, F401
 from framelake import dispatch_queries  # noqa: E402, F401
+from framelake import stream_queries  # noqa: E402, F401
