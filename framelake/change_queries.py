@@ -3,14 +3,17 @@ texts of dashboard and log. Each has DuckDB SQL that follows the rule, not the f
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import media as M
 from framelake.more_queries import _AT, _DIGITS, _WIDE, _now, _wide
 from framelake.operators import decision as D
-from framelake.operators import library, placement, queue, scan
-from framelake.queries import _SKIP, OPTIONS, query, view
+from framelake.operators import library, placement, queue, scan, snapshots
+from framelake.queries import _SKIP, _UPSERT, OPTIONS, _probes, query, view
+from framelake.session import shared_folder
 from framelake.sources import files as FS
 from framelake.sources.adapters import table
 
@@ -45,6 +48,20 @@ query("batch_status", "SELECT id, CASE WHEN file_path IN (SELECT path FROM scan
     )(view(s, d, "scan").where("size % 2 = 0"))
 )
 
+# upserts that rewrite only what they touch
+
+_FEW = 61
+
+@query("upsert_buckets", _UPSERT.replace("id % 3 = 0)", f"id % {_FEW} = 0)"))
+def _upsert_buckets(spark, d):
+    """The library as a table in buckets, the probes of a few files merged into it, and read again."""
+    folder = f"{shared_folder(spark)}/library-{uuid.uuid4().hex}"
+    m = view(spark, d, "media_files")
+    snapshots.create(scan.merge(m, _probes(m).where(F.lit(False))), folder, "file_path")
+    snapshots.change(spark, folder, "file_path", _probes(m.withColumn("few", F.col("id") % _FEW == 0), "few"), scan.merge)
+    return snapshots.read(spark, folder).select("file_path", "file_size", "codec", "status", "priority", "force_mux", "audio_streams", "original_language", "failure_count")
+
+
 # failures, assignments, verification
 
 query(

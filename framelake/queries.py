@@ -264,17 +264,18 @@ query("prune_missing", "SELECT id, file_path FROM media_files WHERE file_path NO
 query("settled_files", "SELECT path FROM scan WHERE modified_at <= CAST('1997-01-01' AS TIMESTAMP) - INTERVAL '30' MINUTE")(lambda s, d: view(s, d, "scan").where(scan.settled(F.col("modified_at"), F.lit("1997-01-01").cast("timestamp_ntz"))).select("path"))
 
 
-def _probes(m: DataFrame) -> DataFrame:
-    """Newly probed rows: every third known file with changes, and new paths."""
-    return m.where("id % 3 = 0").select(
+def _probes(m: DataFrame, which: str = "id % 3 = 0") -> DataFrame:
+    """Newly probed rows: some known files with changes, and new paths."""
+    return m.where(which).select(
         F.when(F.col("id") % 2 == 0, F.col("file_path")).otherwise(F.concat("file_path", F.lit(".new"))).alias("file_path"), (F.col("file_size") + 1).alias("file_size"), "bitrate", F.lit("av1").alias("codec"), "width", "height", "duration", F.lit("Queued").alias("status"),
         F.when(F.col("id") % 4 == 0, 9).otherwise(0).alias("priority"), (F.col("id") % 12 == 0).alias("force_mux"), F.when(F.col("id") % 5 == 0, F.lit("[]")).alias("audio_streams"), F.lit(None).cast("string").alias("subtitle_streams"), F.when(F.col("id") % 7 == 0, F.lit("fr")).alias("original_language"), F.lit(0).alias("failure_count"),
     )
 
 
-query("upsert_merge", """SELECT coalesce(n.file_path, o.file_path) AS file_path, CASE WHEN n.file_path IS NOT NULL THEN n.file_size ELSE o.file_size END AS file_size, CASE WHEN n.file_path IS NOT NULL THEN 'av1' ELSE o.codec END AS codec, CASE WHEN n.file_path IS NOT NULL THEN 'Queued' ELSE o.status END AS status,
+_UPSERT = """SELECT coalesce(n.file_path, o.file_path) AS file_path, CASE WHEN n.file_path IS NOT NULL THEN n.file_size ELSE o.file_size END AS file_size, CASE WHEN n.file_path IS NOT NULL THEN 'av1' ELSE o.codec END AS codec, CASE WHEN n.file_path IS NOT NULL THEN 'Queued' ELSE o.status END AS status,
 CASE WHEN n.priority <> 0 THEN n.priority ELSE coalesce(o.priority, 0) END AS priority, coalesce(o.force_mux, FALSE) OR coalesce(n.force_mux, FALSE) AS force_mux, coalesce(n.audio_streams, o.audio_streams) AS audio_streams, coalesce(n.original_language, o.original_language) AS original_language, coalesce(o.failure_count, 0) AS failure_count
-FROM media_files o FULL JOIN (SELECT CASE WHEN id % 2 = 0 THEN file_path ELSE concat(file_path, '.new') END AS file_path, file_size + 1 AS file_size, CASE WHEN id % 4 = 0 THEN 9 ELSE 0 END AS priority, id % 12 = 0 AS force_mux, CASE WHEN id % 5 = 0 THEN '[]' END AS audio_streams, CASE WHEN id % 7 = 0 THEN 'fr' END AS original_language FROM media_files WHERE id % 3 = 0) n ON o.file_path = n.file_path""")(
+FROM media_files o FULL JOIN (SELECT CASE WHEN id % 2 = 0 THEN file_path ELSE concat(file_path, '.new') END AS file_path, file_size + 1 AS file_size, CASE WHEN id % 4 = 0 THEN 9 ELSE 0 END AS priority, id % 12 = 0 AS force_mux, CASE WHEN id % 5 = 0 THEN '[]' END AS audio_streams, CASE WHEN id % 7 = 0 THEN 'fr' END AS original_language FROM media_files WHERE id % 3 = 0) n ON o.file_path = n.file_path"""
+query("upsert_merge", _UPSERT)(
     lambda s, d: (lambda m: scan.merge(m, _probes(m)).select("file_path", "file_size", "codec", "status", "priority", "force_mux", "audio_streams", "original_language", "failure_count"))(view(s, d, "media_files"))
 )
 query("requeue_orphans", "SELECT id, CASE WHEN status = 'Processing' AND assigned_node_id IS NULL THEN 'Queued' ELSE status END AS status FROM media_files")(lambda s, d: scan.requeue_orphans(view(s, d, "media_files")).select("id", "status"))
