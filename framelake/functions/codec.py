@@ -46,3 +46,30 @@ def meets_target(codec: Column, is_hevc: Column, encoder: str) -> Column:
     """Whether the source is at least as efficient as what the encoder makes."""
     e = encoder.lower()
     return rank(codec, is_hevc) >= (3 if "av1" in e or "svt" in e else 2 if "265" in e else 1)
+
+
+# The software encoder of a codec (of all others the one of h265), and what names of encoders say of the
+# device that they run on.
+SOFTWARE = {"av1": "libsvtav1", "h264": "libx264"}
+DEVICES = {"nvenc": "nvidia", "qsv": "intel", "amf": "amd", "videotoolbox": "apple"}
+
+
+def software_encoder(codec: Column) -> Column:
+    """The software encoder of a codec as it is spelt, whatever its case."""
+    name = F.lower(codec)
+    return F.when(name == "av1", SOFTWARE["av1"]).when(name == "h264", SOFTWARE["h264"]).otherwise("libx265")
+
+
+def encoder_codec(encoder: Column) -> Column:
+    """The codec that an encoder's name tells, or null."""
+    name = F.lower(F.trim(encoder))
+    return F.when(name.contains("av1") | name.contains("rav1e"), "av1").when(name.contains("265") | name.contains("hevc"), "h265").when(name.contains("264") | name.contains("avc"), "h264")
+
+
+def encoder_device(encoder: str) -> str:
+    """The device that an encoder's name tells; the CPU for all others."""
+    name = encoder.lower()
+    for part, device in DEVICES.items():
+        if part in name:
+            return device
+    return ("amd" if "amd" in name else "intel") if "vaapi" in name else "cpu"

@@ -46,8 +46,20 @@ class Profile:
     codec: str = "h265"
     mode: str = "quality"  # quality or bitrate
     target_kbps: int = 0
-    encoder: str | None = None
+    encoder: str | None = None  # named exactly; else the software encoder of the codec
     container: str | None = None
+    hardware: str = "auto"
+    strict_bitrate: bool = False
+    preset: str | None = "medium"
+    video_profile: str | None = None
+    video_level: str | None = None
+    downscale: str = "Never"
+    downscale_target: str = "1080p"
+    frame_size: str | None = None
+    max_fps: int = 0
+    tonemap: bool = False
+    crop: bool = False
+    retention: str = "smaller_only"
 
 
 @dataclass(frozen=True)

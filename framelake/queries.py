@@ -451,3 +451,4 @@ from framelake import more_queries  # noqa: E402, F401  its queries are added to
 from framelake import ocr_queries  # noqa: E402, F401
 from framelake import dispatch_queries  # noqa: E402, F401
 from framelake import stream_queries  # noqa: E402, F401
+from framelake import policy_queries  # noqa: E402, F401
