@@ -452,3 +452,4 @@ from framelake import ocr_queries  # noqa: E402, F401
 from framelake import dispatch_queries  # noqa: E402, F401
 from framelake import stream_queries  # noqa: E402, F401
 from framelake import policy_queries  # noqa: E402, F401
+from framelake import flow_queries  # noqa: E402, F401
