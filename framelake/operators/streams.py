@@ -64,8 +64,17 @@ def with_original(wanted: tuple[str, ...], original: str | None) -> tuple[str, .
     return wanted if not wanted or not original or original.lower() in {w.lower() for w in wanted} else (*wanted, original)
 
 
+def _once(value: Column, then) -> Column:
+    """`then(value)` with `value` evaluated once a row, as it may be the parse of a document."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def has_audio_work(streams: Column, o: StreamOptions) -> Column:
     """Whether audio mapping would change anything: a track goes, moves, is a commentary, or an output isn't there."""
+    return _once(streams, lambda s: _audio_work(s, o))
+
+
+def _audio_work(streams: Column, o: StreamOptions) -> Column:
     wanted = list(o.audio_languages)
     kept = F.filter(streams, lambda s: L.matches(s["l"], s["t"], wanted)) if wanted else streams
     work = F.size(kept) < F.size(streams)
@@ -86,6 +95,10 @@ def has_audio_work(streams: Column, o: StreamOptions) -> Column:
 
 def has_subtitle_work(streams: Column, o: StreamOptions) -> Column:
     """Whether subtitle mapping would change anything."""
+    return _once(streams, lambda s: _subtitle_work(s, o))
+
+
+def _subtitle_work(streams: Column, o: StreamOptions) -> Column:
     wanted = list(o.subtitle_languages)
     kept = F.filter(streams, lambda s: L.matches(s["l"], s["t"], wanted)) if wanted else streams
     work = F.size(kept) < F.size(streams)
