@@ -24,6 +24,7 @@ import math
 import re
 import uuid
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,7 @@ BROADCAST_LABELS = 2_000_000
 REMEMBERED = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 _START, _END = "^", "$"
+_MARKS = ".,;:!?\"'()"
 _U = np.uint64
 
 
@@ -132,7 +134,7 @@ def _nodes(grams: DataFrame) -> DataFrame:
     return both.select("beginning", number("ratio"), number("beyond"), "least", F.coalesce("count", "sum").alias("count"))
 
 
-def _steps(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _steps(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letters of words as a matrix of code points, their lengths, and a hash of nothing for each."""
     length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -193,10 +195,24 @@ def _marked(word: str) -> str:
 
 class _Scorer:
     def __init__(self, head: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        self.hashes, self.ratio, self.beyond = head
+        hashes, self.ratio, self.beyond = head
+        # hashes are spread evenly, so where one would stand is a step or two from where its first bits begin
+        self.hashes = np.append(hashes, _U(2**64 - 1))
+        bits = max(1, len(hashes).bit_length() + 1)
+        self.shift = _U(64 - bits)
+        self.first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
         self.known: dict[str, float | tuple[float | None, tuple[str, ...]]] = {}
 
-    def values(self, marked: list[str]) -> list[float | None]:
+    def _places(self, h: np.ndarray) -> np.ndarray:
+        """Where hashes stand among those of the head, or would."""
+        at = self.first[h >> self.shift]
+        less = np.flatnonzero(self.hashes[at] < h)
+        while less.size:
+            at[less] += 1
+            less = less[self.hashes[at[less]] < h[less]]
+        return at
+
+    def values(self, marked: Sequence[str]) -> list[float | None]:
         """The log-likelihood ratios of words, all read letter by letter together; null where the head leaves one open."""
         letters, length, h = _steps(marked)
         value, beyond = np.zeros(len(marked)), np.zeros(len(marked))
@@ -204,8 +220,8 @@ class _Scorer:
         for i in range(letters.shape[1]):
             on = on[length[on] > i]
             h[on] = _onward(h[on], letters[on, i])
-            at = np.minimum(np.searchsorted(self.hashes, h[on]), len(self.hashes) - 1)
-            found = self.hashes[at] == h[on]
+            at = self._places(h[on])
+            found = (self.hashes[at] == h[on]) & (at < len(self.ratio))
             value[on[~found]] += beyond[on[~found]]
             on, at = on[found], at[found]
             value[on] += self.ratio[at]
@@ -215,15 +231,26 @@ class _Scorer:
     def learn(self, tokens: set[str]) -> None:
         """The highest log-likelihood ratio of the words of each token, 0 without a letter; or the highest of those
         that the head decides, and the open words."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = {t: tuple({_marked(w) for w in _WORD.findall(t.lower())}) for t in tokens if t not in self.known}
-        words = list({w for ws in new.values() for w in ws})
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = [t for t in tokens if t not in known]
+        # most tokens are one word between marks, which needs no search
+        low = [t.lower().strip(_MARKS) for t in new]
+        alone = [t for t, w in zip(new, low, strict=True) if w.isalpha()]
+        if alone:
+            marked = [f"{_START}{w}{_END}"[:BEGINNING] for w in low if w.isalpha()]
+            values = self.values(marked)
+            known.update(zip(alone, values, strict=True))
+            if None in values:
+                known.update({t: (None, (w,)) for t, w, v in zip(alone, marked, values, strict=True) if v is None})
+        mixed = {t: tuple({_marked(x) for x in _WORD.findall(w)}) for t, w in zip(new, low, strict=True) if not w.isalpha()}
+        words = list({w for ws in mixed.values() for w in ws})
         values = dict(zip(words, self.values(words), strict=True)) if words else {}
-        for t, ws in new.items():
+        for t, ws in mixed.items():
             best = max([v for w in ws if (v := values[w]) is not None], default=None)
             left = tuple(w for w in ws if values[w] is None)
-            self.known[t] = (best, left) if left else best or 0.0
+            known[t] = (best, left) if left else best or 0.0
 
     def batch(self, texts: list[str | None]) -> list[list[str]]:
         """The tokens of texts, which it learns together."""
