@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.operators import alignment, events, verification
+from framelake.operators import alignment, events, snapshots, sweep, verification
 from framelake.queries import query, view
+from framelake.session import shared_folder
+from framelake.sources import files as FS
 from framelake.sources.adapters import table
 
 # rolling verification: files verified on some days lie on storage that is gone
@@ -94,3 +99,34 @@ UNION ALL SELECT 'worker', CASE WHEN node_rank % 2 = 0 THEN 'changed' ELSE 'remo
         lambda n: events.counts(events.between(*_snapshots(s, d), "id", "item").select("topic", F.col("key").cast("string").alias("key"), "kind").unionByName(events.between(n, n.where("heartbeat_rank % 2 = 0 or heartbeat_rank % 5 <> 0").withColumn("is_paused", F.when(F.col("heartbeat_rank") % 2 == 0, ~F.col("is_paused")).otherwise(F.col("is_paused"))), "node_id", "worker").select("topic", "key", "kind")))
     )(view(s, d, "nodes"))
 )
+
+
+# a sweep that is stopped after two chunks and goes on, and the end of a log
+
+_ROOT = "concat('/media/', split_part(directory, '/', 3))"
+
+
+@query("sweep_resumed", f"SELECT DISTINCT {_ROOT} AS root, directory, path, size FROM scan")
+def _sweep(spark, d):
+    folder = f"{shared_folder(spark)}/sweeps-{uuid.uuid4().hex}"
+    listing = view(spark, d, "scan").select("directory", "path", "size").distinct()
+    directories = view(spark, d, "media_files").selectExpr(f"{_ROOT} as root", "directory").distinct()
+    look = lambda some: some.join(listing, "directory").select("root", "directory", "path", "size")
+    now = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
+    sweep.run(directories, folder, look, now, chunk=40, most=2)
+    number, _ = sweep.run(directories, folder, look, now + datetime.timedelta(hours=3), chunk=40)
+    return sweep.found(spark, folder, number, look(directories).schema)
+
+
+@query(
+    "log_end",
+    "SELECT n - 1 AS line, value FROM (SELECT row_number() OVER (ORDER BY event_id) AS n, concat(event_id, ' ', event_type) AS value FROM (SELECT * FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events) ORDER BY event_id DESC LIMIT 50))",
+)
+def _log_end(spark, d):
+    """Events as a log of each day; the last lines of the newest one."""
+    folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    lines = table(spark, d, "events").select("event_id", F.to_date("ts").alias("day"), F.concat_ws(" ", "event_id", "event_type").alias("value"))
+    lines.repartition("day").sortWithinPartitions("day", "event_id").select("day", "value").write.partitionBy("day").text(folder)
+    day = max(n for n in snapshots._names(spark, folder) if n.startswith("day="))
+    name = next(n for n in snapshots._names(spark, f"{folder}/{day}") if n.startswith("part-"))
+    return FS.log_tail(spark, f"{folder}/{day}/{name}", 50)

@@ -64,10 +64,35 @@ def original_language(text: Column) -> Column:
     return F.coalesce(F.get_json_object(value, "$.name"), value)
 
 
-def log_tail(spark: SparkSession, path: str, lines: int) -> DataFrame:
-    """The last lines of a log, in order."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
-    return rows.orderBy(F.desc("line")).limit(lines).orderBy("line")
+#: Bytes at the end of a log that are read first; twice as many each time that they hold too few lines.
+TAIL = 65_536
+
+
+def log_tail(spark: SparkSession, path: str, lines: int, block: int = TAIL) -> DataFrame:
+    """(line, value): the last lines of a log in order, counted from 0 at the first of them. Only the end of the file is
+    read, so a long log costs no more than a short one. An end of line at the very end begins no line."""
+    if lines <= 0:
+        return spark.createDataFrame([], "line long, value string")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getFileStatus(where).getLen()
+    data = b""
+    while len(data) < size and data[:-1].count(b"\n") < lines:
+        want = min(size, max(block, 2 * len(data)))
+        with_start = fs.open(where)
+        try:
+            with_start.seek(size - want)
+            data = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(with_start, want))
+        finally:
+            with_start.close()
+    rows = data.removesuffix(b"\n").split(b"\n")[-lines:] if data else []
+    text = [r.removesuffix(b"\r").decode("utf-8", "replace") for r in rows]
+    return spark.createDataFrame(list(enumerate(text)), "line long, value string")
+
+
+def newest_log(files: DataFrame, prefix: str) -> DataFrame:
+    """The newest of the logs (name, modified_at) with a prefix."""
+    return files.where(F.col("name").startswith(prefix) & F.col("name").endswith(".log")).orderBy(F.desc("modified_at"), "name").limit(1)
 
 
 def expired_logs(files: DataFrame, now: Column, days: int, keep: str = "current-") -> DataFrame:

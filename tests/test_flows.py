@@ -5,8 +5,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from framelake.operators import alignment, events, verification
+from framelake.operators import alignment, events, sweep, verification
+from framelake.sources import files
 
 
 def plain_pass(rows, most=5):
@@ -88,3 +90,37 @@ def test_events(spark):
     texts = {r["key"]: r["text"] for r in events.told(found).collect()}
     assert texts["6"] == '{"kind":"added","row":{"id":6,"a":"new","b":6.0}}' and set(texts) == {"1", "2", "6"}
     assert events.between(old, old, "id", "item").count() == 0
+
+
+def test_sweep(spark, tmp_path):
+    dirs = spark.createDataFrame([(f"/r{i % 3}", f"/r{i % 3}/d{i}") for i in range(30)], "root string, directory string")
+    now = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
+    hours = lambda n: now + datetime.timedelta(hours=n)
+    seen = []
+
+    def look(some):
+        seen.extend(r["directory"] for r in some.collect())
+        return some.withColumn("path", F.concat("directory", F.lit("/f")))
+
+    d, kind = str(tmp_path / "s"), "root string, directory string, path string"
+    assert sweep.run(dirs, d, look, now, chunk=5, most=2) == (1, False)
+    with pytest.raises(OSError, match="gone"):
+        sweep.run(dirs, d, lambda some: (_ for _ in ()).throw(OSError("gone")), hours(1), chunk=5)
+    more = dirs.unionByName(spark.createDataFrame([("/r0", "/r0/new")], "root string, directory string"))
+    assert sweep.run(more, d, look, hours(20), chunk=5) == (1, True)
+    assert sorted(seen) == sorted(r["directory"] for r in more.collect())
+    assert sweep.found(spark, d, 1, kind).count() == 31
+    assert sweep.run(dirs, d, look, hours(21), chunk=5, most=1) == (2, False)  # the one before is finished
+    assert sweep.run(dirs, d, look, hours(60), chunk=50) == (3, True)  # the one before is too old
+    assert sweep.found(spark, d, 3, kind).count() == 30 and sweep.done(spark, d, 2).count() < 30
+
+
+def test_log_tail(spark, tmp_path):
+    path = tmp_path / "a.log"
+    for text, lines, want in (("", 3, []), ("a", 3, ["a"]), ("a\nb\r\nc", 2, ["b", "c"]), ("a\nb\n", 1, ["b"]), ("\n\nx\n", 3, ["", "", "x"]), ("a\n" * 9, 0, [])):
+        path.write_text(text, newline="")
+        assert [r["value"] for r in files.log_tail(spark, str(path), lines, block=2).collect()] == want
+    path.write_text("".join(f"line {i} é\n" for i in range(50_000)), encoding="utf-8")
+    assert [r["value"] for r in files.log_tail(spark, str(path), 2000).collect()] == [f"line {i} é" for i in range(48_000, 50_000)]
+    logs = spark.createDataFrame([("app-1.log", 1), ("app-2.log", 3), ("app-3.txt", 9), ("other.log", 8)], "name string, modified_at int")
+    assert files.newest_log(logs, "app-").first()["name"] == "app-2.log"
