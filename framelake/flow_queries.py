@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.operators import alignment, events, snapshots, sweep, verification
+from framelake.operators import alignment, events, external, snapshots, sweep, verification
 from framelake.queries import query, view
 from framelake.session import shared_folder
 from framelake.sources import files as FS
@@ -130,3 +130,27 @@ def _log_end(spark, d):
     day = max(n for n in snapshots._names(spark, folder) if n.startswith("day="))
     name = next(n for n in snapshots._names(spark, f"{folder}/{day}") if n.startswith("part-"))
     return FS.log_tail(spark, f"{folder}/{day}/{name}", 50)
+
+
+# lists staged on the first of most months, each of which holds for forty days
+
+_LISTS = """SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS staged_at, lower(concat('/media/', r_name)) AS root,
+  CASE (r_regionkey + CAST(extract(MONTH FROM o_orderdate) AS INT)) % 4 WHEN 0 THEN 'jpn' WHEN 1 THEN 'German' WHEN 2 THEN '' ELSE 'en' END AS lang
+FROM {orders} CROSS JOIN {region} WHERE extract(MONTH FROM o_orderdate) NOT IN (4, 5, 9)
+UNION ALL SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP), lower(concat('/media/', r_name, '/', n_name, '/')), 'fre'
+FROM {orders} CROSS JOIN {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE n_nationkey % 4 = 0 AND extract(MONTH FROM o_orderdate) IN (1, 2, 7)"""
+_LISTS_SQL = _LISTS.replace("{", "").replace("}", "")
+
+
+@query(
+    "staged_languages",
+    f"""SELECT * FROM (WITH lists AS ({_LISTS_SQL}), held AS (SELECT m.file_path, m.created_at AS at_, t.staged_at FROM media_files m ASOF LEFT JOIN (SELECT DISTINCT staged_at FROM lists) t ON m.created_at >= t.staged_at),
+fresh AS (SELECT file_path, at_, CASE WHEN at_ - staged_at <= INTERVAL '40' DAY THEN staged_at END AS staged_at FROM held)
+SELECT f.file_path, f.at_ AS "at", f.staged_at, CASE l.lang WHEN 'jpn' THEN 'ja' WHEN 'German' THEN 'de' WHEN 'en' THEN 'en' WHEN 'fre' THEN 'fr' END AS language
+FROM fresh f LEFT JOIN lists l ON l.staged_at = f.staged_at AND l.lang <> '' AND starts_with(f.file_path, rtrim(l.root, '/') || '/') QUALIFY row_number() OVER (PARTITION BY f.file_path ORDER BY length(rtrim(l.root, '/')) DESC NULLS LAST) = 1)""",
+)
+def _staged(spark, d):
+    lists = spark.sql(_LISTS, **{n: table(spark, d, n) for n in ("orders", "nation", "region")})
+    files = view(spark, d, "media_files").select("file_path", F.col("created_at").cast("timestamp").alias("at"))
+    found = external.language_at(files, lists.withColumn("staged_at", F.col("staged_at").cast("timestamp")), hours=40 * 24)
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("at", "staged_at")})

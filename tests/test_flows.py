@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.operators import alignment, events, sweep, verification
+from framelake.operators import alignment, events, external, sweep, verification
 from framelake.sources import files
 
 
@@ -124,3 +124,12 @@ def test_log_tail(spark, tmp_path):
     assert [r["value"] for r in files.log_tail(spark, str(path), 2000).collect()] == [f"line {i} é" for i in range(48_000, 50_000)]
     logs = spark.createDataFrame([("app-1.log", 1), ("app-2.log", 3), ("app-3.txt", 9), ("other.log", 8)], "name string, modified_at int")
     assert files.newest_log(logs, "app-").first()["name"] == "app-2.log"
+
+
+def test_staged_lists(spark):
+    day = lambda n, h=0: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n, hours=h)
+    lists = spark.createDataFrame([(day(0), "/m/", "eng"), (day(0), "/m/a", "ger"), (day(3), "/M", "fra"), (day(3), "/m/b", ""), (None, "/m", "jpn")], "staged_at timestamp_ntz, root string, lang string")
+    asked = [("/m/a/x", day(0), "de"), ("/m/ab/x", day(0, 24), "en"), ("/m/a/x", day(1, 1), None), ("/m/b/x", day(3, 5), "fr"), ("/n/x", day(3), None), ("/m/x", day(-1), None), ("/m/x", None, None), (None, day(3), None)]
+    files = spark.createDataFrame([a[:2] for a in asked] * 2, "file_path string, at timestamp_ntz")
+    got = external.language_at(files, lists).collect()
+    assert sorted(((r["file_path"], r["at"], r["language"]) for r in got), key=str) == sorted(asked, key=str)
