@@ -48,11 +48,14 @@ CASE WHEN id % 11 <> 0 THEN is_hdr OR id % 5 = 0 END AS any_hdr, CASE WHEN id %
 
 @query(
     "stream_summaries",
-    "SELECT id, 'eng:aac:2:Main' AS audio, concat('fre:subrip:', CASE WHEN id % 4 = 0 THEN 'true' ELSE 'false' END) AS subtitles FROM media_files WHERE id % 11 <> 0",
+    f"""SELECT id, array_to_string([concat_ws(':', x.tags.language, x.codec_name, CAST(x.channels AS VARCHAR), x.tags.title) for x in s if x.codec_type = 'audio'], ',') AS audio,
+array_to_string([concat_ws(':', x.tags.language, x.codec_name, CASE WHEN regexp_matches(x.tags.title, '(?i)\\bsdh\\b') THEN 'true' ELSE 'false' END) for x in s if x.codec_type = 'subtitle'], ',') AS subtitles
+FROM (SELECT id, CASE WHEN json_valid(text) THEN from_json(json_extract(text, '$.streams'), '[{{"codec_type":"VARCHAR","codec_name":"VARCHAR","channels":"INTEGER","tags":{{"language":"VARCHAR","title":"VARCHAR"}}}}]') END AS s
+FROM (SELECT id, CASE WHEN id % 11 = 0 THEN 'broken{{' ELSE {_PROBE} END AS text FROM media_files))""",
 )
 def _summaries(spark, d):
     audio, subtitles = A.summaries(F.col("p.streams"))
-    rows = _probed(spark, d).where("p is not null and p.streams is not null").select("id", audio.alias("a"), subtitles.alias("b"))
+    rows = _probed(spark, d).select("id", audio.alias("a"), subtitles.alias("b"))  # nothing is known of broken ones
     texts = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[n].cast("string") for n in names])), ",")
     return rows.select("id", texts("a", "l", "c", "ch", "t").alias("audio"), texts("b", "l", "c", "s").alias("subtitles"))
 

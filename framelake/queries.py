@@ -244,10 +244,17 @@ query("keep_output", """SELECT job_key, line_no, part_key, node_key, original_si
     lambda s, d: view(s, d, "encode_history").select(*ledger.TIE, D.keep_output(F.col("original_size_bytes"), F.col("encoded_size_bytes"), F.col("part_key") % 10 == 0, False, F.col("is_4k")).alias("k")).select(*ledger.TIE, "k.*")
 )
 WANTED = A.StreamOptions(audio_languages=("en", "ja"), subtitle_languages=("en",), exclude_sdh=True)
-query("audio_work", "SELECT id, CASE id % 9 WHEN 2 THEN TRUE WHEN 3 THEN TRUE WHEN 6 THEN TRUE ELSE FALSE END AS work FROM media_files")(lambda s, d: view(s, d, "media_files").select("id", A.has_audio_work(A.audio(F.col("audio_streams")), WANTED).alias("work")))
-query("subtitle_work", "SELECT id, CASE id % 10 WHEN 2 THEN TRUE WHEN 3 THEN TRUE ELSE FALSE END AS work FROM media_files")(lambda s, d: view(s, d, "media_files").select("id", A.has_subtitle_work(A.subtitles(F.col("subtitle_streams")), WANTED).alias("work")))
-query("audio_duplicates", "SELECT id, CASE id % 9 WHEN 3 THEN TRUE WHEN 5 THEN TRUE ELSE FALSE END AS work FROM media_files")(lambda s, d: view(s, d, "media_files").select("id", A.has_audio_work(A.audio(F.col("audio_streams")), A.StreamOptions(preserve_original_audio=False)).alias("work")))
-query("best_audio", "SELECT id, CASE id % 9 WHEN 2 THEN 'ac3' WHEN 5 THEN 'ac3' WHEN 6 THEN 'dts' END AS codec FROM media_files")(lambda s, d: view(s, d, "media_files").select("id", A.best_source(A.audio(F.col("audio_streams")), 6)["c"].alias("codec")))
+# tracks as lists of structs; a tag's language, else the first one that the title names
+_TRACKS = """(SELECT *, CASE WHEN json_valid(audio_streams) THEN from_json(audio_streams, '[{"l":"VARCHAR","c":"VARCHAR","ch":"INTEGER","t":"VARCHAR"}]') ELSE [] END AS a,
+CASE WHEN json_valid(subtitle_streams) THEN from_json(subtitle_streams, '[{"l":"VARCHAR","c":"VARCHAR","t":"VARCHAR","s":"BOOLEAN"}]') ELSE [] END AS b FROM media_files)"""
+_ISO = "MAP {'eng': 'en', 'english': 'en', 'en': 'en', 'fre': 'fr', 'fra': 'fr', 'french': 'fr', 'ger': 'de', 'deu': 'de', 'german': 'de', 'deutsch': 'de', 'jpn': 'ja', 'japanese': 'ja', 'ja': 'ja'}"
+_NAMED = f"coalesce({_ISO}[lower(trim(x.l))], [{_ISO}[lower(w)] for w in string_split_regex(coalesce(x.t, ''), '[ ()\\[\\]\\-,/.:]+') if {_ISO}[lower(w)] IS NOT NULL][1], lower(trim(x.l)))"
+_AUDIO_WORK = f"""SELECT id, len(a) > 0 AND (len(kept) < len(a) OR coalesce(list_position(tags, 'ja') < list_position(tags, 'en'), FALSE) OR len([x for x in kept if contains(lower(x.t), 'comm')]) > 0) AS work
+FROM (SELECT *, [coalesce({_ISO}[lower(trim(x.l))], lower(trim(x.l))) for x in kept] AS tags FROM (SELECT *, [x for x in a if {_NAMED} IN ('en', 'ja')] AS kept FROM {_TRACKS}))"""
+query("audio_work", _AUDIO_WORK)(lambda s, d: view(s, d, "media_files").select("id", A.has_audio_work(A.audio(F.col("audio_streams")), WANTED).alias("work")))
+query("subtitle_work", f"SELECT id, len(b) > 0 AND (len([x for x in b if {_NAMED} = 'en']) < len(b) OR len([x for x in b if x.s]) > 0) AS work FROM {_TRACKS}")(lambda s, d: view(s, d, "media_files").select("id", A.has_subtitle_work(A.subtitles(F.col("subtitle_streams")), WANTED).alias("work")))
+query("audio_duplicates", f"SELECT id, len(a) > 0 AND (len([x for x in a if contains(lower(x.t), 'comm')]) > 0 OR len(list_distinct([lower(coalesce(x.l, 'und')) for x in a])) < len(a)) AS work FROM {_TRACKS}")(lambda s, d: view(s, d, "media_files").select("id", A.has_audio_work(A.audio(F.col("audio_streams")), A.StreamOptions(preserve_original_audio=False)).alias("work")))
+query("best_audio", f"SELECT id, [x.c for x in a if x.ch >= 6 AND x.ch = list_max([y.ch for y in a])][1] AS codec FROM {_TRACKS}")(lambda s, d: view(s, d, "media_files").select("id", A.best_source(A.audio(F.col("audio_streams")), 6)["c"].alias("codec")))
 query("container_change", "SELECT id, NOT ends_with(file_path, '.mkv') AS change FROM media_files")(lambda s, d: view(s, d, "media_files").select("id", D.needs_container_change(OPTIONS).alias("change")))
 query("no_op_encodes", "SELECT id FROM media_files WHERE is_hevc AND bitrate > 0 AND bitrate < 4200 AND id % 9 <> 3")(lambda s, d: view(s, d, "media_files").where(D.is_no_op(OPTIONS)).select("id"))
 query("decision_labels", "SELECT DISTINCT status, status AS label FROM media_files")(
@@ -298,7 +305,12 @@ query("intake", f"""SELECT m.id, CASE WHEN m.id % 4 = 0 AND status IN ('Failed',
 query("codec_normalize", "SELECT DISTINCT codec, CASE WHEN codec IN ('hevc') THEN 'h265' WHEN codec IN ('h264') THEN 'h264' ELSE codec END AS normal, CASE WHEN codec = 'hevc' THEN 'h265' WHEN codec = '' THEN 'unknown' ELSE codec END AS label FROM media_files WHERE NOT (codec = '' AND is_hevc)")(
     lambda s, d: view(s, d, "media_files").where("not (codec = '' and is_hevc)").select("codec", C.normalize(F.upper(F.concat(F.lit(" "), "codec"))).alias("normal"), C.source_label(F.col("codec"), F.col("is_hevc")).alias("label")).distinct()
 )
-query("bit_depth", "SELECT id, CASE pixel_format WHEN 'yuv420p' THEN 8 WHEN 'yuv420p10le' THEN 10 WHEN 'p010le' THEN 10 WHEN 'v210' THEN 10 WHEN 'gray12be' THEN 12 END AS depth FROM media_files")(lambda s, d: view(s, d, "media_files").select("id", M.bit_depth(F.col("pixel_format")).alias("depth")))
+_BITS = "regexp_extract(lower(trim(pixel_format)), '{}', 1)"
+query(
+    "bit_depth",
+    f"""SELECT id, CASE WHEN coalesce(trim(pixel_format), '') = '' THEN NULL WHEN {_BITS.format('p[024]?(9|1[0246])(?:le|be)?$')} <> '' THEN CAST({_BITS.format('p[024]?(9|1[0246])(?:le|be)?$')} AS INT) WHEN lower(pixel_format) IN ('v210', 'v410') THEN 10
+WHEN {_BITS.format('^(?:gray|rgb|bgr|gbr|y).*?(9|1[0246])(?:le|be)?$')} <> '' THEN CAST({_BITS.format('^(?:gray|rgb|bgr|gbr|y).*?(9|1[0246])(?:le|be)?$')} AS INT) ELSE 8 END AS depth FROM media_files""",
+)(lambda s, d: view(s, d, "media_files").select("id", M.bit_depth(F.col("pixel_format")).alias("depth")))
 query("resolution_labels", """SELECT id, CASE WHEN e IS NULL THEN NULL WHEN e < 720 THEN 'sd' WHEN e < 1080 THEN '720p' WHEN e < 1440 THEN '1080p' WHEN e < 2160 THEN '1440p' ELSE '2160p+' END AS class, CASE WHEN h >= 2000 THEN '2160p' WHEN h >= 1300 THEN '1440p' WHEN h >= 900 THEN '1080p' WHEN h >= 600 THEN '720p' WHEN h >= 380 THEN '480p' END AS exclusion,
 CASE WHEN is_4k OR e >= 2160 THEN '4K' WHEN e >= 1440 THEN '1440p' WHEN e >= 1080 THEN '1080p' WHEN e >= 720 THEN '720p' WHEN e > 0 THEN 'SD' ELSE 'Unknown' END AS display, CASE WHEN width > 1920 THEN '4K' WHEN width > 1280 THEN '1080p' WHEN width > 960 THEN '720p' WHEN width > 0 THEN 'SD' END AS insight
 FROM (SELECT *, CASE WHEN width > 0 AND height > 0 THEN least(width, height) END AS e, CASE WHEN width > 0 AND height > 0 THEN greatest(height, CAST(floor(width * 3 / 4.0) AS INT)) END AS h FROM media_files)""")(
@@ -308,9 +320,11 @@ query("path_parts", "SELECT id, directory, file_name, base_name, CASE WHEN id %
     lambda s, d: (lambda p: view(s, d, "media_files").select("id", P.directory(p).alias("directory"), P.file_name(p).alias("file_name"), P.base_name(p).alias("base_name"), P.extension(p).alias("extension"), P.kind(p).alias("kind"), P.folder_key(P.directory(p), P.base_name(p)).alias("key")))(F.col("file_path"))
 )
 _TITLE = "concat('/lib/', c_name, CASE c_custkey % 6 WHEN 0 THEN '.S01E02.1080p.mkv' WHEN 1 THEN ' (1999).mkv' WHEN 2 THEN ' - 07 [720p].mkv' WHEN 3 THEN '.2x05.avi' WHEN 4 THEN ' 2001 A Space (1968).mkv' ELSE '.mkv' END)"
-query("media_classify", "SELECT c_custkey, CASE WHEN c_custkey % 6 IN (0, 2, 3) THEN 'Tv' ELSE 'Movie' END AS media FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", T.classify(F.expr(_TITLE)).alias("media")))
-query("series_title", "SELECT c_custkey, c_name AS title FROM customer WHERE c_custkey % 6 IN (0, 2, 3)")(lambda s, d: table(s, d, "customer").where(T.classify(F.expr(_TITLE)) == "Tv").select("c_custkey", T.series_title(F.expr(_TITLE)).alias("title")))
-query("movie_year", "SELECT c_custkey, CASE c_custkey % 6 WHEN 4 THEN concat(c_name, ' 2001 A Space') ELSE c_name END AS title, CASE c_custkey % 6 WHEN 1 THEN 1999 WHEN 4 THEN 1968 END AS year FROM customer WHERE c_custkey % 6 IN (1, 4, 5)")(
+_MARK = "'[Ss][0-9]+[Ee][0-9]+|[ ._-][0-9]+x[0-9]+[ ._-]| - [0-9]+ '"
+_NAME = f"regexp_extract({_TITLE}, '([^/]*)[.][^.]*$', 1)"
+query("media_classify", f"SELECT c_custkey, CASE WHEN regexp_matches({_TITLE}, {_MARK}) OR regexp_matches({_TITLE}, '[ ._-][0-9]+x[0-9]+[.]') THEN 'Tv' ELSE 'Movie' END AS media FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", T.classify(F.expr(_TITLE)).alias("media")))
+query("series_title", f"SELECT c_custkey, trim(replace(regexp_replace({_NAME}, '[ ._-]*(?:[Ss][0-9]+[Ee][0-9]+|[0-9]+x[0-9]+| - [0-9]+).*$', ''), '.', ' ')) AS title FROM customer WHERE regexp_matches({_TITLE}, {_MARK})")(lambda s, d: table(s, d, "customer").where(T.classify(F.expr(_TITLE)) == "Tv").select("c_custkey", T.series_title(F.expr(_TITLE)).alias("title")))
+query("movie_year", f"SELECT c_custkey, trim(regexp_replace({_NAME}, '[(](?:19|20)[0-9][0-9][)]$', '')) AS title, TRY_CAST(regexp_extract({_NAME}, '.*[ (]((?:19|20)[0-9][0-9])[ )]?$', 1) AS INT) AS year FROM customer WHERE NOT regexp_matches({_TITLE}, {_MARK})")(
     lambda s, d: table(s, d, "customer").where(T.classify(F.expr(_TITLE)) == "Movie").select("c_custkey", T.movie_title(F.expr(_TITLE)).alias("m")).select("c_custkey", "m.*")
 )
 _TAG = "CASE c_custkey % 6 WHEN 0 THEN 'ENG' WHEN 1 THEN ' ger' WHEN 2 THEN 'French' WHEN 3 THEN 'und' WHEN 4 THEN NULL ELSE 'jpn' END"
@@ -324,8 +338,10 @@ query("track_titles", "SELECT c_custkey, c_custkey % 4 = 0 AS sdh, c_custkey % 4
 query("duration_parse", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE CAST(o_orderkey % 90000 AS DOUBLE) END AS seconds, CASE WHEN o_orderkey % 3 = 0 THEN '00:00:00' ELSE concat(lpad(CAST(CAST(floor((o_orderkey % 90000) / 3600) AS BIGINT) AS VARCHAR), 2, '0'), ':', lpad(CAST(CAST(floor((o_orderkey % 90000) / 60) AS BIGINT) % 60 AS VARCHAR), 2, '0'), ':', lpad(CAST((o_orderkey % 90000) % 60 AS VARCHAR), 2, '0')) END AS clock FROM orders")(
     lambda s, d: table(s, d, "orders").select("o_orderkey", S.seconds(F.when(F.col("o_orderkey") % 3 == 0, "n/a").otherwise(S.clock(F.col("o_orderkey") % 90000))).alias("seconds")).withColumn("clock", S.clock(F.col("seconds")))
 )
-query("frame_rate", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 30000 / 1001.0 WHEN 1 THEN 25.0 WHEN 2 THEN NULL ELSE 12.25 END AS rate, CASE p_partkey % 4 WHEN 0 THEN 60 WHEN 1 THEN 50 WHEN 2 THEN 48 ELSE 24 END AS gop FROM part")(
-    lambda s, d: table(s, d, "part").select("p_partkey", M.frame_rate(F.expr("CASE p_partkey % 4 WHEN 0 THEN '30000/1001' WHEN 1 THEN '25' WHEN 2 THEN '0/0' ELSE '49/4' END")).alias("rate")).withColumn("gop", M.gop(F.col("rate")))
+# sizes of parts over their numbers stand for rates; some of these have nothing below the line
+_RATE = "concat(CAST(p_size * 1000 AS STRING), '/', CAST(p_partkey % 7 * 143 AS STRING))"
+query("frame_rate", "SELECT p_partkey, rate, CAST(CASE WHEN rate IS NULL THEN 48 ELSE greatest(24, round_even(rate * 2, 0)) END AS INT) AS gop FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 > 0 THEN p_size * 1000 / CAST(p_partkey % 7 * 143 AS DOUBLE) END AS rate FROM part)")(
+    lambda s, d: table(s, d, "part").select("p_partkey", M.frame_rate(F.expr(_RATE)).alias("rate")).withColumn("gop", M.gop(F.col("rate")))
 )
 query("schedule_open", "SELECT event_id, CASE WHEN dayofweek(ts) IN (1, 2, 3, 4, 5) AND hour(ts) >= 22 THEN TRUE WHEN dayofweek(ts) IN (2, 3, 4, 5, 6) AND hour(ts) * 60 + minute(ts) < 390 THEN TRUE WHEN dayofweek(ts) = 0 THEN TRUE ELSE FALSE END AS open FROM events")(
     lambda s, d: table(s, d, "events").select("event_id", S.within(F.from_json(F.lit('[{"days":["Monday","Tuesday","Wednesday","Thursday","Friday"],"start":"22:00","end":"06:30"},{"days":["Sunday"],"start":"00:00","end":"00:00"},{"days":["Saturday"],"start":"25:00","end":"26:00"}]'), "array<struct<days:array<string>,start:string,end:string>>"), F.col("ts")).alias("open"))
@@ -425,7 +441,7 @@ query("external_language", "SELECT file_path, CASE WHEN starts_with(file_path, '
 query("music_intake", "SELECT id, CASE WHEN codec = 'aac' AND bitrate BETWEEN 3000 AND 5000 THEN 'Skip' WHEN id % 3 <> 0 AND status IN ('Completed', 'Queued') THEN 'Known' WHEN id % 3 <> 0 AND status = 'Failed' AND failure_count >= 3 THEN 'Failed' ELSE 'Queue' END AS decision FROM media_files WHERE kind = 'Music'")(
     lambda s, d: view(s, d, "media_files").where("kind = 'Music'").select("id", D.intake_music(MUSIC, F.col("id") % 3 == 0).alias("decision"))
 )
-query("mux_dry_run", """SELECT id, CASE WHEN status = 'Completed' THEN 'AlreadyCompleted' WHEN status = 'Failed' THEN 'AlreadyFailed' WHEN id % 9 = 3 THEN 'Mux' ELSE 'Skip' END AS decision FROM media_files WHERE kind = 'Video'""")(
+query("mux_dry_run", f"""SELECT id, CASE WHEN status = 'Completed' THEN 'AlreadyCompleted' WHEN status = 'Failed' THEN 'AlreadyFailed' WHEN len(a) > 0 AND len([x for x in a if contains(lower(x.t), 'comm')]) > 0 THEN 'Mux' ELSE 'Skip' END AS decision FROM {_TRACKS} WHERE kind = 'Video'""")(
     lambda s, d: view(s, d, "media_files").where("kind = 'Video'").select("id", D.dry_run_video(D.Options(mode="MuxOnly", mux_streams="Audio"), F.lit(False))["decision"].alias("decision"))
 )
 query("analysis_tab", f"SELECT m.id, m.file_path, y.decision FROM ({_DRY}) y JOIN media_files m ON m.id = y.id WHERE decision IN ('Queue', 'Shrink') AND contains(lower(m.file_path), 'asia')")(
@@ -440,8 +456,19 @@ query("node_statuses", "SELECT n.node_id, CASE WHEN is_paused THEN 'Paused' WHEN
 )
 query("slim_projection", "SELECT id, file_path, file_name, codec, width, height, bitrate, file_size, duration, pixel_format, is_hdr, is_4k, status, kind FROM media_files")(_from(library.slim, "media_files"))
 query("labelled_ledger", "SELECT profile_name, profile_id, original_size_bytes, encoded_size_bytes, bytes_saved, duration_seconds, completed_at, job_key, line_no, part_key, node_key FROM encode_history WHERE profile_name IS NOT NULL")(_from(ledger.labelled, "encode_history"))
-query("notification_texts", "SELECT DISTINCT event_type, regexp_replace(event_type, '([a-z])([A-Z])', '\\1 \\2', 'g') AS title, CASE WHEN event_type = 'click' THEN 'ntfy' ELSE 'webhook' END AS channel FROM events")(
-    lambda s, d: table(s, d, "events").select("event_type", X.spaced(F.col("event_type")).alias("title"), X.channel(F.when(F.col("event_type") == "click", "https://ntfy.sh/x").otherwise("https://example.com/h")).alias("channel")).distinct()
+# names in the manner of events: each word of what a part is, with a capital and without blanks
+_CAMEL = "replace(initcap(p_type), ' ', '')"
+query(
+    "notification_texts",
+    """SELECT p_partkey, trim(regexp_replace(camel, '([A-Z])', ' \\1', 'g')) AS title, CASE p_partkey % 3 WHEN 0 THEN 'ntfy' WHEN 1 THEN 'apprise' ELSE 'webhook' END AS channel, CASE WHEN length(p_name) <= 20 THEN p_name ELSE concat(p_name[1:17], '...') END AS short
+FROM (SELECT *, array_to_string([concat(upper(w[1]), lower(w[2:])) for w in string_split(p_type, ' ')], '') AS camel FROM part)""",
+)(
+    lambda s, d: table(s, d, "part").select(
+        "p_partkey",
+        X.spaced(F.expr(_CAMEL)).alias("title"),
+        X.channel(F.expr("CASE p_partkey % 3 WHEN 0 THEN 'https://ntfy.sh/x' WHEN 1 THEN 'apprise://x' ELSE 'https://example.com/h' END")).alias("channel"),
+        X.shortened(F.col("p_name"), 20).alias("short"),
+    )
 )
 query("companions", "SELECT m.file_path, concat(m.directory, '/', m.base_name, ' [encoded].mkv') AS output FROM media_files m WHERE id % 3 = 0")(
     lambda s, d: (lambda m: scan.companions(m.select("directory", "base_name", "file_path").unionByName(m.where("id % 3 = 0").select("directory", F.concat("base_name", F.lit(" [encoded]")).alias("base_name"), F.concat("directory", F.lit("/"), "base_name", F.lit(" [encoded].mkv")).alias("file_path"))), " [encoded]"))(view(s, d, "media_files"))
