@@ -116,14 +116,21 @@ def best_slots_by_class(items: DataFrame, nodes: DataFrame, devices: DataFrame,
     return placed.select("item_id", "b.node_id", "b.device_id", "b.score")
 
 
-def watchdog(items: DataFrame, nodes: DataFrame, slots: DataFrame) -> DataFrame:
-    """Classes of running items (id, assigned_node_id, idle_minutes): on a node that is gone, local but not active, or
-    without progress for 5 minutes (10 on a node)."""
-    n = nodes.select(F.col("node_id").alias("known_node"))
-    active = slots.select(F.regexp_replace("job_id", "^job-", "").cast("long").alias("active_id")).distinct()
-    rows = items.join(n, items["assigned_node_id"] == n["known_node"], "left").join(active, items["id"] == active["active_id"], "left")
-    remote = F.col("assigned_node_id").isNotNull()
-    what = F.when(remote & F.col("known_node").isNull(), "ghost-node").when(~remote & F.col("active_id").isNull(), "local-orphan").when(F.col("idle_minutes") >= F.when(remote, 10).otherwise(5), "stalled").otherwise("ok")
+def watchdog(items: DataFrame, nodes: DataFrame, active: DataFrame, remote: DataFrame) -> DataFrame:
+    """Classes of running items (id, assigned_node_id, idle_minutes) that haven't moved for five minutes: on a node that
+    is gone, or without a node and neither among this machine's jobs (active: id) nor among those on nodes (remote: id).
+    An item on a node whose job is known is stalled after ten minutes. All others are in order."""
+    n = nodes.select(F.col("node_id").alias("known_node")).distinct()
+    here, there = (x.select(F.col("id").alias(k)).distinct() for x, k in ((active, "active_id"), (remote, "remote_id")))
+    rows = items.join(n, items["assigned_node_id"] == n["known_node"], "left").join(here, items["id"] == here["active_id"], "left").join(there, items["id"] == there["remote_id"], "left")
+    on_node, idle = F.col("assigned_node_id").isNotNull(), F.col("idle_minutes")
+    what = (
+        F.when(F.coalesce(idle, F.lit(0)) < 5, "ok")
+        .when(on_node & F.col("known_node").isNull(), "ghost-node")
+        .when(~on_node & F.col("active_id").isNull() & F.col("remote_id").isNull(), "local-orphan")
+        .when(on_node & F.col("remote_id").isNotNull() & (idle >= 10), "stalled-remote")
+        .otherwise("ok")
+    )
     return rows.select("id", "assigned_node_id", "idle_minutes", what.alias("class"))
 
 

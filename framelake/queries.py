@@ -383,8 +383,14 @@ for _name in ("best_slot", "best_slot_all"):
     query(_name, _BEST)(_placed(placement.best_slots_by_class))
 query("slot_usage", "SELECT node_id, device_id, count(*) AS used FROM slots GROUP BY 1, 2")(_from(placement.used_slots, "slots"))
 query("slot_phases", "SELECT phase, count(*) AS slots, max(progress) AS furthest FROM slots GROUP BY 1")(_from(placement.slots_by_phase, "slots"))
-query("watchdog", """SELECT id, assigned_node_id, id % 13 AS idle_minutes, CASE WHEN assigned_node_id IS NOT NULL AND assigned_node_id NOT IN (SELECT node_id FROM nodes) THEN 'ghost-node' WHEN assigned_node_id IS NULL AND concat('job-', CAST(id AS VARCHAR)) NOT IN (SELECT job_id FROM slots) THEN 'local-orphan' WHEN id % 13 >= CASE WHEN assigned_node_id IS NULL THEN 5 ELSE 10 END THEN 'stalled' ELSE 'ok' END AS class FROM media_files WHERE status = 'Processing'""")(
-    lambda s, d: placement.watchdog(view(s, d, "media_files").where("status = 'Processing'").select("id", "assigned_node_id", (F.col("id") % 13).alias("idle_minutes")), view(s, d, "nodes"), view(s, d, "slots"))
+query(
+    "watchdog",
+    """SELECT id, assigned_node_id, id % 13 AS idle_minutes, CASE WHEN id % 13 < 5 THEN 'ok' WHEN assigned_node_id IS NOT NULL AND assigned_node_id NOT IN (SELECT node_id FROM nodes) THEN 'ghost-node'
+WHEN assigned_node_id IS NULL AND concat('job-', CAST(id AS VARCHAR)) NOT IN (SELECT job_id FROM slots) AND file_size % 3 <> 0 THEN 'local-orphan' WHEN assigned_node_id IS NOT NULL AND file_size % 3 = 0 AND id % 13 >= 10 THEN 'stalled-remote' ELSE 'ok' END AS class FROM media_files WHERE status = 'Processing'""",
+)(
+    lambda s, d: (
+        lambda m: placement.watchdog(m.select("id", "assigned_node_id", (F.col("id") % 13).alias("idle_minutes")), view(s, d, "nodes"), view(s, d, "slots").select(F.regexp_replace("job_id", "^job-", "").cast("long").alias("id")), m.where("file_size % 3 = 0").select("id"))
+    )(view(s, d, "media_files").where("status = 'Processing'"))
 )
 query("reconcile", "SELECT coalesce(r.job_id, a.job_id) AS job_id, CASE WHEN r.job_id IS NULL THEN 'idle-grace' WHEN a.job_id IS NULL THEN 'unknown' WHEN progress = 100 THEN 'completed' WHEN phase = 'Uploading' THEN 'receiving' ELSE 'progress' END AS class FROM (SELECT * FROM slots WHERE progress % 3 <> 0) r FULL JOIN (SELECT job_id FROM slots WHERE progress % 4 <> 0) a ON r.job_id = a.job_id")(
     lambda s, d: (lambda x: placement.reconcile(x.where("progress % 3 <> 0").select("job_id", F.when(F.col("progress") == 100, "done").when(F.col("phase") == "Uploading", "receiving").otherwise("running").alias("state")), x.where("progress % 4 <> 0").select("job_id")))(view(s, d, "slots"))
