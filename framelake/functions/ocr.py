@@ -136,14 +136,14 @@ def _looked_at(text: Column) -> Column:
     """array<struct<at, shown, word, before, after>>: the words that may be corrected. Short ones, ones in capitals and
     capitalised ones inside a sentence may not."""
 
-    def one(words, between):
-        low = F.transform(words, lambda w: F.lower(w))
+    def one(words, low, between):
         beside = lambda i: F.coalesce(F.get(low, i), F.lit(""))
         rows = F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("shown"), F.get(low, i).alias("word"), F.when(i > 0, beside(i - 1)).otherwise("").alias("before"), beside(i + 1).alias("after"), ((i == 0) | F.get(between, i).rlike(r"[.!?\n\r:]")).alias("opens")))
         return F.filter(rows, lambda r: (F.char_length(r["shown"]) >= 3) & (r["opens"] | ~r["shown"].rlike(r"^\p{Lu}")) & ~r["shown"].rlike(r"^\p{Lu}+$"))
 
-    parts = F.transform(F.array(F.struct(_words(text).alias("w"), _between(text).alias("b"))), lambda x: one(x["w"], x["b"]))
-    return F.element_at(parts, 1)
+    # each of these once a line, as all words look at them
+    parts = F.array(F.struct(_words(text).alias("w"), F.transform(_words(text), lambda w: F.lower(w)).alias("low"), _between(text).alias("b")))
+    return F.element_at(F.transform(parts, lambda x: one(x["w"], x["low"], x["b"])), 1)
 
 
 def _cased(word: Column, shown: Column) -> Column:
