@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.session import discard, names, written
+
 #: Order of rows that tie: unique in the ledger, so that limits are deterministic.
 TIE = ("job_key", "line_no", "part_key", "node_key", "original_size_bytes", "completed_at")
+#: What a ledger can be laid out by.
+UNITS = ("day", "month")
 
 
 def of_kind(ledger: DataFrame, kind: str | None) -> DataFrame:
@@ -16,9 +20,15 @@ def of_kind(ledger: DataFrame, kind: str | None) -> DataFrame:
 
 
 def trailing(ledger: DataFrame, days: int, now: str) -> DataFrame:
-    """Rows from the first of the last `days` UTC days on; there is no upper bound. 1 to 365 days."""
+    """Rows from the first of the last `days` UTC days on; there is no upper bound. 1 to 365 days. Of a ledger laid out
+    by day or month (`by_period`) only those are read."""
     days = min(365, max(1, days))
-    return ledger.where(F.col("completed_at") >= F.date_sub(F.to_date(F.lit(now)), days - 1))
+    first = F.date_sub(F.to_date(F.lit(now)), days - 1)
+    rows = ledger
+    for unit in UNITS:
+        if unit in ledger.columns:
+            rows = rows.where(F.col(unit) >= F.trunc(first, unit) if unit == "month" else F.col(unit) >= first)
+    return rows.where(F.col("completed_at") >= first)
 
 
 def _total(c: str) -> Column:
@@ -32,6 +42,35 @@ def append_row(rows: DataFrame) -> DataFrame:
     return rows.select(*[changed.get(c, F.col(c)) for c in rows.columns])
 
 
+def add_by_period(rows: DataFrame, folder: str, unit: str = "day") -> int:
+    """Adds finished jobs to the ledger in a folder, which is laid out by UTC day, or by month where jobs are few, and
+    returns how many of these that wrote.
+
+    Late jobs go to their own day; jobs that are there already, by TIE, are replaced, so adding the same ones again
+    changes nothing. Days without new jobs aren't touched."""
+    spark = rows.sparkSession
+    day = F.to_date("completed_at")
+    new = written(rows.withColumn(unit, F.trunc(day, "month") if unit == "month" else day), "new-jobs")
+    days = [r[unit] for r in new.select(unit).distinct().collect()]  # a row for each day of this batch
+    if not days:
+        return 0
+    both = new
+    if names(spark, folder):
+        # the days of the batch come to the plan as rows: a join prunes what is read as a filter does
+        touched = F.broadcast(spark.createDataFrame([(d,) for d in days], f"{unit} date"))
+        old = spark.read.schema(new.schema).parquet(folder).join(touched, unit, "left_semi")
+        both = new.unionByName(old.join(new.select(*TIE), list(TIE), "left_anti"))
+    both = written(both.select(*new.columns), "days")
+    both.repartition(unit).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(unit).parquet(folder)
+    discard(new, both)
+    return len(days)
+
+
+def by_period(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger in a folder, with the column day or month that it is laid out by."""
+    return spark.read.parquet(folder)
+
+
 def job_row(jobs: DataFrame, kilo: int = 1000, always_keep: bool = False) -> DataFrame:
     """Ledger measures of a finished job: no savings if nothing was written, or not less than the source unless outputs
     are always kept; whole kbps. Remote jobs of old rows were counted with a kilo of 1024."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Devices that are sent to all executors; more of them are dealt out.
+FEW_PLACES = 100_000
 DISPATCHABLE = ("Online", "Busy", "Uploading", "Downloading")
 
 
@@ -65,7 +67,8 @@ def video_scores(items: DataFrame, nodes: DataFrame, devices: DataFrame, slots:
     places = devices.join(nodes, "node_id").join(used, ["node_id", "device_id"], "left").fillna({"used": 0})
     able = devices.where("device_id <> 'cpu'").groupBy("node_id").agg(F.collect_set(F.struct("device_id", "codecs")).alias("hardware_codecs"))
     places = places.join(able, "node_id", "left").withColumn("cap", capacity(F.col("device_id"), F.col("capacity")))
-    both = items.crossJoin(F.broadcast(places))  # a row for each device of the cluster
+    few = places.limit(FEW_PLACES + 1).count() <= FEW_PLACES  # a cluster's devices, which are small rows
+    both = items.crossJoin(F.broadcast(places) if few else places)
     codec = F.when(F.lower("codec").isin("h265", "hevc"), "h265").when(F.lower("codec").isin("h264", "avc"), "h264").otherwise(F.lower("codec"))
     hw, cpu, exact = F.coalesce(F.lower("hardware"), F.lit("auto")), F.col("device_id") == "cpu", F.coalesce(F.trim("encoder"), F.lit("")) != ""
     usable = F.coalesce(F.exists("hardware_codecs", lambda d: F.array_contains(_codecs(d["codecs"]), codec)), F.lit(False))

@@ -17,22 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from framelake.session import remove
+from framelake.session import names, remove
 
 BUCKETS = 64
 _LISTED = "bucket int, part string, about string"
 
 
-def _names(spark: SparkSession, folder: str) -> list[str]:
-    """What lies in a folder, in whatever store; nothing if there is no such folder."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
-
-
 def versions(spark: SparkSession, folder: str) -> list[int]:
     """Numbers of the versions that hold, in order."""
-    return sorted(int(n[2:]) for n in _names(spark, f"{folder}/versions") if n.startswith("v=") and "_SUCCESS" in _names(spark, f"{folder}/versions/{n}"))
+    return sorted(int(n[2:]) for n in names(spark, f"{folder}/versions") if n.startswith("v=") and "_SUCCESS" in names(spark, f"{folder}/versions/{n}"))
 
 
 def _listed(spark: SparkSession, folder: str, version: int) -> tuple[dict[int, str], StructType, int]:
@@ -52,7 +45,7 @@ def _part(df: DataFrame, folder: str, key: str, buckets: int, most: int) -> tupl
     name = uuid.uuid4().hex
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     df.withColumn("bucket", bucket).repartition(max(1, most), "bucket").write.partitionBy("bucket").parquet(f"{folder}/data/{name}")
-    return name, [int(n.removeprefix("bucket=")) for n in _names(df.sparkSession, f"{folder}/data/{name}") if n.startswith("bucket=")]
+    return name, [int(n.removeprefix("bucket=")) for n in names(df.sparkSession, f"{folder}/data/{name}") if n.startswith("bucket=")]
 
 
 def create(df: DataFrame, folder: str, key: str, buckets: int = BUCKETS) -> None:
@@ -93,9 +86,9 @@ def clean(spark: SparkSession, folder: str, keep: int = 1) -> None:
     """Deletes versions but for the last `keep`, and parts that none of those names."""
     stay = versions(spark, folder)[-keep:]
     named = {p for v in stay for p in _listed(spark, folder, v)[0].values()}
-    for name in _names(spark, f"{folder}/versions"):
+    for name in names(spark, f"{folder}/versions"):
         if name.startswith("v=") and int(name[2:]) < stay[0]:
             remove(spark, f"{folder}/versions/{name}")
-    for name in _names(spark, f"{folder}/data"):
+    for name in names(spark, f"{folder}/data"):
         if name not in named:
             remove(spark, f"{folder}/data/{name}")

@@ -14,8 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.operators.snapshots import _names
-from framelake.session import discard, written
+from framelake.session import discard, names, written
 
 #: Directories of a chunk, and hours after which a stopped sweep is given up.
 CHUNK = 200
@@ -25,7 +24,7 @@ _DONE = "root string, directory string, at timestamp"
 
 def _held(spark: SparkSession, folder: str) -> list[str]:
     """Names of parts of a folder that were written to their end."""
-    return [n for n in _names(spark, folder) if "_SUCCESS" in _names(spark, f"{folder}/{n}")]
+    return [n for n in names(spark, folder) if "_SUCCESS" in names(spark, f"{folder}/{n}")]
 
 
 def done(spark: SparkSession, folder: str, sweep: int) -> DataFrame:
@@ -37,7 +36,7 @@ def done(spark: SparkSession, folder: str, sweep: int) -> DataFrame:
 
 def current(spark: SparkSession, folder: str, now: datetime.datetime, hours: int = HOURS) -> int:
     """The number of the sweep to go on with, or of a new one."""
-    numbers = sorted(int(n.removeprefix("sweep=")) for n in _names(spark, folder) if n.startswith("sweep="))
+    numbers = sorted(int(n.removeprefix("sweep=")) for n in names(spark, folder) if n.startswith("sweep="))
     if not numbers:
         return 1
     last = numbers[-1]

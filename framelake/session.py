@@ -56,3 +56,10 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder, in whatever store it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder, in whatever store; nothing if there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
