@@ -7,19 +7,24 @@ those that ask in the queue's order, as long as they don't like a slot elsewhere
 to an earlier one asks again. Slots only ever go to earlier items, so it ends, and as all slots rank items alike there
 is just one result.
 
-Items that are alike but for their size, and fit on the same devices, want the same in the same order; of those only as
-many can be placed as there are slots for them, so the rest of the queue is left out before the first round. What is left
-depends on the cluster, not on the queue.
+Later items take nothing from earlier ones, so the queue is gone through in blocks of a few items for each free slot, in
+order; between blocks the slots that are taken and the items that fit on no free one are left out, so the first item of
+each block gets a slot. What a round looks at depends on the cluster, not on the queue. Items that are alike but for
+their size are a class, with one list of slots.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.operators.placement import DISPATCHABLE, video_scores
 from framelake.session import discard, written
 
+#: Items of a block for each free slot.
+BLOCK = 2
 _ALIKE = ["is_4k", "codec", "hardware", "encoder"]
 
 
@@ -45,15 +50,16 @@ def slot_lists(items: DataFrame, nodes: DataFrame, devices: DataFrame, slots: Da
 
 
 def _asked(queue: DataFrame, lists: DataFrame, held: DataFrame) -> DataFrame:
-    """(node_id, device_id, item_id, place, alone, other, own, free): what each item asks for. other is how far down its
-    list the best slot elsewhere is that no earlier item holds, own how far down the slots of this device are."""
+    """(node_id, device_id, item_id, place, holds, other, own, first): what each item asks for. other is how far down its
+    list the best slot elsewhere is that no earlier item holds, own how far down the slots of this device are, of which
+    `first` is the first that was free before."""
     now = lists.join(held.select("node_id", "device_id", "turn", F.col("place").alias("by")), ["node_id", "device_id", "turn"], "left")
-    now = now.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("at", "node_id", "device_id", "disk", "by"))).alias("slots"))
+    now = now.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("at", "node_id", "device_id", "disk", "by", "turn"))).alias("slots"))
     left = F.filter("slots", lambda s: (s["disk"] >= F.col("size") * 2.5) & (s["by"].isNull() | (s["by"] >= F.col("place"))))
     rows = queue.join(now, "class").withColumn("left", left).withColumn("best", F.get("left", 0)).where("best is not null")
     here = lambda s: (s["node_id"] == F.col("best.node_id")) & (s["device_id"] == F.col("best.device_id"))
-    rows = rows.withColumn("own", F.transform(F.filter("slots", here), lambda s: s["at"])).withColumn("other", F.get(F.filter("left", lambda s: ~here(s)), 0)["at"])
-    return rows.select("best.node_id", "best.device_id", "item_id", "place", (F.col("best.by") == F.col("place")).alias("holds"), "other", "own")
+    rows = rows.withColumn("first", F.get(F.filter("slots", here), 0)["turn"]).withColumn("own", F.transform(F.filter("slots", here), lambda s: s["at"])).withColumn("other", F.get(F.filter("left", lambda s: ~here(s)), 0)["at"])
+    return rows.select("best.node_id", "best.device_id", "item_id", "place", (F.col("best.by") == F.col("place")).alias("holds"), "other", "own", "first")
 
 
 def _handed_out(asked: DataFrame) -> DataFrame:
@@ -61,14 +67,29 @@ def _handed_out(asked: DataFrame) -> DataFrame:
     # holders first, and as many others as there are slots; who isn't looked at asks again
     first = Window.partitionBy("node_id", "device_id").orderBy(F.desc_nulls_last("holds"), "place")
     some = asked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= 2 * F.size("own"))
-    each = some.groupBy("node_id", "device_id").agg(F.array_sort(F.collect_list(F.struct("place", "item_id", "other", "own"))).alias("who"))
+    each = some.groupBy("node_id", "device_id").agg(F.array_sort(F.collect_list(F.struct("place", "item_id", "other", "own"))).alias("who"), F.min("first").alias("first"))
     taken = F.expr(
         """aggregate(who, cast(array() as array<struct<place: {place}, item_id: {item}>>), (got, x) ->
         if(size(got) < size(x.own) and (x.other is null or get(x.own, size(got)) < x.other), concat(got, array(struct(x.place as place, x.item_id as item_id))), got))""".format(
             place=asked.schema["place"].dataType.simpleString(), item=asked.schema["item_id"].dataType.simpleString()
         )
     )
-    return each.select("node_id", "device_id", F.posexplode(taken).alias("turn", "one")).select("node_id", "device_id", "turn", "one.place", "one.item_id")
+    return each.select("node_id", "device_id", "first", F.posexplode(taken).alias("n", "one")).select("node_id", "device_id", (F.col("first") + F.col("n")).alias("turn"), "one.place", "one.item_id")
+
+
+def _settled(block: DataFrame, lists: DataFrame) -> tuple[DataFrame, int]:
+    """(node_id, device_id, turn, place, item_id): who holds which slot once nothing moves any more, and the rounds that
+    it took."""
+    none = lists.select("node_id", "device_id", "turn").where(F.lit(False))
+    held, state, rounds = written(none.join(block.select("place", "item_id"), F.lit(False), "left"), "held"), None, 0
+    while True:
+        rounds += 1
+        before, held = held, written(_handed_out(_asked(block, lists, held)), "held")
+        discard(before)
+        now = tuple(held.agg(F.count("*"), F.sum(F.xxhash64("node_id", "device_id", "turn", "item_id").cast("decimal(20,0)"))).first())
+        if now == state:
+            return held, rounds
+        state = now
 
 
 def dispatch(items: DataFrame, order: list[str], nodes: DataFrame, devices: DataFrame, slots: DataFrame) -> tuple[DataFrame, int]:
@@ -78,26 +99,25 @@ def dispatch(items: DataFrame, order: list[str], nodes: DataFrame, devices: Data
     two items may share; descending ones come negated. Items that fit nowhere, or for which no slot is left, have no row.
     """
     lists = written(slot_lists(items, nodes, devices, slots), "slot-lists")
-    room = lists.groupBy("class").agg(F.collect_list("disk").alias("disks"))
-    # what an item needs goes beside each disk: Spark may push a filter down that a lambda takes columns of both sides into
-    needs = F.array_repeat(F.col("size") * 2.5, F.size("disks"))
-    fits = F.size(F.filter(F.zip_with("disks", needs, lambda d, n: d >= n), lambda x: x))
-    queue = items.select("item_id", "size", F.xxhash64(*_ALIKE).alias("class"), F.struct(*order).alias("place")).join(room, "class").withColumn("fits", fits)
-    rank = F.row_number().over(Window.partitionBy("class", "fits").orderBy("place"))
-    queue = written(queue.where("fits > 0").withColumn("n", rank).where("n <= fits").select("item_id", "size", "class", "place"), "queue-front")
-
-    none = lists.select("node_id", "device_id", "turn").where(F.lit(False))
-    held = none.join(queue.select("place", "item_id"), F.lit(False), "left")
-    held, state, rounds = written(held, "held"), None, 0
+    queue = items.select("item_id", "size", F.xxhash64(*_ALIKE).alias("class"), F.struct(*order).alias("place"))
+    kind = "item_id {}, node_id string, device_id string, score int".format(items.schema["item_id"].dataType.simpleString())
+    parts, rounds, last = [items.sparkSession.createDataFrame([], kind)], 0, None
     while True:
-        rounds += 1
-        before, held = held, written(_handed_out(_asked(queue, lists, held)), "held")
-        discard(before)
-        now = tuple(held.agg(F.count("*"), F.sum(F.xxhash64("node_id", "device_id", "turn", "item_id").cast("decimal(20,0)"))).first())
-        if now == state:
-            break
-        state = now
-    scored = held.join(queue.select("item_id", "class"), "item_id").join(lists.select("class", "node_id", "device_id", "turn", "score"), ["class", "node_id", "device_id", "turn"])
-    placed = written(scored.select("item_id", "node_id", "device_id", "score"), "placed")
-    discard(held, queue, lists)
-    return placed, rounds
+        free = lists.select("node_id", "device_id", "turn").distinct().count()
+        most = lists.groupBy("class").agg(F.max("disk").alias("most"))
+        left = queue if last is None else queue.where(F.col("place") > last)
+        fits = left.join(most, "class").where(F.col("most") >= F.col("size") * 2.5).drop("most")
+        block = written(fits.orderBy("place").limit(BLOCK * free), "queue-block")
+        end = block.agg(F.count("*").alias("n"), F.max("place").alias("place")).first()
+        if end["n"]:
+            held, more = _settled(block, lists)
+            rounds += more
+            scored = held.join(block.select("item_id", "class"), "item_id").join(lists.select("class", "node_id", "device_id", "turn", "score"), ["class", "node_id", "device_id", "turn"])
+            parts.append(written(scored.select("item_id", "node_id", "device_id", "score"), "placed"))
+            before, lists = lists, written(lists.join(held.select("node_id", "device_id", "turn"), ["node_id", "device_id", "turn"], "left_anti"), "slot-lists")
+            discard(before, held)
+        discard(block)
+        if not end["n"] or end["n"] < BLOCK * free:
+            discard(lists)
+            return functools.reduce(DataFrame.unionByName, parts), rounds
+        last = F.struct(*[F.lit(end["place"][c]).cast(queue.schema["place"].dataType[c].dataType).alias(c) for c in order])

@@ -56,6 +56,14 @@ def test_dispatch(spark, seed, n_items, n_nodes):
     assert {tuple(r) for r in found.collect()} == one_by_one(*given) and rounds <= 25
 
 
+def test_many_blocks(spark, monkeypatch):
+    """Blocks of one item a free slot, and slots of one device that are taken in several of them."""
+    monkeypatch.setattr(dispatch, "BLOCK", 1)
+    for seed in (6, 7):
+        given = tables(spark, seed, 250, 6)
+        assert {tuple(r) for r in dispatch.dispatch(given[0], ["turn"], *given[1:])[0].collect()} == one_by_one(*given)
+
+
 def test_nothing_to_place(spark):
     items, nodes, devices, slots = tables(spark, 4, 5, 3)
     assert dispatch.dispatch(items.where(F.lit(False)), ["turn"], nodes, devices, slots)[0].count() == 0
