@@ -133,3 +133,13 @@ def test_staged_lists(spark):
     files = spark.createDataFrame([a[:2] for a in asked] * 2, "file_path string, at timestamp_ntz")
     got = external.language_at(files, lists).collect()
     assert sorted(((r["file_path"], r["at"], r["language"]) for r in got), key=str) == sorted(asked, key=str)
+
+
+def test_whole_status_changes(spark):
+    """Every finished file is reopened, and every listed path counts, whatever else the list says of it."""
+    from framelake.queries import QUERIES, view
+
+    d = "/root/testdata/sf0.001"
+    files = view(spark, d, "media_files").select("id", "file_path", "status").collect()
+    got = dict(map(tuple, QUERIES["reopen_no_savings"](spark, d).collect()))
+    assert got == {r["id"]: "Unseen" if r["status"] == "Completed" else r["status"] for r in files}
