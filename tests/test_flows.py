@@ -143,3 +143,6 @@ def test_whole_status_changes(spark):
     files = view(spark, d, "media_files").select("id", "file_path", "status").collect()
     got = dict(map(tuple, QUERIES["reopen_no_savings"](spark, d).collect()))
     assert got == {r["id"]: "Unseen" if r["status"] == "Completed" else r["status"] for r in files}
+    listed = {r["path"] for r in view(spark, d, "scan").where("size % 2 = 0").collect()}
+    got = dict(map(tuple, QUERIES["batch_status"](spark, d).collect()))
+    assert got == {r["id"]: "Queued" if r["file_path"] in listed else r["status"] for r in files}
