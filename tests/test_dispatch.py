@@ -74,3 +74,16 @@ def test_dispatchable(spark):
     nodes = tables(spark, 5, 1, 20)[1].withColumn("cooling", F.col("node_id") == "n1").withColumn("in_schedule", F.when(F.col("node_id") == "n2", False))
     names = {r["node_id"] for r in dispatch.dispatchable(nodes).collect()}
     assert names == {r["node_id"] for r in nodes.collect() if r["role"] == "worker" and r["status"] in ("Online", "Busy") and not r["is_paused"] and r["node_id"] not in ("n1", "n2")}
+
+
+def test_all_scores(spark, monkeypatch):
+    """Scores by class are those of each item by itself, in as many tasks as the pairs ask for."""
+    monkeypatch.setattr(placement, "PAIRS", 100)
+    items, *cluster = tables(spark, 5, 90, 7)
+    items = items.drop("turn").unionByName(spark.createDataFrame([(900, None, True, None, None, None), (901, 5, None, "HEVC", "NVIDIA", " ")], items.drop("turn").schema)).coalesce(1)
+    cluster[1] = cluster[1].unionByName(cluster[1].limit(1))  # a device that is listed twice
+    plain = sorted(tuple(r[c] for c in ("item_id", "node_id", "device_id", "score")) for r in placement.video_scores(items, *cluster).collect())
+    got = placement.all_scores(items, *cluster)
+    assert sorted(map(tuple, got.collect())) == plain and got.rdd.getNumPartitions() > 8
+    monkeypatch.setattr(placement, "FEW_CLASSES", 3)
+    assert sorted(map(tuple, placement.all_scores(items, *cluster).collect())) == plain
