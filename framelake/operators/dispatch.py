@@ -10,13 +10,18 @@ is just one result.
 Later items take nothing from earlier ones, so the queue is gone through in blocks of a few items for each free slot, in
 order; between blocks the slots that are taken and the items that fit on no free one are left out, so the first item of
 each block gets a slot. What a round looks at depends on the cluster, not on the queue. Items that are alike but for
-their size are a class, with one list of slots.
+their size are a class, with one list of slots. A block's items lie beside the list of their class once for all rounds; a
+round brings who holds which slot to them, two numbers a slot. What an earlier item of a class asks for, a later one of
+the class doesn't ask for in that round, so a class needn't lose its slots one by one. The earliest item asks for the same
+slot in all rounds, and once the first few do, so does the next one: it ends, with the same result.
 """
 
 from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +30,9 @@ from framelake.session import discard, written
 
 #: Items of a block for each free slot.
 BLOCK = 2
+#: Slots that are looked at together.
+_WINDOW = 512
+_FREE = np.iinfo(np.int64).max
 _ALIKE = ["is_4k", "codec", "hardware", "encoder"]
 
 
@@ -49,46 +57,92 @@ def slot_lists(items: DataFrame, nodes: DataFrame, devices: DataFrame, slots: Da
     return each.select(F.col("item_id").alias("class"), F.row_number().over(order).alias("at"), "node_id", "device_id", "turn", "disk", "score")
 
 
-def _asked(queue: DataFrame, lists: DataFrame, held: DataFrame) -> DataFrame:
-    """(node_id, device_id, item_id, place, holds, other, own, first): what each item asks for. other is how far down its
-    list the best slot elsewhere is that no earlier item holds, own how far down the slots of this device are, of which
-    `first` is the first that was free before."""
-    now = lists.join(held.select("node_id", "device_id", "turn", F.col("place").alias("by")), ["node_id", "device_id", "turn"], "left")
-    now = now.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("at", "node_id", "device_id", "disk", "by", "turn"))).alias("slots"))
-    left = F.filter("slots", lambda s: (s["disk"] >= F.col("size") * 2.5) & (s["by"].isNull() | (s["by"] >= F.col("place"))))
-    rows = queue.join(now, "class").withColumn("left", left).withColumn("best", F.get("left", 0)).where("best is not null")
-    here = lambda s: (s["node_id"] == F.col("best.node_id")) & (s["device_id"] == F.col("best.device_id"))
-    rows = rows.withColumn("first", F.get(F.filter("slots", here), 0)["turn"]).withColumn("own", F.transform(F.filter("slots", here), lambda s: s["at"])).withColumn("other", F.get(F.filter("left", lambda s: ~here(s)), 0)["at"])
-    return rows.select("best.node_id", "best.device_id", "item_id", "place", (F.col("best.by") == F.col("place")).alias("holds"), "other", "own", "first")
+def _asks(device, room, by, needs, place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the items of a class in order: where in their list the best slot is that no earlier item holds or asks for, and
+    the best one of another device, -1 where there is none; and whether the item holds the first. Changes `by`."""
+    best, other, holds = np.full(len(place), -1), np.full(len(place), -1), np.zeros(len(place), dtype=bool)
+    for k in range(len(place)):
+        if k % 64 == 0:
+            left = np.flatnonzero(by >= place[k])  # what an earlier item has is gone for all later ones
+        for lo in range(0, len(left), _WINDOW):
+            some = left[lo : lo + _WINDOW]
+            some = some[(room[some] >= needs[k]) & (by[some] >= place[k])]
+            if len(some) and best[k] < 0:
+                best[k] = some[0]
+            if best[k] >= 0:
+                some = some[device[some] != device[best[k]]]
+                if len(some):
+                    other[k] = some[0]
+                    break
+        if best[k] >= 0:
+            holds[k] = by[best[k]] == place[k]
+            by[best[k]] = place[k]
+    return best, other, holds
+
+
+def _asked(rows: DataFrame, details: DataFrame, held: DataFrame) -> DataFrame:
+    """(node_id, device_id, place, holds, other, own, first): what each item asks for. other is how far down its list the
+    best slot elsewhere is that no earlier item has, own how far down the slots of this device are, of which `first`
+    is the first that was free before."""
+    names = ["class", "place", "at", "holds", "other"]
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                place, size, at, slot, device, disk, taken, holder = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("place", "size", "at", "slot", "device", "disk", "taken", "holder"))
+                by = np.full(len(slot), _FREE)
+                if len(taken):
+                    order = np.argsort(taken)
+                    where = np.minimum(np.searchsorted(taken, slot, sorter=order), len(taken) - 1)
+                    same = taken[order][where] == slot
+                    by[same] = holder[order][where][same]
+                best, other, holds = _asks(device, disk.astype(float), by, size * 2.5, place)
+                some = best >= 0
+                best, other, holds, place = best[some], other[some], holds[some], place[some]
+                further = pa.array(at[other].astype(np.int32), pa.int32(), mask=other < 0)
+                columns = [pa.array(np.full(len(place), b.column("class")[i].as_py()), pa.int64()), pa.array(place, pa.int64()), pa.array(at[best].astype(np.int32)), pa.array(holds), further]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    now = held.agg(F.collect_list(F.struct(F.xxhash64("node_id", "device_id", "turn").alias("slot"), "place")).alias("h")).select(F.col("h.slot").alias("taken"), F.col("h.place").alias("holder"))
+    asked = rows.crossJoin(F.broadcast(now)).mapInArrow(run, "class bigint, place bigint, at int, holds boolean, other int")
+    return asked.join(details, ["class", "at"]).select("node_id", "device_id", "place", "holds", "other", "own", "first")
 
 
 def _handed_out(asked: DataFrame) -> DataFrame:
-    """(node_id, device_id, turn, place, item_id): the slots of each device after a round."""
+    """(node_id, device_id, turn, place): the slots of each device after a round."""
     # holders first, and as many others as there are slots; who isn't looked at asks again
     first = Window.partitionBy("node_id", "device_id").orderBy(F.desc_nulls_last("holds"), "place")
     some = asked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= 2 * F.size("own"))
-    each = some.groupBy("node_id", "device_id").agg(F.array_sort(F.collect_list(F.struct("place", "item_id", "other", "own"))).alias("who"), F.min("first").alias("first"))
+    each = some.groupBy("node_id", "device_id").agg(F.array_sort(F.collect_list(F.struct("place", "other", "own"))).alias("who"), F.min("first").alias("first"))
     taken = F.expr(
-        """aggregate(who, cast(array() as array<struct<place: {place}, item_id: {item}>>), (got, x) ->
-        if(size(got) < size(x.own) and (x.other is null or get(x.own, size(got)) < x.other), concat(got, array(struct(x.place as place, x.item_id as item_id))), got))""".format(
-            place=asked.schema["place"].dataType.simpleString(), item=asked.schema["item_id"].dataType.simpleString()
-        )
+        """aggregate(who, cast(array() as array<bigint>), (got, x) ->
+        if(size(got) < size(x.own) and (x.other is null or get(x.own, size(got)) < x.other), concat(got, array(x.place)), got))"""
     )
-    return each.select("node_id", "device_id", "first", F.posexplode(taken).alias("n", "one")).select("node_id", "device_id", (F.col("first") + F.col("n")).alias("turn"), "one.place", "one.item_id")
+    return each.select("node_id", "device_id", "first", F.posexplode(taken).alias("n", "place")).select("node_id", "device_id", (F.col("first") + F.col("n")).alias("turn"), "place")
 
 
 def _settled(block: DataFrame, lists: DataFrame) -> tuple[DataFrame, int]:
-    """(node_id, device_id, turn, place, item_id): who holds which slot once nothing moves any more, and the rounds that
-    it took."""
+    """(node_id, device_id, turn, item_id): who holds which slot once nothing moves any more, and the rounds that it
+    took."""
+    # a block is no larger than the cluster, so one task may number it
+    ranked = written(block.select("item_id", "size", "class", F.row_number().over(Window.orderBy("place")).cast("long").alias("place")), "ranked")
+    some = ranked.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("place", "size"))).alias("i")).select("class", F.col("i.place").alias("place"), F.col("i.size").alias("size"))
+    facts = F.struct("at", F.xxhash64("node_id", "device_id", "turn").alias("slot"), F.xxhash64("node_id", "device_id").alias("device"), "disk")
+    each = lists.groupBy("class").agg(F.array_sort(F.collect_list(facts)).alias("s")).select("class", *[F.col(f"s.{c}").alias(c) for c in ("at", "slot", "device", "disk")])
+    rows = written(some.join(each, "class").repartition(32), "lists-of-items")
+    own = lists.groupBy("class", "node_id", "device_id").agg(F.array_sort(F.collect_list("at")).alias("own"), F.min("turn").alias("first"))
+    details = written(lists.select("class", "at", "node_id", "device_id").join(own, ["class", "node_id", "device_id"]), "slot-details")
     none = lists.select("node_id", "device_id", "turn").where(F.lit(False))
-    held, state, rounds = written(none.join(block.select("place", "item_id"), F.lit(False), "left"), "held"), None, 0
+    held, state, rounds = written(none.join(ranked.select("place"), F.lit(False), "left"), "held"), None, 0
     while True:
         rounds += 1
-        before, held = held, written(_handed_out(_asked(block, lists, held)), "held")
+        before, held = held, written(_handed_out(_asked(rows, details, held)), "held")
         discard(before)
-        now = tuple(held.agg(F.count("*"), F.sum(F.xxhash64("node_id", "device_id", "turn", "item_id").cast("decimal(20,0)"))).first())
+        now = tuple(held.agg(F.count("*"), F.sum(F.xxhash64("node_id", "device_id", "turn", "place").cast("decimal(20,0)"))).first())
         if now == state:
-            return held, rounds
+            found = written(held.join(ranked.select("place", "item_id"), "place").drop("place"), "held")
+            discard(held, ranked, rows, details)
+            return found, rounds
         state = now
 
 

@@ -64,6 +64,14 @@ def test_many_blocks(spark, monkeypatch):
         assert {tuple(r) for r in dispatch.dispatch(given[0], ["turn"], *given[1:])[0].collect()} == one_by_one(*given)
 
 
+def test_few_rounds(spark):
+    """Items of one class that all like the same slots best get theirs together."""
+    items, nodes, devices, slots = tables(spark, 8, 120, 40)
+    items = items.withColumns({"size": F.lit(10).cast("long"), "is_4k": F.lit(False), "codec": F.lit("h265"), "hardware": F.lit("auto"), "encoder": F.lit("")})
+    found, rounds = dispatch.dispatch(items, ["turn"], nodes, devices, slots)
+    assert {tuple(r) for r in found.collect()} == one_by_one(items, nodes, devices, slots) and rounds <= 4
+
+
 def test_nothing_to_place(spark):
     items, nodes, devices, slots = tables(spark, 4, 5, 3)
     assert dispatch.dispatch(items.where(F.lit(False)), ["turn"], nodes, devices, slots)[0].count() == 0
