@@ -31,13 +31,16 @@ def _log(spark, d) -> DataFrame:
 FROM log l WHERE NOT completed AND NOT EXISTS (SELECT 1 FROM log c WHERE c.completed AND c.work_item_id = l.work_item_id AND c.transition_id = l.transition_id)""",
 )
 def _transitions(spark, d):
-    """The log as a feed of files in order of time, followed in batches and stopped once in between."""
+    """The log as a feed, the earlier half of its time first: followed, stopped in between, and followed on. Files come
+    in the order of their writing, so the later half is written after the stream has seen the earlier one."""
     ship(spark)
     folder = f"{shared_folder(spark)}/transitions-{uuid.uuid4().hex}"
-    _log(spark, d).repartitionByRange(8, "at").write.parquet(f"{folder}/log")
-    log = spark.readStream.schema(T.LOG).option("maxFilesPerTrigger", 4).parquet(f"{folder}/log")
-    T.follow(log, folder, batches=1)
-    T.follow(log, folder)
+    rows = _log(spark, d)
+    half = rows.agg(F.timestamp_micros(F.expr("(unix_micros(min(at)) + unix_micros(max(at))) div 2")).alias("half"))
+    late = F.coalesce(F.col("at") > F.col("half"), F.lit(False))
+    for part, batches in ((~late, 1), (late, None)):
+        rows.crossJoin(F.broadcast(half)).where(part).drop("half").write.mode("append").parquet(f"{folder}/log")  # one row
+        T.follow(spark.readStream.schema(T.LOG).parquet(f"{folder}/log"), folder, batches=batches)
     return T.open_transitions(spark, folder).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 

@@ -2,8 +2,8 @@
 
 A transition is begun before a change and completed after it; one that stays open was interrupted. The log is a feed of
 entries (work_item_id, transition_id, phase, completed, at): one when it begins, one with `completed` when it is done.
-For each work item the stream's state holds its open transitions, and a timer of each; an entry that completes one which
-hasn't begun yet is kept until it does, so entries may come in any order. What changes goes to a folder for each batch,
+The stream's state holds the open transitions of some work items at each key, and a timer for the one that is due first;
+an entry that completes one which hasn't begun yet is kept until it does, so entries may come in any order. What changes goes to a folder for each batch,
 written again if the batch is, so what a stream that was stopped or killed leaves behind is what it would have been.
 
 State is spread over the work items and lies with the stream's checkpoint in the shared folder. An open transition ends
@@ -12,13 +12,12 @@ with its completion; a completion without a beginning is forgotten once its time
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framelake.streaming.feeds import append_to, push
 
@@ -30,62 +29,58 @@ LOG = "work_item_id long, transition_id long, phase string, completed boolean, a
 CHANGE = "work_item_id long, transition_id long, phase string, state string, at timestamp"
 
 
-_change = Row("work_item_id", "transition_id", "phase", "state", "at")
-
-
-class Transitions(StatefulProcessor):
-    """Open transitions of one work item."""
-
-    def __init__(self, hours: int = HOURS):
-        self.limit = int(hours * 3_600_000)
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        key = StructType([StructField("transition_id", LongType())])
-        self.open = handle.getMapState("open", key, StructType([StructField("phase", StringType()), StructField("at", TimestampType())]))
-        self.early = handle.getMapState("early", key, StructType([StructField("at", TimestampType())]))
-        # transitions by the time at which they are overdue
-        self.due = handle.getMapState("due", StructType([StructField("ms", LongType()), StructField("transition_id", LongType())]), StructType([StructField("n", LongType())]))
-
-    def _wait(self, at: datetime.datetime, number: int) -> None:
-        ms = int(at.timestamp() * 1000) + self.limit
-        self.due.updateValue((ms, number), (1,))
-        self.handle.registerTimer(ms)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        (item,) = key
-        for r in sorted(rows, key=lambda r: (r.at, r.completed, r.transition_id)):
-            number = (r.transition_id,)
-            if r.completed:
-                if self.open.containsKey(number):
-                    phase, _ = self.open.getValue(number)
-                    self.open.removeKey(number)
-                    yield _change(item, r.transition_id, phase, "completed", r.at)
-                else:
-                    self.early.updateValue(number, (r.at,))
-                    self._wait(r.at, r.transition_id)
-            elif self.early.containsKey(number):
-                (done,) = self.early.getValue(number)
-                self.early.removeKey(number)
-                yield _change(item, r.transition_id, r.phase, "completed", done)
-            elif not self.open.containsKey(number):
-                self.open.updateValue(number, (r.phase, r.at))
-                self._wait(r.at, r.transition_id)
-                yield _change(item, r.transition_id, r.phase, "begun", r.at)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        (item,) = key
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        for ms, number in [k for k in self.due.keys() if k[0] <= now]:
-            self.due.removeKey((ms, number))
-            if self.early.containsKey((number,)):
-                self.early.removeKey((number,))
-            elif self.open.containsKey((number,)):
-                phase, at = self.open.getValue((number,))
-                yield _change(item, number, phase, "overdue", at)
-
-    def close(self) -> None:
-        pass
+#: Work items are dealt to so many keys of the state by a hash: calling a function costs far more than a row does.
+KEYS = 512
+#: What waits at a key, transition by transition: since when, and whether it is begun, overdue, or early (a completion
+#: without its beginning).
+STATE = "item array<bigint>, number array<bigint>, phase array<string>, since array<bigint>, kind array<string>"
+
+
+def _transitions(hours: int):
+    """The function of one key: its state comes and goes whole with the rows of a batch, so a row costs no call of the
+    state store. Times are microseconds; the key's timer is that of the transition that is due first."""
+    limit = int(hours * 3_600_000)
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting = {(item, n): (phase, since, kind) for item, n, phase, since, kind in zip(*state.get, strict=True)} if state.exists else {}
+        found: list[tuple] = []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames)).sort_values(["micros", "completed", "transition_id"])
+            for item, n, phase, completed, at in zip(*(rows[c].tolist() for c in ("work_item_id", "transition_id", "phase", "completed", "micros")), strict=True):
+                number = (item, n)
+                old = waiting.get(number)
+                if completed:
+                    if old and old[2] != "early":
+                        del waiting[number]
+                        found.append((item, n, old[0], "completed", at))
+                    else:
+                        waiting[number] = (None, at, "early")
+                elif old and old[2] == "early":
+                    del waiting[number]
+                    found.append((item, n, phase, "completed", old[1]))
+                elif not old:
+                    waiting[number] = (phase, at, "begun")
+                    found.append((item, n, phase, "begun", at))
+        now, due = state.getCurrentWatermarkMs(), None
+        for number, (phase, since, kind) in [x for x in waiting.items() if x[1][2] != "overdue"]:
+            ms = since // 1000 + limit
+            if ms > now:
+                due = ms if due is None else min(due, ms)
+            elif kind == "early":
+                del waiting[number]
+            else:
+                waiting[number] = (phase, since, "overdue")
+                found.append((*number, phase, "overdue", since))
+        if waiting:
+            state.update(tuple(map(list, zip(*((*k, *v) for k, v in waiting.items()), strict=True))))
+            if due is not None:
+                state.setTimeoutTimestamp(due - 1)  # it runs out once the watermark is past it, so at `due`
+        elif state.exists:
+            state.remove()
+        if found:
+            yield pd.DataFrame(found, columns=["work_item_id", "transition_id", "phase", "state", "micros"])
+
+    return run
 
 
 def entries(transitions: DataFrame, at: Column, completed: bool) -> DataFrame:
@@ -108,11 +103,13 @@ def changes(log: DataFrame, hours: int = HOURS, late: str = "1 hour") -> DataFra
     and so are rows that come more than `late` behind the newest one before their batch."""
     rows = log.where("work_item_id is not null and transition_id is not null and at is not null")
     rows = rows.select(F.col("work_item_id").cast("long").alias("work_item_id"), F.col("transition_id").cast("long").alias("transition_id"), "phase", F.coalesce("completed", F.lit(False)).alias("completed"), F.col("at").cast("timestamp").alias("at"))
-    return rows.withWatermark("at", late).groupBy("work_item_id").transformWithState(Transitions(hours), CHANGE, "Update", "EventTime")
+    rows = rows.withColumns({"micros": F.unix_micros("at"), "key": F.pmod(F.xxhash64("work_item_id"), F.lit(KEYS))}).withWatermark("at", late)
+    found = rows.groupBy("key").applyInPandasWithState(_transitions(hours), CHANGE.replace("at timestamp", "micros long"), STATE, "Update", GroupStateTimeout.EventTimeTimeout)
+    return found.select("work_item_id", "transition_id", "phase", "state", F.timestamp_micros("micros").alias("at"))
 
 
 def prepare(spark: SparkSession) -> None:
-    """State with timers and maps lies in RocksDB."""
+    """State with timers lies in RocksDB."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 

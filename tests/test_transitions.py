@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 
 from framelake.session import ship
@@ -47,3 +48,34 @@ def test_follow(spark, tmp_path, stops):
 
 def test_nothing(spark):
     assert transitions.open_in(spark.createDataFrame([], transitions.LOG)).count() == 0
+
+
+class Counted:
+    """A key's state that counts how often it is read and written."""
+
+    exists, hasTimedOut, calls, value, due = False, False, 0, None, None
+
+    @property
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.exists, self.value = self.calls + 1, True, value
+
+    def setTimeoutTimestamp(self, ms):
+        self.calls, self.due = self.calls + 1, ms
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def test_state_is_asked_once_a_batch():
+    """Thousands of entries of several items: the state store is called twice for each batch, not for each entry."""
+    state, run = Counted(), transitions._transitions(24)
+    for batch in range(2):
+        rows = [(item, n, "a", False, batch * 10**6 + n) for item in range(3) for n in range(batch * 1000, batch * 1000 + 1000)]
+        rows += [(item, n, "a", True, 5 * 10**6) for item, n, *_ in rows if n % 2 and item]
+        frame = pd.DataFrame(rows, columns=["work_item_id", "transition_id", "phase", "completed", "micros"])
+        assert sum(len(x) for x in run((7,), iter([frame]), state)) == len(rows)
+    assert state.calls == 5 and len(state.value[0]) == 4000 and state.due == 24 * 3_600_000 - 1
