@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.session import discard, names, written
+from framelake.session import matching
 
 #: Order of rows that tie: unique in the ledger, so that limits are deterministic.
 TIE = ("job_key", "line_no", "part_key", "node_key", "original_size_bytes", "completed_at")
@@ -46,29 +46,23 @@ def add_by_period(rows: DataFrame, folder: str, unit: str = "day") -> int:
     """Adds finished jobs to the ledger in a folder, which is laid out by UTC day, or by month where jobs are few, and
     returns how many of these that wrote.
 
-    Late jobs go to their own day; jobs that are there already, by TIE, are replaced, so adding the same ones again
-    changes nothing. Days without new jobs aren't touched."""
+    Late jobs go to their own day, as a batch beside those that are there; of jobs that are there already, by TIE,
+    `by_period` reads those of the newest batch, so adding the same ones again changes nothing. Jobs are written once,
+    and days without new jobs aren't touched."""
     spark = rows.sparkSession
     day = F.to_date("completed_at")
-    new = written(rows.withColumn(unit, F.trunc(day, "month") if unit == "month" else day), "new-jobs")
-    days = [r[unit] for r in new.select(unit).distinct().collect()]  # a row for each day of this batch
-    if not days:
-        return 0
-    both = new
-    if names(spark, folder):
-        # the days of the batch come to the plan as rows: a join prunes what is read as a filter does
-        touched = F.broadcast(spark.createDataFrame([(d,) for d in days], f"{unit} date"))
-        old = spark.read.schema(new.schema).parquet(folder).join(touched, unit, "left_semi")
-        both = new.unionByName(old.join(new.select(*TIE), list(TIE), "left_anti"))
-    both = written(both.select(*new.columns), "days")
-    both.repartition(unit).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(unit).parquet(folder)
-    discard(new, both)
-    return len(days)
+    number = 1 + max((int(n.removeprefix("batch=")) for n in matching(spark, f"{folder}/{unit}=*/batch=*")), default=-1)
+    new = rows.withColumns({unit: F.trunc(day, "month") if unit == "month" else day, "batch": F.lit(number)})
+    new.repartition(unit).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(unit, "batch").parquet(folder)
+    return len(matching(spark, f"{folder}/{unit}=*/batch={number}"))
 
 
 def by_period(spark: SparkSession, folder: str) -> DataFrame:
-    """The ledger in a folder, with the column day or month that it is laid out by."""
-    return spark.read.parquet(folder)
+    """The ledger in a folder, with the column day or month that it is laid out by. Batches of a day are told apart by
+    the jobs' keys, so a filter on the day or the time is one on what is read."""
+    rows = spark.read.parquet(folder)
+    key = Window.partitionBy(*[u for u in UNITS if u in rows.columns], *TIE)
+    return rows.withColumn("newest", F.max("batch").over(key)).where("batch = newest").drop("batch", "newest")
 
 
 def job_row(jobs: DataFrame, kilo: int = 1000, always_keep: bool = False) -> DataFrame:

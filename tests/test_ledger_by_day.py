@@ -32,3 +32,15 @@ def test_by_month(spark, tmp_path):
     d = str(tmp_path / "ledger")
     assert ledger.add_by_period(jobs(spark, range(5), 1).unionByName(jobs(spark, range(5, 8), 30)), d, "month") == 1
     assert {r["job_key"] for r in ledger.trailing(ledger.by_period(spark, d), 3, "2024-01-31 10:00:00").collect()} == {5, 6, 7}
+
+
+def test_jobs_are_written_once(spark, tmp_path):
+    """A later batch adds its own rows to a day; those that are there are neither read nor written again."""
+    d = tmp_path / "ledger"
+    ledger.add_by_period(jobs(spark, range(50), 1), str(d))
+    before = {p: p.stat().st_mtime_ns for p in d.rglob("*.parquet")}
+    assert ledger.add_by_period(jobs(spark, [3, 60], 1, saved=9), str(d)) == 1
+    assert before == {p: p.stat().st_mtime_ns for p in before if p.exists()}
+    assert sum(spark.read.parquet(str(p)).count() for p in d.rglob("*.parquet")) == 52
+    rows = sorted((r["job_key"], r["bytes_saved"]) for r in ledger.by_period(spark, str(d)).collect())
+    assert rows == [*((k, 9 if k == 3 else 1) for k in range(50)), (60, 9)]
