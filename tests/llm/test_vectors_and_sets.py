@@ -181,6 +181,20 @@ def test_hot_lists_are_dealt_out(spark, make_docs, monkeypatch):
     assert got == {i: 0 if i < 40 else i for i in range(45)}
 
 
+def test_copies_that_do_not_link_are_not_compared(spark, make_docs, monkeypatch):
+    """Copies of a text that differ by more than links allow, all in the same lists: no pair of them is made."""
+    base = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(base[:-150] + [f"own{k}x{i}" for i in range(150)]) for k in range(20)]
+    texts += [" ".join(base[:-40] + [f"near{k}x{i}" for i in range(40)]) for k in range(3)]
+    made, whole = [], jaccard._open_pairs
+    monkeypatch.setattr(jaccard, "_open_pairs", lambda *a: made.append(whole(*a).cache()) or made[0])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_sets(make_docs(texts)).collect()}
+    sets = [word_set(t) for t in texts]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if linked(sets[i], sets[j])]
+    assert [got[i] for i in range(len(texts))] == union_find(len(texts), links)
+    assert got[20] == got[21] == got[22] == 20 and made[0].count() <= 3
+
+
 def winnow_plain(text, hashed, k=8, w=8):
     """Chosen (hash, position) by the definition."""
     grams = [text[i : i + k] for i in range(len(text) - k + 1)] or ([text] if text else [])
