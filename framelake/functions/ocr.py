@@ -26,12 +26,30 @@ RAREST = 100_000
 MOST_VARIANTS = 256
 
 _WORD = r"([\p{L}\p{Nd}']+)"
+_BLANK = r"\t\n\f\r "
+#: Letters whose capital is one letter only by itself: where it isn't, others would be written for it (SS for the sharp s).
+_CAPITALS = {"\u00df": "\u1e9e"} | {c: c.title() for c in map(chr, range(0x1F80, 0x2000)) if len(c.upper()) > 1 and len(c.title()) == 1}
+
+
+def _lower(text: Column) -> Column:
+    """Small letters, one for each letter and whatever stands beside it."""
+    return F.lower(F.translate(text, "\u0130\u03a3", "i\u03c3"))
+
+
+def _upper(word: Column) -> Column:
+    """Capitals, one for each letter."""
+
+    def one(c):
+        c = F.translate(c, "".join(_CAPITALS), "".join(_CAPITALS.values()))
+        return F.when(F.char_length(F.upper(c)) == 1, F.upper(c)).otherwise(c)
+
+    return F.array_join(F.transform(F.split(word, ""), one), "")
 
 
 def substituted(text: Column) -> Column:
     """Bars and brackets that stand alone between blanks, dashes and marks for a capital I, and equals signs that open
     a line for a dash."""
-    out = F.regexp_replace(text, r"(?<=^|\s|-)[|\[\]](?=$|\s|[,.?!'])", "I")
+    out = F.regexp_replace(text, rf"(?<=^|[{_BLANK}]|-)[|\[\]](?=\z|[{_BLANK}]|[,.?!'])", "I")
     return F.regexp_replace(out, r"(?<=^|\n|\r)=", "-")
 
 
@@ -47,7 +65,7 @@ def _between(text: Column) -> Column:
 def word_ranks(lines: DataFrame, column: str, least: int = 1) -> DataFrame:
     """(word, rank) of the words without digits that the lines hold `least` times or more, in small letters: how many
     words are more frequent. Ranks come from how often each frequency occurs, so no task sorts all words."""
-    counts = lines.select(F.explode(_words(F.lower(column))).alias("word")).where(~F.col("word").rlike(r"\p{Nd}")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    counts = lines.select(F.explode(_words(_lower(F.col(column)))).alias("word")).where(~F.col("word").rlike(r"\p{Nd}")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     often = counts.groupBy("n").agg(F.count("*").alias("words"))  # a row for each frequency that occurs: few
     above = F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
     return counts.join(often.select("n", F.coalesce(above, F.lit(0)).cast("int").alias("rank")), "n").select("word", "rank")
@@ -57,7 +75,7 @@ def word_pairs(lines: DataFrame, column: str, least: int = 2) -> DataFrame:
     """(a, b): words that follow each other in the lines `least` times or more, in small letters."""
     w = F.col("w")
     pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, i: F.struct(a.alias("a"), F.get(w, i + 1).alias("b")))
-    return lines.select(_words(F.lower(column)).alias("w")).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b")
+    return lines.select(_words(_lower(F.col(column))).alias("w")).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b")
 
 
 def _deletions(words: DataFrame, word: str) -> DataFrame:
@@ -142,14 +160,14 @@ def _looked_at(text: Column) -> Column:
         return F.filter(rows, lambda r: (F.char_length(r["shown"]) >= 3) & (r["opens"] | ~r["shown"].rlike(r"^\p{Lu}")) & ~r["shown"].rlike(r"^\p{Lu}+$"))
 
     # each of these once a line, as all words look at them
-    parts = F.array(F.struct(_words(text).alias("w"), F.transform(_words(text), lambda w: F.lower(w)).alias("low"), _between(text).alias("b")))
+    parts = F.array(F.struct(_words(text).alias("w"), F.transform(_words(text), _lower).alias("low"), _between(text).alias("b")))
     return F.element_at(F.transform(parts, lambda x: one(x["w"], x["low"], x["b"])), 1)
 
 
 def _cased(word: Column, shown: Column) -> Column:
     """`word` in the case of what was shown."""
-    first = F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.char_length(word)))
-    return F.when(shown.rlike(r"^\p{Lu}+$"), F.upper(word)).when(shown.rlike(r"^\p{Lu}"), first).otherwise(word)
+    first = F.concat(_upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.char_length(word)))
+    return F.when(shown.rlike(r"^\p{Lu}+$"), _upper(word)).when(shown.rlike(r"^\p{Lu}"), first).otherwise(word)
 
 
 def corrected(lines: DataFrame, column: str, ranks: DataFrame, pairs: DataFrame) -> DataFrame:

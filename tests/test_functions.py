@@ -313,6 +313,24 @@ def test_ocr(spark):
     assert [tuple(r) for r in ocr.word_pairs(spark.createDataFrame([("x y x y",), ("y",), (None,)], "t string"), "t").collect()] == [("x", "y")]
 
 
+def test_ocr_correct_of_letters_that_case_changes_by_more_than_one(spark, tmp_path):
+    import duckdb
+
+    from framelake.queries import ORACLES, QUERIES
+
+    texts = ["\u00dfaba zoro luma"] * 5 + ["E\u00dfaba zoro luma. A\u00dfba zoro"]
+    texts += ["\u0130zmir \u039b\u039f\u0393\u039f\u03a3 \u03bb\u03bf\u03b3\u03bf\u03c2 \u0130zmir izmr", "a \x0b| b", "| |\u2028", "say |\x85", "| | |\n"]
+    rows = [(i, t, "user", s) for i, s in enumerate(texts) for t in (0, 1)] + [(None, 0, "user", "zoroa luma"), (99, None, "user", "zorob luma"), (98, 0, "user", "zoroc luma")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("ocr_correct", "ocr_substitutions"):
+        got = QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(ORACLES[name]).fetchall()))
+    made = {(r[0], r[1]): r[2] for r in QUERIES["ocr_correct"](spark, str(tmp_path)).collect()}
+    assert made[(5, 0)].startswith("\u1e9eaba zoro luma.") and made[(98, 0)] == "zoro luma" and made[(None, 0)] == "zoroa luma"
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     for n in ("a/x.mkv", "a/b/y.FLAC", "a/z.txt", "a/x [encoded].mkv"):
