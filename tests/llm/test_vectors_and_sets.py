@@ -195,6 +195,23 @@ def test_copies_that_do_not_link_are_not_compared(spark, make_docs, monkeypatch)
     assert got[20] == got[21] == got[22] == 20 and made[0].count() <= 3
 
 
+def test_near_copies_meet_before_all_pairs_are_made(spark, make_docs, monkeypatch):
+    """One group in which most documents link only with some that stand far from them: it is one component before pairs
+    of all its documents are looked at."""
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(180):  # the first 60 link with all, the others not with each other
+        at = 3 + 37 * k % 143
+        texts.append(" ".join(base[:at] + [f"own{k}"] + ([f"more{k}"] if k >= 60 else []) + base[at + (2 if k >= 60 else 1) :]))
+    made, whole = [], jaccard._open_pairs
+    monkeypatch.setattr(jaccard, "_open_pairs", lambda *a: made.append(whole(*a).cache()) or made[0])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_sets(make_docs(texts)).collect()}
+    sets = [word_set(t) for t in texts]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if linked(sets[i], sets[j])]
+    assert [got[i] for i in range(len(texts))] == union_find(len(texts), links)
+    assert made[0].count() <= 180
+
+
 def winnow_plain(text, hashed, k=8, w=8):
     """Chosen (hash, position) by the definition."""
     grams = [text[i : i + k] for i in range(len(text) - k + 1)] or ([text] if text else [])
