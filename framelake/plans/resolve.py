@@ -112,19 +112,21 @@ def overlaid(options: Column, layer: Column, fields: list[str]) -> Column:
     return F.struct(*[v.alias(k) for k, v in new.items()])
 
 
-def resolve(files: DataFrame, policy: Policy, base: dict | None = None, folder: str | None = None, node: str | None = None) -> DataFrame:
+def resolve(files: DataFrame, policy: Policy, base: dict | None = None, folder: str | None = None, node: str | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """`files` with columns plan and options.
 
     plan is a struct (action, rule_id, rule_name, profile_id, profile_name, encoder, retention, blocked). `folder` and
     `node` name struct columns of settings; the folder's may also have policy (Simple: no policy; Profile: the profile
     profile_id and no other) beside settings. The first enabled rule that fits decides, else the default. A policy with
     problems blocks everything that it would decide. A profile's exact encoder can't be overridden: another one named by
-    a folder or node blocks the file, and so does a codec that it can't make. In webm everything is av1.
+    a folder or node blocks the file, and so does a codec that it can't make. In webm everything is av1. With `nodes`, few
+    rows that hold the column `node`, each file gets a row for each of them; what doesn't depend on the node is made once.
     """
     base = base or {}
     f = facts(files)
-    fields = lambda name: [x.name for x in files.schema[name].dataType if x.name in SETTINGS] if name else []
-    has = lambda name, k: bool(name) and k in [x.name for x in files.schema[name].dataType]
+    layer = lambda name: (nodes if nodes is not None and name == node else files).schema[name].dataType
+    fields = lambda name: [x.name for x in layer(name) if x.name in SETTINGS] if name else []
+    has = lambda name, k: bool(name) and k in [x.name for x in layer(name)]
     said = lambda name, k: F.col(name)[k] if has(name, k) else F.lit(None).cast("string")
     text = lambda v: F.lit(v).cast("string")
     problems = " ".join(dict.fromkeys(validate(policy))) or None
@@ -172,6 +174,8 @@ def resolve(files: DataFrame, policy: Policy, base: dict | None = None, folder:
     rows = files.withColumn("the decision", what).withColumn("the kind", F.col("the decision.kind")).join(F.broadcast(choices), "the kind")  # at most two rows for each profile and action
     options = F.col("the choice.options")
     rows = rows.withColumn("options", overlaid(options, F.col(folder), fields(folder)) if folder else options)
+    if nodes is not None:
+        rows = rows.crossJoin(F.broadcast(nodes))
     if node:
         rows = rows.withColumn("options", overlaid(F.col("options"), F.col(node), fields(node)))
     o, plan = F.col("options"), F.col("the choice")
@@ -194,7 +198,8 @@ def resolve(files: DataFrame, policy: Policy, base: dict | None = None, folder:
     whole = F.struct(*[changed.get(k, o[k]).alias(k) for k in SETTINGS])
     said_by = {"blocked": blocked, "rule_id": F.col("the decision.rule_id"), "rule_name": F.col("the decision.rule_name")}
     decided = F.struct(*[(said_by[k] if k in said_by else plan[k]).alias(k) for k in ("action", "rule_id", "rule_name", "profile_id", "profile_name", "encoder", "retention", "blocked")])
-    return rows.select(*[F.col(c) for c in files.columns if c not in ("plan", "options")], decided.alias("plan"), whole.alias("options"))
+    columns = [*files.columns, *(nodes.columns if nodes is not None else [])]
+    return rows.select(*[F.col(c) for c in columns if c not in ("plan", "options")], decided.alias("plan"), whole.alias("options"))
 
 
 def checked(policy: Policy, **changes) -> Policy:

@@ -60,6 +60,6 @@ def _resolved(spark, d):
     folders = P.longest_prefix(m, view(spark, d, "folders")).withColumnsRenamed({"policy": "folder_policy", "target_kbps": "folder_kbps"})
     files = folders.withColumn("folder", F.struct(*[F.expr(v).alias(k) for k, v in {**_CHOICE, **_FOLDER}.items()]))
     nodes = view(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("node_class"), F.struct(*[F.expr(v).alias(k) for k, v in _NODE.items()]).alias("node"))
-    both = R.resolve(files.crossJoin(F.broadcast(nodes.limit(64))), _POLICY, folder="folder", node="node")  # a row for each kind of node
+    both = R.resolve(files, _POLICY, folder="folder", node="node", nodes=nodes.limit(64))  # a row for each kind of node
     outputs = F.array_join(F.transform("options.audio_outputs", lambda x: F.concat_ws(" ", x["codec"], x["layout"], x["kbps"])), ",")
     return both.select("id", F.col("node_class").alias("node"), *[F.col(f"plan.{k}").alias(k) for k in ("action", "rule_id", "profile_id", "blocked")], *[F.col(f"options.{k}").alias(k) for k in _SHOWN], outputs.alias("outputs"))

@@ -82,3 +82,18 @@ def test_folders_and_rules(spark):
     assert "no condition" in resolved(spark, broken)[0]["blocked"] and resolved(spark, broken, {"policy": "Simple"})[0]["blocked"] is None
     with pytest.raises(ValueError, match="no condition"):
         R.checked(broken)
+
+
+def test_nodes_crossed_after_the_files_own_layers_give_the_same_rows(spark):
+    from pyspark.sql import functions as F
+
+    from framelake.plans import resolve as R
+    from framelake.policy_queries import _POLICY
+    from framelake.sources.adapters import view
+
+    files = view(spark, "/root/testdata/sf0.001", "media_files").where("id < 200").withColumn("folder", R.override(codec=F.when(F.col("id") % 2 == 0, "av1")))
+    nodes = spark.range(3).select(F.col("id").alias("class"), R.override(encoder=F.when(F.col("id") == 1, "hevc_nvenc"), target_kbps=F.when(F.col("id") == 2, 900)).alias("node"))
+    one = R.resolve(files, _POLICY, folder="folder", node="node", nodes=nodes).select("id", "class", "plan", "options")
+    other = R.resolve(files.crossJoin(nodes), _POLICY, folder="folder", node="node").select("id", "class", "plan", "options")
+    got = sorted(map(repr, one.collect()))
+    assert got == sorted(map(repr, other.collect())) and len(got) == 3 * files.count()
