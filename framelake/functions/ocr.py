@@ -2,9 +2,10 @@
 
 A word is looked up among a list of known words by rank. Known words at one edit come from an index of deletions: each
 word, and each known word, stands under itself and under itself without each one of its letters, and an equality join
-of the two finds all pairs at one edit, and which edit it is. What a word becomes depends on the words beside it as
-well, so it is decided once for each distinct (word, word before, word after), and only lines in which something changes
-are put together anew. No list of words goes to the driver or to all executors.
+of the two finds all pairs at one edit, and which edit it is. A word keeps the few candidates that evidence can decide
+between. What it becomes depends on the words beside it as well: known pairs that speak for a candidate are joined to its
+place from either side, and the candidates of a place are weighed in its row. Only lines in which something changes are
+put together anew. Of the lists of words only the most common ones, whose number is checked, go to all executors.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.session import discard, written
+
 # The letters that a digit is mistaken for, likeliest first; letters of edits, in order; how alike pairs of
 # letters look (in either order; r and n, o and q are 2, which the source sets last); what evidence counts.
 DIGITS = {"0": "o", "1": "li", "5": "s", "8": "sb", "6": "g"}
@@ -24,6 +27,10 @@ SHAPE, LONGER, PAIR, COMMON_PAIR, COMMON = 100, 200, 1000, 300, 500
 LEAST_GAIN = 500
 RAREST = 100_000
 MOST_VARIANTS = 256
+#: Words of a rank below COMMON that are sent to all executors; more of them are joined as any table is.
+FEW_COMMON = 10_000
+
+_LINE = "number of the line"
 
 _WORD = r"([\p{L}\p{Nd}']+)"
 _BLANK = r"\t\n\f\r "
@@ -78,35 +85,59 @@ def word_pairs(lines: DataFrame, column: str, least: int = 2) -> DataFrame:
     return lines.select(_words(_lower(F.col(column))).alias("w")).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b")
 
 
+def _without(word: Column, at: Column) -> Column:
+    """The word without the letter at a place; the word itself at -1."""
+    shorter = F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.char_length(word)))
+    return F.when(at < 0, word).otherwise(shorter)
+
+
 def _deletions(words: DataFrame, word: str) -> DataFrame:
-    """The words under themselves (at -1) and under themselves without the letter at each place."""
-    w = F.col(word)
-    shorter = F.transform(F.sequence(F.lit(0), F.char_length(w) - 1), lambda i: F.struct(F.concat(F.substring(w, F.lit(1), i), F.substring(w, i + 2, F.char_length(w))).alias("key"), i.alias("at"), F.substring(w, i + 1, F.lit(1)).alias("letter")))
-    own = F.array(F.struct(w.alias("key"), F.lit(-1).alias("at"), F.lit("").alias("letter")))
-    return words.where(F.char_length(w) > 0).withColumn("d", F.explode(F.concat(own, shorter))).select(*words.columns, "d.*")
+    """The words under hashes of themselves (at -1) and of themselves without the letter at each place."""
+    places = F.sequence(F.lit(-1), F.char_length(word) - 1)
+    return words.where(F.char_length(word) > 0).withColumn("at", F.explode(places)).withColumn("key", F.xxhash64(_without(F.col(word), F.col("at"))))
 
 
 def neighbours(words: DataFrame, ranks: DataFrame) -> DataFrame:
     """(word, candidate, rank, place, shape): known words at one edit of `words` (word), in which a letter that comes in
-    is one of ALPHABET. place orders the edits: by position, then deletion, transposition, letter, substitution before
-    insertion. shape is how alike the letters look that were taken for each other; 1 for letters that changed places."""
-    a = _deletions(words.select("word"), "word").toDF("word", "key", "at", "letter")
-    b = _deletions(ranks.select(F.col("word").alias("candidate"), "rank"), "candidate").toDF("candidate", "rank", "key", "to", "by")
-    both = a.join(b, "key").where("word <> candidate")
-    letter = F.instr(F.lit(ALPHABET), F.col("by")) - 1  # also found by strings that aren't a letter
-    known = (letter >= 0) & (F.char_length("by") == 1)
-    gone = (F.col("at") >= 0) & (F.col("to") < 0)
-    added = (F.col("at") < 0) & (F.col("to") >= 0) & known
-    other = (F.col("at") >= 0) & (F.col("at") == F.col("to")) & known
-    turned = (F.col("at") >= 0) & (F.col("to") == F.col("at") + 1) & (F.col("letter") == F.col("by"))
-    order = lambda at, kind, which, last: F.struct(at.alias("at"), F.lit(kind).alias("kind"), which.alias("letter"), F.lit(last).alias("last"))
-    place = (
-        F.when(gone, order(F.col("at"), 0, F.lit(0), 0)).when(turned, order(F.col("at"), 1, F.lit(0), 0)).when(other, order(F.col("at"), 2, letter, 0)).when(added, order(F.col("to"), 2, letter, 1))
-    )
+    is one of ALPHABET, once for each edit. place orders a word's edits: by position, then deletion, transposition, letter,
+    substitution before insertion. shape is how alike the letters look that were taken for each other; 1 for letters that
+    changed places."""
+    a = _deletions(words.select("word"), "word")
+    b = _deletions(ranks.select(F.col("word").alias("candidate"), "rank"), "candidate").withColumnRenamed("at", "to")
+    at, to = F.col("at"), F.col("to")
+    both = a.join(b, "key").where((F.col("word") != F.col("candidate")) & (_without(F.col("word"), at) == _without(F.col("candidate"), to)))
+    old, new = F.substring("word", at + 1, F.lit(1)), F.substring("candidate", to + 1, F.lit(1))
+    letter = F.instr(F.lit(ALPHABET), new) - 1  # also found by strings that aren't a letter
+    known = (letter >= 0) & (F.char_length(new) == 1)
+    gone = (at >= 0) & (to < 0)
+    added = (at < 0) & (to >= 0) & known
+    other = (at >= 0) & (at == to) & known
+    turned = (at >= 0) & (to == at + 1) & (old == new)
+    order = lambda at, kind, which, last: ((at.cast("long") * 3 + kind) * len(ALPHABET) + which) * 2 + last
+    place = F.when(gone, order(at, 0, 0, 0)).when(turned, order(at, 1, 0, 0)).when(other, order(at, 2, letter, 0)).when(added, order(to, 2, letter, 1))
     looks = F.create_map(*[F.lit(x) for shape, pairs in ALIKE.items() for p in pairs.split() for q in (p, p[::-1]) for x in (q, shape)])
-    shape = F.when(other, F.coalesce(F.try_element_at(looks, F.concat("letter", "by")), F.lit(0))).when(turned, F.lit(1)).otherwise(F.lit(0))
-    found = both.withColumns({"place": place, "shape": shape}).where("place is not null")
-    return found.groupBy("word", "candidate", "rank").agg(F.min(F.struct("place", "shape")).alias("b")).select("word", "candidate", "rank", "b.place", "b.shape")
+    shape = F.when(other, F.coalesce(F.try_element_at(looks, F.concat(old, new)), F.lit(0))).when(turned, F.lit(1)).otherwise(F.lit(0))
+    return both.select("word", "candidate", "rank", place.alias("place"), shape.alias("shape")).where("place is not null")
+
+
+def candidates(words: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(word, own_rank, candidates) of words (word) that may become one of their neighbours, each neighbour under its first
+    edit. Ones that the words beside can't help past another neighbour, or past the word itself, are left out: what
+    evidence counts is bounded, and the bound is the most that it can be. A word without a rank counts as RAREST."""
+    near = neighbours(words, ranks).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("candidate", "place", "shape", "rank"))).alias("n"))
+    near = near.join(ranks.select("word", F.col("rank").alias("own_rank")), "word", "left")
+
+    def valued(n):
+        grows = F.signum(F.char_length(n["candidate"]) - F.char_length("word")).cast("int")
+        worth = -F.least(n["rank"], F.lit(RAREST)) + SHAPE * n["shape"] + LONGER * grows
+        most = worth + 2 * PAIR + F.when(n["rank"] < COMMON, 2 * COMMON_PAIR).otherwise(0)
+        return F.struct(n["candidate"].alias("candidate"), n["rank"].alias("rank"), n["place"].alias("place"), grows.alias("grows"), worth.cast("int").alias("worth"), most.cast("int").alias("most"))
+
+    first = F.filter("n", lambda n, i: (i == 0) | (n["candidate"] != F.get("n", i - 1)["candidate"]))
+    near = near.select("word", "own_rank", F.transform(first, valued).alias("n"))
+    near = near.withColumn("n", F.filter("n", lambda n: n["most"] + F.least("own_rank", F.lit(RAREST)) >= LEAST_GAIN))
+    near = near.withColumn("least", F.array_max(F.transform("n", lambda n: n["worth"])))
+    return near.select("word", "own_rank", F.filter("n", lambda n: n["most"] >= F.col("least")).alias("candidates")).where(F.size("candidates") > 0)
 
 
 def readings(words: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -122,42 +153,53 @@ def readings(words: DataFrame, ranks: DataFrame) -> DataFrame:
     return read.join(ranks.select(F.col("word").alias("candidate")), "candidate").groupBy("word").agg(F.min_by("candidate", "place").alias("best"))
 
 
-def decisions(contexts: DataFrame, ranks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(word, before, after, best) of distinct contexts (word, before, after; "" where there is no neighbour) in which the
-    word becomes another one. Unknown words become their best neighbour; a known one only on much better evidence, and
-    one of another length only if a known pair speaks for it."""
-    words = contexts.where(~F.col("word").rlike(r"\p{Nd}")).select("word").distinct()
-    own = ranks.select("word", F.col("rank").alias("own_rank"))
-    near = neighbours(words, ranks).join(own, "word", "left")
-    grows = F.signum(F.char_length("candidate") - F.char_length("word")).cast("int")
-    near = near.withColumns({"grows": grows, "worth": -F.least("rank", F.lit(RAREST)) + SHAPE * F.col("shape") + LONGER * grows})
-    # what the words beside it can add at most; known words that can't reach the least gain are left out
-    most = 2 * (PAIR + COMMON_PAIR)
-    near = near.where(F.col("own_rank").isNull() | (F.col("worth") + most + F.least("own_rank", F.lit(RAREST)) >= LEAST_GAIN))
-
-    beside = lambda name, to: ranks.select(F.col("word").alias(name), F.col("rank").alias(to))
-    open_ = contexts.join(near.select("word").distinct(), "word", "left_semi").join(beside("before", "rank_before"), "before", "left").join(beside("after", "rank_after"), "after", "left")
-    rows = open_.join(near, "word")
-    for name, a, b in (("pair_before", "before", "candidate"), ("pair_after", "candidate", "after"), ("own_before", "before", "word"), ("own_after", "word", "after")):
-        rows = rows.join(pairs.select(F.col("a").alias(a), F.col("b").alias(b), F.lit(1).alias(name)), [a, b], "left")
-    paired = lambda p, rank: PAIR * F.coalesce(p, F.lit(0)) + COMMON_PAIR * F.coalesce((rank < COMMON).cast("int"), F.lit(0))
-    score = F.col("worth") + paired(F.col("pair_before"), F.col("rank_before") + F.col("rank")) + paired(F.col("pair_after"), F.col("rank_after") + F.col("rank"))
-    held = -F.least("own_rank", F.lit(RAREST)) + paired(F.col("own_before"), F.col("rank_before") + F.col("own_rank")) + paired(F.col("own_after"), F.col("rank_after") + F.col("own_rank"))
-    rows = rows.withColumns({"score": score, "held": held, "voted": F.coalesce("pair_before", "pair_after").isNotNull()})
-    best = rows.groupBy("word", "before", "after").agg(F.min_by(F.struct("candidate", "score", "held", "grows", "voted"), F.struct(-F.col("score"), F.col("place"))).alias("b"))
-    strong = F.expr("b.held is null or (b.score - b.held >= {} and (b.grows = 0 or b.voted))".format(LEAST_GAIN))
-    read = contexts.join(readings(contexts.select("word").distinct(), ranks), "word").select("word", "before", "after", "best")
-    return best.where(strong).select("word", "before", "after", F.col("b.candidate").alias("best")).unionByName(read)
+def _best(own_rank: Column, candidates: Column, beside: tuple[tuple[str, str], ...]) -> Column:
+    """What a word becomes; null if it stays. beside: the rank of the word on either side, and which candidates (or the word
+    itself) make a known pair with it."""
+    paired = lambda word, c: F.coalesce(F.array_contains(c, word), F.lit(False))
+
+    def evidence(word, rank):
+        return sum((PAIR * paired(word, F.col(c)).cast("int") + COMMON_PAIR * F.coalesce((F.col(r) + rank < COMMON).cast("int"), F.lit(0)) for r, c in beside), F.lit(0))
+
+    def scored(n):
+        voted = paired(n["candidate"], F.col(beside[0][1])) | paired(n["candidate"], F.col(beside[1][1]))
+        return F.struct((n["worth"] + evidence(n["candidate"], n["rank"])).alias("score"), (-n["place"]).alias("place"), n["candidate"].alias("candidate"), ((n["grows"] == 0) | voted).alias("fit"))
+
+    held = -F.least(own_rank, F.lit(RAREST)) + evidence(F.col("word"), own_rank)
+    best = F.array_max(F.transform(candidates, scored))
+    return F.element_at(F.transform(F.array(best), lambda b: F.when((b["score"] - held >= LEAST_GAIN) & b["fit"], b["candidate"])), 1)
+
+
+def decisions(words: DataFrame, known: DataFrame, ranks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of words in their places (word, before, after; "" where there is no neighbour; and what else tells the places
+    apart) those that become another one (best). known: (word, own_rank, candidates, reading). A word becomes its best
+    neighbour on much better evidence, which an unknown one has against it only from the rarest, and one of another length
+    only if a known pair speaks for it.
+    A place travels to the pairs on either side of its word and then to the word's candidates, as one row each time."""
+    # an unknown word whose one neighbour has its length becomes that, whatever stands beside it
+    settled = F.col("own_rank").isNull() & (F.size("candidates") == 1) & F.exists("candidates", lambda n: (n["grows"] == 0) & (n["worth"] + RAREST - 2 * PAIR >= LEAST_GAIN))
+    open_ = known.where(F.col("candidates").isNotNull() & ~settled)
+    either = open_.select("word", F.explode(F.concat(F.transform("candidates", lambda n: n["candidate"]), F.array("word"))).alias("c"))
+    common = ranks.where(F.col("rank") < COMMON).select(F.col("word").alias("w"), F.col("rank").alias("r"))
+    few = common.limit(FEW_COMMON + 1).count() <= FEW_COMMON  # as ranks go, about as many as COMMON
+    for side, mine, theirs in (("before", "b", "a"), ("after", "a", "b")):
+        speak = either.join(pairs.select(F.col(mine).alias("c"), F.col(theirs).alias(side)), "c").groupBy("word", side).agg(F.collect_set("c").alias(f"pairs_{side}"))
+        ranked = common.select(F.col("w").alias(side), F.col("r").alias(f"rank_{side}"))
+        words = words.join(speak, ["word", side], "left").join(F.broadcast(ranked) if few else ranked, side, "left").drop(side)
+    best = _best(F.col("own_rank"), F.col("candidates"), (("rank_before", "pairs_before"), ("rank_after", "pairs_after")))
+    found = words.join(known, "word").withColumn("best", F.coalesce("reading", best)).where("best is not null")
+    return found.drop("own_rank", "candidates", "reading", "rank_before", "rank_after", "pairs_before", "pairs_after")
 
 
 def _looked_at(text: Column) -> Column:
-    """array<struct<at, shown, word, before, after>>: the words that may be corrected. Short ones, ones in capitals and
+    """array<struct<at, word, before, after>>: the words that may be corrected, in small letters. Short ones, ones in capitals and
     capitalised ones inside a sentence may not."""
 
     def one(words, low, between):
         beside = lambda i: F.coalesce(F.get(low, i), F.lit(""))
         rows = F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("shown"), F.get(low, i).alias("word"), F.when(i > 0, beside(i - 1)).otherwise("").alias("before"), beside(i + 1).alias("after"), ((i == 0) | F.get(between, i).rlike(r"[.!?\n\r:]")).alias("opens")))
-        return F.filter(rows, lambda r: (F.char_length(r["shown"]) >= 3) & (r["opens"] | ~r["shown"].rlike(r"^\p{Lu}")) & ~r["shown"].rlike(r"^\p{Lu}+$"))
+        found = F.filter(rows, lambda r: (F.char_length(r["shown"]) >= 3) & (r["opens"] | ~r["shown"].rlike(r"^\p{Lu}")) & ~r["shown"].rlike(r"^\p{Lu}+$"))
+        return F.transform(found, lambda r: F.struct(*[r[k].alias(k) for k in ("at", "word", "before", "after")]))
 
     # each of these once a line, as all words look at them
     parts = F.array(F.struct(_words(text).alias("w"), F.transform(_words(text), _lower).alias("low"), _between(text).alias("b")))
@@ -172,14 +214,22 @@ def _cased(word: Column, shown: Column) -> Column:
 
 def corrected(lines: DataFrame, column: str, ranks: DataFrame, pairs: DataFrame) -> DataFrame:
     """`lines` with column corrected: substitutions, then words by `decisions`. Null lines stay null, and lines stay one
-    for one. Words that are known have at most as many letters as the list's longest, so longer ones cost no more."""
-    rows = lines.withColumn("corrected", substituted(F.col(column)))
+    for one. Words that are known have at most as many letters as the list's longest, so longer ones cost no more. Lines are
+    numbered and written once, so a word that is looked at carries the number of its line and not the line; each table
+    below is written as well, so that its shuffle files go before those of the next are made."""
+    rows = written(lines.withColumns({"corrected": substituted(F.col(column)), _LINE: F.monotonically_increasing_id()}), "ocr-lines", tidy=True)
+    ranks, pairs = written(ranks, "ocr-ranks", tidy=True), written(pairs, "ocr-pairs", tidy=True)
     longest = ranks.agg(F.max(F.char_length("word")).alias("longest"))
-    seen = rows.select(F.col("corrected").alias("line")).where("line is not null").distinct().select("line", F.explode(_looked_at(F.col("line"))).alias("t")).select("line", "t.*")
+    seen = rows.where("corrected is not null").select(_LINE, F.explode(_looked_at(F.col("corrected"))).alias("t")).select(_LINE, "t.*")
     seen = seen.join(F.broadcast(longest), F.char_length("word") <= F.col("longest") + 1).drop("longest")  # one row
-    new = decisions(seen.select("word", "before", "after").distinct(), ranks, pairs)
-    changed = seen.join(new, ["word", "before", "after"]).groupBy("line").agg(F.map_from_entries(F.collect_list(F.struct("at", _cased(F.col("best"), F.col("shown")).alias("w")))).alias("new"))
-    both = rows.join(changed, rows["corrected"] == changed["line"], "left")
-    words = F.transform(_words(F.col("corrected")), lambda w, i: F.coalesce(F.try_element_at("new", i), w))
+    words = seen.select("word").distinct()
+    near = candidates(words.where(~F.col("word").rlike(r"\p{Nd}")), ranks)
+    read = readings(words, ranks).select("word", F.col("best").alias("reading"))
+    known = written(near.unionByName(read, allowMissingColumns=True), "ocr-known", tidy=True)
+    changed = decisions(seen, known, ranks, pairs).groupBy(_LINE).agg(F.map_from_entries(F.collect_list(F.struct("at", "best"))).alias("new"))
+    changed = written(changed, "ocr-changed", tidy=True)
+    discard(ranks, pairs, known)
+    both = rows.join(changed, _LINE, "left")
+    words = F.transform(_words(F.col("corrected")), lambda w, i: (lambda n: F.when(n.isNull(), w).otherwise(_cased(n, w)))(F.try_element_at("new", i)))
     whole = F.transform(F.array(words), lambda w: F.array_join(F.transform(_between(F.col("corrected")), lambda g, i: F.concat(g, F.coalesce(F.get(w, i), F.lit("")))), ""))
-    return both.withColumn("corrected", F.when(F.col("new").isNull(), F.col("corrected")).otherwise(F.element_at(whole, 1))).drop("line", "new")
+    return both.withColumn("corrected", F.when(F.col("new").isNull(), F.col("corrected")).otherwise(F.element_at(whole, 1))).drop(_LINE, "new")

@@ -1,6 +1,7 @@
 """Scalar functions, streams, decisions, placement, sources on small rows."""
 
 import json
+import random
 from pathlib import Path
 
 import pytest
@@ -331,6 +332,31 @@ def test_ocr_correct_of_letters_that_case_changes_by_more_than_one(spark, tmp_pa
     assert made[(5, 0)].startswith("\u1e9eaba zoro luma.") and made[(98, 0)] == "zoro luma" and made[(None, 0)] == "zoroa luma"
 
 
+def test_ocr_sends_words_without_their_lines(spark, monkeypatch):
+    """Lines of two thousand words: what is shuffled grows with the words, not with the words times their line."""
+
+    def shuffled():
+        told = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(told.apply(i).totalShuffleWrite() for i in range(told.size()))
+
+    pick = random.Random(7)
+    known = ["".join(pick.choice("aeioulnrst") for _ in range(pick.randint(4, 7))) for _ in range(600)]
+    misread = lambda w: w.replace("o", "c", 1) if pick.random() < 0.2 else w
+    texts = [" ".join(misread(pick.choice(known)) for _ in range(2000)) for _ in range(10)]
+    lines = spark.createDataFrame([(t,) for t in texts], "text string")
+    ranks = spark.createDataFrame([(w, i) for i, w in enumerate(dict.fromkeys(known))], "word string, rank int")
+    pairs = spark.createDataFrame([(a, b) for a, b in zip(known[::3], known[1::3], strict=False)], "a string, b string")
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as in large tables
+    before = shuffled()
+    got = {r["text"]: r["corrected"] for r in ocr.corrected(lines, "text", ranks, pairs).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert 0 < shuffled() - before < 60 * sum(map(len, texts))
+    assert set(got) == set(texts) and all(len(a.split()) == len(b.split()) for a, b in got.items()) and any(a != b for a, b in got.items())
+    monkeypatch.setattr(ocr, "FEW_COMMON", 0)  # as where too many words are common to be sent to all
+    assert {r["text"]: r["corrected"] for r in ocr.corrected(lines, "text", ranks, pairs).collect()} == got
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     for n in ("a/x.mkv", "a/b/y.FLAC", "a/z.txt", "a/x [encoded].mkv"):
