@@ -457,3 +457,25 @@ def test_changes(spark):
     assert {r["work_item_id"]: r["phase"] for r in scan.latest_transition(log).collect()} == {1: "b", 2: "a"} and scan.open_transitions(log).count() == 2
     nodes = spark.createDataFrame([("a", datetime.datetime(2024, 1, 1, 0, 0)), ("b", datetime.datetime(2024, 1, 1, 0, 9))], "node_id string, last_heartbeat timestamp_ntz")
     assert [r["node_id"] for r in placement.silent(nodes, F.lit("2024-01-01 00:10:00").cast("timestamp_ntz")).collect()] == ["a"]
+
+
+def test_scores_of_all_pairs_are_dealt_to_tasks_of_few_places(spark, monkeypatch):
+    """Classes are found before items are dealt to thousands of parts, and no task holds all places."""
+    from framelake.queries import _items, view
+
+    ended = lambda: (lambda told: sum(told.apply(i).totalTasks() for i in range(told.size())))(spark.sparkContext._jsc.sc().statusStore().executorList(False))
+    d = "/root/testdata/sf0.001"
+    tables = _items(spark, d), *[view(spark, d, v) for v in ("nodes", "devices", "slots")]
+    wanted = sorted(map(tuple, placement.video_scores(*tables).select("item_id", "node_id", "device_id", "score").collect()))
+    monkeypatch.setattr(placement, "PAIRS", 3)
+    before = ended()
+    scores = placement.all_scores(*tables)
+    assert ended() - before < len(wanted) / 30
+    assert sorted(map(tuple, scores.collect())) == wanted
+    monkeypatch.setattr(placement, "PLACES", 5)
+    cut = placement.all_scores(*tables)
+    assert sorted(map(tuple, cut.collect())) == wanted and cut.rdd.getNumPartitions() % -(-view(spark, d, "devices").count() // 5) == 0
+    monkeypatch.undo()
+    n, m = 1_190_000, 105_000  # sixty copies of sf0.1
+    beside, parts = placement.dealt(n, m)
+    assert m / beside <= placement.PLACES and beside * parts < 100_000 and placement.dealt(0, 0) == (1, 1)
